@@ -8,6 +8,7 @@ from cinderline.llm.language import op2_language
 from cinderline.llm.media import op5_media
 from cinderline.llm.packing import op4_packing
 from cinderline.llm.piece_codec import op9_pieces
+from cinderline.llm.pseudonyms import op8_pseudonyms
 from cinderline.llm.secrets import op10_secrets
 from cinderline.llm.simhash import op1_simhash
 from cinderline.llm.token_counts import op6_token_counts
@@ -21,6 +22,7 @@ QUERIES = {
     "op5_media": op5_media,
     "op6_token_counts": op6_token_counts,
     "op7_fingerprints": op7_fingerprints,
+    "op8_pseudonyms": op8_pseudonyms,
     "op9_pieces": op9_pieces,
     "op10_secrets": op10_secrets,
 }
