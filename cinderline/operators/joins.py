@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderline.operators.history import best_per_key
@@ -63,7 +63,20 @@ def without_tokens(left: Column, right: Column) -> Column:
 
 
 def conflicting_newest(claims: DataFrame, others: DataFrame, unit: str, source: str, time: str, tie: str, status: str, days: int) -> DataFrame:
-    """claims with whether the newest accepted claim of another source within so many days before has another status."""
-    o = others.select(unit, F.col(source).alias("_source"), F.col(time).alias("_time"), F.col(tie).alias("_tie"), F.col(status).alias("_status"))
-    near = claims.join(o, (claims[unit] == o[unit]) & (F.col("_source") != F.col(source)) & (F.col("_time") <= F.col(time)) & (F.col("_time") > F.col(time) - F.expr(f"interval {days} days")), "left").drop(o[unit])
-    return near.groupBy(*claims.columns).agg(F.max_by("_status", F.struct("_time", "_tie")).alias("_newest")).withColumn("conflicts", F.coalesce(F.col("_newest") != F.col(status), F.lit(False))).drop("_newest")
+    """claims with whether the newest of the others from another source, within so many days before, has another status.
+
+    The newest row of another source is the newest row, or else the last one before its run of equal
+    sources. So one pass over each unit's ordered rows finds it, and no pairs are made.
+    """
+    o = others.select(F.col(unit), F.col(source).alias("_s"), F.col(time).alias("_t"), F.col(tie).alias("_i"), F.col(status).alias("_v"))
+    w = Window.partitionBy(unit).orderBy("_t", "_i")
+    starts = F.when(~F.lag("_s").over(w).eqNullSafe(F.col("_s")), F.struct(F.lag("_t").over(w).alias("t"), F.lag("_v").over(w).alias("v")))
+    runs = o.withColumn("_start", starts).withColumn("_prior", F.last("_start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_start")
+    rows = claims.select(F.col(unit), F.col(time).alias("_t"), F.col(tie).alias("_i"), F.lit(1).alias("_kind"), F.struct(*claims.columns).alias("_claim"))
+    both = runs.withColumn("_kind", F.lit(0)).unionByName(rows, allowMissingColumns=True)
+    until = Window.partitionBy(unit).orderBy("_t", "_kind", "_i").rowsBetween(Window.unboundedPreceding, 0)
+    seen = F.last(F.when(F.col("_kind") == 0, F.struct("_s", F.col("_t").alias("t"), F.col("_v").alias("v"), "_prior")), ignorenulls=True).over(until)
+    found = both.withColumn("_seen", seen).where("_kind = 1").select("_claim.*", "_seen")
+    newest = F.when(F.col("_seen._s") != F.col(source), F.struct("_seen.t", "_seen.v")).otherwise(F.col("_seen._prior"))
+    recent = (newest["t"] > F.col(time) - F.expr(f"interval {days} days")) & (newest["v"] != F.col(status))
+    return found.withColumn("conflicts", F.coalesce(recent, F.lit(False))).drop("_seen")
