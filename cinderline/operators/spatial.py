@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from cinderline.functions.geometry import bounds, boxes_overlap, footprint_miles, miles_between, polygon_contains
 from cinderline.functions.labels import proximity_tier
-from cinderline.operators.history import best_per_key
 
 
 def cells(min_x: Column, min_y: Column, max_x: Column, max_y: Column, size: float) -> Column:
@@ -61,8 +60,26 @@ def tier_rollup(pairs: DataFrame, point_id: str) -> DataFrame:
     return pairs.groupBy(point_id).agg(F.max_by("tier", rank).alias("tier"), F.count("*").alias("n"), F.min("miles").alias("nearest"))
 
 
-def nearest_feature(targets: DataFrame, features: DataFrame, target_id: str, feature_id: str, group: str) -> DataFrame:
-    """For each target the feature of its group with the least squared distance (x, y), then the least id. Targets and features share a group, so the join is an equality join."""
+def nearest_feature(targets: DataFrame, features: DataFrame, target_id: str, feature_id: str, group: str, size: float, rounds: int = 2) -> DataFrame:
+    """For each target the other feature of its group with the least squared distance (x, y), then the least id.
+
+    Targets look at the nine cells about them. A find no farther than a cell's side is final; the
+    other targets look again with cells four times as large, and in the last round at all of their
+    group. With a size that suits the density few are left after the first round.
+    """
     f = features.select(group, feature_id, F.col("x").alias("fx"), F.col("y").alias("fy"))
-    d = F.pow(F.col("x") - F.col("fx"), 2) + F.pow(F.col("y") - F.col("fy"), 2)
-    return best_per_key(targets.join(f, group).withColumn("d2", d), target_id, F.col("d2"), F.col(feature_id)).select(target_id, feature_id, "d2")
+    left, done = targets.select(target_id, group, "x", "y"), None
+    for k in range(rounds + 1):
+        side = size * 4**k
+        if k < rounds:
+            around = F.explode(F.array(*(F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("d")
+            a = left.select("*", around).select(target_id, group, "x", "y", (F.floor(F.col("x") / side) + F.col("d.di")).alias("i"), (F.floor(F.col("y") / side) + F.col("d.dj")).alias("j"))
+            pairs = a.join(f.withColumns({"i": F.floor(F.col("fx") / side), "j": F.floor(F.col("fy") / side)}), [group, "i", "j"])
+        else:
+            pairs = left.join(f, group)
+        d = F.pow(F.col("x") - F.col("fx"), 2) + F.pow(F.col("y") - F.col("fy"), 2)
+        best = pairs.where(F.col(target_id) != F.col(feature_id)).withColumn("d2", d).groupBy(target_id).agg(F.min(F.struct("d2", feature_id)).alias("b")).select(target_id, f"b.{feature_id}", "b.d2")
+        final = best.where(F.col("d2") <= side * side) if k < rounds else best
+        done = final if done is None else done.unionByName(final)
+        left = left.join(final.select(target_id), target_id, "left_anti")
+    return done

@@ -380,18 +380,23 @@ def seasonal_cap(t: Tables) -> DataFrame:
 
 # Space
 
-LON, LAT = F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double")
+def lon() -> Column:
+    return F.col("embedding")[0].cast("double")
+
+
+def lat() -> Column:
+    return F.col("embedding")[1].cast("double")
 
 
 @query("SELECT label, min(embedding[1])::DOUBLE AS min_x, min(embedding[2])::DOUBLE AS min_y, max(embedding[1])::DOUBLE AS max_x, max(embedding[2])::DOUBLE AS max_y FROM embeddings GROUP BY 1")
 def bbox_of_points(t: Tables) -> DataFrame:
-    return t.embeddings.groupBy("label").agg(F.min(LON).alias("min_x"), F.min(LAT).alias("min_y"), F.max(LON).alias("max_x"), F.max(LAT).alias("max_y"))
+    return t.embeddings.groupBy("label").agg(F.min(lon()).alias("min_x"), F.min(lat()).alias("min_y"), F.max(lon()).alias("max_x"), F.max(lat()).alias("max_y"))
 
 
 @query("""WITH a AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), b AS (SELECT vec_id, x - 0.01 AS x0, y - 0.01 AS y0, x + 0.01 AS x1, y + 0.01 AS y1 FROM a)
     SELECT l.vec_id AS a_id, r.vec_id AS b_id FROM b l JOIN b r ON l.x0 <= r.x1 AND l.x1 >= r.x0 AND l.y0 <= r.y1 AND l.y1 >= r.y0""")
 def bbox_overlap_join(t: Tables) -> DataFrame:
-    boxes = t.embeddings.select("vec_id", (LON - 0.01).alias("min_x"), (LAT - 0.01).alias("min_y"), (LON + 0.01).alias("max_x"), (LAT + 0.01).alias("max_y"))
+    boxes = t.embeddings.select("vec_id", (lon() - 0.01).alias("min_x"), (lat() - 0.01).alias("min_y"), (lon() + 0.01).alias("max_x"), (lat() + 0.01).alias("max_y"))
     return spatial.box_join(boxes.withColumnRenamed("vec_id", "a_id"), boxes.withColumnRenamed("vec_id", "b_id"), "a_id", "b_id", 0.05)
 
 
@@ -409,7 +414,7 @@ def shapes(spark: SparkSession) -> DataFrame:
     SELECT vec_id, pid FROM p JOIN e ON (ay > y) <> (cy > y) AND x < ax + (y - ay) / (cy - ay) * (cx - ax) GROUP BY 1, 2 HAVING count(*) % 2 = 1""")
 def point_in_polygon(t: Tables) -> DataFrame:
     polygons = shapes(t.spark).select("pid", F.array("ring").alias("rings"))
-    return spatial.points_in_polygons(t.embeddings.select("vec_id", LON.alias("x"), LAT.alias("y")), polygons, "vec_id", "pid", 0.1)
+    return spatial.points_in_polygons(t.embeddings.select("vec_id", lon().alias("x"), lat().alias("y")), polygons, "vec_id", "pid", 0.1)
 
 
 @query(f"""WITH {EDGES_SQL} SELECT pid, round(sum(ax * cy - cx * ay) / 2, 8) AS area, round(sum((ax + cx) * (ax * cy - cx * ay)) / (3 * sum(ax * cy - cx * ay)), 8) AS x, round(sum((ay + cy) * (ax * cy - cx * ay)) / (3 * sum(ax * cy - cx * ay)), 8) AS y FROM e GROUP BY 1""")
@@ -419,13 +424,13 @@ def polygon_centroid_area(t: Tables) -> DataFrame:
 
 
 NEAR_SQL = """p AS (SELECT vec_id, embedding[1]::DOUBLE * 10 - 120 AS lon, embedding[2]::DOUBLE * 10 + 44 AS lat, (vec_id % 10) * 120.0 AS acres, label FROM embeddings),
-    d AS (SELECT a.vec_id AS point_id, b.vec_id AS incident_id, b.acres, greatest(0, sqrt(((b.lon - a.lon) * pi() / 180 * 6378137.0 * cos(radians(a.lat))) ** 2 + ((b.lat - a.lat) * pi() / 180 * 6378137.0) ** 2) / 1609.344 - greatest(sqrt(b.acres * 4046.86 / pi()), 500.0) / 1609.344) AS miles FROM p a JOIN p b ON b.label % 3 = 0 AND a.label % 3 = 1),
+    d AS (SELECT a.vec_id AS point_id, b.vec_id AS incident_id, b.acres, greatest(0, sqrt(((b.lon - a.lon) * pi() / 180 * 6378137.0 * cos(radians(a.lat))) ** 2 + ((b.lat - a.lat) * pi() / 180 * 6378137.0) ** 2) / 1609.344 - greatest(sqrt(b.acres * 4046.86 / pi()), 500.0) / 1609.344) AS miles FROM p a CROSS JOIN p b),
     x AS (SELECT *, CASE WHEN miles <= 0 THEN 'inside' WHEN miles <= 10 THEN 'near' WHEN miles <= 30 AND acres >= 100 THEN 'regional' END AS tier FROM d)"""
 
 
 def near_pairs(t: Tables) -> DataFrame:
-    p = t.embeddings.select("vec_id", (LON * 10 - 120).alias("lon"), (LAT * 10 + 44).alias("lat"), (F.col("vec_id") % 10 * 120.0).alias("acres"), "label")
-    return spatial.proximity(p.where("label % 3 = 1").withColumnRenamed("vec_id", "point_id"), p.where("label % 3 = 0").withColumnRenamed("vec_id", "incident_id"), "point_id", "incident_id")
+    p = t.embeddings.select("vec_id", (lon() * 10 - 120).alias("lon"), (lat() * 10 + 44).alias("lat"), (F.col("vec_id") % 10 * 120.0).alias("acres"), "label")
+    return spatial.proximity(p.withColumnRenamed("vec_id", "point_id"), p.withColumnRenamed("vec_id", "incident_id"), "point_id", "incident_id")
 
 
 @query(f"WITH {NEAR_SQL} SELECT point_id, incident_id, round(miles, 4) AS miles, tier FROM x WHERE tier IS NOT NULL")
@@ -439,10 +444,10 @@ def incident_status_rollup(t: Tables) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)
-    SELECT a.vec_id, b.vec_id AS feature_id, round((a.x - b.x) ** 2 + (a.y - b.y) ** 2, 10) AS d2 FROM p a JOIN p b ON a.label = b.label AND b.vec_id % 5 = 0 WHERE a.vec_id % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2, b.vec_id) = 1""")
+    SELECT a.vec_id, b.vec_id AS feature_id, round((a.x - b.x) ** 2 + (a.y - b.y) ** 2, 10) AS d2 FROM p a JOIN p b ON a.label = b.label AND a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2, b.vec_id) = 1""")
 def nearest_feature(t: Tables) -> DataFrame:
-    p = t.embeddings.select("vec_id", "label", LON.alias("x"), LAT.alias("y"))
-    return spatial.nearest_feature(p.where("vec_id % 5 <> 0"), p.where("vec_id % 5 = 0").withColumnRenamed("vec_id", "feature_id"), "vec_id", "feature_id", "label").withColumn("d2", F.round("d2", 10))
+    p = t.embeddings.select("vec_id", "label", lon().alias("x"), lat().alias("y"))
+    return spatial.nearest_feature(p, p.withColumnRenamed("vec_id", "feature_id"), "vec_id", "feature_id", "label", 0.05).withColumn("d2", F.round("d2", 10))
 
 
 # Documents and feeds
