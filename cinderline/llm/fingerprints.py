@@ -25,6 +25,8 @@ from cinderline.llm.common import documents
 LEAST, NORMAL, MOST = 16, 64, 256
 #: Boundaries before and after the normal size: so many leading zero bits of 32.
 STRICT, LOOSE = 8, 4
+#: Ranges of ids for each partition, so that partitions are even; at most so many in all, as their bounds are on the driver.
+RANGES, MOST_RANGES = 4, 20_000
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 7) for b in range(256)], np.uint32)
 
 
@@ -86,7 +88,8 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 100 * parts)).first()[0] or []
+    ranges = min(RANGES * parts, MOST_RANGES)
+    cuts = rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
     bounds = np.unique(np.array(cuts, np.int64))
 
     @F.pandas_udf("int")
