@@ -11,6 +11,7 @@ texts of that language and length show are rejected.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,8 +25,8 @@ from cinderline.llm.common import documents, id_and_text, map_batches
 ORDER = 4
 #: Labelled documents a language that the models are fitted on, as expected number; a fifth of them calibrates.
 PER_LANGUAGE = 1500
-#: Characters scored at a time.
-SLICE = 1 << 19
+#: Characters scored at a time; a character takes some hundred bytes meanwhile.
+SLICE = 1 << 17
 MIX = np.uint64(0x9E3779B97F4A7C15)  # odd, so multiplying is one-to-one
 SPLIT = re.compile(r"[\W\d_]+")
 
@@ -34,19 +35,38 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed four-character windows of all texts, 16 bits a character, and each text's number of them."""
-    padded = [f"   {SPLIT.sub(' ', t.lower()).strip()} " for t in texts]
-    sizes = np.array([len(p) for p in padded], np.int64)
+def padded(text: str) -> str:
+    return f"   {SPLIT.sub(' ', text.lower()).strip()} "
+
+
+def portions(texts: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """The padded texts, about SLICE characters at a time, with the text that each part is from. Long texts are cut; parts overlap, so that each window is in one of them."""
+    owners, parts, n = [], [], 0
+    for i, text in enumerate(texts):
+        p = padded(text)
+        for a in range(0, len(p) - ORDER + 1, SLICE):
+            owners.append(i)
+            parts.append(p[a : a + SLICE + ORDER - 1])
+            n += len(parts[-1])
+            if n >= SLICE:
+                yield np.array(owners), parts
+                owners, parts, n = [], [], 0
+    if parts:
+        yield np.array(owners), parts
+
+
+def grams(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Packed four-character windows of all parts, 16 bits a character, and each part's number of them."""
+    sizes = np.array([len(p) for p in parts], np.int64)
     # UTF-32 has one unit a character; rare ones beyond 16 bits share a code.
-    codes = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), "<u4")
+    codes = np.frombuffer("".join(parts).encode("utf-32-le", "replace"), "<u4")
     c = np.where(codes > 0xFFFF, 0xFFFF, codes).astype(np.uint64)
     packed = np.zeros(max(0, len(c) - ORDER + 1), np.uint64)
     for k in range(ORDER):
         packed = (packed << np.uint64(16)) | c[k : len(c) - ORDER + 1 + k]
     ends = np.cumsum(sizes)
     keep = np.ones(len(packed), bool)
-    for k in range(1, ORDER):  # windows across two texts
+    for k in range(1, ORDER):  # windows across two parts
         keep[np.clip(ends[:-1] - k, 0, None)] = False
     return packed[keep], sizes - ORDER + 1
 
@@ -105,13 +125,12 @@ class Models:
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy a character in bits (a column a language), and each text's characters."""
-        packed, sizes = grams(texts)
+        sizes = np.zeros(len(texts), np.int64)
         total = np.zeros((len(texts), len(self.langs)))
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        for a in range(0, len(packed), SLICE):
-            lp, own = self.log_p(packed[a : a + SLICE]), owner[a : a + SLICE]
-            first = np.flatnonzero(np.diff(own, prepend=-1))
-            total[own[first]] += np.add.reduceat(lp, first, axis=0, dtype=np.float64)
+        for owners, parts in portions(texts):
+            packed, n = grams(parts)
+            np.add.at(sizes, owners, n)
+            np.add.at(total, owners, np.add.reduceat(self.log_p(packed), np.cumsum(n) - n, axis=0, dtype=np.float64))
         return -total / sizes[:, None] / np.log(2), sizes
 
     def excess(self, ce: np.ndarray, sizes: np.ndarray, best: np.ndarray) -> np.ndarray:
@@ -142,8 +161,9 @@ def fit_languages(labelled: DataFrame, lang_col: str = "lang", per_language: int
         texts, langs = np.array(b.column("text").to_pylist(), object), np.array(b.column("lang").to_pylist(), object)
         parts = []
         for lang in sorted(set(langs.tolist())):
-            keys, n = np.unique(grams(texts[langs == lang].tolist())[0], return_counts=True)
-            parts.append(pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "gram", "n"]))
+            for _, some in portions(texts[langs == lang].tolist()):
+                keys, n = np.unique(grams(some)[0], return_counts=True)
+                parts.append(pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "gram", "n"]))
         return pa.concat_batches(parts)
 
     fitting = map_batches(sample.where("not aside").select("lang", "text"), counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
