@@ -14,10 +14,11 @@ from __future__ import annotations
 class Node(dict):
     """A trie node: symbol -> Node."""
 
-    __slots__ = ("token",)
+    __slots__ = ("token", "number")
 
-    def __init__(self):
-        self.token = -1
+    def __init__(self, nodes: list):
+        self.token, self.number = -1, len(nodes)
+        nodes.append(self)
 
 
 class State(dict):
@@ -39,19 +40,20 @@ class MergeAutomaton:
     A symbol of no token becomes a token of its own, with id -1 - ord(symbol); nothing merges across it.
     """
 
-    LIMIT = 150_000
+    LIMIT = 100_000
 
     def __init__(self, tokens: dict[int, str], ranks: dict):
         """ranks: (left, right) -> rank, or merged -> rank where any two parts of a token merge."""
         self.tokens, self.ranks, self.by_pair = tokens, ranks, isinstance(next(iter(ranks)), tuple)
         self.ids = {s: i for i, s in tokens.items()}
-        self.root = Node()
+        self.nodes: list[Node] = []
+        self.root = Node(self.nodes)
         for i, s in tokens.items():
             node = self.root
             for c in s:
                 nxt = dict.get(node, c)
                 if nxt is None:
-                    nxt = node[c] = Node()
+                    nxt = node[c] = Node(self.nodes)
                 node = nxt
             node.token = i
         self.size = {i: len(s) for i, s in tokens.items()}
@@ -59,10 +61,10 @@ class MergeAutomaton:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.states: dict[tuple, State] = {}
         self.full = False
-        self.start = self.state(((self.root, None, 0),), 0, None, 0)
+        self.start = self.state(((self.root.number, None, 0),), 0, None, 0)
 
     def state(self, alive: tuple, add: int, token: int | None, size: int) -> State:
-        key = (add, token, *((id(n), p, r) for n, p, r in alive))
+        key = (add, token, alive)
         found = self.states.get(key)
         if found is None:
             found = State()
@@ -74,19 +76,19 @@ class MergeAutomaton:
 
     def step(self, at: State, symbol: str) -> State:
         hit, kept = None, []
-        for node, before, rel in at.alive:
-            nxt = node.get(symbol)
+        for number, before, rel in at.alive:
+            nxt = self.nodes[number].get(symbol)
             if nxt is None:
                 continue
             t = nxt.token
             if hit is None and t >= 0 and self.follows(before, t):
                 hit = (t, rel + 1)
             if nxt:
-                kept.append((nxt, before, rel))
+                kept.append((nxt.number, before, rel))
         if hit is None:
-            return self.state(((self.root, None, 0),), 1, -1 - ord(symbol), 1)
+            return self.state(((self.root.number, None, 0),), 1, -1 - ord(symbol), 1)
         token, add = hit
-        return self.state((*((n, b, r - add) for n, b, r in kept), (self.root, token, 0)), add, token, self.size[token])
+        return self.state((*((n, b, r - add) for n, b, r in kept), (self.root.number, token, 0)), add, token, self.size[token])
 
     def follows(self, before: int | None, token: int) -> bool:
         if before is None:
@@ -98,7 +100,7 @@ class MergeAutomaton:
         if ok is None:
             a, b = self.tokens[before], self.tokens[token]
             ok = self.follows(None, token) and self.merge(a + b) == [a, b]
-            if len(self.pairs) < 2 * self.LIMIT:
+            if len(self.pairs) < self.LIMIT:
                 self.pairs[before, token] = ok
         return ok
 
