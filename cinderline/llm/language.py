@@ -55,7 +55,7 @@ def portions(texts: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
         yield np.array(owners), parts
 
 
-def grams(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def windows(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Packed four-character windows of all parts, 16 bits a character, and each part's number of them."""
     sizes = np.array([len(p) for p in parts], np.int64)
     # UTF-32 has one unit a character; rare ones beyond 16 bits share a code.
@@ -71,6 +71,11 @@ def grams(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return packed[keep], sizes - ORDER + 1
 
 
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of whole texts."""
+    return windows([padded(t) for t in texts])
+
+
 def kneser_ney(counts: pd.Series) -> list[dict]:
     """counts: packed four-grams of one language -> count. For orders 1 to 4: p, the interpolated probability of each n-gram, and weight, by context, of the order below."""
     level = counts.astype(np.float64)
@@ -128,7 +133,7 @@ class Models:
         sizes = np.zeros(len(texts), np.int64)
         total = np.zeros((len(texts), len(self.langs)))
         for owners, parts in portions(texts):
-            packed, n = grams(parts)
+            packed, n = windows(parts)
             np.add.at(sizes, owners, n)
             np.add.at(total, owners, np.add.reduceat(self.log_p(packed), np.cumsum(n) - n, axis=0, dtype=np.float64))
         return -total / sizes[:, None] / np.log(2), sizes
@@ -162,7 +167,7 @@ def fit_languages(labelled: DataFrame, lang_col: str = "lang", per_language: int
         parts = []
         for lang in sorted(set(langs.tolist())):
             for _, some in portions(texts[langs == lang].tolist()):
-                keys, n = np.unique(grams(some)[0], return_counts=True)
+                keys, n = np.unique(windows(some)[0], return_counts=True)
                 parts.append(pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "gram", "n"]))
         return pa.concat_batches(parts)
 
