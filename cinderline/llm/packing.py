@@ -2,11 +2,11 @@
 
 A configuration is a multiset of lengths that fits one sequence. The covering program (as few
 configurations as give every length its count) is solved by multiplicative weights: each length has
-a price, a knapsack dynamic program finds the configuration of the highest price, and the lengths it
-serves become cheaper. The fractions are rounded down to whole copies, and what is left is filled by
-best-fit decreasing, again a configuration at a time. All of this works on the histogram alone (as
-many numbers as the sequence has tokens); the pieces get their places by their rank among the pieces
-of their length, which Spark counts in salted groups.
+a price, a knapsack dynamic program over all lengths finds the configurations of the highest price,
+and the lengths they serve become cheaper. Copies are whole, at most a part of a length's count at a
+time, until every length is served in full. All of this works on the histogram alone (as many numbers
+as the sequence has tokens); the pieces get their places by their rank among the pieces of their
+length, which Spark counts in salted groups.
 """
 
 from __future__ import annotations
@@ -30,6 +30,10 @@ from cinderline.llm.merge_automaton import MergeAutomaton
 CAPACITY = 4096
 #: Rows of one length that share a rank counter, on average.
 GROUP = 100_000
+#: Configurations in a row below the wanted price, after which a new round is cheaper than looking on.
+STALE = 64
+#: Steps of the multiplicative weights, tried in turn: small ones suit histograms that fill sequences whole, large ones those that leave gaps.
+STEPS = (0.0005, 0.02, 0.1)
 
 
 class WordTokens(dict):
@@ -105,73 +109,83 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col:
     return map_batches(id_and_text(docs, id_col, text_col), cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def priciest(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> dict[int, int]:
-    """The knapsack by dynamic programming: index of length -> copies of the configuration with the highest price.
-
-    best[c] is the highest price in c tokens. Each round extends all fillings by one more piece of
-    the most promising lengths, those whose price a token is highest.
+def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
+    """best[c]: the highest price of any filling of c tokens, copies unlimited, by dynamic programming over all lengths."""
+    price = np.zeros(capacity + 1)
+    price[lengths] = prices
+    back = price[::-1].copy()  # back[capacity - l] is the price of length l
+    best = np.zeros(capacity + 1)
+    for c in range(int(lengths[0]), capacity + 1):
+        best[c] = max(best[c - 1], (best[:c] + back[capacity - c : capacity]).max())
+    return best
+
+
+def filled(first: int, lengths: np.ndarray, prices: np.ndarray, counts: np.ndarray, best: np.ndarray, capacity: int) -> dict[int, int]:
+    """The configuration that holds the length of index first and by best has the highest price: index -> copies, none more often than its count. Of equal prices the longest length is taken."""
+    config, room = {first: 1}, capacity - int(lengths[first])
+    allowed = counts > 0
+    allowed[first] = counts[first] > 1
+    while n := int(np.searchsorted(lengths, room, "right")):
+        values = np.where(allowed[:n], best[room - lengths[:n]] + prices[:n], -1.0)
+        top = values.max()
+        if top < 0:
+            break
+        k = n - 1 - int((values[::-1] >= top * (1 - 1e-12)).argmax())
+        config[k] = config.get(k, 0) + 1
+        room -= int(lengths[k])
+        allowed[k] = config[k] < counts[k]
+    return config
+
+
+def by_program(lengths: np.ndarray, counts: np.ndarray, capacity: int, step: float, parts: int, rounds: int | None) -> list[tuple[dict[int, int], int]]:
+    """(configuration, copies) of the covering program by multiplicative weights, in whole copies; counts are reduced by what they hold.
+
+    A round is one dynamic program over all lengths and, for each of them, the best configuration
+    that holds it, the longest first. Those within a step of the highest price are used, for at most a
+    part of each length's count, and the lengths they serve become cheaper by a step. Every round uses
+    one at least; rounds end when every length is served in full, or after so many, if given.
     """
-    keep = np.argsort(-prices / lengths, kind="stable")[:48]
-    keep = keep[np.argsort(lengths[keep], kind="stable")]
-    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    ls, ps = lengths[keep], prices[keep]
-    for c in range(int(ls[0]), capacity + 1):
-        n = int(np.searchsorted(ls, c, "right"))
-        values = best[c - ls[:n]] + ps[:n]
-        k = int(values.argmax())
-        if values[k] > best[c - 1]:
-            best[c], last[c] = values[k], keep[k]
-        else:
-            best[c] = best[c - 1]
-    out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        k = int(last[c])
-        if k < 0:
-            c -= 1
-            continue
-        out[k] = out.get(k, 0) + 1
-        c -= int(lengths[k])
+    demand, rate, out, n = counts.copy(), np.ones(len(lengths)), [], 0
+    while (rounds is None or n < rounds) and (there := np.flatnonzero(counts)).size:
+        n += 1
+        ls, left, whole = lengths[there], counts[there], demand[there]
+        prices = ls / capacity * rate[there]
+        best = knapsack(ls, prices, capacity)
+        most = prices + best[capacity - ls]
+        bar, used, failed = most.max() * (1 - step), 0, []
+
+        def use(config: dict[int, int], bar: float) -> bool:
+            if any(a > left[k] for k, a in config.items()) or sum(a * prices[k] for k, a in config.items()) < bar:  # noqa: B023
+                return False
+            copies = min(min(int(left[k]) // a, max(1, int(whole[k]) // (a * parts))) for k, a in config.items())  # noqa: B023
+            out.append(({int(there[k]): a for k, a in config.items()}, copies))  # noqa: B023
+            for k, a in config.items():
+                left[k] -= a * copies  # noqa: B023
+                prices[k] *= 1 - step  # noqa: B023
+            return True
+
+        for first in np.flatnonzero(most >= bar)[::-1].tolist():
+            if not left[first]:
+                continue
+            config = filled(first, ls, prices, left, best, capacity)
+            if use(config, bar):
+                used, failed = used + 1, []
+            else:
+                failed.append(config)
+                if used and len(failed) == STALE:  # the program's prices are out of date
+                    break
+        if not used:  # copies are bounded, so none may come near the program's own price: near the best of them
+            worth = [sum(a * prices[k] for k, a in c.items()) for c in failed]
+            for at in np.argsort(-np.array(worth), kind="stable").tolist():
+                use(failed[at], max(worth) * (1 - step))
+        counts[there] = left
+        rate[there] = prices * capacity / ls
     return out
 
 
-def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 120, step: float = 0.25) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of one sequence, number of such sequences), which use up the histogram exactly.
-
-    rounds and step belong to the multiplicative weights; any values give a valid packing.
-    """
-    lengths = np.array(sorted(histogram), np.int64)
-    counts = np.array([histogram[x] for x in lengths.tolist()], np.int64)
-    out: list[tuple[tuple[int, ...], int]] = []
-
-    def use(config: dict[int, int], copies: int) -> None:
-        for k, a in config.items():
-            counts[k] -= a * copies
-        if copies:
-            out.append((tuple(int(lengths[k]) for k in sorted(config, reverse=True) for _ in range(config[k])), int(copies)))
-
-    if len(lengths) and lengths[-1] == capacity:
-        use({len(lengths) - 1: 1}, int(counts[-1]))
-    if counts.sum() > 1:
-        # Multiplicative weights: the price of a length falls with the share of its count that is served.
-        demand = np.maximum(counts, 1).astype(float)
-        prices = np.where(counts > 0, lengths / capacity, 0.0)
-        served, found = np.zeros(len(lengths)), {}
-        for _ in range(rounds if int((counts > 0).sum()) > 1 else 0):
-            open_ = np.flatnonzero(prices > 0)
-            config = {int(open_[k]): a for k, a in priciest(lengths[open_], prices[open_], capacity).items()}
-            width = min(demand[k] / a for k, a in config.items())
-            key = tuple(sorted(config.items()))
-            found[key] = found.get(key, 0.0) + width
-            for k, a in config.items():
-                served[k] += a * width
-                prices[k] *= float(np.exp(-step * a * width / demand[k]))
-        # Scaled to what the counts allow, rounded down, the heaviest first.
-        over = max(1.0, float((served / demand).max()) if len(served) else 1.0)
-        for key, x in sorted(found.items(), key=lambda kv: (-kv[1], kv[0])):
-            config = dict(key)
-            use(config, min(int(x / over), *(int(counts[k] // a) for k, a in config.items())))
-    # Best-fit decreasing of the rest: the longest that is left, then always the longest that still fits.
+def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Best-fit decreasing, a configuration at a time: the longest that is left, then always the longest that still fits. counts are used up."""
+    out = []
     while counts.any():
         room, config = capacity, {}
         while True:
@@ -180,10 +194,39 @@ def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds:
                 break
             config[int(fits[0])] = config.get(int(fits[0]), 0) + 1
             room -= int(lengths[fits[0]])
-        use(config, max(1, min(int(counts[k] // a) for k, a in config.items())))
+        copies = max(1, min(int(counts[k] // a) for k, a in config.items()))
+        out.append((config, copies))
+        for k, a in config.items():
+            counts[k] -= a * copies
     return out
 
 
+def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int | None = None, steps: tuple[float, ...] = STEPS) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths of one sequence, number of such sequences), which use up the histogram exactly.
+
+    The program runs with the first step, and with the next ones only while its sequences are more
+    than a thousandth and one above the bound; the fewest count. rounds, if given, end a run early,
+    and best-fit decreasing packs what it leaves. Any rounds and steps give a valid packing.
+    """
+    lengths = np.array(sorted(histogram), np.int64)
+    counts = np.array([histogram[x] for x in lengths.tolist()], np.int64)
+    whole = [({len(lengths) - 1: 1}, int(counts[-1]))] if len(lengths) and lengths[-1] == capacity else []
+    if whole:
+        counts[-1] = 0
+    bound = max(-(-int(lengths @ counts) // capacity), int(counts[lengths > capacity // 2].sum()))
+    parts = min(128, max(8, capacity // max(1, len(lengths))))
+    best, fewest = [], None
+    for step in steps:
+        left = counts.copy()
+        run = by_program(lengths, left, capacity, step, parts, rounds)
+        run += best_fit(lengths, left, capacity)
+        if fewest is None or sum(c for _, c in run) < fewest:
+            best, fewest = run, sum(c for _, c in run)
+        if fewest <= bound * 1.001 + 1:
+            break
+    return [(tuple(int(lengths[k]) for k in sorted(config, reverse=True) for _ in range(config[k])), int(copies)) for config, copies in whole + best]
+
+
 def places(configs: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
     """For every length the ranks that each configuration takes: sorted by (length, first rank), with the configuration's first sequence, pieces a sequence, and offset."""
     rows, seen, first = [], {}, 0

@@ -158,6 +158,23 @@ def test_configurations(histogram):
     assert sum(c for _, c in out) <= max(bound, alone) * 1.02 + 2
 
 
+def test_the_program_serves_every_length():
+    rng = np.random.default_rng(5)
+    drawn = np.clip(rng.lognormal(6.2, 1.0, 10_000).astype(int), 1, 4095)
+    every = dict.fromkeys(range(1, 4096), 3)
+    for histogram in (dict(zip(*(x.tolist() for x in np.unique(drawn, return_counts=True)), strict=True)), every, {k: 10**6 for k in range(8, 4096, 40)}):
+        lengths, counts = (np.array(x, np.int64) for x in (sorted(histogram), [histogram[k] for k in sorted(histogram)]))
+        total, left = int(lengths @ counts), counts.copy()
+        used = packing.by_program(lengths, left, 4096, 0.0005, 8, None)
+        got = np.zeros(len(lengths), np.int64)
+        for config, copies in used:
+            for k, a in config.items():
+                got[k] += a * copies
+        # The program itself packs every token, no piece is left to best-fit decreasing, and it is near the bound.
+        assert not left.any() and (got == counts).all()
+        assert max(sum(c for _, c in used), sum(c for _, c in packing.configurations(histogram))) <= -(-total // 4096) * 1.002 + 1
+
+
 def test_packing_cases(spark):
     rows = packing.pack(frame(spark, ODD)).collect()
     assert {r.doc_id for r in rows} == {*range(len(ODD)), None}
