@@ -10,7 +10,7 @@ pseudonyms, and lengths and all other text stay as they were.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 from hashlib import blake2b
 
@@ -166,9 +166,50 @@ FINDERS: dict[str, tuple[str, Callable[[re.Match, bytes], str | None]]] = {
     "date": (r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w/-]|\.\d)", day),
 }
 PATTERNS = [(k, re.compile(p), f) for k, (p, f) in FINDERS.items()]
+#: Groups of digits joined by single blanks or hyphens, of which some may be a card number.
+RUN = re.compile(r"\d+(?:[ -]\d+)+")
+GROUP = re.compile(r"\d+")
+DIGITS = re.compile(r"\d[\d -]*")
 ANY = re.compile(r"[0-9]|@")
 
 
+def inner_cards(text: str) -> Iterator[re.Match]:
+    """Card candidates beside other numbers: whole groups inside longer runs of digits, of two digits each at least. Those of 16 and 15 digits come first, then earlier and longer ones."""
+    for run in RUN.finditer(text):
+        groups = [m.span() for m in GROUP.finditer(text, *run.span())]
+        while groups and re.match(r"[\w-]", text[groups[-1][1] : groups[-1][1] + 1]) and groups[-1][1] == run.end():
+            groups.pop()
+        found = []
+        for i, (start, _) in enumerate(groups):
+            if i == 0 and start and re.match(r"[\w.+-]", text[start - 1]):
+                continue
+            n = 0
+            for a, b in groups[i:]:
+                n += b - a
+                if n > 19 or b - a < 2:
+                    break
+                if n >= 13:
+                    found.append((n not in (15, 16), start, -n, b))
+        for _, start, _, end in sorted(found):
+            yield DIGITS.fullmatch(text, start, end)
+
+
+def candidates(kind: str, pattern: re.Pattern, text: str) -> Iterator[re.Match]:
+    """Matches to validate, in order of preference; they may overlap. Of a card or IBAN, whose run may take in a neighbour, also the shorter ends and later starts inside it."""
+    if kind == "iban":
+        at = 0
+        while m := pattern.search(text, at):
+            yield m
+            for i in range(m.end() - 1, m.start(), -1):
+                if text[i] == " " and (shorter := pattern.fullmatch(text, m.start(), i)):
+                    yield shorter
+            at = m.start() + 1
+        return
+    yield from pattern.finditer(text)
+    if kind == "card":
+        yield from inner_cards(text)
+
+
 def pseudonymise(text: str, key: bytes = DEMO_KEY) -> tuple[str, list[tuple[int, int, str]]]:
     """The text with pseudonyms, and (start, end, kind) of each, in order. Lengths do not change."""
     if not ANY.search(text):
@@ -182,7 +223,7 @@ def pseudonymise(text: str, key: bytes = DEMO_KEY) -> tuple[str, list[tuple[int,
     for kind, pattern, new in PATTERNS:
         if kind == "email" and "@" not in text:
             continue
-        for m in pattern.finditer(text):
+        for m in candidates(kind, pattern, text):
             if free(*m.span()) and (value := new(m, key)) is not None:
                 found.append((*m.span(), kind, value))
                 if taken is not None:

@@ -226,6 +226,27 @@ def test_what_is_not_valid_stays(text):
     assert pseudonyms.pseudonymise(text) == (text, [])
 
 
+@pytest.mark.parametrize(
+    "text,value,kind",
+    [
+        ("4111 1111 1111 1111 123", "4111 1111 1111 1111", "card"),
+        ("4111 1111 1111 1111 12/27", "4111 1111 1111 1111", "card"),
+        ("item 7 4111 1111 1111 1111", "4111 1111 1111 1111", "card"),
+        ("no 12345 4111-1111-1111-1111 99 x", "4111-1111-1111-1111", "card"),
+        ("4111111111111111 123", "4111111111111111", "card"),
+        ("GB82 WEST 1234 5698 7654 32 1", "GB82 WEST 1234 5698 7654 32", "iban"),
+        ("DE75 5121 0800 1245 1261 99 BIC", "DE75 5121 0800 1245 1261 99", "iban"),
+        ("BE68 5390 0754 7034 BIC", "BE68 5390 0754 7034", "iban"),
+        ("AB13 BE68 5390 0754 7034 KBC ABCD", "BE68 5390 0754 7034", "iban"),
+    ],
+)
+def test_neighbours_do_not_hide_a_value(text, value, kind):
+    new, found = pseudonyms.pseudonymise(text)
+    at = text.index(value)
+    assert found == [(at, at + len(value), kind)] and value not in new
+    assert new[:at] == text[:at] and new[at + len(value) :] == text[at + len(value) :]
+
+
 def test_pseudonym_rows(spark):
     got = pseudonyms.pseudonyms(frame(spark, [*ODD, "x@y.example.org " * 3])).collect()
     assert len(got) == len(ODD) + 3
