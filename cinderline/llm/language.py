@@ -25,6 +25,10 @@ from cinderline.llm.common import documents, id_and_text, map_batches
 ORDER = 4
 #: Labelled documents a language that the models are fitted on, as expected number; a fifth of them calibrates.
 PER_LANGUAGE = 1500
+#: A text is rejected beyond MARGIN times this quantile of the excess of its language's held-back texts, and never below LEAST_LIMIT.
+QUANTILE, MARGIN, LEAST_LIMIT = 0.98, 1.5, 8.0
+#: Held-back texts that calibrate a language by itself; with fewer it has the spread and limit of all together.
+ENOUGH = 10
 #: Characters scored at a time; a character takes some hundred bytes meanwhile.
 SLICE = 1 << 17
 MIX = np.uint64(0x9E3779B97F4A7C15)  # odd, so multiplying is one-to-one
@@ -109,7 +113,7 @@ class Models:
     unseen: np.ndarray
     mean: np.ndarray
     spread: np.ndarray
-    most: float = 8.0
+    most: np.ndarray
 
     def find(self, keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
@@ -149,7 +153,7 @@ class Models:
         lowest = ce[np.arange(len(ce)), best]
         score = 1 / np.exp2(-(ce - lowest[:, None]) * np.minimum(sizes, 60)[:, None]).sum(1)
         letters = np.array([has_letter(t) for t in texts], bool)
-        over = self.excess(lowest, sizes, best) > self.most
+        over = self.excess(lowest, sizes, best) > self.most[best]
         return [self.langs[b] if x else "und" for b, x in zip(best.tolist(), letters.tolist(), strict=True)], np.where(letters, score, 0.0), np.where(letters, lowest, np.nan), over | ~letters
 
 
@@ -180,7 +184,7 @@ def fit_languages(labelled: DataFrame, lang_col: str = "lang", per_language: int
         own = fitting[fitting["lang"] == lang]
         fits[lang] = kneser_ney(pd.Series(own["n"].to_numpy(), index=pd.Index(own["gram"].to_numpy(np.int64).view(np.uint64))).sort_index())
     unseen = np.log(np.array([fits[x][0]["unseen"] for x in langs]))
-    models = Models(langs, [], unseen, np.zeros(len(langs)), np.ones(len(langs)))
+    models = Models(langs, [], unseen, np.zeros(len(langs)), np.ones(len(langs)), np.full(len(langs), LEAST_LIMIT))
     for n in range(1, ORDER + 1):  # each order's values back off to those before
         keys = np.unique(np.concatenate([fits[x][n - 1]["p"].index.to_numpy() for x in langs]))
         contexts = np.unique(np.concatenate([fits[x][n - 1]["weight"].index.to_numpy() for x in langs]).astype(np.uint64))
@@ -197,28 +201,41 @@ def fit_languages(labelled: DataFrame, lang_col: str = "lang", per_language: int
 
 
 def calibrated(models: Models, aside: DataFrame) -> Models:
-    """Sets mean, spread and the limit of rejection from texts that were held back."""
+    """Sets means, spreads and limits of rejection, by language, from texts that were held back and whose best language is their label.
+
+    Medians and quantiles are used, so that single garbled texts move nothing.
+    """
     index = {x: i for i, x in enumerate(models.langs)}
     shared = aside.sparkSession.sparkContext.broadcast(models)
 
     def scored(b: pa.RecordBatch) -> pa.RecordBatch:
         texts, langs = b.column("text").to_pylist(), b.column("lang").to_pylist()
         ce, sizes = shared.value.entropies(texts)
-        own = np.array([index.get(x, 0) for x in langs])
-        ok = np.array([x in index and has_letter(t) for x, t in zip(langs, texts, strict=True)], bool)
+        own = np.array([index.get(x, -1) for x in langs])
+        ok = (own == ce.argmin(1)) & np.array([has_letter(t) for t in texts], bool)
         return pa.RecordBatch.from_arrays([pa.array(own[ok]), pa.array(ce[np.arange(len(ce)), own][ok]), pa.array(sizes[ok])], ["own", "ce", "size"])
 
     held = map_batches(aside, scored, "own long, ce double, size long").toPandas()
-    for i in range(len(models.langs)):
-        own = held[held["own"] == i]
-        if len(own) >= 10:
-            models.mean[i] = float(np.average(own["ce"], weights=own["size"]))
-            models.spread[i] = max(0.05, float(np.sqrt(np.mean((own["ce"] - models.mean[i]) ** 2 / (1 / np.sqrt(own["size"]) + 0.02) ** 2))))
-        else:  # too few to tell: nothing of this language is rejected
-            models.mean[i], models.spread[i] = 0.0, 1e9
-    if len(held):
-        own = held["own"].to_numpy()
-        models.most = max(models.most, 1.5 * float(models.excess(held["ce"].to_numpy(), held["size"].to_numpy(), own).max()))
+    if held.empty:  # nothing to tell by: nothing is rejected
+        models.spread[:] = 1e9
+        return models
+    own, ce, sizes = (held[c].to_numpy() for c in ("own", "ce", "size"))
+
+    def middle(rows: np.ndarray) -> float:
+        order = np.argsort(ce[rows])
+        weight = np.cumsum(sizes[rows][order])
+        return float(ce[rows][order][np.searchsorted(weight, weight[-1] / 2)])
+
+    each = [np.flatnonzero(own == i) for i in range(len(models.langs))]
+    models.mean[:] = max(middle(rows) for rows in each if len(rows))
+    for i, rows in enumerate(each):
+        if len(rows):
+            models.mean[i] = middle(rows)
+    off = (ce - models.mean[own]) / (1 / np.sqrt(sizes) + 0.02)
+    for i, rows in enumerate(each):
+        some = off if len(rows) < ENOUGH else off[rows]
+        models.spread[i] = max(0.05, float(np.quantile(np.abs(some), 0.6827)))
+        models.most[i] = max(LEAST_LIMIT, MARGIN * float(np.quantile(some, QUANTILE, method="lower")) / models.spread[i])
     return models
 
 

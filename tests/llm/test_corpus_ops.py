@@ -247,6 +247,23 @@ def test_language(spark):
     assert kept.columns == d.columns and kept.count() >= 195
 
 
+def test_stray_labels_do_not_lift_the_limit(spark):
+    rng = np.random.default_rng(3)
+    noise = lambda: " ".join("".join(rng.choice(list("qxzjwvkpbf"), 6)) for _ in range(80))
+    d = common.documents(spark, SMALL.replace("0.001", "0.01")).select("doc_id", "text", "lang")
+    clean = [(r.lang, r.text) for r in d.where("length(text) > 300").collect()]
+    german, held = next(t for x, t in clean if x == "de"), F.pmod(F.xxhash64("id", F.lit(12)), F.lit(5)) == 0
+    ids = [r.id for r in spark.range(10**7, 10**7 + 100).where(held).limit(2).collect()]
+    # One text under another's label and one of random letters are held back, and a language of few texts is there.
+    stray = [(ids[0], german, "en"), (ids[1], noise(), "en"), *((10**8 + i, "saluton mondo kiel vi fartas hodiau mia kara amiko", "eo") for i in range(12))]
+    models = language.fit_languages(d.unionByName(spark.createDataFrame(stray, "doc_id long, text string, lang string")))
+    assert models.predict([noise() for _ in range(20)])[3].all()
+    assert np.mean(models.predict([t for _, t in clean])[3]) < 0.02
+    # German is foreign to models without it.
+    few = language.fit_languages(d.where("lang <> 'de'").unionByName(spark.createDataFrame(stray, "doc_id long, text string, lang string")))
+    assert np.mean(few.predict([t for x, t in clean if x == "de"])[3]) > 0.9
+
+
 def test_kneser_ney_by_hand():
     import pandas as pd
 
