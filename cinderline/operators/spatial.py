@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderline.functions.geometry import bounds, boxes_overlap, footprint_miles, miles_between, polygon_contains
+from cinderline.functions.geometry import bounds, boxes_overlap, footprint_miles, miles_between, polygon_contains, projected, ring_distance
 from cinderline.functions.labels import proximity_tier
+from cinderline.functions.rules import METERS_PER_MILE
 
 
 def cells(min_x: Column, min_y: Column, max_x: Column, max_y: Column, size: float) -> Column:
@@ -35,21 +36,32 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, point_id: str, po
 
 
 def proximity(points: DataFrame, incidents: DataFrame, point_id: str, incident_id: str, within: float = 30.0) -> DataFrame:
-    """(point, incident, miles, tier) of all pairs within so many miles of an incident's circle that have a tier.
+    """(point, incident, miles, tier) of all pairs within so many miles of an incident's perimeter that have a tier.
 
-    points: lon, lat; incidents: lon, lat, acres. Distances are on the plane that touches at the
-    point, less the radius of the incident's area. Cells are as large as the reach, so an incident
-    is only copied to the cells that its reach touches.
+    points: lon, lat; incidents: lon, lat, acres and, if there is one, ring: the mapped perimeter in
+    degrees. Without a ring the circle of the incident's area stands for it. Distances are on the
+    plane that touches at the point, 0 inside. Cells are as large as the reach, so an incident is
+    only copied to the cells that its reach touches.
     """
     degrees = 1 / 69.0
+    mapped = "ring" in incidents.columns
     p = points.select(point_id, F.col("lon").alias("x"), F.col("lat").alias("y"))
-    reach = (footprint_miles(F.col("acres")) + within) * degrees
+    point = F.struct(F.col("lon").alias("min_x"), F.col("lat").alias("min_y"), F.col("lon").alias("max_x"), F.col("lat").alias("max_y"))
+    known = (F.col("ring").isNotNull() & (F.size("ring") > 0)) if mapped else F.lit(False)
+    box = F.when(known, bounds(F.col("ring"))).otherwise(point) if mapped else point
+    reach = (F.when(known, 0.0).otherwise(footprint_miles(F.col("acres"))) + within) * degrees
     # A degree of longitude is shorter away from the equator.
-    wide = reach / F.greatest(F.cos(F.radians(F.least(F.abs("lat") + reach, F.lit(89.0)))), F.lit(0.01))
+    far = F.greatest(F.abs("box.min_y"), F.abs("box.max_y"))
+    wide = F.col("reach") / F.greatest(F.cos(F.radians(F.least(far + F.col("reach"), F.lit(89.0)))), F.lit(0.01))
     size = max(0.25, within * degrees)
-    q = incidents.select(incident_id, "lon", "lat", "acres", F.explode(cells(F.col("lon") - wide, F.col("lat") - reach, F.col("lon") + wide, F.col("lat") + reach, size)).alias("c")).select(incident_id, "lon", "lat", "acres", "c.i", "c.j")
+    kept = [incident_id, "lon", "lat", "acres", *(["ring"] if mapped else [])]
+    around = cells(F.col("box.min_x") - wide, F.col("box.min_y") - F.col("reach"), F.col("box.max_x") + wide, F.col("box.max_y") + F.col("reach"), size)
+    q = incidents.withColumns({"box": box, "reach": reach}).select(*kept, F.explode(around).alias("c")).select(*kept, "c.i", "c.j")
     joined = p.withColumns({"i": F.floor(F.col("x") / size), "j": F.floor(F.col("y") / size)}).join(q, ["i", "j"])
     miles = F.greatest(F.lit(0.0), miles_between(F.col("lon"), F.col("lat"), F.col("x"), F.col("y")) - footprint_miles(F.col("acres")))
+    if mapped:
+        flat = F.transform("ring", lambda v: F.struct(*(m.alias(k) for m, k in zip(projected(v["x"], v["y"], F.col("x"), F.col("y")), "xy", strict=True))))
+        miles = F.when(known, ring_distance(flat, F.lit(0.0), F.lit(0.0)) / METERS_PER_MILE).otherwise(miles)
     near = joined.withColumn("miles", miles).where(F.col("miles") <= within)
     return near.select(point_id, incident_id, "miles", proximity_tier(F.col("miles"), F.col("acres")).alias("tier")).where("tier is not null")
 

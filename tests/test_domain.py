@@ -115,6 +115,16 @@ def test_proximity(spark):
     assert {r.q: r.tier for r in spatial.proximity(points, incidents, "p", "q").collect()} == {1: "inside", 2: "near", 3: "regional"}
 
 
+def test_proximity_takes_the_perimeter_first(spark):
+    points = spark.createDataFrame([(1, -119.1, 44.005), (2, -120.05, 44.0), (3, -118.8, 44.005)], "p long, lon double, lat double")
+    # A strip of a degree to the east of its point, with a circle that it does not fill, and the same incident without it.
+    strip = [(-120.0, 44.0), (-119.0, 44.0), (-119.0, 44.01), (-120.0, 44.01), (-120.0, 44.0)]
+    kind = "q long, lon double, lat double, acres double, ring array<struct<x:double,y:double>>"
+    got = spatial.proximity(points, spark.createDataFrame([(1, -120.0, 44.0, 50_000.0, strip), (2, -120.0, 44.0, 50_000.0, None)], kind), "p", "q").collect()
+    assert {(r.p, r.q): r.tier for r in got} == {(1, 1): "inside", (2, 1): "near", (3, 1): "near", (2, 2): "inside"}
+    assert abs(next(r.miles for r in got if (r.p, r.q) == (2, 1)) - 2.49) < 0.02
+
+
 STATE = "irwin_id string, acres double, perimeter string, active boolean, first_seen long, last_seen long"
 
 
