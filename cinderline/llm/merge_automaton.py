@@ -22,13 +22,13 @@ class Node(dict):
 
 
 class State(dict):
-    """A state of the transducer: symbol -> State. add: tokens that its incoming transition adds; token, size: the last token and its symbols."""
+    """A state of the transducer: symbol -> State. add: tokens that its incoming transition adds; token, size: the last token and its symbols; kept: whether it is in the table."""
 
-    __slots__ = ("machine", "alive", "add", "token", "size")
+    __slots__ = ("machine", "alive", "add", "token", "size", "kept")
 
     def __missing__(self, symbol):
         after = self.machine.step(self, symbol)
-        if not self.machine.full:
+        if after.kept:
             self[symbol] = after
         return after
 
@@ -68,7 +68,8 @@ class MergeAutomaton:
         found = self.states.get(key)
         if found is None:
             found = State()
-            if not self.full:
+            found.kept = not self.full
+            if found.kept:
                 self.states[key] = found
                 self.full = len(self.states) >= self.LIMIT
             found.machine, found.alive, found.add, found.token, found.size = self, alive, add, token, size

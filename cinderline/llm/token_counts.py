@@ -2,11 +2,12 @@
 
 The pre-tokenizer's split rules and the merges are one deterministic transducer over characters,
 compiled while it reads. After each prefix the sum of the transitions' counts is the number of
-tokens that this prefix has by itself, so nothing is pending at a text's end. A text is cut into
-blocks; a block's state map is constant once it has passed a white-space character that follows
-another kind, so a block is summed up as what stands before that point, the tokens between the
-first and the last such point, and what follows. These maps compose associatively and are combined
-by a prefix scan, which gives the same count for any way of cutting.
+tokens that this prefix has by itself, so nothing is pending at a text's end. A long text is cut into
+blocks, which are rows of their own. A block's map goes from the states in which it can be entered to
+the state in which it is left and the tokens it adds; maps of neighbours compose associatively, and
+Spark composes them by a tree over the block numbers. The states entered are guessed from the
+characters before a block and tested against what the block before leaves; missing ones are added to
+the map until none is, so counts are exact for any way of cutting.
 """
 
 from __future__ import annotations
@@ -14,18 +15,21 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderline.llm.common import documents, id_and_text, map_batches, tokenizer_path
+from cinderline.llm.common import documents, id_and_text, map_batches, materialise, tokenizer_path
 from cinderline.llm.merge_automaton import MergeAutomaton, State
 
-BLOCK = 1 << 16
+#: Characters of a block; characters before it that tell the state in which it is entered; neighbours that are composed at a time.
+BLOCK, LOOK, FAN = 1 << 16, 256, 16
+#: The entry of a block that every state enters alike: a text's first one, and those behind special tokens.
+ANY = "*"
 #: Fixed values of Unicode: the characters that have the property White_Space.
 WHITE = frozenset("\t\n\v\f\r \x85\xa0                　")
 #: Fixed values of the format: endings that are split off after an apostrophe.
@@ -49,11 +53,11 @@ def char_class(c: str) -> str:
 class Reading(dict):
     """A state of the whole transducer: character -> Reading. add: tokens that its incoming transition adds."""
 
-    __slots__ = ("counter", "mode", "merge", "held", "shown", "add")
+    __slots__ = ("counter", "mode", "merge", "held", "shown", "add", "kept")
 
     def __missing__(self, c):
         after = self.counter.step(self, c)
-        if len(self.counter.states) < self.counter.LIMIT:
+        if after.kept:
             self[c] = after
         return after
 
@@ -98,7 +102,8 @@ class TokenCounter:
         found = self.states.get(key)
         if found is None:
             found = Reading()
-            if len(self.states) < self.LIMIT:
+            found.kept = len(self.states) < self.LIMIT and merge.kept
+            if found.kept:
                 self.states[key] = found
             found.counter, found.mode, found.merge, found.held, found.shown, found.add = self, mode, merge, held, shown, add
         return found
@@ -185,42 +190,40 @@ class TokenCounter:
             first, *rest = [first, *rest[:-2], f"{rest[-2]} "] if len(rest) > 1 else [f"{first} "]
         return self.run(first) + sum(map(self.words.__getitem__, rest))
 
-    #: Where the state no longer depends on what came before: white space after something else.
-    RESET = re.compile(r"(?<=[^\s\x1c-\x1f])(?=[ \t\n\r])")
-
-    def block_map(self, text: str) -> tuple:
-        """(head,) if the block has no reset, else (head, tokens between the first and last reset, tail)."""
-        first = self.RESET.search(text)
-        if not first:
-            return (text,)
-        cut = first.start()
-        last = cut
-        for at in range(len(text) - 1, cut, -1):
-            if text[at] in " \t\n\r" and text[at - 1] not in WHITE and not "\x1c" <= text[at - 1] <= "\x1f":
-                last = at
-                break
-        return (text[:cut], self.spread(text[cut:last]), text[last:])
-
-    def compose(self, a: tuple, b: tuple) -> tuple:
-        """The state map of two neighbouring blocks. A reset can lie on the seam itself, which the joined part shows."""
-        if len(a) == 1 and len(b) == 1:
-            return (a[0] + b[0],)
-        if len(a) == 1:
-            return (a[0] + b[0], *b[1:])
-        if len(b) == 1:
-            return (*a[:2], a[2] + b[0])
-        return (a[0], a[1] + self.spread(a[2] + b[0]) + b[1], b[2])
-
-    def count(self, text: str, block: int = BLOCK) -> int:
-        total = 0
+    def count(self, text: str) -> int:
         parts = self.special.split(text) if self.special else [text]
-        for part in parts:
-            if len(part) <= block:
-                total += self.spread(part)
-            else:
-                whole = list(accumulate((self.block_map(part[i : i + block]) for i in range(0, len(part), block)), self.compose))[-1]
-                total += self.spread(whole[0]) + (whole[1] + self.spread(whole[2]) if len(whole) == 3 else 0)
-        return total + len(parts) - 1
+        return sum(map(self.spread, parts)) + len(parts) - 1
+
+    def name(self, s: Reading) -> str:
+        """A state as text, the same in every process: all that later characters can depend on."""
+        return json.dumps([s.mode, s.merge.alive, s.held, s.shown])
+
+    def named(self, name: str) -> Reading:
+        mode, alive, held, shown = json.loads(name)
+        return self.at(mode, self.bpe.state(tuple(map(tuple, alive)), 0, None, 0), held, shown, 0)
+
+    def blocks(self, text: str, block: int, look: int) -> Iterator[tuple[str | None, str, int]]:
+        """(characters before, characters, special tokens before) of each block; None before those that every state enters alike."""
+        for k, part in enumerate(self.special.split(text) if self.special else [text]):
+            for at in range(0, max(1, len(part)), block):
+                yield (part[max(0, at - look) : at] if at else None), part[at : at + block], int(k > 0 and not at)
+
+    def guess(self, before: str | None) -> str:
+        """The state behind these characters, read from the start; right unless what stood before them still matters."""
+        if before is None:
+            return ANY
+        state = self.start
+        for c in before:
+            state = state[c]
+        return self.name(state)
+
+    def block_map(self, entry: str, text: str) -> tuple[str, int]:
+        """The state in which a block is left that is entered so, and the tokens it adds."""
+        state, n = self.start if entry == ANY else self.named(entry), 0
+        for c in text:
+            state = state[c]
+            n += state.add
+        return self.name(state), n
 
 
 @lru_cache(2)
@@ -228,17 +231,74 @@ def counter(path: str) -> TokenCounter:
     return TokenCounter(path)
 
 
-def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes (UTF-8) and n_tokens of every text; a null text counts as empty (0, 0), repeated rows stay, other columns go."""
+MAP = "key string, no int, entry string, exit string, n long"
+
+
+def long_counts(texts: DataFrame, where: str, block: int = BLOCK, look: int = LOOK, fan: int = FAN) -> DataFrame:
+    """key, n_tokens of texts (key: the text's hash, text) that are cut into blocks. Equal blocks of equal texts are read once."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = counter(where)
+        for b in batches:
+            for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True):
+                for no, (before, part, special) in enumerate(machine.blocks(text, block, look)):
+                    yield pa.RecordBatch.from_pylist([{"key": key, "no": no, "before": before, "part": part, "special": special}], CUT)
+
+    blocks = texts.mapInArrow(cut, "key string, no int, before string, part string, special int").dropDuplicates(["key", "no"])
+
+    def mapped(b: pa.RecordBatch) -> pa.RecordBatch:
+        machine, rows = counter(where), []
+        for r in b.to_pylist():
+            entry = r["entry"] if "entry" in r else machine.guess(r["before"])
+            left, n = machine.block_map(entry, r["part"])
+            rows.append({"key": r["key"], "no": r["no"], "entry": entry, "exit": left, "n": n + r["special"]})
+        return pa.RecordBatch.from_pylist(rows, MAPPED)
+
+    maps = materialise(map_batches(blocks, mapped, MAP))
+    while True:  # every round makes all maps that the rounds before asked for
+        ends = maps.groupBy("key").agg(F.max("no").alias("last"))
+        asked = maps.join(ends, "key").where("no < last").select("key", (F.col("no") + 1).alias("no"), F.col("exit").alias("entry")).distinct()
+        there = maps.select("key", "no", "entry")
+        open_ = materialise(asked.join(there.where(F.col("entry") == ANY).select("key", "no"), ["key", "no"], "left_anti").join(there, ["key", "no", "entry"], "left_anti"))
+        if open_.isEmpty():
+            break
+        maps = materialise(maps.unionByName(map_batches(blocks.join(open_, ["key", "no"]), mapped, MAP)))
+    # A block's map, and then that of 1, 16, 256 ... neighbours, is one row.
+    now = maps.groupBy("key", "no").agg(F.map_from_entries(F.collect_list(F.struct("entry", F.struct("exit", "n")))).alias("map"))
+    top = maps.agg(F.max("no")).first()[0] or 0
+    after = lambda m, v: F.coalesce(m[v["exit"]], m[F.lit(ANY)])
+    join = lambda a, p: F.transform_values(a, lambda k, v: F.struct(after(p["map"], v)["exit"].alias("exit"), (v["n"] + after(p["map"], v)["n"]).alias("n")))
+    while top:
+        now = now.groupBy("key", F.floor(F.col("no") / fan).cast("int").alias("no")).agg(F.array_sort(F.collect_list(F.struct("no", "map")), lambda a, b: a["no"] - b["no"]).alias("parts"))
+        now = materialise(now.select("key", "no", F.aggregate(F.slice("parts", 2, fan), F.col("parts")[0]["map"], join).alias("map")))
+        top //= fan
+    return now.select("key", F.col("map")[ANY]["n"].alias("n_tokens"))
+
+
+CUT = pa.schema([("key", pa.string()), ("no", pa.int32()), ("before", pa.string()), ("part", pa.string()), ("special", pa.int32())])
+MAPPED = pa.schema([("key", pa.string()), ("no", pa.int32()), ("entry", pa.string()), ("exit", pa.string()), ("n", pa.int64())])
+
+
+def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """doc_id, n_bytes (UTF-8) and n_tokens of every text.
+
+    Texts over `block` characters are counted block by block in parallel, all others whole. A null
+    text counts as empty (0, 0), repeated rows stay, an empty table gives an empty one, other columns go.
+    """
     where = path or tokenizer_path("byte_bpe_50k.json")
+    rows = id_and_text(docs, id_col, text_col)
 
     def counted(b: pa.RecordBatch) -> pa.RecordBatch:
         machine = counter(where)
         texts = b.column("text")
         return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.compute.binary_length(texts).cast(pa.int64()), pa.array([machine.count(t) for t in texts.to_pylist()], pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
-    return map_batches(id_and_text(docs, id_col, text_col), counted, "doc_id long, n_bytes long, n_tokens long")
+    short = map_batches(rows.where(F.length("text") <= block), counted, "doc_id long, n_bytes long, n_tokens long")
+    long = rows.where(F.length("text") > block).withColumn("key", F.sha2("text", 256))
+    counts = long_counts(long.select("key", "text"), where, block)
+    return short.unionByName(long.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "key").join(counts, "key").select("doc_id", "n_bytes", "n_tokens"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns: doc_id, n_bytes, n_tokens, over_limit (more than 512 tokens) of every whole text."""
     return count_tokens(documents(spark, sf_dir)).withColumn("over_limit", F.col("n_tokens") > 512)

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from cinderline.llm import media, piece_codec, pseudonyms, secrets, token_counts
+from cinderline.llm import media, piece_codec, pseudonyms, queries, secrets, token_counts
 from tests.conftest import SMALL
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, spans string"
@@ -43,15 +43,34 @@ def test_token_counts(spark, sample):
     texts = [*sample, *(t or "" for t in ODD), *noise(3000, "aab '  \n\t\xa0　stredvmlx1２9!?.é中\x1c\x85😀ß'_")]
     want = [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
     assert [machine.count(t) for t in texts] == want
-    # Any way of cutting gives the same count.
-    for block in (1, 2, 7, 64, 1000):
-        assert [machine.count(t, block) for t in texts[150:700]] == want[150:700]
     got = token_counts.count_tokens(frame(spark, ODD)).collect()
     assert len(got) == len(ODD) + 2
     assert sorted((r.n_bytes, r.n_tokens) for r in got if r.doc_id == 1) == [(0, 0)]
     assert token_counts.count_tokens(frame(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_token_count_blocks(spark, sample):
+    """Cut into blocks of any size, with states entered that the characters before do not tell."""
+    machine = token_counts.counter(where := public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [t or "" for t in [*sample[:25], *ODD, *noise(60, "aab '  \n\t stredvl", 40), "<|endoftext|>x<|endoftext|>", "a" * 3001, "ab'" * 70 + "'re"]]
+    for block, look, fan in ((1000, 256, 16), (7, 3, 2), (64, 0, 3)):
+        rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts) if block > 100 or len(t) < 1500], "key string, text string")
+        got = {int(r.key): r.n_tokens for r in token_counts.long_counts(rows, where, block, look, fan).collect()}
+        assert got == {i: machine.count(texts[i]) for i in got} and len(got) >= 60
+    # Through the operator, with long texts that repeat.
+    got = token_counts.count_tokens(frame(spark, ODD), block=50).collect()
+    assert sorted(r.n_tokens for r in got if r.doc_id is not None) == sorted(machine.count(t or "") for t in [*ODD, ODD[0]])
+
+
+def test_token_count_query(spark, sample):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = sorted(queries.QUERIES["op6_token_counts"](spark, SMALL).collect(), key=lambda r: r.doc_id)
+    n = [len(lib.encode(t, add_special_tokens=False).ids) for t in sample]
+    assert [(r.n_bytes, r.n_tokens, r.over_limit) for r in got] == [(len(t.encode()), k, k > 512) for t, k in zip(sample, n, strict=True)]
+
+
 def test_full_tables_stay_right(sample):
     """Beyond its limit the transducer works out rare transitions anew."""
     machine = token_counts.TokenCounter(public_tokenizers.path("byte_bpe_50k.json"))
