@@ -14,7 +14,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Alternates two moves until nothing changes: every node ties its larger neighbours to its smallest
     neighbour, then its smaller ones and itself. Each move keeps what is connected, never adds an
     edge, and halves the distances. Every round is written to the shared folder. Loops and repeated
-    edges do no harm; nulls and an empty table give nothing.
+    edges do no harm; nulls and an empty table give nothing. RuntimeError if the rounds do not suffice,
+    of which some need the logarithm of the longest path.
     """
     now = materialise(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("v < u").distinct())
 
@@ -35,5 +36,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if sign == before:
             break
         before = sign
+    else:
+        raise RuntimeError(f"components still change after {most_rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -118,6 +118,7 @@ def cosine_hash(image: np.ndarray) -> str:
     # Columns are summed exactly first: long images stay integers while they are large.
     small = shrink(shrink(image.astype(np.int64), cols, 1), rows, 0)
     low = (COSINE @ small @ COSINE.T).ravel()
+    low[np.abs(low) < 1e-6 * (1 + abs(low[0]))] = 0  # rounding noise
     bits = low > np.median(low[1:])
     return np.packbits(bits).tobytes().hex()
 
@@ -130,7 +131,9 @@ def payload_of(text: str) -> bytes:
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, png (binary), and of the payload as read back from it: payload_bytes, payload_sha256, tail_crc32, feature.
 
-    A null text is the empty one: 64 zero bytes. Repeated rows stay, other columns go.
+    A null text is the empty one: 64 zero bytes. Texts are stored whole, equal ones alike; repeated
+    rows stay, an empty table gives an empty one, other columns go. Frequencies that tie with the
+    median count as not above it.
     """
 
     def made(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -150,5 +153,6 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns of every whole text: sizes and hashes of the payload as read back and of the PNG, and the feature."""
     m = text_media(documents(spark, sf_dir))
     return m.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.length("png").cast("long").alias("media_bytes"), F.sha2("png", 256).alias("media_sha256"), "feature")

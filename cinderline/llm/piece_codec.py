@@ -2,8 +2,9 @@
 
 The text is normalised by the longest prefix that the model's compiled character map knows, and each
 normalised byte remembers the source byte it came from; every piece is so projected to the span of
-source bytes that it stands for. The model's own merges choose the pieces; ids go back to text by the
-pieces' surfaces, bytes where the model fell back to them.
+source bytes that it stands for. The normalised text is what is encoded: the library merges it by a
+copy of the model that changes nothing before. Ids go back to text by the pieces' surfaces, bytes
+where the model fell back to them.
 """
 
 from __future__ import annotations
@@ -45,6 +46,20 @@ def fields(data: bytes):
         yield key >> 3, value
 
 
+def without_normaliser(model: bytes) -> bytes:
+    """The same pieces and settings for text that is normalised already: no character map, no blank in front, none dropped."""
+
+    def field(number: int, data: bytes) -> bytes:
+        n, size = len(data), bytearray()
+        while n > 127:
+            size.append(n & 127 | 128)
+            n >>= 7
+        return bytes([number << 3 | 2, *size, n]) + data
+
+    plain = field(1, b"identity") + bytes([3 << 3, 0, 4 << 3, 0, 5 << 3, 1])
+    return b"".join([field(n, value) for n, value in fields(model) if n in (1, 2)]) + field(3, plain)
+
+
 class CharacterMap:
     """The compiled map: a double-array trie from source prefixes to replacement strings."""
 
@@ -93,7 +108,7 @@ class PieceCodec:
         self.width = np.array([1 if k == 6 else len(s.encode()) for s, _, k in pieces], np.int64)
         self.begin = struct.pack("<I", next(i for i, (s, _, k) in enumerate(pieces) if k == 3 and s == "<s>"))
         self.end = struct.pack("<I", next(i for i, (s, _, k) in enumerate(pieces) if k == 3 and s == "</s>"))
-        self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=without_normaliser(model))
 
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
         """The text with blank marks, and for each of its UTF-8 bytes, and its end, the source byte that it comes from."""
@@ -145,8 +160,8 @@ class PieceCodec:
 
     def encode(self, text: str) -> tuple[bytes, bytes, bytes]:
         """Ids with begin and end, each piece's first source byte (a piece goes to where the next begins; begin and end are empty), decoded bytes."""
-        align = self.normalise(text)[1]
-        pieces = self.model.encode(text)
+        plain, align = self.normalise(text)
+        pieces = self.model.encode(plain)
         ids = np.array(pieces, "<u4")
         width = self.width[ids]
         starts = np.concatenate([[0], align[np.cumsum(width) - width], [align[-1]]]).astype("<u4")
@@ -167,7 +182,8 @@ def codec(path: str) -> PieceCodec:
 def encode_pieces(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit, begin and end included), starts (each id's first source byte, likewise; it ends where the next begins), decoded.
 
-    A null or empty text has only the begin and end ids. Repeated rows stay, other columns go.
+    A null or empty text has only the begin and end ids. Repeated rows stay, an empty table gives an empty one, other columns go.
+    Texts are encoded whole, however long; no choice depends on ties.
     """
     where = path or tokenizer_path("piece_bpe_32k.model")
 
@@ -180,5 +196,6 @@ def encode_pieces(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns of every whole text: number and hash of the ids with begin and end, hash of the decoded text; also the hash of the source offsets."""
     e = encode_pieces(documents(spark, sf_dir))
     return e.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), F.sha2("starts", 256).alias("spans_sha256"))

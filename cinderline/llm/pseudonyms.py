@@ -4,7 +4,13 @@ A value's free characters (digits, letters, day numbers) are read as one number
 its format and permuted by a Feistel network, walking on while the result lies outside the format.
 Checksums are recomputed, so a card number stays a card number. The permutation depends on the key
 and the kind alone: equal values have equal pseudonyms in all documents, different ones different
-pseudonyms, and lengths and all other text stay as they were.
+pseudonyms, and lengths and all other text stay as they were. Capitals do not tell values apart, nor
+do the separators of cards, phones and IBANs.
+
+Found are: email addresses; card numbers of 13 to 19 digits with their check digit; IBANs; phone
+numbers with a plus or in the forms (ddd) ddd-dddd and ddd-ddd-dddd; social security numbers; IPv4
+addresses; days from 1900 to 2099 in the forms of day(). Other forms (IPv6, ten bare digits, days
+without leading zeros) are not looked for.
 """
 
 from __future__ import annotations
@@ -44,20 +50,21 @@ def permute(x: int, size: int, key: bytes, tweak: bytes) -> int:
 
 
 def in_format(text: str, key: bytes, tweak: str, free: Callable[[int], bool] = lambda i: True) -> str:
-    """Permutes the letters and digits at free places, each within its class; everything else stays. Long texts are permuted in pieces of 32 places, each under a tweak of its place and the pieces before."""
+    """Permutes the letters and digits at free places, each within its class; everything else stays, and capitals are put back where they were. Long texts are permuted in pieces of 32 places, each under a tweak of those before."""
     places = [i for i, c in enumerate(text) if free(i) and c.isascii() and c.isalnum()]
-    out = list(text)
+    out, low = list(text), text.lower()
     for at in range(0, len(places), 32):
         part, number, size = places[at : at + 32], 0, 1
-        bases = [(10, "0") if text[i].isdigit() else (26, "a") if text[i].islower() else (26, "A") for i in part]
+        bases = [(10, "0") if text[i].isdigit() else (26, "a") for i in part]
         for i, (base, first) in zip(part, bases, strict=True):
-            number, size = number * base + ord(text[i]) - ord(first), size * base
-        # Which classes stand where is part of the format, and the pieces before are part of the tweak.
-        shape = "".join(f for _, f in bases) + (text[: part[0]] if at else "")
+            number, size = number * base + ord(low[i]) - ord(first), size * base
+        # Which classes stand where is part of the format, and the characters before are part of the tweak.
+        shape = "".join(f for _, f in bases) + "".join([low[i] for i in places[:at]])
         number = permute(number, size, key, blake2b(f"{tweak}:{shape}".encode(), digest_size=16).digest())
         for i, (base, first) in zip(reversed(part), reversed(bases), strict=True):
             number, digit = divmod(number, base)
-            out[i] = chr(ord(first) + digit)
+            new = chr(ord(first) + digit)
+            out[i] = new.upper() if text[i].isupper() else new
     return "".join(out)
 
 
@@ -75,32 +82,41 @@ def put_digits(shape: str, digits: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in shape)
 
 
-def email(m: re.Match, key: bytes) -> str | None:
+#: The country codes of two digits; 1 and 7 are whole codes, all others have three.
+TWO_DIGITS = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def email(found: str, key: bytes) -> str | None:
     """The mailbox and the host's names below the last two are permuted; without such names only the mailbox."""
-    at = m[0].index("@")
-    keep = m[0].rfind(".", 0, m[0].rfind("."))
-    return in_format(m[0], key, "email", lambda i: i < max(at, keep))
+    at = found.index("@")
+    keep = found.rfind(".", 0, found.rfind("."))
+    return in_format(found, key, "email", lambda i: i < max(at, keep))
 
 
-def card(m: re.Match, key: bytes) -> str | None:
-    digits = re.sub(r"\D", "", m[0])
+def card(found: str, key: bytes) -> str | None:
+    digits = re.sub(r"\D", "", found)
     if not 13 <= len(digits) <= 19 or luhn_digit(digits[:-1]) != int(digits[-1]) or len(set(digits)) == 1:
         return None
     new = in_format(digits[:-1], key, "card")
-    return put_digits(m[0], new + str(luhn_digit(new)))
+    return put_digits(found, new + str(luhn_digit(new)))
 
 
-def phone(m: re.Match, key: bytes) -> str | None:
-    digits = re.sub(r"\D", "", m[0])
+def phone(found: str, key: bytes) -> str | None:
+    """The digits behind the country's code are permuted, whatever stands between them."""
+    digits = re.sub(r"\D", "", found)
     if not 8 <= len(digits) <= 15:
         return None
-    kept = len(re.match(r"\+\d+", m[0])[0]) if re.match(r"\+\d{1,3}[^\d]", m[0]) else 0
-    return in_format(m[0], key, "phone", lambda i: i >= kept)
+    code = (1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGITS else 3) if found[0] == "+" else 0
+    kept = 0
+    while code > 0:
+        code -= found[kept].isdigit()
+        kept += 1
+    return in_format(found, key, "phone", lambda i: i >= kept)
 
 
-def ssn(m: re.Match, key: bytes) -> str | None:
+def ssn(found: str, key: bytes) -> str | None:
     """Area 001 to 899 but 666, group 01 to 99, serial 0001 to 9999: the valid numbers are permuted among themselves."""
-    area, group, serial = int(m[0][:3]), int(m[0][4:6]), int(m[0][7:])
+    area, group, serial = int(found[:3]), int(found[4:6]), int(found[7:])
     if not 0 < area < 900 or area == 666 or not group or not serial:
         return None
     x = permute(((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1, 898 * 99 * 9999, key, b"ssn")
@@ -109,9 +125,9 @@ def ssn(m: re.Match, key: bytes) -> str | None:
     return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
 
 
-def ip(m: re.Match, key: bytes) -> str | None:
+def ip(found: str, key: bytes) -> str | None:
     """An address of valid octets; octets are permuted within their number of digits, which keeps the length."""
-    octets = m[0].split(".")
+    octets = found.split(".")
     if any(int(o) > 255 or (len(o) > 1 and o[0] == "0") for o in octets):
         return None
     sizes, firsts = {1: 10, 2: 90, 3: 156}, {1: 0, 2: 10, 3: 100}
@@ -130,34 +146,34 @@ def ip(m: re.Match, key: bytes) -> str | None:
 FIRST_DAY, DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
 
 
-def day(m: re.Match, key: bytes) -> str | None:
+def day(found: str, key: bytes) -> str | None:
     """A real day from 1900 to 2099 in year-month-day, day.month.year or month/day/year."""
-    a, b, c = (int(x) for x in re.findall(r"\d+", m[0]))
-    kind = "-" if "-" in m[0] else "." if "." in m[0] else "/"
+    a, b, c = (int(x) for x in re.findall(r"\d+", found))
+    kind = "-" if "-" in found else "." if "." in found else "/"
     try:
-        found = date(a, b, c) if kind == "-" else date(c, b, a) if kind == "." else date(c, a, b)
+        then = date(a, b, c) if kind == "-" else date(c, b, a) if kind == "." else date(c, a, b)
     except ValueError:
         return None
-    x = (found - FIRST_DAY).days
+    x = (then - FIRST_DAY).days
     if not 0 <= x < DAYS:
         return None
     d = FIRST_DAY + timedelta(permute(x, DAYS, key, b"date"))
     return f"{d:%Y-%m-%d}" if kind == "-" else f"{d:%d.%m.%Y}" if kind == "." else f"{d:%m/%d/%Y}"
 
 
-def iban(m: re.Match, key: bytes) -> str | None:
-    raw = m[0].replace(" ", "")
+def iban(found: str, key: bytes) -> str | None:
+    raw = found.replace(" ", "")
     number = lambda s: int("".join(str(int(c, 36)) for c in s))
     if not 15 <= len(raw) <= 34 or number(raw[4:] + raw[:4]) % 97 != 1:
         return None
     body = in_format(raw[4:], key, f"iban{raw[:2]}")
     new = iter(f"{raw[:2]}{98 - number(body + raw[:2] + '00') % 97:02d}{body}")
-    return "".join(c if c == " " else next(new) for c in m[0])
+    return "".join(c if c == " " else next(new) for c in found)
 
 
 #: In order of precedence; a later kind does not look inside what an earlier one has taken.
-FINDERS: dict[str, tuple[str, Callable[[re.Match, bytes], str | None]]] = {
-    "email": (r"[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}", email),
+FINDERS: dict[str, tuple[str, Callable[[str, bytes], str | None]]] = {
+    "email": (r"@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}", email),  # the mailbox is read backwards
     "iban": (r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b", iban),
     "card": (r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])", card),
     "phone": (r"(?<![\w.+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])", phone),
@@ -167,13 +183,13 @@ FINDERS: dict[str, tuple[str, Callable[[re.Match, bytes], str | None]]] = {
 }
 PATTERNS = [(k, re.compile(p), f) for k, (p, f) in FINDERS.items()]
 #: Groups of digits joined by single blanks or hyphens, of which some may be a card number.
-RUN = re.compile(r"\d+(?:[ -]\d+)+")
+RUN = re.compile(r"(?<!\d)\d++(?:[ -]\d++)++")
 GROUP = re.compile(r"\d+")
-DIGITS = re.compile(r"\d[\d -]*")
+MAILBOX = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 ANY = re.compile(r"[0-9]|@")
 
 
-def inner_cards(text: str) -> Iterator[re.Match]:
+def inner_cards(text: str) -> Iterator[tuple[int, int]]:
     """Card candidates beside other numbers: whole groups inside longer runs of digits, of two digits each at least. Those of 16 and 15 digits come first, then earlier and longer ones."""
     for run in RUN.finditer(text):
         groups = [m.span() for m in GROUP.finditer(text, *run.span())]
@@ -184,50 +200,61 @@ def inner_cards(text: str) -> Iterator[re.Match]:
             if i == 0 and start and re.match(r"[\w.+-]", text[start - 1]):
                 continue
             n = 0
-            for a, b in groups[i:]:
+            for a, b in groups[i : i + 10]:
                 n += b - a
                 if n > 19 or b - a < 2:
                     break
                 if n >= 13:
                     found.append((n not in (15, 16), start, -n, b))
         for _, start, _, end in sorted(found):
-            yield DIGITS.fullmatch(text, start, end)
+            yield start, end
+
 
+def mailbox_start(text: str, at: int) -> int:
+    """Where the mailbox before an @ begins, of any length; it does not begin with a dot."""
+    start = at
+    while start and text[start - 1] in MAILBOX:
+        start -= 1
+    while start < at and text[start] == ".":
+        start += 1
+    return start
 
-def candidates(kind: str, pattern: re.Pattern, text: str) -> Iterator[re.Match]:
-    """Matches to validate, in order of preference; they may overlap. Of a card or IBAN, whose run may take in a neighbour, also the shorter ends and later starts inside it."""
+
+def candidates(kind: str, pattern: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
+    """Spans to validate, in order of preference; they may overlap. Of a card or IBAN, whose run may take in a neighbour, also the shorter ends and later starts inside it."""
+    if kind == "email":
+        for m in pattern.finditer(text):
+            if (start := mailbox_start(text, m.start())) < m.start():
+                yield start, m.end()
+        return
     if kind == "iban":
         at = 0
         while m := pattern.search(text, at):
-            yield m
+            yield m.span()
             for i in range(m.end() - 1, m.start(), -1):
-                if text[i] == " " and (shorter := pattern.fullmatch(text, m.start(), i)):
-                    yield shorter
+                if text[i] == " " and pattern.fullmatch(text, m.start(), i):
+                    yield m.start(), i
             at = m.start() + 1
         return
-    yield from pattern.finditer(text)
+    for m in pattern.finditer(text):
+        yield m.span()
     if kind == "card":
         yield from inner_cards(text)
 
 
 def pseudonymise(text: str, key: bytes = DEMO_KEY) -> tuple[str, list[tuple[int, int, str]]]:
-    """The text with pseudonyms, and (start, end, kind) of each, in order. Lengths do not change."""
+    """The text with pseudonyms, and (start, end, kind) of each, in order. Lengths do not change; the time is in proportion to the text's length."""
     if not ANY.search(text):
         return text, []
     found: list[tuple[int, int, str, str]] = []
-    taken = bytearray(len(text)) if len(text) < 1 << 16 else None
-
-    def free(a: int, b: int) -> bool:
-        return not any(taken[a:b]) if taken is not None else all(b <= s or a >= e for s, e, _, _ in found)
-
+    taken = bytearray(len(text))
     for kind, pattern, new in PATTERNS:
         if kind == "email" and "@" not in text:
             continue
-        for m in candidates(kind, pattern, text):
-            if free(*m.span()) and (value := new(m, key)) is not None:
-                found.append((*m.span(), kind, value))
-                if taken is not None:
-                    taken[m.start() : m.end()] = b"\1" * (m.end() - m.start())
+        for a, b in candidates(kind, pattern, text):
+            if taken.find(1, a, b) < 0 and (value := new(text[a:b], key)) is not None:
+                found.append((a, b, kind, value))
+                taken[a:b] = b"\1" * (b - a)
     found.sort()
     out, at = [], 0
     for a, b, _, value in found:
@@ -239,7 +266,9 @@ def pseudonymise(text: str, key: bytes = DEMO_KEY) -> tuple[str, list[tuple[int,
 def pseudonyms(docs: DataFrame, key: bytes = DEMO_KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text with pseudonyms, spans (kind:start:end in code points, comma-joined, in order), and the number of each kind.
 
-    A null text counts as empty. Repeated rows stay, other columns go.
+    A null or empty text has none. Repeated rows stay, each with the same pseudonyms; an empty table
+    gives an empty one; other columns go. Texts are read whole, however long; where finds overlap, the
+    order of the kinds and then of the candidates decides.
     """
 
     def replaced(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -256,11 +285,12 @@ def pseudonyms(docs: DataFrame, key: bytes = DEMO_KEY, id_col: str = "doc_id", t
 
 
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text with its pseudonyms, their spans and the number of each kind, under the demonstration key."""
     return pseudonyms(documents(spark, sf_dir))
 
 
 def without_private(docs: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
-    """All documents and columns, with pseudonyms in the text; null texts stay null."""
+    """All documents and columns, with pseudonyms in the text; null texts stay null, and so do empty tables and repeated rows what they are."""
 
     @F.pandas_udf("string")
     def replaced(texts: pd.Series) -> pd.Series:

@@ -62,7 +62,7 @@ def test_trie_against_all_pairs():
     assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(d <= 3), strict=True) if i < j}
 
 
-@pytest.mark.parametrize("group", [2000, 20])
+@pytest.mark.parametrize("group", [2000, 40])
 def test_links_of_hot_groups(spark, monkeypatch, group):
     """One dense cloud of prints, with groups whole and cut."""
     monkeypatch.setattr(simhash, "GROUP", group)
@@ -82,11 +82,34 @@ def test_links_of_hot_groups(spark, monkeypatch, group):
     assert [found.get(i, i) for i in range(len(ordered))] == brute_components(ordered)
 
 
+def test_a_dense_cloud_is_not_walked_in_pairs():
+    """A hundred thousand prints within two bits of a few: connected nodes are dropped, so time stays far from all pairs."""
+    import time
+
+    rng, prints = np.random.default_rng(6), set()
+    base = [0x1234_5678_9ABC_DEF0 ^ (1 << k) for k in range(40)]
+    while len(prints) < 100_000:
+        x = base[rng.integers(40)]
+        for k in rng.choice(48, 3, replace=False):
+            x ^= 1 << int(k)
+        prints.add(x)
+    keys = np.array(sorted(prints), np.uint64)
+    n = len(keys)
+    rows = np.stack([np.zeros(n, np.int64)] * 5 + [keys.view(np.int64), np.arange(n)])
+    start = time.perf_counter()
+    edges = simhash.links_of_cells(rows)
+    assert time.perf_counter() - start < 120
+    a, b = edges.column("a").to_numpy(), edges.column("b").to_numpy()
+    assert (np.bitwise_count(keys[a] ^ keys[b]) <= 3).all() and len(a) == n - 1  # one tree
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, 5), (200, 201), (7, 7), (201, 200)] + [(300, 400 + i) for i in range(50)]
     got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert {got[i] for i in [*range(61), 100]} == {0} and got[201] == 200 and {got[400 + i] for i in range(50)} == {300}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    with pytest.raises(RuntimeError, match="still change"):
+        components(spark.createDataFrame(pairs, "a long, b long"), most_rounds=1)
 
 
 def test_simhash_query(spark, docs):
@@ -103,7 +126,12 @@ def test_simhash_cases(spark):
     assert {0, 1, len(ODD), len(ODD) + 1} <= empty and {r.component_id for r in got if r.doc_id in empty} == {0}
     assert simhash.simhash_components(frame(spark, ["a"]).limit(0)).count() == 0
     kept = simhash.keep_one(frame(spark, ["x y z w", "x y z w", "other words stand here", None]))
-    assert sorted(r.doc_id for r in kept.where("doc_id is not null").distinct().collect()) == [0, 2, 3] and kept.columns == [c.split()[0] for c in DOCS.split(", ")]
+    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [0, 2, 3] and kept.columns == [c.split()[0] for c in DOCS.split(", ")]
+    assert kept.where("doc_id is null").count() == 1
+    d = frame(spark, ["x y z w", "none"]).unionByName(frame(spark, ["x y z w", "x y z w"]))
+    # Ids that repeat with other texts, and a row without an id beside one that has its text.
+    assert [(r.doc_id, r.text) for r in simhash.keep_one(d).collect()] == [(0, "x y z w")]
+    assert simhash.keep_one(frame(spark, ["a"]).limit(0)).count() == 0
 
 
 def test_packing(spark, docs):

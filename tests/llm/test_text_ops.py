@@ -100,6 +100,100 @@ def test_pieces(spark, sample):
     assert piece_codec.encode_pieces(frame(spark, ["a"]).limit(0)).count() == 0
 
 
+def with_map(path, keys):
+    """The model with a character map (a hand-made double array of byte strings) and blanks squeezed."""
+    children, values, strings = {}, {}, b""
+    for key, new in keys.items():
+        for i in range(len(key)):
+            children.setdefault(key[:i], set()).add(key[i])
+        values[key] = len(strings)
+        strings += new + b"\0"
+    units, place, base = [0] * 16384, {b"": 0}, 256
+    for prefix in sorted(children, key=len):
+        # A node's children stand at its base xor their byte, its own value at the base itself.
+        at, here = place[prefix], base
+        base += 256
+        label = prefix[-1] if prefix else 0
+        units[at] = (at ^ here) << 10 | (prefix in values) << 8 | label
+        if prefix in values:
+            units[here] = 1 << 31 | values[prefix]
+        for c in children[prefix]:
+            place[prefix + bytes([c])] = here ^ c
+    for key, value in values.items():
+        if key not in children:
+            at, here = place[key], base
+            base += 256
+            units[at] = (at ^ here) << 10 | 1 << 8 | key[-1]
+            units[here] = 1 << 31 | value
+    blob = np.array(units, "<u4").tobytes()
+    blob = len(blob).to_bytes(4, "little") + blob + strings
+
+    def field(number, data):
+        n, size = len(data), []
+        while n > 127:
+            size.append(n & 127 | 128)
+            n >>= 7
+        return bytes([number << 3 | 2, *size, n]) + data
+
+    model = open(path, "rb").read()
+    spec = field(2, blob) + bytes([3 << 3, 1, 4 << 3, 1, 5 << 3, 1])
+    return b"".join(field(n, v) for n, v in piece_codec.fields(model) if n in (1, 2)) + field(3, spec)
+
+
+def test_pieces_with_a_character_map(spark, tmp_path):
+    """The library normalises by the map itself; here the ids come from the text that was normalised before."""
+    import sentencepiece
+
+    path = tmp_path / "mapped.model"
+    path.write_bytes(with_map(public_tokenizers.path("piece_bpe_32k.model"), {"é".encode(): b"e", "éé".encode(): b"EE ", b"\t": b" ", "ﬁ".encode(): b"fi", "　".encode(): b" ", b"(c)": "©".encode(), b"(": b"[", "x̂".encode(): b""}))
+    lib, codec = sentencepiece.SentencePieceProcessor(model_file=str(path)), piece_codec.PieceCodec(str(path))
+    texts = [*noise(1500, "aé é\t　ﬁ(c)x̂ th中", 20), "éé", " é ", "\t", "x̂", "", "(c)(c", "the　 ﬁne  éééé"]
+    for t in texts:
+        ids, starts, _ = codec.encode(t)
+        assert np.frombuffer(ids, "<u4").tolist() == lib.encode(t, add_bos=True, add_eos=True), repr(t)
+        at = np.frombuffer(starts, "<u4").tolist()
+        assert at == sorted(at) and at[-1] <= len(t.encode())
+    got = {r.doc_id: r for r in piece_codec.encode_pieces(frame(spark, texts[-7:]), str(path)).collect()}
+    assert all(np.frombuffer(got[i].ids, "<u4").tolist() == lib.encode(t, add_bos=True, add_eos=True) for i, t in enumerate(texts[-7:]))
+
+
+def test_pieces_query(spark, sample):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    got = sorted(queries.QUERIES["op9_pieces"](spark, SMALL).collect(), key=lambda r: r.doc_id)
+    for r, t in zip(got, sample, strict=True):
+        ids = lib.encode(t, add_bos=True, add_eos=True)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(lib.decode(ids).encode()).hexdigest())
+
+
+def test_media_query(spark, sample):
+    got = sorted(queries.QUERIES["op5_media"](spark, SMALL).collect(), key=lambda r: r.doc_id)
+    for r, t in zip(got, sample, strict=True):
+        raw = t.encode()
+        raw += bytes(-len(raw) % 64 or (0 if raw else 64))
+        png = media.png_encode(raw)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(t.encode()), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]))
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(png), hashlib.sha256(png).hexdigest(), brute_hash(np.frombuffer(raw, np.uint8).reshape(-1, 64)))
+
+
+def brute_hash(image):
+    """The cosine hash by its definition: means of boxes, sums over all positions, one frequency at a time."""
+    rows = [i * len(image) // 32 for i in range(32)]
+    edge = lambda i: rows[i + 1] if i < 31 else len(image)
+    box = np.array([[image[rows[i] : max(edge(i), rows[i] + 1), 2 * j : 2 * j + 2].mean() for j in range(32)] for i in range(32)])
+    wave = lambda u, n: np.cos(np.pi * u * (2 * n + 1) / 64)
+    low = np.array([sum(box[i, j] * wave(u, i) * wave(v, j) for i in range(32) for j in range(32)) for u in range(8) for v in range(8)])
+    low[np.abs(low) < 1e-6 * (1 + abs(low[0]))] = 0
+    bits = "".join("01"[int(x > np.median(low[1:]))] for x in low)
+    return f"{int(bits, 2):016x}"
+
+
+def test_constant_images_have_no_noise():
+    for v in (0, 7, 97, 255):
+        assert media.cosine_hash(np.full((5, 64), v, np.uint8)) == ("8" if v else "0") + "0" * 15
+
+
 def test_normalising_by_a_character_map():
     """A small double-array trie by hand: "é" and "éé" are known, the longest wins."""
     codec = piece_codec.PieceCodec.__new__(piece_codec.PieceCodec)
@@ -266,6 +360,77 @@ def test_neighbours_do_not_hide_a_value(text, value, kind):
     assert new[:at] == text[:at] and new[at + len(value) :] == text[at + len(value) :]
 
 
+@pytest.mark.parametrize(
+    "text,value,kind",
+    [
+        ("4845 1681 1440 7329 12/27", "4845 1681 1440 7329", "card"),
+        ("4845168114407329 123", "4845168114407329", "card"),
+        ("22 4845 1681 1440 7329", "4845 1681 1440 7329", "card"),
+        ("ES91 2100 0418 4502 0005 1332 ABCD", "ES91 2100 0418 4502 0005 1332", "iban"),
+        ("to " + "m" * 80 + "@a.example.com", "m" * 80 + "@a.example.com", "email"),
+        ("..a.b@c.org", "a.b@c.org", "email"),
+    ],
+)
+def test_whole_values_are_taken(text, value, kind):
+    test_neighbours_do_not_hide_a_value(text, value, kind)
+
+
+def test_spellings_are_linked():
+    new = lambda t: pseudonyms.pseudonymise(t)[0]
+    digits = lambda t: re.sub(r"\D", "", new(t))
+    assert new("Jo@x.com") != new("jo@x.com") == new("Jo@x.com").lower() and new("Jo@x.com")[0].isupper()
+    assert digits("+10175557713") == digits("+1 017-555-7713") == "1" + digits("(017) 555-7713")
+    assert digits("+442071838750") == digits("+44 20 7183 8750") and digits("+442071838750").startswith("44")
+
+
+@pytest.mark.parametrize("part", ["jo@exam.org some words ", "1 ", "12", "12 ", "a1-", "+1", "a@", "1.1.", "m"])
+def test_time_grows_with_the_length(part):
+    """And finds in very long texts are the same as in short ones."""
+    import time
+
+    start = time.perf_counter()
+    new, found = pseudonyms.pseudonymise(part * (300_000 // len(part)) + " jo@exam.org")
+    assert time.perf_counter() - start < 15 and found[-1][2] == "email" and new.endswith(pseudonyms.pseudonymise(" jo@exam.org")[0])
+
+
+def brute_private(t):
+    """Spans of all valid cards, IBANs, addresses and mailboxes, by testing every stretch between boundaries."""
+    out = []
+    for m in re.finditer(r"(?<![\w.+-])\d", t):
+        for n in range(13, 38):
+            x = t[m.start() : m.start() + n]
+            d = [int(c) for c in x if c.isdigit()]
+            if re.fullmatch(r"\d(?:[ -]?\d){12,18}", x) and not re.match(r"[\w-]", t[m.start() + n : m.start() + n + 1]) and len(set(d)) > 1 and sum(sum(divmod(2 * c, 10)) if i % 2 else c for i, c in enumerate(reversed(d))) % 10 == 0:
+                out.append((m.start(), m.start() + n))
+    for m in re.finditer(r"\b[A-Z]{2}\d\d", t):
+        for n in range(15, 43):
+            x = t[m.start() : m.start() + n].replace(" ", "")
+            if re.fullmatch(r"[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?", t[m.start() : m.start() + n]) and int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1 and 15 <= len(x) <= 34:
+                out.append((m.start(), m.start() + n))
+    out += [m.span() for m in re.finditer(r"\b(?:\d{1,3}\.){3}\d{1,3}\b", t) if all(int(o) < 256 and str(int(o)) == o for o in m[0].split(".")) and not re.match(r"[.]\d", t[m.end() :]) and (not m.start() or t[m.start() - 1] != ".")]
+    return out + [m.span() for m in re.finditer(r"[\w%+-][\w.%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}", t, re.ASCII)]
+
+
+def test_pseudonyms_query(spark):
+    import duckdb
+
+    texts = dict(duckdb.sql(f"SELECT doc_id, text FROM '{SMALL}/documents.parquet'").fetchall())
+    rows, seen = queries.QUERIES["op8_pseudonyms"](spark, SMALL).collect(), 0
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        old, spans = texts[r.doc_id], [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)]
+        for a, b in brute_private(old):
+            assert any(s < b and a < e for _, s, e in spans), old[a:b]
+            seen += 1
+        at = 0
+        for _, s, e in spans:
+            assert r.text[at:s] == old[at:s] and r.text[s:e] != old[s:e]
+            at = e
+        assert r.text[at:] == old[at:] and len(r.text) == len(old)
+        assert [sum(k == kind for k, _, _ in spans) for kind in pseudonyms.KINDS] == [r[f"n_{kind}"] for kind in pseudonyms.KINDS]
+    assert seen > 10
+
+
 def test_pseudonym_rows(spark):
     got = pseudonyms.pseudonyms(frame(spark, [*ODD, "x@y.example.org " * 3])).collect()
     assert len(got) == len(ODD) + 3
