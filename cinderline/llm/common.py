@@ -17,9 +17,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only without one (tests) a new local folder."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Only a local session may lack it: it gets a new folder."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="cinderline-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where

@@ -145,4 +145,5 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns of every whole text and its edited text."""
     return fingerprints(documents(spark, sf_dir))

@@ -158,7 +158,11 @@ class Models:
 
 
 def fit_languages(labelled: DataFrame, lang_col: str = "lang", per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text") -> Models | None:
-    """Models of the languages among the labelled rows; None without any. At most about per_language rows a language are used, chosen by their ids' hash."""
+    """Models of the languages among the labelled rows; None without any.
+
+    At most about per_language rows a language are used, chosen by their ids' hash; their counts come
+    to the driver, so the number of languages is taken to be some hundred at most.
+    """
     rows = labelled.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
@@ -242,7 +246,9 @@ def calibrated(models: Models, aside: DataFrame) -> Models:
 def identify(docs: DataFrame, models: Models | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score (0 to 1), cross_entropy (bits a character), rejected.
 
-    A text without a letter, or null, is und with score 0, as is every text if there are no models. Repeated rows stay, other columns go.
+    A text without a letter, or null, is und with score 0, as is every text if there are no models.
+    Texts are read whole, in parts of bounded size; of languages that tie the first in order wins.
+    Repeated rows stay, an empty table gives an empty one, other columns go.
     """
     rows = id_and_text(docs, id_col, text_col)
     if models is None:
@@ -256,25 +262,31 @@ def identify(docs: DataFrame, models: Models | None, id_col: str = "doc_id", tex
     return map_batches(rows, told, "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
-def remainder(modulus: int):
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus))
+def remainder(modulus: int, id_col: str = "doc_id"):
+    """The fold of an id; -1 without one, which is no fold."""
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(modulus)), F.lit(-1))
 
 
 def learned_languages(docs: DataFrame) -> Models | None:
-    """Models from the rows outside the fold whose crc32(doc_id) leaves 2 of 4."""
-    return fit_languages(docs.where(remainder(4) != 2))
+    """Models from the rows with an id outside the fold whose crc32(doc_id) leaves 2 of 4."""
+    return fit_languages(docs.where(~remainder(4).isin(-1, 2)))
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and score of every whole text, and whether its row was kept from the models; rows without an id were too, but are in no fold (false)."""
     docs = documents(spark, sf_dir)
     return identify(docs, learned_languages(docs)).withColumn("held_out", remainder(4) == 2)
 
 
 def keep_languages(docs: DataFrame) -> DataFrame:
-    """The documents that are not rejected, all columns kept."""
+    """The documents that are not rejected, all columns kept.
+
+    Null and empty texts and those without a letter are rejected. Without any labelled row there is
+    nothing to tell by, and all stay. Repeated rows have one fate; an empty table gives an empty one.
+    """
     models = learned_languages(docs)
     if models is None:
-        return docs.limit(0)
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     @F.pandas_udf("boolean")

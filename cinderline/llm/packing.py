@@ -271,4 +271,5 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns of every piece of all documents."""
     return pack(documents(spark, sf_dir))

@@ -31,9 +31,14 @@ class Rule:
     least: int = 0
 
 
+def either(word: str) -> str:
+    """A word in ASCII letters of either case; no other letters fold onto them."""
+    return "".join(f"[{c.upper()}{c}]" for c in word)
+
+
 #: Fixed values of the contract.
 BASE = (
-    Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
+    Rule("assign", rf"""(?:{either("password")}|{either("passwd")}|{either("secret")}|{either("token")}|{either("api")}_?{either("key")})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),
 )
@@ -90,27 +95,34 @@ def trigram_query(pattern: str, most: int = 64) -> frozenset[frozenset[str]] | N
     return best
 
 
+def any_of(trigrams: list[str]) -> str:
+    """A pattern whose matches, of no length, are at the places where one of the trigrams stands; group 1 is the trigram. A test of the three characters by themselves comes first, then the trigrams by their first characters."""
+    quote = lambda c: c if c.isalnum() else f"\\{c}"
+    classes = "".join(f"[{''.join(map(quote, sorted({t[k] for t in trigrams})))}]" for k in range(3))
+    heads = (f"{quote(c)}(?:{'|'.join(''.join(map(quote, t[1:])) for t in trigrams if t[0] == c)})" for c in sorted({t[0] for t in trigrams}))
+    return f"(?={classes})(?=({'|'.join(heads)}))"
+
+
 def postings(rows: DataFrame, trigrams: list[str]) -> DataFrame:
-    """block, trigram, ids: sorted posting lists of the documents that contain a trigram, in lower case."""
-    low = F.lower("text")
-    held = F.array_compact(F.array(*(F.when(low.contains(t), F.lit(t)) for t in trigrams)))
+    """block, trigram, ids: sorted posting lists of the documents that contain a trigram, in lower case; each text is read once for all of them."""
+    held = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(any_of(trigrams)), F.lit(1)))
     entries = rows.select("id", F.explode(held).alias("trigram"))
     return entries.groupBy(F.floor(F.col("id") / LIST).alias("block"), "trigram").agg(F.array_sort(F.collect_set("id")).alias("ids"))
 
 
 def candidates(rows: DataFrame, queries: dict[str, frozenset[frozenset[str]]]) -> DataFrame:
-    """id, rules: the rules whose trigram query the document's postings satisfy."""
+    """id, rules: the rules, as bits by their order here, whose trigram query the document's postings satisfy."""
     trigrams = sorted({t for q in queries.values() for a in q for t in a})
     lists = postings(rows, trigrams).groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "ids"))).alias("lists"))
     none = F.array().cast("array<bigint>")
     of = lambda t: F.coalesce(F.col("lists")[t], none)
 
-    def met(name: str, query: frozenset[frozenset[str]]) -> Column:
+    def met(bit: int, query: frozenset[frozenset[str]]) -> Column:
         ids = reduce(F.array_union, [reduce(F.array_intersect, [of(t) for t in sorted(a)]) for a in sorted(query, key=sorted)])
-        return F.transform(ids, lambda i: F.struct(i.alias("id"), F.lit(name).alias("rule")))
+        return F.transform(ids, lambda i: F.struct(i.alias("id"), F.lit(1 << bit).cast("long").alias("bit")))
 
-    pairs = lists.select(F.explode(F.concat(*(met(name, q) for name, q in queries.items()))).alias("c")).select("c.id", "c.rule")
-    return pairs.groupBy("id").agg(F.collect_set("rule").alias("rules"))
+    pairs = lists.select(F.explode(F.concat(*(met(k, q) for k, q in enumerate(queries.values())))).alias("c")).select("c.id", "c.bit")
+    return pairs.groupBy("id").agg(F.bit_or("bit").alias("rules"))
 
 
 def spans(text: Column, rule: Rule, order: int) -> Column:
@@ -135,7 +147,8 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, id_col:
     """doc_id, found: array of (start, kind_no, kind, end, n) by start, then kind, of every text.
 
     A null text counts as empty and has none. Repeated rows stay, each with its own spans; rows
-    without an id are matched like others; other columns go.
+    without an id are matched like others; an empty table gives an empty one; other columns go. Texts
+    are read whole, however long; matches that begin together are in the order of the rules.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("id", F.coalesce("doc_id", F.lit(-1)))
     queries = {r.name: q for r in rules if (q := trigram_query(r.pattern)) is not None}
@@ -146,7 +159,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, id_col:
     found = []
     for k, r in enumerate(rules):
         # Where a rule must read every text, a search tells first whether there is anything to place.
-        wanted = F.array_contains("rules", r.name) if r.name in queries else F.col("text").rlike(r.pattern)
+        wanted = F.col("rules").bitwiseAND(1 << list(queries).index(r.name)) != 0 if r.name in queries else F.col("text").rlike(r.pattern)
         found.append(F.when(wanted, spans(F.col("text"), r, k)).otherwise(none))
     return rows.select("doc_id", F.array_sort(F.concat(*found)).alias("found"))
 
@@ -156,6 +169,7 @@ def listed(found: Column) -> Column:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns of every whole text: number of finds of each base kind, hash of their spans, all spans."""
     s = scan_secrets(documents(spark, sf_dir))
     n = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("found", lambda x: x["kind_no"] < len(BASE))

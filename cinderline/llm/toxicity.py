@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderline.llm.common import documents, id_and_text, map_batches
+from cinderline.llm.common import documents, id_and_text, map_batches, materialise
 from cinderline.llm.language import remainder
 
 #: Labelled rows that the trees and the calibration are fitted on, as expected number.
@@ -198,7 +198,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Scor
         return None
     share = min(1_000_000, -(-1_000_000 * rows // total))
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(21)), F.lit(1_000_000)) < share)
-    sample = id_and_text(docs).join(F.broadcast(chosen), "doc_id").withColumn("aside", F.pmod(F.xxhash64("doc_id", F.lit(22)), F.lit(4)) == 0)  # bounded by `rows`
+    sample = materialise(id_and_text(docs).join(F.broadcast(chosen), "doc_id"))  # bounded by `rows`; written, as it is read three times
+    sample = sample.withColumn("aside", F.pmod(F.xxhash64("doc_id", F.lit(22)), F.lit(4)) == 0)
     words = Words(learn_lexicon(sample.where("not aside")))
 
     def made(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -216,7 +217,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Scor
 
 
 def score_toxicity(docs: DataFrame, scorer: Scorer | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score. A null text counts as empty and has a score like any other; without a model all scores are 0. Repeated rows stay, other columns go."""
+    """doc_id, score. A null text counts as empty and has a score like any other; without a model all scores are 0.
+
+    Texts are read whole. Repeated rows stay and tie, an empty table gives an empty one, other columns go.
+    """
     rows = id_and_text(docs, id_col, text_col)
     if scorer is None:
         return rows.select("doc_id", F.lit(0.0).alias("score"))
@@ -229,21 +233,26 @@ def score_toxicity(docs: DataFrame, scorer: Scorer | None, id_col: str = "doc_id
 
 
 def learned_toxicity(docs: DataFrame, labels: DataFrame) -> Scorer | None:
-    """Fitted on the labelled rows outside the fold whose crc32(doc_id) leaves 1 of 3."""
-    return fit_toxicity(docs, labels.where(remainder(3) != 1))
+    """Fitted on the labelled rows with an id outside the fold whose crc32(doc_id) leaves 1 of 3."""
+    return fit_toxicity(docs, labels.where(~remainder(3).isin(-1, 1)))
 
 
 LIMIT = 0.7
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and prediction of every whole text, and whether its labels were kept from the model; rows without an id are in no fold (false)."""
     docs = documents(spark, sf_dir)
     scorer = learned_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_toxicity(docs, scorer).select("doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= LIMIT).cast("int").alias("predicted"))
 
 
 def keep_harmless(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents whose score is below the limit, all columns kept."""
+    """The documents whose score is below the limit, all columns kept.
+
+    Null and empty texts are scored as the empty text. Without any label all stay. Repeated rows have
+    one fate; an empty table gives an empty one.
+    """
     scorer = learned_toxicity(docs, labels)
     if scorer is None:
         return docs

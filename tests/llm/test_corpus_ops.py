@@ -273,6 +273,13 @@ def test_language(spark):
     assert {r.lang_pred for r in language.identify(frame(spark, ["abc"]), None).collect()} == {"und"}
     kept = language.keep_languages(d)
     assert kept.columns == d.columns and kept.count() >= 195
+    # Null, empty and unlabelled rows; rows that repeat; text without a language.
+    odd = d.unionByName(frame(spark, ["", None, "123", "zqxj wvkq " * 40], 10**6).select(*(F.col(c) for c in d.columns)).withColumn("lang", F.lit(None).cast("string")))
+    assert language.keep_languages(odd.where(F.col("doc_id") >= 10**6).unionByName(d)).where(F.col("doc_id") >= 10**6).count() == 0
+    unlabelled = frame(spark, ["", "a text", None]).withColumn("lang", F.lit(None).cast("string"))
+    assert language.keep_languages(unlabelled).count() == unlabelled.count() and language.keep_languages(d.limit(0)).count() == 0
+    got = {r.doc_id: r for r in language.identify(odd, models).collect()}
+    assert got[10**6 + 3].rejected and not any(got[r.doc_id].rejected for r in kept.select("doc_id").collect())
 
 
 def test_stray_labels_do_not_lift_the_limit(spark):
@@ -329,6 +336,64 @@ def test_toxicity(spark):
     assert toxicity.learned_toxicity(d, labels.limit(0)) is None
 
 
+def plain_score(text, scorer, weights):
+    """The score by its definition, word by word and node by node."""
+    low = text.lower()
+    words = low.split()
+
+    def mark(w):
+        own = max([weights.get(x, 0.0) for x in ([w, *(w[:k] + "-" for k in (4, 5, 6) if len(w) >= k)] if len(w) > 2 else [])], default=0.0)
+        return w in toxicity.INSULTS, own, w in toxicity.SECOND_PERSON
+
+    marks = [mark(w.strip(toxicity.EDGES)) for w in words]
+    n, chars = low.count(" ") + low.count("\n") + 1, max(1, len(text.encode()))
+    hits, own, told = [i for i, m in enumerate(marks) if m[0]], [i for i, m in enumerate(marks) if m[1]], [i for i, m in enumerate(marks) if m[2]]
+    near = sum(any(abs(i - j) <= 4 for j in told) for i in {*hits, *own})
+    mixed = hidden = 0
+    for m in re.finditer(r"[0-9@$!|*]+(?=[^\W\d_])", low):
+        w = re.search(r"[^ ]*$", low[: m.start()])[0] + re.match(r"[^ ]*", low[m.start() :])[0]
+        w = w.strip(toxicity.EDGES)
+        mixed += 1
+        w2 = w.translate(str.maketrans("013457@$!|", "oieastasil")).replace("*", "").strip(toxicity.EDGES)
+        hidden += len(w) < 40 and any(mark(w2)[:2])
+    capitals = sum("A" <= c <= "Z" for c in text)
+    loud = len(re.findall(r"\b[A-Z]{4,}\b", text)) if capitals > 3 else 0
+    total = sum(marks[i][1] for i in own)
+    x = [np.log(n), len(hits) / n, min(20, len(hits)), len(own) / n, min(20, len(own)), total / n, len(told) / n, near / n, capitals / chars, loud / n, text.count("!") / chars, sum(text.count(c) for c in ".,;:?") / chars, mixed / n, hidden / n]
+    margin = scorer.trees.base
+    for f, t, v in zip(scorer.trees.feature, scorer.trees.limit, scorer.trees.leaf, strict=True):
+        at = 0
+        while at < len(f):
+            at = 2 * at + (2 if x[f[at]] > t[at] else 1)
+        margin += v[at - len(f)]
+    at, value = scorer.at.tolist(), scorer.value.tolist()
+    if margin <= at[0]:
+        y = value[0]
+    elif margin >= at[-1]:
+        y = value[-1]
+    else:
+        k = max(i for i, a in enumerate(at) if a <= margin)
+        y = value[k] + (value[k + 1] - value[k]) * (margin - at[k]) / (at[k + 1] - at[k])
+    return 0.999 * y + 0.001 / (1 + np.exp(-margin))
+
+
+def test_toxicity_query_by_brute_force(spark):
+    where = SMALL.replace("0.001", "0.01")
+    d, labels = common.documents(spark, where), spark.read.parquet(f"{where}/labels.parquet")
+    scorer = toxicity.learned_toxicity(d, labels)
+    rows = queries.QUERIES["op3_toxicity"](spark, where).join(d, "doc_id").join(labels.select("doc_id", "toxic"), "doc_id", "left").collect()
+    assert len(rows) == 1000
+    for r in rows:
+        assert abs(r.score - plain_score(r.text, scorer, scorer.words.weights)) < 1e-9, r.doc_id
+    known = [(r.toxic, r.predicted) for r in rows if r.held_out and r.toxic is not None]
+    assert sum(t for t, _ in known) >= 3 and np.mean([t == p for t, p in known]) > 0.95
+    # Labels without documents, twice or null, and documents without labels.
+    more = labels.unionByName(labels).unionByName(spark.createDataFrame([(10**9, 1, 1), (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int").select(*(F.col(c).cast(labels.schema[c].dataType) for c in labels.columns)))
+    kept = toxicity.keep_harmless(d, more)
+    assert kept.columns == d.columns and 900 < kept.count() < 1000
+    assert toxicity.keep_harmless(frame(spark, ODD), labels.limit(0)).count() == len(ODD) + 2 and toxicity.keep_harmless(d.limit(0), labels).count() == 0
+
+
 def test_trees_and_calibration():
     rng = np.random.default_rng(4)
     x = rng.random((2000, 5))
