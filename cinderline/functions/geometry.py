@@ -32,9 +32,48 @@ def ring_contains(ring: Column, x: Column, y: Column) -> Column:
     return F.size(F.filter(edges(ring), crosses)) % 2 == 1
 
 
+def on_edge(e: Column, x: Column, y: Column) -> Column:
+    """Whether a point lies on an edge (a, b), its ends included."""
+    (ax, ay), (bx, by) = ((e[k]["x"], e[k]["y"]) for k in ("a", "b"))
+    return ((bx - ax) * (y - ay) == (by - ay) * (x - ax)) & x.between(F.least(ax, bx), F.greatest(ax, bx)) & y.between(F.least(ay, by), F.greatest(ay, by))
+
+
+def all_edges(rings: Column) -> Column:
+    return F.flatten(F.transform(rings, edges))
+
+
 def polygon_contains(rings: Column, x: Column, y: Column) -> Column:
-    """Inside an odd number of rings, so that holes are outside."""
-    return F.size(F.filter(rings, lambda r: ring_contains(r, x, y))) % 2 == 1
+    """Inside an odd number of rings, so that holes are outside, and so is the boundary."""
+    return (F.size(F.filter(rings, lambda r: ring_contains(r, x, y))) % 2 == 1) & ~F.exists(all_edges(rings), lambda e: on_edge(e, x, y))
+
+
+def edges_meet(e: Column, f: Column) -> Column:
+    """Whether two edges have a point in common."""
+    turn = lambda a, b, c: F.signum((b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"]))
+    cross = (turn(e["a"], e["b"], f["a"]) * turn(e["a"], e["b"], f["b"]) < 0) & (turn(f["a"], f["b"], e["a"]) * turn(f["a"], f["b"], e["b"]) < 0)
+    return cross | on_edge(e, f["a"]["x"], f["a"]["y"]) | on_edge(e, f["b"]["x"], f["b"]["y"]) | on_edge(f, e["a"]["x"], e["a"]["y"]) | on_edge(f, e["b"]["x"], e["b"]["y"])
+
+
+def polygons_intersect(a: Column, b: Column) -> Column:
+    """Whether two polygons (arrays of rings; several polygons are their rings together) have a point in common, touching included: edges meet, or one holds a corner of the other's rings."""
+    corner_in = lambda p, q: F.exists(p, lambda r: polygon_contains(q, F.get(r, F.lit(0))["x"], F.get(r, F.lit(0))["y"]))
+    return F.exists(all_edges(a), lambda e: F.exists(all_edges(b), lambda f: edges_meet(e, f))) | corner_in(a, b) | corner_in(b, a)
+
+
+def polygons_distance(a: Column, b: Column) -> Column:
+    """0 if they intersect, else the least distance between their edges, which begins or ends at a corner."""
+    apart = lambda p, q: F.array_min(F.transform(F.flatten(p), lambda v: F.array_min(F.transform(all_edges(q), lambda e: segment_distance(v["x"], v["y"], e)))))
+    return F.when(polygons_intersect(a, b), 0.0).otherwise(F.least(apart(a, b), apart(b, a)))
+
+
+def projected_rings(rings: Column, lon0: Column, lat0: Column) -> Column:
+    """The rings in metres east and north of an origin."""
+    flat = lambda v: F.struct(*(m.alias(k) for m, k in zip(projected(v["x"], v["y"], lon0, lat0), "xy", strict=True)))
+    return F.transform(rings, lambda r: F.transform(r, flat))
+
+
+def rings_bounds(rings: Column) -> Column:
+    return bounds(F.flatten(rings))
 
 
 def ring_area(ring: Column) -> Column:
@@ -96,15 +135,38 @@ def circle(x: Column, y: Column, radius: Column, corners: int = 32) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(corners - 1)), lambda i: F.struct((x + radius * F.cos(i * 2 * math.pi / corners)).alias("x"), (y + radius * F.sin(i * 2 * math.pi / corners)).alias("y")))
 
 
-#: Points of GeoJSON's Polygon and MultiPolygon, as the engine's polygons: polygon -> ring -> (x, y).
-GEOJSON = "struct<type:string, coordinates:variant>"
+def geojson_shapes(text: Column) -> Column:
+    """array<struct<type, coordinates>>: the parts of a GeoJSON geometry, of a Feature's, or of the members of a GeometryCollection (one level); null for anything else."""
+    value = F.try_parse_json(text)
+    shape = F.when(F.try_variant_get(value, "$.type", "string") == "Feature", F.try_variant_get(value, "$.geometry", "variant")).otherwise(value)
+    kind = lambda v: F.try_variant_get(v, "$.type", "string")
+    members = F.when(kind(shape) == "GeometryCollection", F.try_variant_get(shape, "$.geometries", "array<variant>")).otherwise(F.array(shape))
+    known = ("Point", "MultiPoint", "LineString", "MultiLineString", "Polygon", "MultiPolygon")
+    parts = F.transform(members, lambda m: F.struct(kind(m).alias("type"), F.try_variant_get(m, "$.coordinates", "variant").alias("coordinates")))
+    good = F.filter(parts, lambda p: p["type"].isin(*known) & p["coordinates"].isNotNull())
+    return F.when(F.size(good) > 0, good)
+
+
+def geojson_points(text: Column) -> Column:
+    """array<struct<x,y>> of all coordinates of a geometry of any type; null for anything else."""
+
+    def points(p: Column) -> Column:
+        get = lambda kind: F.try_variant_get(p["coordinates"], "$", kind)
+        deep = F.when(p["type"] == "Point", F.array(get("array<double>"))).when(p["type"].isin("MultiPoint", "LineString"), get("array<array<double>>"))
+        deep = deep.when(p["type"].isin("MultiLineString", "Polygon"), F.flatten(get("array<array<array<double>>>"))).otherwise(F.flatten(F.flatten(get("array<array<array<array<double>>>>"))))
+        return F.transform(deep, lambda c: F.struct(c[0].alias("x"), c[1].alias("y")))
+
+    return F.flatten(F.transform(geojson_shapes(text), points))
 
 
 def geojson_polygons(text: Column) -> Column:
-    """array<array<array<struct<x,y>>>> of a Polygon, a MultiPolygon or a Feature of one; null for all else. Rings of fewer than four points are dropped."""
-    value = F.try_parse_json(text)
-    shape = F.when(F.try_variant_get(value, "$.type", "string") == "Feature", F.try_variant_get(value, "$.geometry", "variant")).otherwise(value)
-    kind = F.try_variant_get(shape, "$.type", "string")
-    raw = F.when(kind == "Polygon", F.array(F.try_variant_get(shape, "$.coordinates", "array<array<array<double>>>"))).when(kind == "MultiPolygon", F.try_variant_get(shape, "$.coordinates", "array<array<array<array<double>>>>"))
+    """array<array<array<struct<x,y>>>> of the Polygons and MultiPolygons of a geometry, a Feature or a GeometryCollection; null without one. Rings of fewer than four points are dropped."""
+
+    def polygons(p: Column) -> Column:
+        one = F.when(p["type"] == "Polygon", F.array(F.try_variant_get(p["coordinates"], "$", "array<array<array<double>>>")))
+        return one.when(p["type"] == "MultiPolygon", F.try_variant_get(p["coordinates"], "$", "array<array<array<array<double>>>>"))
+
+    raw = F.flatten(F.filter(F.transform(geojson_shapes(text), polygons), lambda x: x.isNotNull()))
     ring = lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
-    return F.transform(raw, lambda polygon: F.filter(F.transform(polygon, ring), lambda r: F.size(r) >= 4))
+    out = F.transform(raw, lambda polygon: F.filter(F.transform(polygon, ring), lambda r: F.size(r) >= 4))
+    return F.when(F.size(out) > 0, out)

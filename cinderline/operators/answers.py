@@ -11,9 +11,9 @@ from cinderline.functions.rules import lookup
 from cinderline.functions.text import contains_evidence
 
 #: Statuses that need evidence of a restriction, the evidence, and evidence of none.
-RESTRICTIVE = ("advisory", "closure", "full", "partial", "stage_1", "stage_2", "year_round")
+RESTRICTIVE = ("advisory", "partial", "stage_1", "stage_2", "full", "closure", "year_round")
 RESTRICTIVE_EVIDENCE = r"(?iu)prohibit|restriction|ban|not allowed|not permitted|no campfires?|closed|closure|stage\s*(1|2|i|ii)|forest order|public[- ]use"
-NONE_EVIDENCE = r"(?isu)no (?:current |active )?(?:public[- ]use |fire public use |fire |campfire )?restrictions(?: \(?PURS\)?)?(?: are)?(?: currently)?(?: in effect| in place)?|(?:fire ban|fire restrictions?) (?:is|are) not in effect|no active forest fire restriction alerts were listed|restrictions?.{0,80}(lifted|rescinded|ended)|lifted.{0,80}restrictions?|rescinded|campfires? are allowed"
+NONE_EVIDENCE = r"(?iu)no (?:current |active )?(?:public[- ]use |fire public use |fire |campfire )?restrictions(?: \(?PURS\)?)?(?: are)?(?: currently)?(?: in effect| in place)?|(?:fire ban|fire restrictions?) (?:is|are) not in effect|no active forest fire restriction alerts were listed|restrictions?.{0,80}(lifted|rescinded|ended)|lifted.{0,80}restrictions?|rescinded|campfires? are allowed"
 #: Kinds of source whose text is a table, and those that only give context.
 TABULAR, CONTEXT = ("arcgis_feature_layer",), ("inciweb_feed", "nifc_feature_layer")
 #: Priorities of policies in combined answers; 0 for all others.

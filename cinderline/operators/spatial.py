@@ -2,28 +2,99 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderline.functions.geometry import bounds, boxes_overlap, footprint_miles, miles_between, polygon_contains, projected, ring_distance
+from cinderline.functions.geometry import all_edges, bounds, boxes_overlap, footprint_miles, miles_between, polygon_contains, polygons_distance, polygons_intersect, projected, projected_rings, ring_distance, rings_bounds, segment_distance
 from cinderline.functions.labels import proximity_tier
 from cinderline.functions.rules import METERS_PER_MILE
+from cinderline.sources.tables import materialise
 
 
-def cells(min_x: Column, min_y: Column, max_x: Column, max_y: Column, size: float) -> Column:
+def cells(min_x: Column, min_y: Column, max_x: Column, max_y: Column, size: float | Column) -> Column:
     """Array of (i, j) of all grid cells that a box touches."""
     span = lambda a, b: F.sequence(F.floor(a / size), F.floor(b / size))
     return F.flatten(F.transform(span(min_x, max_x), lambda i: F.transform(span(min_y, max_y), lambda j: F.struct(i.alias("i"), j.alias("j")))))
 
 
-def box_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, size: float) -> DataFrame:
-    """Pairs of ids whose boxes (min_x, min_y, max_x, max_y) overlap. Boxes meet in the cell where their intersection begins, so each pair comes once and needs no distinct."""
+#: Cells that a box is copied to on its own grid at most, and how much larger the next grid's cells are.
+MOST_CELLS, COARSER, GRIDS = 256, 16, 6
+
+
+def box_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, size: float, unboxed: bool = False) -> DataFrame:
+    """Pairs of ids whose boxes (min_x, min_y, max_x, max_y) overlap.
+
+    Boxes meet in the cell where their intersection begins, so each pair comes once and needs no
+    distinct. A box of many cells goes to a coarser grid, and each pair meets on the coarser of the
+    two boxes' grids. Rows without a box overlap everything by definition; they are paired only with
+    `unboxed`, for inputs that hold few of them.
+    """
     box = ("min_x", "min_y", "max_x", "max_y")
-    a = left.select(left_id, *box, F.explode(cells(*map(F.col, box), size)).alias("c")).select(left_id, *(F.col(b).alias(f"a_{b}") for b in box), "c.i", "c.j")
-    b = right.select(right_id, *box, F.explode(cells(*map(F.col, box), size)).alias("c")).select(right_id, *(F.col(x).alias(f"b_{x}") for x in box), "c.i", "c.j")
-    own = (F.col("i") == F.floor(F.greatest("a_min_x", "b_min_x") / size)) & (F.col("j") == F.floor(F.greatest("a_min_y", "b_min_y") / size))
+
+    def dealt(df: DataFrame, row_id: str, p: str) -> DataFrame:
+        wide = lambda k: (F.floor((F.col("max_x") - F.col("min_x")) / (size * COARSER**k)) + 2) * (F.floor((F.col("max_y") - F.col("min_y")) / (size * COARSER**k)) + 2)
+        own = F.lit(GRIDS - 1)
+        for k in reversed(range(GRIDS - 1)):
+            own = F.when(wide(k) <= MOST_CELLS, k).otherwise(own)
+        spread = df.select(row_id, *box).where(" and ".join(f"{x} is not null" for x in box)).withColumn("_own", own)
+        on = F.filter(F.array(*map(F.lit, range(GRIDS))), lambda k: k >= F.col("_own"))
+        by = spread.withColumn("_grid", F.explode(on)).withColumn("_size", size * F.pow(F.lit(float(COARSER)), F.col("_grid")))
+        return by.select(row_id, "_grid", "_size", F.col("_own").alias(f"{p}_own"), *(F.col(x).alias(f"{p}_{x}") for x in box), F.explode(cells(*map(F.col, box), F.col("_size"))).alias("c")).select("*", "c.i", "c.j").drop("c")
+
+    a, b = dealt(left, left_id, "a"), dealt(right, right_id, "b").drop("_size")
+    own = (F.col("i") == F.floor(F.greatest("a_min_x", "b_min_x") / F.col("_size"))) & (F.col("j") == F.floor(F.greatest("a_min_y", "b_min_y") / F.col("_size")))
     overlap = boxes_overlap(tuple(F.col(f"a_{x}") for x in box), tuple(F.col(f"b_{x}") for x in box))
-    return a.join(b, ["i", "j"]).where(own & overlap).select(left_id, right_id)
+    pairs = a.join(b, ["_grid", "i", "j"]).where((F.col("_grid") == F.greatest("a_own", "b_own")) & own & overlap).select(left_id, right_id)
+    if unboxed:
+        missing = " or ".join(f"{x} is null" for x in box)
+        pairs = pairs.unionByName(left.where(missing).select(left_id).crossJoin(right.select(right_id)))
+        pairs = pairs.unionByName(left.where(f"not ({missing})").select(left_id).crossJoin(right.where(missing).select(right_id)))
+    return pairs
+
+
+def polygon_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, size: float) -> DataFrame:
+    """Pairs of ids whose polygons (rings) have a point in common."""
+    boxed = lambda df, row_id: df.select(row_id, rings_bounds(F.col("rings")).alias("b")).select(row_id, "b.*")
+    near = box_join(boxed(left, left_id), boxed(right, right_id), left_id, right_id, size)
+    full = near.join(left.select(left_id, F.col("rings").alias("_a")), left_id).join(right.select(right_id, F.col("rings").alias("_b")), right_id)
+    return full.where(polygons_intersect(F.col("_a"), F.col("_b"))).select(left_id, right_id)
+
+
+def places_in_boundaries(places: DataFrame, boundaries: DataFrame, place_id: str, boundary_id: str, size: float) -> DataFrame:
+    """(place, boundary, how): contains for a place's point (x, y) in a boundary (rings), else intersects for its own rings, if it has any."""
+    inside = points_in_polygons(places.where("x is not null and y is not null"), boundaries, place_id, boundary_id, size).withColumn("how", F.lit("contains"))
+    meets = polygon_pairs(places.where("size(rings) > 0"), boundaries, place_id, boundary_id, size)
+    return inside.unionByName(meets.join(inside, [place_id, boundary_id], "left_anti").withColumn("how", F.lit("intersects")))
+
+
+def boundary_proximity(boundaries: DataFrame, incidents: DataFrame, boundary_id: str, incident_id: str, within: float = 30.0) -> DataFrame:
+    """(boundary, incident, miles, tier): inside where an incident's perimeter meets the boundary, else the tier of the distance between them.
+
+    boundaries: rings in degrees, with holes or of several polygons; incidents: lon, lat, acres and
+    rings (null: the circle of the area). Distances are on the plane that touches in the middle of
+    the boundary's box.
+    """
+    reach = within / 69.0
+    b = boundaries.select(boundary_id, F.col("rings").alias("_b"), rings_bounds(F.col("rings")).alias("box"))
+    mid = {"lon0": (F.col("box.min_x") + F.col("box.max_x")) / 2, "lat0": (F.col("box.min_y") + F.col("box.max_y")) / 2}
+    far = F.least(F.greatest(F.abs("box.min_y"), F.abs("box.max_y")) + reach, F.lit(89.0))
+    wide = reach / F.greatest(F.cos(F.radians(far)), F.lit(0.01))
+    left = b.select(boundary_id, (F.col("box.min_x") - wide).alias("min_x"), (F.col("box.min_y") - reach).alias("min_y"), (F.col("box.max_x") + wide).alias("max_x"), (F.col("box.max_y") + reach).alias("max_y"))
+    mapped = F.coalesce(F.size("rings") > 0, F.lit(False))
+    radius = F.when(mapped, 0.0).otherwise(footprint_miles(F.col("acres")))
+    own = F.when(mapped, rings_bounds(F.col("rings"))).otherwise(F.struct(F.col("lon").alias("min_x"), F.col("lat").alias("min_y"), F.col("lon").alias("max_x"), F.col("lat").alias("max_y")))
+    q = incidents.select(incident_id, "lon", "lat", "acres", F.when(mapped, F.col("rings")).alias("_q"), radius.alias("_r"), own.alias("o"))
+    grown, east = F.col("_r") / 69.0, F.col("_r") / 69.0 / F.greatest(F.cos(F.radians(F.least(F.abs("o.max_y") + 1, F.lit(89.0)))), F.lit(0.01))
+    right = q.select(incident_id, (F.col("o.min_x") - east).alias("min_x"), (F.col("o.min_y") - grown).alias("min_y"), (F.col("o.max_x") + east).alias("max_x"), (F.col("o.max_y") + grown).alias("max_y"))
+    near = box_join(left, right, boundary_id, incident_id, max(0.25, reach)).join(b.withColumns(mid).drop("box"), boundary_id).join(q.drop("o"), incident_id)
+    flat = projected_rings(F.col("_b"), F.col("lon0"), F.col("lat0"))
+    east_of, north_of = projected(F.col("lon"), F.col("lat"), F.col("lon0"), F.col("lat0"))
+    point = F.when(polygon_contains(flat, east_of, north_of), 0.0).otherwise(F.array_min(F.transform(all_edges(flat), lambda e: segment_distance(east_of, north_of, e))))
+    meters = F.when(F.col("_q").isNotNull(), polygons_distance(flat, projected_rings(F.col("_q"), F.col("lon0"), F.col("lat0")))).otherwise(F.greatest(F.lit(0.0), point - F.col("_r") * METERS_PER_MILE))
+    found = near.withColumn("miles", meters / METERS_PER_MILE).where(F.col("miles") <= within)
+    return found.select(boundary_id, incident_id, "miles", proximity_tier(F.col("miles"), F.col("acres")).alias("tier")).where("tier is not null")
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str, size: float) -> DataFrame:
@@ -72,26 +143,28 @@ def tier_rollup(pairs: DataFrame, point_id: str) -> DataFrame:
     return pairs.groupBy(point_id).agg(F.max_by("tier", rank).alias("tier"), F.count("*").alias("n"), F.min("miles").alias("nearest"))
 
 
-def nearest_feature(targets: DataFrame, features: DataFrame, target_id: str, feature_id: str, group: str, size: float, rounds: int = 2) -> DataFrame:
+def nearest_feature(targets: DataFrame, features: DataFrame, target_id: str, feature_id: str, group: str, size: float) -> DataFrame:
     """For each target the other feature of its group with the least squared distance (x, y), then the least id.
 
     Targets look at the nine cells about them. A find no farther than a cell's side is final; the
-    other targets look again with cells four times as large, and in the last round at all of their
-    group. With a size that suits the density few are left after the first round.
+    other targets look again with cells four times as large, until none is left or a cell is as large
+    as all features together. With a size that suits the density few are left after the first round;
+    every round is written, and reads only what the rounds before left.
     """
     f = features.select(group, feature_id, F.col("x").alias("fx"), F.col("y").alias("fy"))
-    left, done = targets.select(target_id, group, "x", "y"), None
-    for k in range(rounds + 1):
-        side = size * 4**k
-        if k < rounds:
-            around = F.explode(F.array(*(F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("d")
-            a = left.select("*", around).select(target_id, group, "x", "y", (F.floor(F.col("x") / side) + F.col("d.di")).alias("i"), (F.floor(F.col("y") / side) + F.col("d.dj")).alias("j"))
-            pairs = a.join(f.withColumns({"i": F.floor(F.col("fx") / side), "j": F.floor(F.col("fy") / side)}), [group, "i", "j"])
-        else:
-            pairs = left.join(f, group)
+    ends = f.agg(F.max("fx") - F.min("fx"), F.max("fy") - F.min("fy")).first()
+    whole = max(ends[0] or 0.0, ends[1] or 0.0)
+    left, done, side = targets.select(target_id, group, "x", "y"), [], size
+    reach = targets.agg(F.max(F.abs("x")), F.max(F.abs("y"))).first()
+    whole = 2 * (whole + max(reach[0] or 0.0, reach[1] or 0.0))
+    while True:
+        around = F.explode(F.array(*(F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("d")
+        a = left.select("*", around).select(target_id, group, "x", "y", (F.floor(F.col("x") / side) + F.col("d.di")).alias("i"), (F.floor(F.col("y") / side) + F.col("d.dj")).alias("j"))
+        pairs = a.join(f.withColumns({"i": F.floor(F.col("fx") / side), "j": F.floor(F.col("fy") / side)}), [group, "i", "j"])
         d = F.pow(F.col("x") - F.col("fx"), 2) + F.pow(F.col("y") - F.col("fy"), 2)
         best = pairs.where(F.col(target_id) != F.col(feature_id)).withColumn("d2", d).groupBy(target_id).agg(F.min(F.struct("d2", feature_id)).alias("b")).select(target_id, f"b.{feature_id}", "b.d2")
-        final = best.where(F.col("d2") <= side * side) if k < rounds else best
-        done = final if done is None else done.unionByName(final)
-        left = left.join(final.select(target_id), target_id, "left_anti")
-    return done
+        done.append(materialise(best.where(F.col("d2") <= side * side)))
+        left = materialise(left.join(done[-1].select(target_id), target_id, "left_anti"))
+        if side > whole or left.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        side *= 4

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cinderline.sources.tables import materialise
+
 
 def band_stats(df: DataFrame, groups: list[str], band: Column, value: str, part_of: list[str]) -> DataFrame:
     """By groups and band: mean, exact 10th and 90th percentiles with linear interpolation, count, and its share in per cent of the count over part_of."""
@@ -33,12 +35,13 @@ def cost_rollup(df: DataFrame, groups: list[str], tokens_in: Column, tokens_out:
 def page_assign(df: DataFrame, order: str, size: int) -> DataFrame:
     """page and place of each row in a total order, without one task that numbers all rows.
 
-    Rows are dealt by ranges of the order; numbers count on from the sizes of the ranges before.
+    Rows are dealt by ranges of the order and written, so that the ranges are the same for all that
+    follows; numbers count on from the sizes of the ranges before. Of rows that tie any may come first.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, order).withColumn("_p", F.spark_partition_id())
+    ranged = materialise(df.repartitionByRange(parts, order).withColumn("_p", F.spark_partition_id()))
     own = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
-    sizes = own.groupBy("_p").agg(F.max("_r").alias("_size"))  # one row a range
+    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_size"))  # one row a range
     before = sizes.alias("a").join(F.broadcast(sizes.alias("b")), F.col("b._p") < F.col("a._p"), "left").groupBy("a._p").agg(F.coalesce(F.sum("b._size"), F.lit(0)).alias("_before"))
     place = (F.col("_before") + F.col("_r")).cast("long")
     return own.join(F.broadcast(before), "_p").withColumn("place", place).withColumn("page", F.ceil(place / size).cast("long")).drop("_p", "_r", "_before")

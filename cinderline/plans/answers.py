@@ -9,21 +9,27 @@ from cinderline.operators import answers, feeds, history, joins, stats
 from cinderline.plans.catalogue import NEAR_SQL, STATUS, STATUS_SQL, Tables, near_pairs, of_type, query, seconds
 
 
-@query("""WITH c AS (SELECT d.doc_id, d.text, CASE d.doc_id % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'full' ELSE 'unknown' END AS status, CASE WHEN d.doc_id % 5 = 0 THEN 'allowed' ELSE 'unknown' END AS policy,
-    CASE d.doc_id % 4 WHEN 0 THEN 'inciweb_feed' WHEN 1 THEN 'arcgis_feature_layer' ELSE 'fs_fire_page' END AS kind,
-    CASE WHEN d.doc_id % 2 = 0 THEN 'Released under the MIT License.' ELSE 'campfires are allowed' END AS q, DATE '2024-01-01' + CAST(d.doc_id % 60 AS INTEGER) AS fin FROM documents d),
-    e AS (SELECT *, contains(trim(regexp_replace(text, '\\s+', ' ', 'g')), q) AS there, status = 'none' AND q = 'campfires are allowed' AS carries FROM c)
-    SELECT doc_id, kind <> 'arcgis_feature_layer' AND NOT there AS bad_quote, kind <> 'arcgis_feature_layer' AND status = 'full' AND NOT regexp_matches(q, '(?i)prohibit|restriction|ban|not allowed|closed|public[- ]use') AS no_evidence,
-    kind <> 'arcgis_feature_layer' AND status = 'full' AND fin < DATE '2024-01-31' AS past, kind = 'inciweb_feed' AND policy <> 'unknown' AS context FROM e""")
+QUOTES = (("Released under the MIT License.",), ("campfires are allowed",), ("restrictions apply", "new line: not lifted"), ("all restrictions were lifted", "no fire"), ())
+QUOTES_SQL = "CASE d.doc_id % 5 " + " ".join(f"WHEN {k} THEN [{', '.join(repr(x) for x in q)}]::VARCHAR[]" for k, q in enumerate(QUOTES)) + " END"
+
+
+@query(f"""WITH c AS (SELECT d.doc_id, d.text, trim(regexp_replace(d.text, '\\s+', ' ', 'g')) AS flat, CASE d.doc_id % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'full' ELSE 'unknown' END AS status, CASE WHEN d.doc_id % 5 = 0 THEN 'allowed' ELSE 'unknown' END AS policy,
+    CASE d.doc_id % 4 WHEN 0 THEN 'inciweb_feed' WHEN 1 THEN 'arcgis_feature_layer' ELSE 'fs_fire_page' END AS kind, {QUOTES_SQL} AS said, DATE '2024-01-01' + CAST(d.doc_id % 60 AS INTEGER) AS fin FROM documents d),
+    e AS (SELECT *, kind <> 'arcgis_feature_layer' AS read, list_filter(said, lambda q: CASE status WHEN 'none' THEN regexp_matches(q, '{answers.NONE_EVIDENCE.replace("(?iu)", "(?i)")}') WHEN 'full' THEN regexp_matches(q, '{answers.RESTRICTIVE_EVIDENCE.replace("(?iu)", "(?i)")}') ELSE false END) AS carrying FROM c),
+    g AS (SELECT *, CASE WHEN len(carrying) > 0 THEN array_to_string(carrying, chr(10)) || chr(10) || text WHEN len(said) = 0 THEN text ELSE array_to_string(said, chr(10)) END AS evidence,
+        len(list_filter(CASE WHEN len(carrying) > 0 THEN carrying ELSE said END, lambda q: NOT contains(flat, q))) > 0 AS lost FROM e)
+    SELECT doc_id, read AND lost AS bad_quote, read AND status = 'full' AND NOT regexp_matches(evidence, '{answers.RESTRICTIVE_EVIDENCE.replace("(?iu)", "(?i)")}') AS no_evidence,
+    read AND status = 'none' AND NOT regexp_matches(evidence, '{answers.NONE_EVIDENCE.replace("(?iu)", "(?i)")}') AS not_none,
+    read AND status = 'full' AND fin < DATE '2024-01-31' AS past, kind = 'inciweb_feed' AND policy <> 'unknown' AS context FROM g""")
 def observation_validation(t: Tables) -> DataFrame:
     k = F.col("doc_id")
     status = F.when(k % 3 == 0, "none").when(k % 3 == 1, "full").otherwise("unknown")
     kind = F.when(k % 4 == 0, "inciweb_feed").when(k % 4 == 1, "arcgis_feature_layer").otherwise("fs_fire_page")
-    quotes = F.array(F.when(k % 2 == 0, "Released under the MIT License.").otherwise("campfires are allowed"))
+    lists = F.array(*(F.array(*map(F.lit, q)).cast("array<string>") for q in QUOTES))
     end = F.date_add(F.lit("2024-01-01").cast("date"), (k % 60).cast("int"))
-    found = answers.validation_errors(status, F.when(k % 5 == 0, "allowed").otherwise("unknown"), quotes, F.col("text"), kind, end, F.lit("2024-01-31").cast("date"))
-    has = lambda code: F.array_contains("e", code)
-    return t.documents.select("doc_id", found.alias("e")).select("doc_id", has("quote").alias("bad_quote"), has("restrictive").alias("no_evidence"), has("past").alias("past"), has("context").alias("context"))
+    found = answers.validation_errors(status, F.when(k % 5 == 0, "allowed").otherwise("unknown"), F.get(lists, (k % 5).cast("int")), F.col("text"), kind, end, F.lit("2024-01-31").cast("date"))
+    codes = {"bad_quote": "quote", "no_evidence": "restrictive", "not_none": "none", "past": "past", "context": "context"}
+    return t.documents.select("doc_id", found.alias("e")).select("doc_id", *(F.array_contains("e", code).alias(name) for name, code in codes.items()))
 
 
 @query("""SELECT doc_id, kind <> 'arcgis_feature_layer' AND (conf < 0.7 OR NOT ok OR (status = 'unknown' AND regexp_matches(text, '(?i)restriction|campfire|public use|forest order|prohibit')) OR conflicts) AS escalate

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cinderline.functions import geometry, labels, text
 from cinderline.operators import history, joins, merge, resolve, search, spatial, stats
 from cinderline.sources import documents as pages
+from cinderline.sources import sinks
 from cinderline.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -363,9 +364,16 @@ def cost_rollup(t: Tables) -> DataFrame:
     return stats.cost_rollup(t.events, ["event_type"], F.floor(F.col("value") * 100), F.col("event_id") % 50, F.when(dear, 3.0).otherwise(1.0), F.when(dear, 15.0).otherwise(5.0)).withColumn("cost", F.round("cost", 4))
 
 
-@query("SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS place, CAST(ceil(row_number() OVER (ORDER BY p_partkey) / 450.0) AS BIGINT) AS page FROM part")
+@query("SELECT o_orderkey, o_custkey, o_orderpriority, row_number() OVER (ORDER BY o_orderkey) AS place, CAST(ceil(row_number() OVER (ORDER BY o_orderkey) / 450.0) AS BIGINT) AS page FROM orders")
 def page_assign(t: Tables) -> DataFrame:
-    return stats.page_assign(t.part.select("p_partkey"), "p_partkey", 450)
+    return stats.page_assign(t.orders.select("o_orderkey", "o_custkey", "o_orderpriority"), "o_orderkey", 450)
+
+
+@query("""SELECT CAST(ceil(row_number() OVER (ORDER BY u) / 40.0) AS BIGINT) AS page, '<url><loc>' || replace(replace(replace(replace(replace(u, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&apos;') || '</loc>' || CASE WHEN page_id % 3 = 0 THEN '' ELSE '<lastmod>2024-01-' || printf('%02d', 1 + page_id % 28) || '</lastmod>' END || '</url>' AS value
+    FROM (SELECT page_id, url, url || '?a=' || page_id || '&b' AS u FROM pages)""")
+def sitemap(t: Tables) -> DataFrame:
+    day_of = F.when(F.col("page_id") % 3 != 0, F.make_date(F.lit(2024), F.lit(1), (1 + F.col("page_id") % 28).cast("int")))
+    return sinks.sitemap_entries(t.pages.select(F.concat("url", F.lit("?a="), F.col("page_id").cast("string"), F.lit("&b")).alias("u"), day_of.alias("at")), "u", "at", 40)
 
 
 @query(" UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n FROM {n}" for n in TABLES))
@@ -450,6 +458,45 @@ def nearest_feature(t: Tables) -> DataFrame:
     return spatial.nearest_feature(p, p.withColumnRenamed("vec_id", "feature_id"), "vec_id", "feature_id", "label", 0.05).withColumn("d2", F.round("d2", 10))
 
 
+TRIANGLES_SQL = """t AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, 0.01 + (vec_id % 7) / 200.0 AS s FROM embeddings),
+    g AS (SELECT vec_id, label, s, [x - s, x + s, x] AS px, [y - s, y - s, y + s] AS py FROM t),
+    e AS (SELECT vec_id, label, i, px[i] AS ax, py[i] AS ay, px[i % 3 + 1] AS bx, py[i % 3 + 1] AS cy FROM g, (SELECT unnest([1, 2, 3]) AS i)),
+    c AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id FROM g a JOIN g b ON a.label = 1 AND b.label = 2 AND a.px[1] <= b.px[2] AND b.px[1] <= a.px[2] AND a.py[1] <= b.py[3] AND b.py[1] <= a.py[3]),
+    m AS (SELECT DISTINCT a_id, b_id FROM c JOIN e p ON p.vec_id = a_id JOIN e q ON q.vec_id = b_id
+        WHERE sign((p.bx - p.ax) * (q.ay - p.ay) - (p.cy - p.ay) * (q.ax - p.ax)) * sign((p.bx - p.ax) * (q.cy - p.ay) - (p.cy - p.ay) * (q.bx - p.ax)) <= 0
+        AND sign((q.bx - q.ax) * (p.ay - q.ay) - (q.cy - q.ay) * (p.ax - q.ax)) * sign((q.bx - q.ax) * (p.cy - q.ay) - (q.cy - q.ay) * (p.bx - q.ax)) <= 0),
+    i AS (SELECT a_id, b_id FROM c JOIN e q ON q.vec_id = b_id JOIN g p ON p.vec_id = a_id WHERE (q.ay > p.py[1]) <> (q.cy > p.py[1]) AND p.px[1] < q.ax + (p.py[1] - q.ay) / (q.cy - q.ay) * (q.bx - q.ax) GROUP BY 1, 2 HAVING count(*) % 2 = 1
+        UNION SELECT a_id, b_id FROM c JOIN e q ON q.vec_id = a_id JOIN g p ON p.vec_id = b_id WHERE (q.ay > p.py[1]) <> (q.cy > p.py[1]) AND p.px[1] < q.ax + (p.py[1] - q.ay) / (q.cy - q.ay) * (q.bx - q.ax) GROUP BY 1, 2 HAVING count(*) % 2 = 1)"""
+
+
+def triangles(t: Tables) -> DataFrame:
+    s = 0.01 + F.col("vec_id") % 7 / 200.0
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    ring = F.array(corner(lon() - s, lat() - s), corner(lon() + s, lat() - s), corner(lon(), lat() + s))
+    return t.embeddings.select("vec_id", "label", F.array(ring).alias("rings"))
+
+
+@query(f"WITH {TRIANGLES_SQL} SELECT * FROM m UNION SELECT * FROM i")
+def polygon_intersects(t: Tables) -> DataFrame:
+    g = triangles(t)
+    return spatial.polygon_pairs(g.where("label = 1").withColumnRenamed("vec_id", "a_id"), g.where("label = 2").withColumnRenamed("vec_id", "b_id"), "a_id", "b_id", 0.05)
+
+
+@query("""WITH b AS (SELECT vec_id, embedding[1]::DOUBLE * 10 - 120 AS x, embedding[2]::DOUBLE * 10 + 44 AS y, 0.01 + (vec_id % 7) / 20.0 AS s, (vec_id % 10) * 120.0 AS acres, label FROM embeddings),
+    k AS (SELECT a.vec_id AS boundary_id, q.vec_id AS incident_id, q.acres, a.s * pi() / 180 * 6378137.0 * cos(radians(a.y)) AS w, a.s * pi() / 180 * 6378137.0 AS h,
+        (q.x - a.x) * pi() / 180 * 6378137.0 * cos(radians(a.y)) AS u, (q.y - a.y) * pi() / 180 * 6378137.0 AS v FROM b a JOIN b q ON a.label = 1 AND q.label = 2),
+    d AS (SELECT *, greatest(0, sqrt(greatest(abs(u) - w, 0) ** 2 + greatest(abs(v) - h, 0) ** 2) - greatest(sqrt(acres * 4046.86 / pi()), 500.0)) / 1609.344 AS miles FROM k),
+    x AS (SELECT *, CASE WHEN miles <= 0 THEN 'inside' WHEN miles <= 10 THEN 'near' WHEN miles <= 30 AND acres >= 100 THEN 'regional' END AS tier FROM d)
+    SELECT boundary_id, incident_id, round(miles, 4) AS miles, tier FROM x WHERE tier IS NOT NULL""")
+def boundary_proximity(t: Tables) -> DataFrame:
+    x, y, s = lon() * 10 - 120, lat() * 10 + 44, 0.01 + F.col("vec_id") % 7 / 20.0
+    corner = lambda i, j: F.struct((x + i * s).alias("x"), (y + j * s).alias("y"))
+    squares = t.embeddings.where("label = 1").select(F.col("vec_id").alias("boundary_id"), F.array(F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1))).alias("rings"))
+    none = F.lit(None).cast("array<array<struct<x:double,y:double>>>")
+    fires = t.embeddings.where("label = 2").select(F.col("vec_id").alias("incident_id"), x.alias("lon"), y.alias("lat"), (F.col("vec_id") % 10 * 120.0).alias("acres"), none.alias("rings"))
+    return spatial.boundary_proximity(squares, fires, "boundary_id", "incident_id").withColumn("miles", F.round("miles", 4))
+
+
 # Documents and feeds
 
 @query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages""")

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import fnmatch
 import io
+import json
+import re
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 from typing import Any
 
 import pandas as pd
@@ -15,6 +18,9 @@ from pyspark.sql import functions as F
 from cinderline.functions.text import clean, first_present, normalize_name
 
 
+BLANK = re.compile(r"[ \t\n\r]*")
+
+
 def clean_headers(df: DataFrame) -> DataFrame:
     """Column names without byte-order marks and blanks around them."""
     return df.toDF(*(c.replace("﻿", "").replace("ï»¿", "").strip() for c in df.columns))
@@ -42,15 +48,78 @@ def read_zip(spark: SparkSession, path: str, entry: str, columns: list[str], sep
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """properties (variant), geometry (GeoJSON text), longitude, latitude of each feature. A truncated export stops the query."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.try_parse_json("value").alias("v"))
-    return exploded_features(whole)
+    """properties (variant), geometry (GeoJSON text), longitude, latitude of each feature of collections of any size.
 
+    A file is read by one task, feature by feature. One that is no JSON, has no features or says that
+    it was cut short stops the query. Collections of many gigabytes belong in lines (read_feature_lines).
+    """
 
-def exploded_features(whole: DataFrame) -> DataFrame:
-    flag = F.coalesce(F.try_variant_get("v", "$.exceededTransferLimit", "boolean"), F.try_variant_get("v", "$.properties.exceededTransferLimit", "boolean"), F.lit(False))
-    checked = whole.withColumn("v", F.when(flag, F.raise_error(F.lit("the export is incomplete"))).otherwise(F.col("v")))
-    one = checked.select(F.explode(F.try_variant_get("v", "$.features", "array<variant>")).alias("f"))
+    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for whole in pdf["value"]:
+                rows = feature_texts(whole)
+                while part := list(islice(rows, 1000)):
+                    yield pd.DataFrame({"value": part})
+
+    return feature_rows(spark.read.option("wholetext", True).text(path).mapInPandas(texts, "value string"))
+
+
+def read_feature_lines(spark: SparkSession, path: str) -> DataFrame:
+    """As read_features, from files with a feature a line, which are split among tasks."""
+    return feature_rows(spark.read.text(path).where("trim(value) <> ''"))
+
+
+def feature_texts(whole: str) -> Iterator[str]:
+    """The source text of each feature of a collection; ValueError if it is not whole JSON, has no array of features, or is incomplete."""
+    decoder, at, flagged, found = json.JSONDecoder(), 0, False, False
+
+    def skip(signs: str = "") -> str:
+        """Passes white space, and one of the signs, which is returned."""
+        nonlocal at
+        at = BLANK.match(whole, at).end()
+        if signs:
+            if whole[at : at + 1] not in tuple(signs):
+                raise ValueError(f"not a feature collection: at character {at}")
+            at += 1
+        return whole[at - 1 : at]
+
+    at = 1 if whole.startswith("\ufeff") else 0
+    skip("{")
+    while True:
+        skip()
+        if whole[at : at + 1] == "}":
+            break
+        key, at = decoder.raw_decode(whole, at)
+        skip(":")
+        skip()
+        if key == "features" and whole[at : at + 1] == "[":
+            at, found = at + 1, True
+            skip()
+            if whole[at : at + 1] == "]":
+                at += 1
+            else:
+                while True:
+                    skip()
+                    start = at
+                    at = decoder.raw_decode(whole, at)[1]
+                    yield whole[start:at]
+                    if skip(",]") == "]":
+                        break
+        else:
+            value, at = decoder.raw_decode(whole, at)
+            flagged |= key == "exceededTransferLimit" and value is True
+            flagged |= key == "properties" and isinstance(value, dict) and value.get("exceededTransferLimit") is True
+        if skip(",}") == "}":
+            break
+    if flagged:
+        raise ValueError("the export is incomplete")
+    if not found:
+        raise ValueError("not a feature collection: no features")
+
+
+def feature_rows(lines: DataFrame) -> DataFrame:
+    """lines: value, the text of one feature."""
+    one = lines.select(F.parse_json("value").alias("f"))
     point = F.when(F.try_variant_get("f", "$.geometry.type", "string") == "Point", F.try_variant_get("f", "$.geometry.coordinates", "array<double>"))
     return one.select(F.try_variant_get("f", "$.properties", "variant").alias("properties"), F.to_json(F.try_variant_get("f", "$.geometry", "variant")).alias("geometry"), F.get(point, F.lit(0)).alias("longitude"), F.get(point, F.lit(1)).alias("latitude"))
 
