@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cinderline.functions.rules import NEAR_MILES, POLICY_SEVERITY, REGIONAL_ACRES, REGIONAL_MILES, lookup
+from cinderline.functions.rules import FEET_PER_METER, NEAR_MILES, POLICY_SEVERITY, REGIONAL_ACRES, REGIONAL_MILES, SOURCE_PRECEDENCE, lookup
 
 
 def effective_policy(status: Column, policy: Column) -> Column:
@@ -95,5 +95,41 @@ def band_label(low: Column, width: int, top: int, unit: str = "ft") -> Column:
     return F.when(low >= top, F.concat(n(low), F.lit(f"+ {unit}"))).otherwise(F.concat(n(low), F.lit("-"), n(low + width), F.lit(f" {unit}")))
 
 
+def fahrenheit(celsius: Column) -> Column:
+    return celsius * 9.0 / 5.0 + 32.0
+
+
+def feet(meters: Column) -> Column:
+    return meters * FEET_PER_METER
+
+
+def significant(url: Column, acres: Column) -> Column:
+    """An incident with a page of its own, or a large one."""
+    return (F.coalesce(url, F.lit("")) != "") | (F.coalesce(acres, F.lit(0.0)) >= REGIONAL_ACRES)
+
+
+def in_box(lat: Column, lon: Column, geometry: Column, min_lat: float = 37.0, max_lat: float = 49.1, min_lon: float = -125.1, max_lon: float = -116.0) -> Column:
+    """Whether a record lies in the box (fixed values: where the data begin and end); a record at (0, 0) with a geometry has no point of its own and stays."""
+    y, x = F.coalesce(lat, F.lit(0.0)), F.coalesce(lon, F.lit(0.0))
+    return ((y == 0) & (x == 0) & geometry.isNotNull()) | (y.between(min_lat, max_lat) & x.between(min_lon, max_lon))
+
+
+def class_allowed(kind: Column, allowed: list[str]) -> Column:
+    """An empty list allows all."""
+    return F.coalesce(kind, F.lit("")).isin(*allowed) if allowed else F.lit(True)
+
+
+def custom_order(value: Column, order: list[str]) -> Column:
+    """A value's place in a stated order; those not in it come last."""
+    return lookup(value, {v: i for i, v in enumerate(order)}, len(order))
+
+
+def candidate_score(status: Column, errors: Column, source_type: Column, confidence: Column, created_at: Column) -> Column:
+    """Sorts candidates for review, the greatest first: status, validity, source, confidence in per cent, time."""
+    by_status = F.when(status.isin("closure", "full", "stage_2", "stage_1", "partial", "year_round"), 600).when(status == "none", 500).when(status == "advisory", 350).otherwise(0)
+    valid = F.when(F.coalesce(F.size(errors), F.lit(0)) <= 0, 50).otherwise(0)
+    return F.struct(by_status.alias("status"), valid.alias("valid"), lookup(source_type, SOURCE_PRECEDENCE, 0).alias("source"), F.round(F.coalesce(confidence, F.lit(0.0)) * 100).cast("int").alias("confidence"), F.coalesce(created_at, F.timestamp_seconds(F.lit(0))).alias("created_at"))
+
+
 def as_day(value: date | str) -> Column:
     return F.lit(str(value)).cast("date")

@@ -27,6 +27,7 @@ NAME_TOKENS = {
 SLUG_STOPS = r"\b(national forest|forest|wilderness|campground|trailhead)\b"
 #: Fixed values of map projection and distances.
 EARTH_RADIUS_METERS, METERS_PER_MILE, ACRE_SQUARE_METERS, LEAST_RADIUS_METERS = 6_378_137.0, 1609.344, 4046.86, 500.0
+FEET_PER_METER = 3.280839895
 NEAR_MILES, REGIONAL_MILES, REGIONAL_ACRES = 10, 30, 100
 #: Order of durations in lists of rules; 9 for all others.
 DURATION_RANK = {"temporary": 0, "incident": 1, "seasonal": 2, "permanent": 3}

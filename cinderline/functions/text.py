@@ -25,6 +25,18 @@ def slugify(name: Column) -> Column:
     return F.array_join(words(F.regexp_replace(normalize_name(name), SLUG_STOPS, "")), "-")
 
 
+def place_slug(dataset: Column, name: Column, external_id: Column, lat: Column, lon: Column) -> Column:
+    """dataset-name-suffix; without an external id the suffix is a hash of the record. lat, lon: as text."""
+    digest = F.substring(F.sha1(F.concat_ws(":", dataset, name, F.coalesce(lat, F.lit("")), F.coalesce(lon, F.lit("")))), 1, 8)
+    suffix = F.coalesce(F.nullif(F.trim(external_id), F.lit("")), digest)
+    return F.regexp_replace(F.concat_ws("-", dataset, slugify(name), slugify(suffix)), "-+", "-")
+
+
+def canonical_json(text: Column) -> Column:
+    """The same JSON with the keys of all objects sorted and no blanks; null for what is no JSON."""
+    return F.to_json(F.try_parse_json(text))
+
+
 def short_slug(text: Column, most: int = 72) -> Column:
     """Lower case, runs of other characters as "-", none at the ends, at most so many characters."""
     body = F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")

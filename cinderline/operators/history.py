@@ -80,3 +80,39 @@ def due(df: DataFrame, last: str, minutes: Column, now: Column) -> DataFrame:
 def replaced_history(old: DataFrame, rebuilt: DataFrame, origin: str, value: str) -> DataFrame:
     """The old rows of other origins and the rebuilt ones: running it again changes nothing."""
     return old.where(~F.col(origin).eqNullSafe(value)).unionByName(rebuilt.withColumn(origin, F.lit(value)))
+
+
+def conditional_headers(fetches: DataFrame, source: str, at: str, tie: str) -> DataFrame:
+    """source, etag, last_modified of each source's newest fetch with an etag, else of its newest with a last-modified. The two come from one row."""
+    pair = F.struct("etag", "last_modified")
+    newest = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(at, tie, pair.alias("pair"))))["pair"]
+    chosen = fetches.groupBy(source).agg(F.coalesce(newest("etag"), newest("last_modified")).alias("p"))
+    return chosen.where("p is not null").select(source, "p.etag", "p.last_modified")
+
+
+def closing_rows(last: DataFrame, current: DataFrame, live: DataFrame, key: str) -> DataFrame:
+    """The rows that close a history rebuilt up to now: key, from_status, from_policy, to_status, to_policy.
+
+    last: key, status, policy of the newest rebuilt row; current: key, status, policy as published.
+    Keys with live entries need none, nor do those whose current pair is the last one, nor unknown
+    ones without a history.
+    """
+    before = last.select(key, F.col("status").alias("from_status"), F.col("policy").alias("from_policy"), F.lit(True).alias("_there"))
+    joined = current.join(live.select(key).distinct(), key, "left_anti").join(before, key, "left")
+    same = F.col("_there").isNotNull() & F.col("from_status").eqNullSafe(F.col("status")) & F.col("from_policy").eqNullSafe(F.col("policy"))
+    new = joined.where(~same & ~(F.col("_there").isNull() & (F.col("status") == "unknown")))
+    return new.select(key, "from_status", "from_policy", F.col("status").alias("to_status"), F.col("policy").alias("to_policy"))
+
+
+def fetches_to_parse(fetches: DataFrame, observations: DataFrame, parser_on: bool) -> DataFrame:
+    """Fetches (id, source_id, error, document_id, changed) that are to be parsed: without error and with a document, changed or not parsed yet while their source has nothing but placeholders.
+
+    observations: fetch_id, source_id, reasons. Without any observation of its source a fetch is
+    parsed; with placeholders only where the parser is on.
+    """
+    placeholder = F.exists(F.coalesce(F.col("reasons"), F.array().cast("array<string>")), lambda r: r.rlike("(?i)LLM parsing is disabled or unavailable"))
+    sources = observations.groupBy("source_id").agg(F.bool_and(placeholder).alias("_only"))
+    parsed = observations.select(F.col("fetch_id").alias("id"), F.lit(True).alias("_parsed")).distinct()
+    ready = fetches.where("error is null and document_id is not null").join(parsed, "id", "left").join(sources, "source_id", "left")
+    again = F.col("_parsed").isNull() & (F.col("_only").isNull() | (F.col("_only") & F.lit(parser_on)))
+    return ready.where(F.coalesce(F.col("changed"), F.lit(False)) | again).drop("_parsed", "_only")

@@ -80,3 +80,10 @@ def conflicting_newest(claims: DataFrame, others: DataFrame, unit: str, source:
     newest = F.when(F.col("_seen._s") != F.col(source), F.struct("_seen.t", "_seen.v")).otherwise(F.col("_seen._prior"))
     recent = (newest["t"] > F.col(time) - F.expr(f"interval {days} days")) & (newest["v"] != F.col(status))
     return found.withColumn("conflicts", F.coalesce(recent, F.lit(False))).drop("_seen")
+
+
+def by_codes(units: DataFrame, features: DataFrame, unit: str, codes: str, code: str, value: str) -> DataFrame:
+    """Each unit with the values of the features of all its codes, in the order of the codes; a code without a feature stops the query."""
+    each = units.select(unit, F.posexplode(F.array_distinct(codes)).alias("_no", code))
+    joined = all_matched(each, features.select(code, value), [code])
+    return joined.groupBy(unit).agg(F.transform(F.array_sort(F.collect_list(F.struct("_no", value))), lambda s: s[value]).alias(f"{value}s"))

@@ -218,21 +218,8 @@ def season_rules(t: Tables) -> DataFrame:
 
 @query("""SELECT d.doc_id, count(*) AS items, min(item_id) AS first_item FROM documents d JOIN benchmark b ON contains(trim(regexp_replace(d.text, '\\s+', ' ', 'g')), trim(regexp_replace(b.text, '\\s+', ' ', 'g'))) GROUP BY 1""")
 def evidence_check(t: Tables) -> DataFrame:
-    """Passages found in documents. A word-run key joins candidates: each passage by its first eight words, each document by all of its runs of eight."""
-    run = 8
-    words = lambda c: F.split(text.evidence_text(F.col(c)), " ")
-    items = t.benchmark.select("item_id", text.evidence_text(F.col("text")).alias("needle"), words("text").alias("w"))
-    docs = t.documents.select("doc_id", text.evidence_text(F.col("text")).alias("hay"))
-    long_items = items.where(F.size("w") >= run + 2)
-    # The passage may begin and end inside a word, so its key is its second to ninth word.
-    keys = long_items.select("item_id", "needle", F.xxhash64(F.array_join(F.slice("w", 2, run), " ")).alias("k"))
-    split = docs.withColumn("w", F.split("hay", " "))
-    runs = split.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - run + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i, run), " "))))).alias("k"))
-    pairs = runs.join(keys, "k").select("doc_id", "item_id", "needle").join(docs, "doc_id").where(F.col("hay").contains(F.col("needle"))).select("doc_id", "item_id")
-    short = items.where(F.size("w") < run + 2)
-    few = short.select("item_id", "needle", F.xxhash64(F.lit(0)).alias("k"))
-    more = docs.withColumn("k", F.xxhash64(F.lit(0))).join(few, "k").where(F.col("hay").contains(F.col("needle"))).select("doc_id", "item_id")
-    return pairs.unionByName(more).groupBy("doc_id").agg(F.count_distinct("item_id").alias("items"), F.min("item_id").alias("first_item"))
+    found = search.passages_in_texts(t.documents, t.benchmark, "doc_id", "item_id")
+    return found.groupBy("doc_id").agg(F.count_distinct("item_id").alias("items"), F.min("item_id").alias("first_item"))
 
 
 @query("""SELECT doc_id, CASE WHEN hard THEN 'needs_review' WHEN auto AND conf >= 0.8 THEN 'auto_accepted' WHEN official AND (CASE WHEN status = 'none' THEN conf >= 0.85 AND clear ELSE status IN ('full', 'stage_1') AND conf >= 0.9 END) THEN 'auto_accepted' ELSE 'needs_review' END AS decision

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cinderline.functions import geometry, labels, text
-from cinderline.operators import history, joins, merge, resolve, spatial, stats
+from cinderline.operators import history, joins, localized, merge, resolve, search, spatial, stats
 from cinderline.sources import documents, records
 from cinderline.streaming import live
 
@@ -107,6 +107,85 @@ def test_geometry(spark):
     assert len(got) == 1 and len(got[0]) == 1 and v(geometry.geojson_polygons(F.lit("nonsense"))) is None
 
 
+def test_polygons(spark):
+    v = lambda c: value(spark, c)
+    box = lambda x0, y0, x1, y1: geometry.ring_of([(x0, y0), (x1, y0), (x1, y1), (x0, y1)])
+    big, hole = box(0, 0, 10, 10), box(2, 2, 8, 8)
+    ringed = F.array(big, hole)
+    meet = lambda a, b: v(geometry.polygons_intersect(a, b))
+    assert meet(F.array(big), F.array(box(4, 4, 5, 5))) and meet(F.array(box(4, 4, 5, 5)), F.array(big)) and meet(F.array(big), F.array(box(10, 10, 12, 12)))
+    assert not meet(ringed, F.array(box(4, 4, 5, 5))) and meet(ringed, F.array(box(4, 4, 9, 5))) and not meet(F.array(big), F.array(box(11, 0, 12, 1)))
+    assert v(geometry.polygons_distance(ringed, F.array(box(4, 4, 5, 5)))) == 2 and v(geometry.polygons_distance(F.array(big), F.array(box(13, 14, 15, 15)))) == 5
+    # The boundary, a hole's too, is not inside.
+    for x, y, inside in ((0.0, 5.0, False), (5.0, 0.0, False), (10.0, 10.0, False), (2.0, 5.0, False), (1.0, 5.0, True), (5.0, 5.0, False)):
+        assert v(geometry.polygon_contains(ringed, F.lit(x), F.lit(y))) is inside
+    many = '{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[9,8]},{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]},{"type":"LineString","coordinates":[[5,5],[6,6]]}]}'
+    assert len(v(geometry.geojson_polygons(F.lit(many)))) == 1 and [tuple(p) for p in v(geometry.geojson_points(F.lit(many)))] == [(9, 8), (0, 0), (1, 0), (1, 1), (0, 0), (5, 5), (6, 6)]
+    assert v(geometry.geojson_points(F.lit('{"type":"Point"}'))) is None and v(geometry.geojson_polygons(F.lit('{"type":"Point","coordinates":[1,2]}'))) is None
+
+
+def test_boxes(spark):
+    """Small boxes, one as large as all, and rows without a box."""
+    rows = [(i, x, x, x + 0.5, x + 0.5) for i, x in enumerate(map(float, range(0, 300, 3)))] + [(1000, -1e5, -1e5, 1e5, 1e5), (1001, None, 0.0, 1.0, 1.0)]
+    kind = "{} long, min_x double, min_y double, max_x double, max_y double"
+    a, b = spark.createDataFrame(rows, kind.format("a")), spark.createDataFrame(rows, kind.format("b"))
+    got = [(r.a, r.b) for r in spatial.box_join(a, b, "a", "b", 0.25).collect()]
+    want = {(i, i) for i in range(100)} | {(1000, i) for i in range(100)} | {(i, 1000) for i in range(100)} | {(1000, 1000)}
+    assert len(got) == len(set(got)) and set(got) == want
+    full = [(r.a, r.b) for r in spatial.box_join(a, b, "a", "b", 0.25, unboxed=True).collect()]
+    assert len(full) == len(set(full)) == len(want) + 2 * len(rows) - 1
+
+
+def test_nearest_feature_far_away(spark):
+    """Clusters and outliers, far sparser than the first cells."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    xy = [*rng.normal(0, 0.001, (60, 2)).tolist(), *rng.normal(500, 200, (12, 2)).tolist(), [9e4, -9e4]]
+    rows = [(i, "g", x, y) for i, (x, y) in enumerate(xy)] + [(900, "alone", 0.0, 0.0)]
+    p = spark.createDataFrame(rows, "t long, g string, x double, y double")
+    got = {r.t: r.f for r in spatial.nearest_feature(p, p.withColumnRenamed("t", "f"), "t", "f", "g", 0.01).collect()}
+    d = ((np.array(xy)[:, None] - np.array(xy)[None]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    assert got == {i: int(d[i].argmin()) for i in range(len(xy))}
+
+
+def test_boundary_proximity(spark):
+    mile = 1609.344 / (6_378_137.0 * 3.141592653589793 / 180)
+    square = lambda x, y, s: [[(x - s, y - s), (x + s, y - s), (x + s, y + s), (x - s, y + s)]]
+    kind = "array<array<struct<x:double,y:double>>>"
+    b = spark.createDataFrame([(1, square(-120.0, 44.0, 1.0))], f"b long, rings {kind}")
+    q = [(1, -120.0, 44.0, 10.0, square(-120.0, 44.0, 0.1)), (2, -120.0, 45.0 + 5 * mile, 10.0, None), (3, -120.0, 45.0 + 20 * mile + 0.2, 500.0, square(-120.0, 45.2 + 20 * mile, 0.2)), (4, -120.0, 45.0 + 20 * mile, 10.0, None), (5, -119.0, 45.0, 5.0, square(-118.99, 45.01, 0.01))]
+    got = {r.q: (r.tier, round(r.miles, 2)) for r in spatial.boundary_proximity(b, spark.createDataFrame(q, f"q long, lon double, lat double, acres double, rings {kind}"), "b", "q").collect()}
+    assert got == {1: ("inside", 0.0), 2: ("near", 4.69), 3: ("regional", 20.0), 5: ("inside", 0.0)}
+
+
+def test_passages(spark):
+    texts = spark.createDataFrame([(1, "one  two\nthree four"), (2, "xone two threex"), (3, ""), (4, None), (5, "two")], "t long, text string")
+    items = spark.createDataFrame([(1, "one two three"), (2, "two"), (3, "e two"), (4, " "), (5, None), (6, "one two five"), (7, "one missing three")], "p long, text string")
+    assert sorted((r.t, r.p) for r in search.passages_in_texts(texts, items, "t", "p").collect()) == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3), (5, 2)]
+
+
+def test_search_units(spark):
+    units = spark.createDataFrame([(1, "Deschutes National Forest", "deschutes national forest", "national_forest"), (1, "Deschutes", "deschutes", "national_forest"), (2, "Crater Lake", "crater lake", "national_park")], "unit_id long, name string, normalized_name string, unit_type string")
+    run = lambda q: {r.unit_id: r.score for r in search.search_units(units, q).collect()}
+    assert run("deschutes") == {1: 2400 + 130 + 1900 + 1800 + 1100 + 720 + 340} and run("lake") == {} and run("park") == {2: 2400 + 120 + 760} and run("") == {}
+    assert [search.clamped_limit(x) for x in (0, 99, "7", "x", None)] == [1, 20, 7, 8, 8]
+
+
+def test_localized_rules(spark):
+    ok = {"title": "t", "affected_area": "a", "status": "full", "campfire_policy": "prohibited", "duration_type": "seasonal", "area_type": "trail", "geometry_source_type": "none", "effective_start": None, "effective_end": "2023-01-01", "season_start_month": 6, "season_start_day": 1, "season_end_month": 9, "season_end_day": 30, "evidence_quotes": ["fires are  prohibited"], "geometry_json": None}
+    ok |= {c: "unknown" for c in localized.ALLOWED if c.endswith("stove_policy") or c == "charcoal_policy"}
+    kind = ", ".join(f"{k} {'int' if k.startswith('season') else 'array<string>' if k == 'evidence_quotes' else 'string'}" for k in ok)
+
+    def errors(**changes):
+        df = spark.createDataFrame([tuple((ok | changes).values())], kind)
+        return df.select(localized.localized_errors(F.lit("fs_fire_page"), F.lit("Here fires are prohibited."), labels.as_day("2024-01-31"), df.columns).alias("e")).first()["e"]
+
+    assert errors() == [] and errors(duration_type="temporary") == ["past"] and errors(season_start_month=13) == ["past", "range_season_start_month"]
+    assert errors(evidence_quotes=None) == ["missing_evidence"] and errors(evidence_quotes=["elsewhere"]) == ["quote", "restrictive"] and errors(geometry_json='{"type":"Box"}') == ["geometry"] and errors(effective_start="soon") == ["bad_start"]
+
+
 def test_proximity(spark):
     points = spark.createDataFrame([(1, -120.0, 44.0)], "p long, lon double, lat double")
     mile = 1609.344 / (6_378_137.0 * 3.141592653589793 / 180)
@@ -156,6 +235,21 @@ def test_statistics(spark):
     assert [r.place for r in paged] == list(range(1, 1001)) and paged[-1].page == 10
 
 
+def test_pages_of_many_rows(spark):
+    rows = spark.range(400_000).select(F.concat(F.lit("https://x.org/"), F.sha1(F.col("id").cast("string"))).alias("url"), F.col("id").alias("updated"))
+    paged = stats.page_assign(rows, "url", 45_000)
+    assert tuple(paged.agg(F.count_distinct("place"), F.min("place"), F.max("place"), F.max("page")).first()) == (400_000, 1, 400_000, 9)
+    ordered = paged.orderBy("url").select("place").limit(1000).collect()
+    assert [r.place for r in ordered] == list(range(1, 1001))
+
+
+def test_none_evidence_stays_in_its_line(spark):
+    from cinderline.operators import answers
+
+    run = lambda *q: value(spark, answers.validation_errors(F.lit("none"), F.lit("unknown"), F.array(*map(F.lit, q)), F.lit(" ".join(q)), F.lit("fs_fire_page"), F.lit(None).cast("date"), labels.as_day("2024-01-31")))
+    assert run("restrictions apply\nnew line: not lifted") == ["none"] and run("restrictions apply", "not lifted") == ["none"] and run("restrictions are lifted") == []
+
+
 def test_records(spark, tmp_path):
     import zipfile
 
@@ -175,6 +269,19 @@ def test_records(spark, tmp_path):
         records.read_records(spark, str(tmp_path / "b.geojson")).collect()
     with pytest.raises(ValueError, match="too many"):
         records.page_offsets(6000)
+    for bad, why in ((good[:-2], "collection|delimiter|Expecting"), ("[1]", "collection"), ('{"error":{"code":400}}', "no features"), ('{"features":[{"a":1} {"b":2}]}', "collection")):
+        (tmp_path / "c.geojson").write_text(bad)
+        with pytest.raises(Exception, match=why):
+            records.read_records(spark, str(tmp_path / "c.geojson")).collect()
+    (tmp_path / "d.geojson").write_text('\ufeff{ "features" : [ ] , "type":"FeatureCollection"}', encoding="utf-8")
+    assert records.read_features(spark, str(tmp_path / "d.geojson")).count() == 0
+    one = '{"type":"Feature","properties":{"n":%d,"s":"' + "x" * 900 + '"},"geometry":{"type":"Point","coordinates":[%d.5,2]}}'
+    (tmp_path / "big.geojson").write_text('{"type":"FeatureCollection","features":[' + ",\n".join(one % (i, i) for i in range(145_000)) + "]}")
+    assert (tmp_path / "big.geojson").stat().st_size > 140_000_000
+    big = records.read_features(spark, str(tmp_path / "big.geojson")).agg(F.count("*"), F.sum("longitude"), F.max(F.try_variant_get("properties", "$.n", "int"))).first()
+    assert tuple(big) == (145_000, sum(range(145_000)) + 72_500.0, 144_999)
+    (tmp_path / "lines.txt").write_text("\n".join(one % (i, i) for i in range(5)) + "\n\n")
+    assert records.read_feature_lines(spark, str(tmp_path / "lines.txt")).count() == 5
 
 
 def test_documents(spark):

@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from cinderline.plans import answers, catalogue  # noqa: F401 - registers its queries
+from cinderline.plans import answers, catalogue, rules  # noqa: F401 - they register their queries
 from tests.conftest import SMALL
 
 
