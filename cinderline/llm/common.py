@@ -3,38 +3,19 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cinderline.sources.tables import materialise, shared_dir  # noqa: F401 - for the operators
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir). Only a local session may lack it: it gets a new folder."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = tempfile.mkdtemp(prefix="cinderline-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read it again, so that lost executors cost nothing before it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Two columns under fixed names, a null text as the empty one; all other columns stay behind."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -26,7 +26,7 @@ ORDER = 4
 #: Labelled documents a language that the models are fitted on, as expected number; a fifth of them calibrates.
 PER_LANGUAGE = 1500
 #: A text is rejected beyond MARGIN times this quantile of the excess of its language's held-back texts, and never below LEAST_LIMIT.
-QUANTILE, MARGIN, LEAST_LIMIT = 0.98, 1.5, 8.0
+QUANTILE, MARGIN, LEAST_LIMIT = 0.98, 3.0, 16.0
 #: Held-back texts that calibrate a language by itself; with fewer it has the spread and limit of all together.
 ENOUGH = 10
 #: Characters scored at a time; a character takes some hundred bytes meanwhile.
