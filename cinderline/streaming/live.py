@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from cinderline.operators.history import latest_per_key
 from cinderline.operators.merge import snapshot_merge
 
 
@@ -40,12 +41,13 @@ def status_changes(stream: DataFrame, key: str, time: str, tie: str, value: str)
     return stream.select(key, time, tie, value).groupBy(key).applyInPandasWithState(step, out, "last string, seen_at timestamp, seen_tie long", "append", GroupStateTimeout.NoTimeout)
 
 
-def snapshot_sink(read_state: Callable[[], DataFrame], write_state: Callable[[DataFrame], None], key: str, keep_known: list[list[str]], now: Column) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: each micro-batch is a full snapshot that is merged into the state; an empty one is a failed run and changes nothing."""
+def snapshot_sink(read_state: Callable[[], DataFrame], write_state: Callable[[DataFrame], None], key: str, keep_known: list[list[str]], now: Column, order: str | None = None) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: each micro-batch is a full snapshot that is merged into the state; an empty one is a failed run and changes nothing. Of rows that repeat a key the newest by `order` counts, without an order any."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         if not batch.isEmpty():
-            write_state(snapshot_merge(read_state(), batch.dropDuplicates([key]), key, keep_known, now))
+            single = latest_per_key(batch, key, order, order) if order else batch.dropDuplicates([key])
+            write_state(snapshot_merge(read_state(), single, key, keep_known, now))
 
     return merge
 

@@ -314,3 +314,6 @@ def test_streams(spark, tmp_path):
     sink(empty, 0)
     sink(spark.createDataFrame(pd.DataFrame({"irwin_id": ["B"], "acres": [2.0], "perimeter": ["q"]})), 1)
     assert {r.irwin_id: r.active for r in kept["df"].collect()} == {"A": False, "B": True}
+    newest = live.snapshot_sink(lambda: kept["df"], lambda df: kept.update(df=spark.createDataFrame(df.collect(), STATE)), "irwin_id", [["perimeter"]], F.lit(9).cast("long"), order="acres")
+    newest(spark.createDataFrame([("B", 7.0, "q"), ("B", 3.0, "q")], "irwin_id string, acres double, perimeter string"), 2)
+    assert {r.irwin_id: r.acres for r in kept["df"].where("active").collect()} == {"B": 7.0}
