@@ -17,11 +17,11 @@ def effective_policy(status: Column, policy: Column) -> Column:
 
 
 def direction(before: Column, after: Column) -> Column:
-    """first, tightened, eased or updated; null where a policy has no grade."""
+    """first, tightened or eased; updated where the grade is the same or a policy has none."""
     rank = lambda p: lookup(p, POLICY_SEVERITY, -1)
     return (
         F.when(before.isNull(), "first")
-        .when((rank(before) < 0) | (rank(after) < 0), F.lit(None).cast("string"))
+        .when((rank(before) < 0) | (rank(after) < 0), "updated")
         .when(rank(after) > rank(before), "tightened")
         .when(rank(after) < rank(before), "eased")
         .otherwise("updated")

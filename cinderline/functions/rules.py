@@ -32,6 +32,19 @@ NEAR_MILES, REGIONAL_MILES, REGIONAL_ACRES = 10, 30, 100
 #: Order of durations in lists of rules; 9 for all others.
 DURATION_RANK = {"temporary": 0, "incident": 1, "seasonal": 2, "permanent": 3}
 
+#: Statuses that a map shows for the whole unit, reviews that publish, and which source a unit's link comes from (the least; 9 for all others).
+MAP_STATUSES, PUBLISHED_REVIEWS = ("closure", "full", "stage_1", "stage_2", "year_round"), ("accepted", "auto_accepted")
+LINK_RANK = {"fs_fire_info_page": 0, "fs_fire_page": 1, "fs_alerts_page": 2, "fs_release_page": 3, "nps_fire_page": 0, "nps_alerts_api": 1, "nps_conditions_page": 2}
+#: States by unit and, for other units, by market; "other" for all else.
+STATE_NAMES = {"or": "Oregon", "wa": "Washington", "ca": "California", "other": "Other"}
+STATE_BY_MARKET = {"oregon": "or", "washington": "wa", "northern_california": "ca", "extended_tahoe": "ca"}
+STATE_BY_UNIT = {
+    "colville": "wa", "deschutes": "or", "fremont-winema": "or", "gifford-pinchot": "wa", "malheur": "or", "mt-baker-snoqualmie": "wa", "mt-hood": "or", "ochoco-crooked-river": "or",
+    "okanogan-wenatchee": "wa", "olympic": "wa", "rogue-river-siskiyou": "or", "siuslaw": "or", "umatilla": "or", "umpqua": "or", "wallowa-whitman": "or", "willamette": "or",
+    "north-cascades": "wa", "mount-rainier": "wa", "olympic-national-park": "wa", "crater-lake": "or", "klamath": "ca", "six-rivers": "ca", "shasta-trinity": "ca", "mendocino": "ca",
+    "modoc": "ca", "lassen": "ca", "lassen-volcanic": "ca", "plumas": "ca", "tahoe": "ca", "eldorado": "ca", "lake-tahoe-basin": "ca",
+}
+
 
 def lookup(key: Column, table: dict, default) -> Column:
     """The table's value for a key, default for none."""

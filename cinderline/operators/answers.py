@@ -118,3 +118,40 @@ def stage_code(*fields: Column) -> tuple[Column, Column, Column]:
     code = F.coalesce(*(f.cast("string") for f in fields))
     status = lookup(code, {k: v[0] for k, v in STAGE_CODES.items()}, "unknown")
     return status, lookup(code, {k: v[1] for k, v in STAGE_CODES.items()}, "unknown"), F.when(status == "unknown", 0.35).otherwise(0.95)
+
+
+def current_pur(claims: DataFrame) -> DataFrame:
+    """Claims of an official forest page whose text shows seasonal public-use restrictions with low or moderate danger and level I: advisory, with fires allowed.
+
+    claims: authority, text, status, policy, fire_danger_rating, ifpl_level, effective_start, effective_end, order_number,
+    affected_area, summary, evidence_quotes, confidence, needs_review_reasons.
+    """
+    text = F.coalesce("text", F.lit(""))
+    shown = (F.col("authority") == "official_usfs") & text.rlike(r"(?i)PUR:\s*Seasonal Restrictions") & text.rlike(r"(?i)Fire Danger:\s*(?:LOW|MODERATE)") & text.rlike(r"(?i)IFPL:\s*I")
+    danger = F.when(text.rlike(r"(?i)Fire Danger:\s*MODERATE"), "MODERATE").otherwise("LOW")
+    summary = F.concat(F.lit("Current public-use restrictions are in Seasonal Restrictions/Phase A with "), danger, F.lit(" fire danger and IFPL I."))
+    quotes = F.array(F.concat(F.lit("Fire Danger: "), danger), F.lit("IFPL: I"), F.lit("PUR: Seasonal Restrictions"))
+    values = {"status": F.lit("advisory"), "policy": F.lit("allowed"), "fire_danger_rating": danger, "ifpl_level": F.lit("I"), "summary": summary, "evidence_quotes": quotes}
+    return overridden(claims, shown, values, 0.9, r"(?i)Seasonal Restrictions|Phase A|campfire policy|effective dates|template|informational page")
+
+
+def page_overrides(claims: DataFrame, pages: DataFrame) -> DataFrame:
+    """Claims of an official park page whose text matches the pattern stated for its source: status, policy, area, summary and quote of the page's row.
+
+    claims as for current_pur, with source_type and source_slug. pages: source_slug (once), pattern
+    (a regular expression), page_status, page_policy, page_area, page_summary, page_quote; curated by
+    hand, so it is small; Spark broadcasts it if its size allows.
+    """
+    joined = claims.join(pages, "source_slug", "left")
+    shown = (F.col("authority") == "official_nps") & (F.col("source_type") == "nps_fire_page") & F.regexp_like(F.coalesce("text", F.lit("")), F.col("pattern"))
+    values = {"status": F.col("page_status"), "policy": F.col("page_policy"), "affected_area": F.col("page_area"), "summary": F.col("page_summary"), "evidence_quotes": F.array("page_quote")}
+    return overridden(joined, shown, values, 0.95, r"(?i)LLM parsing is disabled or unavailable|campfire policy|effective dates|permanent|backcountry").select(*claims.columns)
+
+
+def overridden(claims: DataFrame, shown: Column, values: dict[str, Column], least: float, settled: str) -> DataFrame:
+    """Where `shown`, the values instead of the claim's, nothing in the other details, at least this confidence, and no reason for review that the override settles."""
+    shown = F.coalesce(shown, F.lit(False))
+    details = {c: F.lit(None) for c in ("fire_danger_rating", "ifpl_level", "effective_start", "effective_end", "order_number", "affected_area")}
+    reasons = F.coalesce("needs_review_reasons", F.array().cast("array<string>"))
+    fixed = details | values | {"confidence": F.greatest(F.coalesce("confidence", F.lit(0.0)), F.lit(least)), "needs_review_reasons": F.filter(reasons, lambda r: ~F.coalesce(r.rlike(settled), F.lit(False)))}
+    return claims.withColumn("_shown", shown).withColumns({c: F.when(F.col("_shown"), v).otherwise(F.col(c)) for c, v in fixed.items()}).drop("_shown")

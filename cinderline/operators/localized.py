@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinderline.functions.rules import DURATION_RANK, lookup
-from cinderline.functions.text import contains_evidence, lenient_date
+from cinderline.functions.text import contains_evidence, first_present, lenient_date, short_slug
 from cinderline.operators.answers import RESTRICTIVE, RESTRICTIVE_EVIDENCE, TABULAR
 
 #: What the columns of a rule may hold.
@@ -81,3 +83,37 @@ def selected_parts(parts: Column, indexes: Column) -> Column:
     at = lambda i: F.get(parts, F.when(i < 0, i + F.size(parts)).otherwise(i))
     chosen = F.filter(F.transform(F.coalesce(indexes, F.array().cast("array<int>")), at), lambda p: p.isNotNull())
     return F.when(F.size(chosen) > 0, chosen)
+
+
+def parsed_rules(rules: DataFrame) -> DataFrame:
+    """Rules as a parser gives them, made ready to keep: values outside their vocabulary are unknown, dates read, a recurring season has no dates, a title and slug are found.
+
+    rules: unit_id, source_slug, title, affected_area, duration_type, effective_start, effective_end
+    (text), the four season columns, status, campfire_policy, errors (array), confidence; other
+    columns stay. review_status is auto_accepted for a strong rule.
+    """
+    known = lambda c: F.when(F.col(c).isin(*ALLOWED[c]), F.col(c)).otherwise("unknown")
+    recurring = F.coalesce((F.col("duration_type") == "seasonal") & reduce(lambda a, b: a & b, (F.col(c).between(1, most) for c, most in SEASON.items())), F.lit(False))
+    title = F.coalesce(first_present(F.col("title"), F.col("affected_area")), F.lit("Localized fire-use rule"))
+    day = lambda c: F.when(~recurring, lenient_date(F.col(c)))
+    return rules.withColumns({
+        "review_status": F.when(strong_rule(F.col("errors"), F.col("confidence"), F.lit(None).cast("array<string>"), F.col("status")), "auto_accepted").otherwise("needs_review"),
+        "title": title, "slug": short_slug(F.concat_ws("-", "source_slug", title)), "effective_start": day("effective_start"), "effective_end": day("effective_end"),
+        **{c: known(c) for c in ("status", "campfire_policy", "duration_type")}, "origin": F.lit("parsed_source"), "confidence": F.coalesce("confidence", F.lit(0.0)),
+    })
+
+
+def keep_rules(state: DataFrame, parsed: DataFrame, now: Column) -> DataFrame:
+    """The state after parsed rules: of each (unit_id, slug) the last parsed rule, by fetch_id, instead of what was there, new ones added; created_at stays, updated_at is now for those that were there.
+
+    Both have unit_id, slug, fetch_id; state also created_at, updated_at.
+    """
+    keys = ["unit_id", "slug"]
+    values = [c for c in state.columns if c not in (*keys, "created_at", "updated_at")]
+    newest = parsed.groupBy(*keys).agg(F.max_by(F.struct(*values), "fetch_id").alias("_new"))
+    joined = state.withColumn("_there", F.lit(True)).join(newest, keys, "full_outer")
+    fresh = F.col("_new").isNotNull()
+    return joined.select(
+        *keys, *(F.when(fresh, F.col("_new")[c]).otherwise(F.col(c)).alias(c) for c in values),
+        F.coalesce("created_at", F.when(F.col("_there").isNull(), now)).alias("created_at"), F.when(fresh & F.col("_there").isNotNull(), now).otherwise(F.col("updated_at")).alias("updated_at"),
+    )

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from cinderline.functions.labels import effective_policy
 from cinderline.functions.rules import ACTIVE_ORDERS, POLICY_PRECEDENCE, SOURCE_PRECEDENCE, STATUS_SEVERITY, lookup
 from cinderline.operators.history import latest_per_key
+from cinderline.operators.localized import rule_order
+from cinderline.operators.stats import first_distinct
 
 
 def eligible(claims: DataFrame) -> DataFrame:
@@ -73,6 +75,58 @@ def published_state(resolved: DataFrame, previous: DataFrame, keep: tuple[str, .
     return resolved.join(old, unit, "left").withColumns({c: F.when(held, F.coalesce(F.col(f"_{c}"))).otherwise(F.col(c)) for c in keep}).drop(*(f"_{c}" for c in keep))
 
 
+def localized_outcome(active_rules: DataFrame, unit: str = "unit_id") -> DataFrame:
+    """What a unit's active rules say where no claim about the whole does: status partial, the first policy in precedence, and the areas, quotes and confidence of the rules.
+
+    active_rules: unit, rule_id, title, duration_type, policy, confidence, evidence_quotes, source_url; few a unit.
+    """
+    order = rule_order(F.col("duration_type"), F.col("title"), F.col("rule_id"))
+    quotes = F.coalesce("evidence_quotes", F.array().cast("array<string>"))
+    by = active_rules.groupBy(unit).agg(
+        first_in_precedence(F.col("policy")).alias("policy"), F.coalesce(F.max("confidence"), F.lit(0.0)).alias("confidence"),
+        F.array_sort(F.collect_list(F.struct(order.alias("o"), "title", quotes.alias("quotes"), "source_url"))).alias("_rules"),
+    )
+    titles, n = F.slice(F.transform("_rules", lambda r: r["title"]), 1, 3), F.size("_rules")
+    area = F.concat_ws(", ", titles, F.when(n > 3, F.concat(F.lit(" and "), (n - 3).cast("string"), F.lit(" more"))))
+    one = F.concat(F.lit("Accepted localized fire-use restriction is active: "), F.get(titles, F.lit(0)), F.lit("."))
+    return by.select(
+        unit, F.lit("localized").alias("outcome"), F.lit("partial").alias("status"), "policy", "confidence", area.alias("affected_area"),
+        F.when(n == 1, one).otherwise(F.concat(F.lit("Accepted localized fire-use restrictions are active, including "), area, F.lit("."))).alias("summary"),
+        first_distinct(F.flatten(F.transform("_rules", lambda r: r["quotes"])), 4).alias("evidence_quotes"), F.get("_rules", F.lit(0))["source_url"].alias("source_url"),
+    )
+
+
+def publish_with_rules(published: DataFrame, active_rules: DataFrame, unit: str = "unit_id") -> DataFrame:
+    """published, where units without any candidate take the outcome of their active rules, if they have some; columns affected_area, summary, evidence_quotes and source_url are added, null for all others."""
+    local = localized_outcome(active_rules, unit).select(unit, F.struct("outcome", "status", "policy", "confidence", "affected_area", "summary", "evidence_quotes", "source_url").alias("_l"))
+    joined = published.join(local, unit, "left")
+    own = (F.col("outcome") == "unknown") & F.col("_l").isNotNull()
+    taken = {c: F.when(own, F.col("_l")[c]).otherwise(F.col(c)) for c in ("outcome", "status", "policy", "confidence")}
+    added = {c: F.when(own, F.col("_l")[c]) for c in ("affected_area", "summary", "evidence_quotes", "source_url")}
+    return joined.withColumns(taken | added).drop("_l")
+
+
+def review_claims(claims: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The claims after a reviewer's decisions (claim_id once each; accept; reason), and which of them changed.
+
+    Accepted ones are accepted, all others rejected, with the stated reason, unless it is blank, after those they had.
+    """
+    joined = claims.join(decisions.select("claim_id", F.col("accept").alias("_accept"), F.col("reason").alias("_reason")), "claim_id", "left")
+    had = F.coalesce("needs_review_reasons", F.array().cast("array<string>"))
+    said = ~F.col("_accept") & (F.trim(F.coalesce("_reason", F.lit(""))) != "")
+    return joined.withColumns({
+        "changed": F.col("_accept").isNotNull(),
+        "review_status": F.when(F.col("_accept"), "accepted").when(~F.col("_accept"), "rejected").otherwise(F.col("review_status")),
+        "needs_review_reasons": F.when(said, F.array_append(had, F.concat(F.lit("Reviewer rejected: "), F.col("_reason")))).otherwise(had),
+    }).drop("_accept", "_reason")
+
+
+def resolve_touched(reviewed: DataFrame, precedence: Column | None = None, unit: str = "unit_id") -> DataFrame:
+    """The published answers of the units of which a claim changed, each resolved once from all its claims."""
+    touched = reviewed.where("changed").select(unit).distinct()
+    return publish(touched, resolve_claims(reviewed.join(touched, unit, "left_semi"), precedence, unit), unit)
+
+
 def first_in_precedence(policy: Column, order: tuple[str, ...] = POLICY_PRECEDENCE, default: str = "unknown") -> Column:
     """Aggregate: the group's policy that stands first in the order; an empty one counts as the default."""
     stated = F.coalesce(F.nullif(policy, F.lit("")), F.lit(default))

@@ -10,10 +10,42 @@ from pyspark.sql import functions as F
 from cinderline.sources.tables import materialise
 
 
+def exact_quantiles(df: DataFrame, groups: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """groups and a column for each share: the quantile with linear interpolation between neighbours in rank, as an array-free, spilling plan.
+
+    Values are counted first, then dealt by ranges of (groups, value) and written, so no task holds a
+    large group: running counts within a range, on top of the sizes of its group's earlier ranges,
+    tell which values hold the wanted ranks. Nulls do not count; a group of nulls only has no row.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    ranged = materialise(counts.repartitionByRange(parts, *groups, "_v").withColumn("_p", F.spark_partition_id()))
+    sizes = ranged.groupBy(*groups, "_p").agg(F.sum("_n").alias("_size"))  # a group has a row for each range it reaches into
+    by_group = Window.partitionBy(*groups)
+    sizes = sizes.select(*groups, "_p", (F.sum("_size").over(by_group.orderBy("_p")) - F.col("_size")).alias("_before"), F.sum("_size").over(by_group).alias("_total"))
+    same = [F.col(f"r.{g}").eqNullSafe(F.col(f"s.{g}")) for g in groups]
+    placed = ranged.alias("r").join(sizes.alias("s"), [F.col("r._p") == F.col("s._p"), *same]).select(*(f"r.{g}" for g in groups), "r._p", "_v", "_n", "_before", "_total")
+    last = F.col("_before") + F.sum("_n").over(Window.partitionBy(*groups, "_p").orderBy("_v"))
+    placed = placed.withColumn("_last", last).withColumn("_first", F.col("_last") - F.col("_n"))
+
+    def share_of(share: float) -> Column:
+        """What a value adds to the quantile: its weight, if it holds the rank below or above the wanted place."""
+        at = (F.col("_total") - 1) * share
+        low, part = F.floor(at), at - F.floor(at)
+        holds = lambda rank: (rank >= F.col("_first")) & (rank < F.col("_last"))
+        return F.when(holds(low), (1 - part) * F.col("_v")).otherwise(0.0) + F.when(holds(low + 1) & (part > 0), part * F.col("_v")).otherwise(0.0)
+
+    return placed.groupBy(*groups).agg(*(F.sum(share_of(q)).alias(name) for name, q in shares.items()))
+
+
 def band_stats(df: DataFrame, groups: list[str], band: Column, value: str, part_of: list[str]) -> DataFrame:
     """By groups and band: mean, exact 10th and 90th percentiles with linear interpolation, count, and its share in per cent of the count over part_of."""
-    by = df.groupBy(*groups, band.alias("band")).agg(F.avg(value).alias("mean"), F.percentile(value, F.lit(0.1)).alias("p10"), F.percentile(value, F.lit(0.9)).alias("p90"), F.count(value).alias("n"))
-    return by.withColumn("share", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(*part_of)))
+    rows = df.select(*groups, band.alias("band"), value)
+    by = rows.groupBy(*groups, "band").agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
+    ranks = exact_quantiles(rows, [*groups, "band"], value, {"p10": 0.1, "p90": 0.9})
+    same = [F.col(f"b.{g}").eqNullSafe(F.col(f"q.{g}")) for g in (*groups, "band")]
+    joined = by.alias("b").join(ranks.alias("q"), same, "left").select("b.*", "q.p10", "q.p90")
+    return joined.withColumn("share", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(*part_of)))
 
 
 def displayable(df: DataFrame, least: int = 5, share: float = 0.5) -> DataFrame:

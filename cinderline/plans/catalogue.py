@@ -141,7 +141,7 @@ def collapse_repeats(t: Tables) -> DataFrame:
 
 @query(f"""WITH {COLLAPSED_SQL}, r AS (SELECT *, CASE policy WHEN 'allowed' THEN 0 WHEN 'developed_sites_only' THEN 2 WHEN 'stoves_only' THEN 3 WHEN 'prohibited' THEN 4 ELSE -1 END AS a,
     CASE from_policy WHEN 'allowed' THEN 0 WHEN 'developed_sites_only' THEN 2 WHEN 'stoves_only' THEN 3 WHEN 'prohibited' THEN 4 ELSE -1 END AS b FROM x)
-    SELECT user_id, event_id, CASE WHEN from_policy IS NULL THEN 'first' WHEN a < 0 OR b < 0 THEN NULL WHEN a > b THEN 'tightened' WHEN a < b THEN 'eased' ELSE 'updated' END AS direction FROM r""")
+    SELECT user_id, event_id, CASE WHEN from_policy IS NULL THEN 'first' WHEN a < 0 OR b < 0 THEN 'updated' WHEN a > b THEN 'tightened' WHEN a < b THEN 'eased' ELSE 'updated' END AS direction FROM r""")
 def change_direction(t: Tables) -> DataFrame:
     return collapsed(t).select("user_id", "event_id", labels.direction(F.col("from_policy"), F.col("policy")).alias("direction"))
 

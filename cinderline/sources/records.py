@@ -174,3 +174,41 @@ def page_offsets(total: int, size: int = 250, most: int = 20) -> list[int]:
     if pages > most:
         raise ValueError("too many pages")
     return [size * i for i in range(max(1, pages))]
+
+
+def read_manifest(spark: SparkSession, path: str, part: str | None = None, required: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each JSON document (a file each), or for the object or array of objects in its member `part`. A missing required member stops the query."""
+    df = spark.read.option("multiLine", True).json(path)
+    if part:
+        kind = df.schema[part].dataType
+        df = df.select(F.inline(part)) if kind.typeName() == "array" else df.select(f"{part}.*")
+    for name in required:
+        if name not in df.columns:
+            raise ValueError(f"{path} has no {name}")
+        df = df.withColumn(name, F.when(F.col(name).isNull(), F.raise_error(F.lit(f"no {name} in the manifest")).cast(df.schema[name].dataType)).otherwise(F.col(name)))
+    return df
+
+
+def with_geometry_files(rules: DataFrame, folder: str) -> DataFrame:
+    """rules (geometry_path: below the folder, or null; geometry_json: text or null) with the geometry and the member map_subfeatures (JSON text) of the file that a path names.
+
+    Of a collection the first feature counts; a rule's own geometry goes before its file's. A path without a file stops the query.
+    """
+    spark = rules.sparkSession
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder).select(F.substring_index(F.col("_metadata.file_path"), folder.rstrip("/") + "/", -1).alias("_at"), F.try_parse_json("value").alias("_j"))
+    first = F.coalesce(F.try_variant_get("_j", "$.features[0]", "variant"), F.when(F.try_variant_get("_j", "$.type", "string") != "FeatureCollection", F.col("_j")))
+    geometry = F.when(F.try_variant_get(first, "$.type", "string") == "Feature", F.try_variant_get(first, "$.geometry", "variant")).otherwise(first)
+    files = files.select("_at", F.to_json(geometry).alias("_geometry"), F.to_json(F.try_variant_get(first, "$.properties.map_subfeatures", "variant")).alias("map_subfeatures"))
+    named = F.nullif("geometry_path", F.lit(""))
+    joined = rules.withColumn("_named", named).join(files, F.col("_at") == F.col("_named"), "left")
+    found = F.when(F.col("_named").isNotNull() & F.col("_at").isNull(), F.raise_error(F.concat(F.lit("no file "), F.col("_named")))).otherwise(F.col("_geometry"))
+    return joined.withColumn("geometry_json", F.coalesce("geometry_json", found)).drop("_at", "_named", "_geometry")
+
+
+def exactly_one(df: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
+    """df's row for each wanted combination of keys; one that has no row, or several, stops the query."""
+    counted = df.join(wanted.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.count("*").alias("_n"), F.any_value(F.struct(*(c for c in df.columns if c not in keys))).alias("_row"))
+    joined = wanted.select(*keys).distinct().join(counted, keys, "left")
+    said = F.concat(F.lit("expected one row, found "), F.coalesce("_n", F.lit(0)).cast("string"), F.lit(" for "), F.concat_ws(", ", *(F.col(k).cast("string") for k in keys)))
+    kind = counted.schema["_row"].dataType
+    return joined.select(*keys, F.when(F.coalesce("_n", F.lit(0)) == 1, F.col("_row")).otherwise(F.raise_error(said).cast(kind)).alias("_row")).select(*keys, "_row.*")
