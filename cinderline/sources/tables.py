@@ -22,6 +22,16 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage: write to the shared folder and read it again, so that lost executors cost nothing before it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
+    path = f"{steps_dir(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def steps_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/steps-{spark.sparkContext.applicationId}"
+
+
+def remove_steps(spark: SparkSession) -> None:
+    """Deletes this application's steps. To be called once its results are written: what reads them afterwards fails."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(steps_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

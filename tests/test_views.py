@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cinderline.functions import words
 from cinderline.operators import answers, resolve, stats, views
-from cinderline.sources import records
+from cinderline.sources import records, tables
 
 
 def one(spark, column):
@@ -112,3 +112,16 @@ def test_overrides_leave_other_claims_alone(spark):
     row = lambda authority, t: (authority, t, "full", "prohibited", "X", None, None, None, "1", "a", "s", ["q"], None, None)
     got = answers.current_pur(spark.createDataFrame([row("official_usfs", text), row("official_nps", text), row(None, text), row("official_usfs", None)], schema)).collect()
     assert [(r.status, r.order_number, r.confidence) for r in got] == [("advisory", None, 0.9)] + [("full", "1", None)] * 3
+
+
+def test_steps_are_removed(spark, tmp_path):
+    kept = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))  # so that no other test's steps go
+    try:
+        step = tables.materialise(spark.range(5))
+        assert step.count() == 5 and len(list(tmp_path.glob("steps-*/step-*"))) == 1
+        tables.remove_steps(spark)
+        assert not list(tmp_path.iterdir())
+        tables.remove_steps(spark)
+    finally:
+        spark.conf.set("spark.checkpoint.dir", kept)
