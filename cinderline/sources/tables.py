@@ -8,14 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The folders of local sessions that name none, by application.
+LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir). Only a local session may lack it: it gets a new folder."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = tempfile.mkdtemp(prefix="cinderline-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        # The setting cannot be changed in a running session, so the folder is remembered here.
+        app = spark.sparkContext.applicationId
+        where = LOCAL.get(app) or LOCAL.setdefault(app, tempfile.mkdtemp(prefix="cinderline-"))
     return where
 
 

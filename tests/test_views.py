@@ -114,14 +114,23 @@ def test_overrides_leave_other_claims_alone(spark):
     assert [(r.status, r.order_number, r.confidence) for r in got] == [("advisory", None, 0.9)] + [("full", "1", None)] * 3
 
 
-def test_steps_are_removed(spark, tmp_path):
-    kept = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))  # so that no other test's steps go
-    try:
-        step = tables.materialise(spark.range(5))
-        assert step.count() == 5 and len(list(tmp_path.glob("steps-*/step-*"))) == 1
-        tables.remove_steps(spark)
-        assert not list(tmp_path.iterdir())
-        tables.remove_steps(spark)
-    finally:
-        spark.conf.set("spark.checkpoint.dir", kept)
+def test_steps_are_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "shared_dir", lambda _: str(tmp_path))  # so that no other test's steps go
+    step = tables.materialise(spark.range(5))
+    assert step.count() == 5 and len(list(tmp_path.glob("steps-*/step-*"))) == 1
+    tables.remove_steps(spark)
+    assert not list(tmp_path.glob("steps-*"))
+    tables.remove_steps(spark)
+
+
+def test_local_session_without_a_folder_gets_one(spark, monkeypatch):
+    class Conf:
+        def get(self, name, default=None):
+            return default if name == "spark.checkpoint.dir" else spark.conf.get(name, default)
+
+    class Session:
+        conf, sparkContext = Conf(), spark.sparkContext
+
+    monkeypatch.setattr(tables, "LOCAL", {})
+    first = tables.shared_dir(Session)
+    assert first == tables.shared_dir(Session) and tables.LOCAL == {spark.sparkContext.applicationId: first}
