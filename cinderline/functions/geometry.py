@@ -170,3 +170,32 @@ def geojson_polygons(text: Column) -> Column:
     ring = lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
     out = F.transform(raw, lambda polygon: F.filter(F.transform(polygon, ring), lambda r: F.size(r) >= 4))
     return F.when(F.size(out) > 0, out)
+
+
+def segments(line: Column) -> Column:
+    """Array of (a, b) over the neighbouring points of an open line; empty for fewer than two."""
+    n = F.size(line)
+    return F.when(n > 1, F.arrays_zip(F.slice(line, F.lit(1), F.greatest(n - 1, F.lit(1))).alias("a"), F.slice(line, F.lit(2), F.greatest(n - 1, F.lit(1))).alias("b"))).otherwise(F.slice(F.arrays_zip(line.alias("a"), line.alias("b")), F.lit(1), F.lit(0)))
+
+
+def line_length(line: Column) -> Column:
+    return F.aggregate(segments(line), F.lit(0.0), lambda s, e: s + F.hypot(e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]))
+
+
+def nearest_on_line(line: Column, x: Column, y: Column) -> Column:
+    """(distance, offset) of a line's point that is nearest to (x, y), offset along the line from its start; of equally near ones the first. Null for fewer than two points."""
+
+    def step(state: Column, e: Column) -> Column:
+        (ax, ay), (bx, by) = ((e[k]["x"], e[k]["y"]) for k in ("a", "b"))
+        dx, dy = bx - ax, by - ay
+        length = F.hypot(dx, dy)
+        t = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - ax) * dx + (y - ay) * dy) / (length * length)))).otherwise(0.0)
+        away = F.hypot(x - ax - t * dx, y - ay - t * dy)
+        closer = state["distance"].isNull() | (away < state["distance"])
+        offset = F.when(closer, state["passed"] + t * length).otherwise(state["offset"])
+        return F.struct(F.when(closer, away).otherwise(state["distance"]).alias("distance"), offset.alias("offset"), (state["passed"] + length).alias("passed"))
+
+    none = F.lit(None).cast("double")
+    start = F.struct(none.alias("distance"), none.alias("offset"), F.lit(0.0).alias("passed"))
+    found = F.aggregate(segments(line), start, step)
+    return F.when(F.size(line) > 1, F.struct(found["distance"].alias("distance"), found["offset"].alias("offset")))

@@ -116,3 +116,16 @@ def fetches_to_parse(fetches: DataFrame, observations: DataFrame, parser_on: boo
     ready = fetches.where("error is null and document_id is not null").join(parsed, "id", "left").join(sources, "source_id", "left")
     again = F.col("_parsed").isNull() & (F.col("_only").isNull() | (F.col("_only") & F.lit(parser_on)))
     return ready.where(F.coalesce(F.col("changed"), F.lit(False)) | again).drop("_parsed", "_only")
+
+
+def newest(df: DataFrame, limit: int, *order: str) -> DataFrame:
+    """The newest rows by the columns in turn (a top-k, as the feature asks); every task keeps its own newest before any row moves."""
+    return df.orderBy(*(F.desc(c) for c in order)).limit(limit)
+
+
+def where_given(df: DataFrame, **wanted: object) -> DataFrame:
+    """Rows that have each wanted value; a wanted None asks nothing."""
+    for name, value in wanted.items():
+        if value is not None:
+            df = df.where(F.col(name) == F.lit(value))
+    return df

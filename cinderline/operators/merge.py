@@ -60,3 +60,13 @@ def keyed_upsert(state: DataFrame, incoming: DataFrame, keys: list[str], values:
     joined = s.join(n.withColumn("_in", F.lit(True)).alias("n"), on, "full_outer")
     fresh = F.coalesce("_in", F.lit(False))
     return joined.select(*(F.when(fresh, F.col(f"n.{k}")).otherwise(F.col(f"s.{k}")).alias(k) for k in keys), *(F.when(fresh, F.col(f"n.{v}")).otherwise(F.col(f"s.{v}")).alias(v) for v in values))
+
+
+def reseeded(state: DataFrame, seeded: DataFrame, key: str, dataset: str, name: str) -> DataFrame:
+    """The state after a dataset has been derived anew: its seeded rows inserted or updated and active, its others inactive; other datasets' rows stay.
+
+    state: key, dataset, values and active; seeded: key and values, each key once. Running it again changes nothing.
+    """
+    new = seeded.withColumns({dataset: F.lit(name), "active": F.lit(True)})
+    old = state.join(new.select(key, dataset), [key, dataset], "left_anti")
+    return old.withColumn("active", F.col("active") & ~F.col(dataset).eqNullSafe(name)).unionByName(new.select(*state.columns))

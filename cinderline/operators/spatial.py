@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderline.functions.geometry import all_edges, bounds, boxes_overlap, footprint_miles, miles_between, polygon_contains, polygons_distance, polygons_intersect, projected, projected_rings, ring_distance, rings_bounds, segment_distance
@@ -168,3 +168,16 @@ def nearest_feature(targets: DataFrame, features: DataFrame, target_id: str, fea
         if side > whole or left.isEmpty():
             return reduce(DataFrame.unionByName, done)
         side *= 4
+
+
+def combined_polygons(features: DataFrame, key: str, polygons: str, order: str) -> DataFrame:
+    """key, polygons: the polygons of all a key's features one after another, in their order; features without polygons add none. For keys whose parts fit one geometry."""
+    parts = features.where(F.col(polygons).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(polygons).alias("p")))).alias("_l"))
+    return parts.select(key, F.flatten(F.transform("_l", lambda s: s["p"])).alias(polygons))
+
+
+def track_offsets(points: DataFrame, key: str, order: list[str], x: str, y: str) -> DataFrame:
+    """points with step (the way from the point before; 0 at the first) and offset (the way from the first), in plane units."""
+    w = Window.partitionBy(key).orderBy(*order)
+    step = F.coalesce(F.hypot(F.col(x) - F.lag(x).over(w), F.col(y) - F.lag(y).over(w)), F.lit(0.0))
+    return points.withColumn("step", step).withColumn("offset", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)))

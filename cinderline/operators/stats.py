@@ -104,3 +104,8 @@ def joined_labels(df: DataFrame, phrase: str, label: str) -> DataFrame:
     n = F.size("_l")
     head = F.array_join(F.slice("_l", F.lit(1), F.greatest(n - 1, F.lit(0))), ", ")
     return by.select(phrase, F.when(n > 1, F.concat(head, F.lit(" and "), F.element_at("_l", -1))).otherwise(F.element_at("_l", 1)).alias("labels"))
+
+
+def page_rows(df: DataFrame, order: str, size: int, page: int) -> DataFrame:
+    """The rows of one page, with their places; what a limit and an offset in a total order give."""
+    return page_assign(df, order, size).where(F.col("page") == page).drop("page")

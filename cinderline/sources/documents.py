@@ -109,16 +109,16 @@ def parse_alerts(df: DataFrame, body: str, keywords: str) -> DataFrame:
     })
 
 
-def parse_rss(df: DataFrame, body: str) -> DataFrame:
-    """A row for each item of an RSS text: title, link, description, unit (first word of the title, upper case) and name."""
+def parse_rss(df: DataFrame, body: str, *keep: str) -> DataFrame:
+    """A row for each item of an RSS text: the columns to keep, n (its place, from 0), title, link, description, unit (first word of the title, upper case) and name."""
 
     def tag(item: Column, name: str) -> Column:
         raw = F.regexp_extract(item, rf"(?is)<{name}[^>]*>(.*?)</{name}>", 1)
         return F.trim(decode_entities(F.regexp_replace(raw, r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", "$1")))
 
-    items = df.select(F.posexplode(F.regexp_extract_all(F.coalesce(F.col(body), F.lit("")), F.lit(r"(?is)<item\b[^>]*>(.*?)</item>"), F.lit(1))).alias("n", "item"))
+    items = df.select(*keep, F.posexplode(F.regexp_extract_all(F.coalesce(F.col(body), F.lit("")), F.lit(r"(?is)<item\b[^>]*>(.*?)</item>"), F.lit(1))).alias("n", "item"))
     parts = F.split(tag(F.col("item"), "title"), " ", 2)
-    return items.select("n", tag(F.col("item"), "title").alias("title"), F.regexp_replace(tag(F.col("item"), "link"), "^http://", "https://").alias("link"), tag(F.col("item"), "description").alias("description"), F.upper(F.get(parts, F.lit(0))).alias("unit"), incident_name(F.get(parts, F.lit(1))).alias("name"))
+    return items.select(*keep, "n", tag(F.col("item"), "title").alias("title"), F.regexp_replace(tag(F.col("item"), "link"), "^http://", "https://").alias("link"), tag(F.col("item"), "description").alias("description"), F.upper(F.get(parts, F.lit(0))).alias("unit"), incident_name(F.get(parts, F.lit(1))).alias("name"))
 
 
 def feed_problem(body: Column) -> Column:

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from itertools import islice
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -212,3 +213,52 @@ def exactly_one(df: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
     said = F.concat(F.lit("expected one row, found "), F.coalesce("_n", F.lit(0)).cast("string"), F.lit(" for "), F.concat_ws(", ", *(F.col(k).cast("string") for k in keys)))
     kind = counted.schema["_row"].dataType
     return joined.select(*keys, F.when(F.coalesce("_n", F.lit(0)) == 1, F.col("_row")).otherwise(F.raise_error(said).cast(kind)).alias("_row")).select(*keys, "_row.*")
+
+
+def typed_import(df: DataFrame, types: dict[str, str], known: DataFrame, key: str) -> DataFrame:
+    """df's columns with their types. A column that is missing, a text that is no value of its type, and a key that is not among the known ones stop the query; an empty text is null."""
+
+    def typed(name: str, kind: str) -> Column:
+        text = F.nullif(F.trim(F.col(name).cast("string")), F.lit(""))
+        value = text.try_cast(kind)
+        return F.when(text.isNotNull() & value.isNull(), F.raise_error(F.concat(F.lit(f"no {kind} in {name}: "), text)).cast(kind)).otherwise(value).alias(name)
+
+    rows = required(df, list(types)).select(*(typed(c, k) for c, k in types.items()))
+    there = known.select(F.col(key), F.lit(True).alias("_known")).distinct()
+    joined = rows.join(there, key, "left")
+    checked = F.when(F.col("_known").isNull(), F.raise_error(F.concat(F.lit(f"unknown {key}: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast(rows.schema[key].dataType)).otherwise(F.col(key))
+    return joined.withColumn(key, checked).select(*types)
+
+
+def boundary_features(spark: SparkSession, path: str) -> DataFrame:
+    """As read_features, but a file that is missing, or none of whose text is a whole collection, has no features: maps are drawn without it."""
+
+    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for content in pdf["content"]:
+                try:
+                    values = list(feature_texts(content.decode("utf-8-sig")))
+                except ValueError:
+                    values = []
+                yield pd.DataFrame({"value": values}, dtype="object")
+
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return feature_rows(spark.createDataFrame([], "value string"))
+    return feature_rows(spark.read.format("binaryFile").load(path).select("content").mapInPandas(texts, "value string"))
+
+
+def read_grid(spark: SparkSession, path: str, width: int, kind: str = "<i4", nodata: float | None = None) -> DataFrame:
+    """path, row, col, value of each cell of raw raster files (rows of `width` cells, numpy type `kind`), without cells of no data. A file is read by one task, a row of cells at a time; a part of a row stops the query."""
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for where, content in zip(pdf["path"], pdf["content"], strict=True):
+                grid = np.frombuffer(content, dtype=kind)
+                if len(grid) % width:
+                    raise ValueError(f"{where}: {len(grid)} cells are no rows of {width}")
+                for row, values in enumerate(grid.reshape(-1, width)):
+                    there = np.ones(width, bool) if nodata is None else values != nodata
+                    yield pd.DataFrame({"path": where, "row": row, "col": np.flatnonzero(there), "value": values[there].astype("f8")})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(cells, "path string, row long, col long, value double")

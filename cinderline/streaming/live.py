@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cinderline.operators.history import latest_per_key
 from cinderline.operators.merge import snapshot_merge
+from cinderline.sources.tables import steps_dir
 
 
 def distinct_documents(stream: DataFrame, hash_col: str, time: str, late: str = "1 day") -> DataFrame:
@@ -36,7 +38,8 @@ def status_changes(stream: DataFrame, key: str, time: str, tie: str, value: str)
                 rows.append((k[0], at, None if first else last, v))
             last, seen_at, seen_tie, first = v, at, int(t), False
         state.update((last, seen_at, seen_tie))
-        yield pd.DataFrame(rows, columns=[key, "at", "before", "after"])
+        if rows:
+            yield pd.DataFrame(rows, columns=[key, "at", "before", "after"])
 
     return stream.select(key, time, tie, value).groupBy(key).applyInPandasWithState(step, out, "last string, seen_at timestamp, seen_tie long", "append", GroupStateTimeout.NoTimeout)
 
@@ -61,3 +64,10 @@ def windowed_counts(events: DataFrame, time: str, group: str, length: str, slide
 def sessions(events: DataFrame, time: str, key: str, gap: str, late: str = "1 hour") -> DataFrame:
     source = events.withWatermark(time, late) if events.isStreaming else events
     return source.groupBy(F.session_window(time, gap), key).agg(F.count("*").alias("n"))
+
+
+def drained(stream: DataFrame) -> DataFrame:
+    """What an appending stream gives for all that is there now, as a table of this application's steps."""
+    path = f"{steps_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path).awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
