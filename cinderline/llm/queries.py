@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cinderline.llm import secrets
+from cinderline.llm import secrets, spelling
 from cinderline.llm.fingerprints import op7_fingerprints
 from cinderline.llm.language import op2_language
 from cinderline.llm.media import op5_media
@@ -11,6 +11,7 @@ from cinderline.llm.piece_codec import op9_pieces
 from cinderline.llm.pseudonyms import op8_pseudonyms
 from cinderline.llm.secrets import op10_secrets
 from cinderline.llm.simhash import op1_simhash
+from cinderline.llm.spelling import op11_spelling
 from cinderline.llm.token_counts import op6_token_counts
 from cinderline.llm.toxicity import op3_toxicity
 
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_pseudonyms": op8_pseudonyms,
     "op9_pieces": op9_pieces,
     "op10_secrets": op10_secrets,
+    "op11_spelling": op11_spelling,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_secrets": secrets.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op10_secrets": secrets.ORACLE_SQL, "op11_spelling": spelling.ORACLE_SQL}
