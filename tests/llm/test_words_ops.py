@@ -109,7 +109,7 @@ def test_near_words():
 def plain_collocations(docs, first, often):
     f = defaultdict(Counter)
     for lang, text in docs:
-        for piece in collocations.PIECE.split((text or "").translate({c: c + 32 for c in range(65, 91)})):
+        for piece in collocations.CUT.split((text or "").translate({c: c + 32 for c in range(65, 91)})):
             w = [x for x in piece.replace("\t", " ").split(" ") if x]
             f[lang or "und"].update(tuple(w[i : i + k]) for k in range(1, 5) for i in range(len(w) - k + 1))
     out = []
@@ -148,25 +148,55 @@ def test_collocations_empty(spark):
     assert collocations.collocations(frame(spark, [(1, None, None), (1, "a b c", "en")])).count() == 0
 
 
+def full_sieves():
+    return {n: np.full(1 << (collocations.SIEVE - 3), 255, np.uint8) for n in range(1, 5)}
+
+
+def mined(docs, size, sieve):
+    """f by (lang, phrase) over all shards."""
+    batch = pa.RecordBatch.from_arrays([pa.array([d[0] or "und" for d in docs], pa.string()), pa.array([d[1] or "" for d in docs], pa.string())], ["lang", "text"])
+    out = Counter()
+    for shard in collocations.shards(iter([batch]), size):
+        for b in collocations.Miner(shard, sieve).counted():
+            for lang, phrase, f in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                out[lang, phrase] += f
+    return out
+
+
+def plain_counts(docs):
+    out = Counter()
+    for lang, text in docs:
+        for piece in collocations.CUT.split((text or "").lower()):
+            w = [x for x in piece.replace("\t", " ").split(" ") if x]
+            out.update((lang or "und", " ".join(w[i : i + k])) for k in range(2, 5) for i in range(len(w) - k + 1))
+    return out
+
+
 def test_collocation_blocks(monkeypatch):
-    """Blocks of words and of pairs of any size give the same counts."""
-    full = [np.full(1 << (collocations.SIEVE - 3), 255, np.uint8)] * 3
-    docs = chatter(5)[:12]
-    batch = pa.RecordBatch.from_arrays([pa.array([d[0] or "und" for d in docs]), pa.array([d[1] for d in docs])], ["lang", "text"])
-
-    def mined(n):
-        out = Counter()
-        for shard in collocations.shards(iter([batch]), 500):
-            for b in collocations.Miner(shard, full[: n - 1]).counted():
-                for lang, phrase, f in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                    out[lang, phrase] += f
-        return out
-
-    want = [mined(n) for n in (1, 2, 3, 4)]
-    for entries, pairs in ((1, 1), (7, 30), (100, 10_000)):
+    """Shards, blocks of words and of pairs of any size give the same counts."""
+    docs, full = chatter(5)[:12], full_sieves()
+    want = plain_counts(docs)
+    for size, entries, pairs in ((500, 1, 1), (3, 7, 30), (50, 100, 10_000), (10**6, 10**6, 10**6)):
         monkeypatch.setattr(collocations, "ENTRIES", entries)
         monkeypatch.setattr(collocations, "PAIRS", pairs)
-        assert [mined(n) for n in (1, 2, 3, 4)] == want
+        assert mined(docs, size, full) == want
+
+
+def test_sieves_hold_back_rare_phrases(spark):
+    """All frequent phrases pass, hardly any rare one does; with few slots more pass, and none of the frequent ones is lost."""
+    docs = [("en", " ".join(noise(400, "abcd", 4, seed))) for seed in range(30)]
+    want = plain_counts(docs)
+    rows = [(i, t, x) for i, (x, t) in enumerate(docs)]
+    for bits in (collocations.SIEVE, 12):
+        _, every = collocations.frequent_phrases(frame(spark, rows), often=20, size=700, bits=bits)
+        got = {(r.lang, r.phrase): r.f for r in every.collect() if " " in r.phrase}
+        assert got == {k: f for k, f in want.items() if f >= 20} and len(got) > 20
+    # The tallies themselves: a slot passes at the wanted count, not below, whatever the shards.
+    hashes = np.arange(1, 2001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    parts = [collocations.tallies(2, np.repeat(hashes[:n], 3), 1, 6, 20) for n in (2000, 900)]
+    df = spark.createDataFrame(pa.Table.from_batches(parts))
+    sieve = collocations.sieves(df, 6, 20)[2]
+    assert collocations.passes(sieve, hashes[:900]).all() and collocations.passes(sieve, hashes[900:]).mean() < 0.01
 
 
 def test_collocation_scores_beyond_64_bits(spark):
