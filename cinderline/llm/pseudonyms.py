@@ -1,23 +1,28 @@
 """Personal data (operator 8): values found and validated are replaced by keyed pseudonyms of the same format.
 
-A value's free characters (digits, letters, day numbers) are read as one number below the size of
-its format and permuted by a Feistel network, walking on while the result lies outside the format.
+A value's free characters (digits, letters, day numbers) are read as one number below the size of its
+format and permuted by a Feistel network, walking on while the result lies outside the format. A step
+on the circle of the network's images leaves no fixed point, so no value is its own pseudonym.
 Checksums are recomputed, so a card number stays a card number. The permutation depends on the key
 and the kind alone: equal values have equal pseudonyms in all documents, different ones different
 pseudonyms, and lengths and all other text stay as they were. Capitals do not tell values apart, nor
-do the separators of cards, phones and IBANs.
-
-Found are: email addresses; card numbers of 13 to 19 digits with their check digit; IBANs; phone
-numbers with a plus or in the forms (ddd) ddd-dddd and ddd-ddd-dddd; social security numbers; IPv4
-addresses; days from 1900 to 2099 in the forms of day(). Other forms (IPv6, ten bare digits, days
-without leading zeros) are not looked for.
+do the separators of cards, phones and IBANs, nor the script of decimal digits, which stays.
+
+Found are: email addresses (mailboxes of letters, digits and ._%+-' and hosts of any number of names;
+letters are Latin, Greek or Cyrillic, and other signs end a mailbox); card numbers of 13 to 19 digits
+with their check digit; IBANs (with small letters only of their country's length); phone numbers with
+a plus or in the forms (ddd) ddd-dddd and ddd-ddd-dddd; social security numbers; IPv4 addresses; days
+from 1900 to 2099 in the forms of day(). Other forms (IPv6, ten bare digits, days without leading
+zeros) are not looked for.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
+from functools import lru_cache
 from hashlib import blake2b
 
 import pandas as pd
@@ -33,38 +38,61 @@ ROUNDS = 8
 KINDS = ("email", "iban", "card", "phone", "ssn", "ip", "date")
 
 
-def permute(x: int, size: int, key: bytes, tweak: bytes) -> int:
-    """A keyed permutation of range(size): a balanced Feistel network on enough bits, repeated until the result is in range."""
-    if size < 2:
-        return x
+def feistel(x: int, size: int, key: bytes, tweak: bytes, back: bool = False) -> int:
+    """A keyed permutation of range(size): a balanced Feistel network on enough bits, repeated until the result is in range; or its inverse."""
     half = max(1, ((size - 1).bit_length() + 1) // 2)
     mask, n = (1 << half) - 1, (half + 7) // 8 + 1
+    mixed = lambda part, r: int.from_bytes(blake2b(part.to_bytes(n, "big") + bytes([r]), key=key[:64], person=tweak[:16].ljust(16, b"\0"), digest_size=min(64, n + 8)).digest(), "big") & mask
     while True:
         left, right = x >> half, x & mask
-        for r in range(ROUNDS):
-            h = blake2b(right.to_bytes(n, "big") + bytes([r]), key=key[:64], person=tweak[:16].ljust(16, b"\0"), digest_size=min(64, n + 8)).digest()
-            left, right = right, left ^ (int.from_bytes(h, "big") & mask)
+        for r in reversed(range(ROUNDS)) if back else range(ROUNDS):
+            left, right = (right ^ mixed(left, r), left) if back else (right, left ^ mixed(right, r))
         x = left << half | right
         if x < size:
             return x
 
 
+def permute(x: int, size: int, key: bytes, tweak: bytes) -> int:
+    """A keyed permutation of range(size) that changes every number: through the network, one step on, and back through it."""
+    return x if size < 2 else feistel((feistel(x, size, key, tweak) + 1) % size, size, key, tweak, True)
+
+
+@lru_cache(None)
+def alphabet(block: int, capitals: bool) -> str:
+    """The small letters among 64 neighbouring code points that have a capital of one character, or those that do not; of ASCII a to z."""
+    if not block >> 1:
+        return "abcdefghijklmnopqrstuvwxyz"
+    return "".join(c for c in map(chr, range(block << 6, block + 1 << 6)) if c.isalpha() and c.lower() == c and has_capital(c) == capitals)
+
+
+def has_capital(c: str) -> bool:
+    return len(c.upper()) == 1 and c.upper() != c and c.upper().lower() == c
+
+
+def small(c: str) -> str:
+    return c.lower() if len(c.lower()) == 1 else c
+
+
+def letters_like(c: str) -> str:
+    """The alphabet that a small letter is permuted in."""
+    return alphabet(ord(c) >> 6, has_capital(c))
+
+
 def in_format(text: str, key: bytes, tweak: str, free: Callable[[int], bool] = lambda i: True) -> str:
     """Permutes the letters and digits at free places, each within its class; everything else stays, and capitals are put back where they were. Long texts are permuted in pieces of 32 places, each under a tweak of those before."""
-    places = [i for i, c in enumerate(text) if free(i) and c.isascii() and c.isalnum()]
-    out, low = list(text), text.lower()
+    out, low = list(text), [small(c) for c in text]
+    places = [i for i, c in enumerate(low) if free(i) and ((c.isascii() and c.isalnum()) or (c.isalpha() and c in letters_like(c)))]
     for at in range(0, len(places), 32):
         part, number, size = places[at : at + 32], 0, 1
-        bases = [(10, "0") if text[i].isdigit() else (26, "a") for i in part]
-        for i, (base, first) in zip(part, bases, strict=True):
-            number, size = number * base + ord(low[i]) - ord(first), size * base
+        classes = ["0123456789" if low[i].isdigit() else letters_like(low[i]) for i in part]
+        for i, letters in zip(part, classes, strict=True):
+            number, size = number * len(letters) + letters.index(low[i]), size * len(letters)
         # Which classes stand where is part of the format, and the characters before are part of the tweak.
-        shape = "".join(f for _, f in bases) + "".join([low[i] for i in places[:at]])
+        shape = "".join(letters[0] for letters in classes) + "".join([low[i] for i in places[:at]])
         number = permute(number, size, key, blake2b(f"{tweak}:{shape}".encode(), digest_size=16).digest())
-        for i, (base, first) in zip(reversed(part), reversed(bases), strict=True):
-            number, digit = divmod(number, base)
-            new = chr(ord(first) + digit)
-            out[i] = new.upper() if text[i].isupper() else new
+        for i, letters in zip(reversed(part), reversed(classes), strict=True):
+            number, digit = divmod(number, len(letters))
+            out[i] = letters[digit].upper() if text[i] != low[i] else letters[digit]
     return "".join(out)
 
 
@@ -161,20 +189,27 @@ def day(found: str, key: bytes) -> str | None:
     return f"{d:%Y-%m-%d}" if kind == "-" else f"{d:%d.%m.%Y}" if kind == "." else f"{d:%m/%d/%Y}"
 
 
+#: The lengths of IBANs by country.
+IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 TN24 TR26 UA29 VG24 XK20".split()}
+
+
 def iban(found: str, key: bytes) -> str | None:
     raw = found.replace(" ", "")
     number = lambda s: int("".join(str(int(c, 36)) for c in s))
-    if not 15 <= len(raw) <= 34 or number(raw[4:] + raw[:4]) % 97 != 1:
+    country = raw[:2].upper()
+    if not 15 <= len(raw) <= 34 or number(raw[4:] + raw[:4]) % 97 != 1 or (raw != raw.upper() and IBAN_LENGTHS.get(country) != len(raw)):
         return None
-    body = in_format(raw[4:], key, f"iban{raw[:2]}")
+    body = in_format(raw[4:], key, f"iban{country}")
     new = iter(f"{raw[:2]}{98 - number(body + raw[:2] + '00') % 97:02d}{body}")
     return "".join(c if c == " " else next(new) for c in found)
 
 
+#: Letters of mailboxes and hosts: Latin, Greek, Cyrillic.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏͰ-ԯ"
 #: In order of precedence; a later kind does not look inside what an earlier one has taken.
 FINDERS: dict[str, tuple[str, Callable[[str, bytes], str | None]]] = {
-    "email": (r"@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}", email),  # the mailbox is read backwards
-    "iban": (r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b", iban),
+    "email": (rf"@(?:[0-9{LETTERS}-]{{1,63}}\.)+[{LETTERS}]{{2,24}}", email),  # the mailbox is read backwards
+    "iban": (r"\b[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,4})?\b", iban),
     "card": (r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])", card),
     "phone": (r"(?<![\w.+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])", phone),
     "ssn": (r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", ssn),
@@ -185,8 +220,9 @@ PATTERNS = [(k, re.compile(p), f) for k, (p, f) in FINDERS.items()]
 #: Groups of digits joined by single blanks or hyphens, of which some may be a card number.
 RUN = re.compile(r"(?<!\d)\d++(?:[ -]\d++)++")
 GROUP = re.compile(r"\d+")
-MAILBOX = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-ANY = re.compile(r"[0-9]|@")
+MAILBOX = frozenset(c for c in map(chr, range(0x530)) if re.match(f"[0-9._%+'-]|[{LETTERS}]", c))
+ANY = re.compile(r"\d|@")
+OTHER_DIGITS = re.compile(r"[^\D0-9]")
 
 
 def inner_cards(text: str) -> Iterator[tuple[int, int]]:
@@ -211,11 +247,11 @@ def inner_cards(text: str) -> Iterator[tuple[int, int]]:
 
 
 def mailbox_start(text: str, at: int) -> int:
-    """Where the mailbox before an @ begins, of any length; it does not begin with a dot."""
+    """Where the mailbox before an @ begins, of any length; it does not begin with a dot or a quotation mark."""
     start = at
     while start and text[start - 1] in MAILBOX:
         start -= 1
-    while start < at and text[start] == ".":
+    while start < at and text[start] in ".'":
         start += 1
     return start
 
@@ -246,14 +282,16 @@ def pseudonymise(text: str, key: bytes = DEMO_KEY) -> tuple[str, list[tuple[int,
     """The text with pseudonyms, and (start, end, kind) of each, in order. Lengths do not change; the time is in proportion to the text's length."""
     if not ANY.search(text):
         return text, []
+    # Finds and permutations see ASCII digits; the digits of other scripts are put back as such.
+    plain = text if text.isascii() else OTHER_DIGITS.sub(lambda m: str(unicodedata.decimal(m[0])), text)
     found: list[tuple[int, int, str, str]] = []
     taken = bytearray(len(text))
     for kind, pattern, new in PATTERNS:
         if kind == "email" and "@" not in text:
             continue
-        for a, b in candidates(kind, pattern, text):
-            if taken.find(1, a, b) < 0 and (value := new(text[a:b], key)) is not None:
-                found.append((a, b, kind, value))
+        for a, b in candidates(kind, pattern, plain):
+            if taken.find(1, a, b) < 0 and (value := new(plain[a:b], key)) is not None:
+                found.append((a, b, kind, value if text is plain else in_scripts(value, text[a:b])))
                 taken[a:b] = b"\1" * (b - a)
     found.sort()
     out, at = [], 0
@@ -263,6 +301,11 @@ def pseudonymise(text: str, key: bytes = DEMO_KEY) -> tuple[str, list[tuple[int,
     return "".join([*out, text[at:]]), [(a, b, k) for a, b, k, _ in found]
 
 
+def in_scripts(value: str, like: str) -> str:
+    """The value with its digits in the scripts of the digits that stood in their places."""
+    return "".join(chr(ord(old) - unicodedata.decimal(old) + int(new)) if OTHER_DIGITS.match(old) else new for new, old in zip(value, like, strict=True))
+
+
 def pseudonyms(docs: DataFrame, key: bytes = DEMO_KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text with pseudonyms, spans (kind:start:end in code points, comma-joined, in order), and the number of each kind.
 

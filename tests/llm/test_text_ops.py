@@ -375,6 +375,51 @@ def test_whole_values_are_taken(text, value, kind):
     test_neighbours_do_not_hide_a_value(text, value, kind)
 
 
+@pytest.mark.parametrize(
+    "text,value,kind",
+    [
+        ("to jürgen@x.com", "jürgen@x.com", "email"),
+        ("'o'neil@x.com'", "o'neil@x.com", "email"),
+        ("жук@пример.рф.", "жук@пример.рф", "email"),
+        ("a@" + "b." * 30 + "example.org", "a@" + "b." * 30 + "example.org", "email"),
+        ("gb82 west 1234 5698 7654 32 then", "gb82 west 1234 5698 7654 32", "iban"),
+        ("x De75512108001245126199", "De75512108001245126199", "iban"),
+        ("٤١١١ ١١١١ ١١١١ ١١١١ or 1", "٤١١١ ١١١١ ١١١١ ١١١١", "card"),
+        ("４１１１１１１１１１１１１１１１!", "４１１１１１１１１１１１１１１１", "card"),
+        ("+٤٤ ٢٠ 7183 ٨٧٥٠", "+٤٤ ٢٠ 7183 ٨٧٥٠", "phone"),
+        ("on २०२४-०१-३१", "२०२४-०१-३१", "date"),
+        ("ip ١٩٢.168.1.1 x", "١٩٢.168.1.1", "ip"),
+    ],
+)
+def test_other_scripts_and_forms(text, value, kind):
+    """Found whole, changed, of the same digits' scripts, and linked to the value in ASCII digits."""
+    test_neighbours_do_not_hide_a_value(text, value, kind)
+    new = pseudonyms.pseudonymise(value)[0]
+    ascii_ = lambda t: "".join(str(int(c)) if c.isdecimal() else c for c in t)
+    assert ascii_(new) == pseudonyms.pseudonymise(ascii_(value))[0]
+    assert [(c.isdecimal() and ord(c) - int(c)) for c in new] == [(c.isdecimal() and ord(c) - int(c)) for c in value]
+
+
+def test_small_ibans_need_their_length():
+    """Words that pass the checksum by chance stay."""
+    passing = [t for n in range(100) if (t := f"ab{n:02d} some text with words") and int("".join(str(int(c, 36)) for c in t.replace(" ", "")[4:] + t[:4])) % 97 == 1]
+    assert passing and all(pseudonyms.pseudonymise(t) == (t, []) for t in passing)
+
+
+@pytest.mark.parametrize("size", [2, 3, 26, 1000])
+def test_no_number_is_its_own_pseudonym(size):
+    assert all(pseudonyms.permute(i, size, b"k", b"t") != i for i in range(size))
+
+
+def test_no_span_keeps_its_value():
+    """One-letter mailboxes, too, for every key."""
+    texts = [f"{c}@x.com" for c in "abcdefghijklmnopqrstuvwxyz0é"] + ["1.2.3.4", "(017) 555-7713", "2024-02-29", "001-01-0001"]
+    for key in (b"k", b"other"):
+        for t in texts:
+            new, found = pseudonyms.pseudonymise(t, key)
+            assert len(found) == 1 and new != t
+
+
 def test_spellings_are_linked():
     new = lambda t: pseudonyms.pseudonymise(t)[0]
     digits = lambda t: re.sub(r"\D", "", new(t))
