@@ -1,12 +1,16 @@
 """Best-fit packing (operator 4): a configuration linear program over the histogram of piece lengths.
 
 A configuration is a multiset of lengths that fits one sequence. The covering program (as few
-configurations as give every length its count) is solved by multiplicative weights: each length has
-a price, a knapsack dynamic program over all lengths finds the configurations of the highest price,
-and the lengths they serve become cheaper. Copies are whole, at most a part of a length's count at a
-time, until every length is served in full. All of this works on the histogram alone (as many numbers
-as the sequence has tokens); the pieces get their places by their rank among the pieces of their
-length, which Spark counts in salted groups.
+configurations as give every length its count) begins with the configurations of best-fit decreasing.
+Each length has a price; a knapsack dynamic program over all lengths finds the configurations of the
+highest price, which join the program, and bounds the number of sequences from below. Multiplicative
+weights then solve the program over the configurations found so far: those of the highest price are
+used a little, and the lengths they serve become cheaper by a factor; the shares used give a fractional
+solution, the mean of the prices the next ones. This ends when the solution is near the bound, or
+pricing finds nothing new. The solution is rounded to whole copies, what is left over is packed by the
+program again, and by best-fit at last; the result is never more than best-fit's own. All of this works
+on the histogram alone (as many numbers as the sequence has tokens); the pieces get their places by
+their rank among the pieces of their length, which Spark counts in salted groups.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ import json
 import re
 import zlib
 from array import array
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -30,10 +35,10 @@ from cinderline.llm.merge_automaton import MergeAutomaton
 CAPACITY = 4096
 #: Rows of one length that share a rank counter, on average.
 GROUP = 100_000
-#: Configurations in a row below the wanted price, after which a new round is cheaper than looking on.
-STALE = 64
-#: Steps of the multiplicative weights, tried in turn: small ones suit histograms that fill sequences whole, large ones those that leave gaps.
-STEPS = (0.0005, 0.02, 0.1)
+#: Rounds of pricing at most, configurations a round adds at most (and an eighth of the lengths' number), and how near the bound the program is left.
+ROUNDS, ADDED, NEAR = 12, 64, 0.001
+#: Steps of the multiplicative weights a round, entries of the program that they may pass in all, and how much a step changes a price.
+STEPS, PASSED, RATE = (1500, 10_000), 30_000_000, 0.05
 
 
 class WordTokens(dict):
@@ -109,77 +114,98 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col:
     return map_batches(id_and_text(docs, id_col, text_col), cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
-    """best[c]: the highest price of any filling of c tokens, copies unlimited, by dynamic programming over all lengths."""
+#: (index of a length, copies) of the lengths in a configuration, by index.
+Config = tuple[tuple[int, int], ...]
+
+
+def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """best[c]: the highest price of any filling of c tokens, copies unlimited, by dynamic programming over all lengths; take[c]: a length that it holds (0: a token stays free)."""
     price = np.zeros(capacity + 1)
     price[lengths] = prices
     back = price[::-1].copy()  # back[capacity - l] is the price of length l
-    best = np.zeros(capacity + 1)
+    best, take = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     for c in range(int(lengths[0]), capacity + 1):
-        best[c] = max(best[c - 1], (best[:c] + back[capacity - c : capacity]).max())
-    return best
-
-
-def filled(first: int, lengths: np.ndarray, prices: np.ndarray, counts: np.ndarray, best: np.ndarray, capacity: int) -> dict[int, int]:
-    """The configuration that holds the length of index first and by best has the highest price: index -> copies, none more often than its count. Of equal prices the longest length is taken."""
-    config, room = {first: 1}, capacity - int(lengths[first])
-    allowed = counts > 0
-    allowed[first] = counts[first] > 1
-    while n := int(np.searchsorted(lengths, room, "right")):
-        values = np.where(allowed[:n], best[room - lengths[:n]] + prices[:n], -1.0)
-        top = values.max()
-        if top < 0:
-            break
-        k = n - 1 - int((values[::-1] >= top * (1 - 1e-12)).argmax())
-        config[k] = config.get(k, 0) + 1
-        room -= int(lengths[k])
-        allowed[k] = config[k] < counts[k]
-    return config
-
-
-def by_program(lengths: np.ndarray, counts: np.ndarray, capacity: int, step: float, parts: int, rounds: int | None) -> list[tuple[dict[int, int], int]]:
-    """(configuration, copies) of the covering program by multiplicative weights, in whole copies; counts are reduced by what they hold.
-
-    A round is one dynamic program over all lengths and, for each of them, the best configuration
-    that holds it, the longest first. Those within a step of the highest price are used, for at most a
-    part of each length's count, and the lengths they serve become cheaper by a step. Every round uses
-    one at least; rounds end when every length is served in full, or after so many, if given.
+        values = best[:c] + back[capacity - c : capacity]
+        k = int(values.argmax())  # of equal prices the longest length
+        best[c] = best[c - 1]
+        if values[k] > best[c]:
+            best[c], take[c] = values[k], c - k
+    return best, take
+
+
+def filled(first: int, lengths: np.ndarray, take: np.ndarray, capacity: int) -> Config:
+    """The configuration of the highest price that holds the length of index first."""
+    config, room = Counter([first]), capacity - int(lengths[first])
+    while room > 0:
+        if n := int(take[room]):
+            config[int(np.searchsorted(lengths, n))] += 1
+        room -= n or 1
+    return tuple(sorted(config.items()))
+
+
+def weighed(pool: list[Config], demand: np.ndarray, prices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Multiplicative weights over some configurations: copies (fractions) of each, which serve every length's demand in full, and the mean prices.
+
+    In a step all configurations near the highest price are used alike, until some length has gained a
+    small part of its demand; the prices fall with what lengths have gained. The first half of the
+    steps only finds the prices.
     """
-    demand, rate, out, n = counts.copy(), np.ones(len(lengths)), [], 0
-    while (rounds is None or n < rounds) and (there := np.flatnonzero(counts)).size:
-        n += 1
-        ls, left, whole = lengths[there], counts[there], demand[there]
-        prices = ls / capacity * rate[there]
-        best = knapsack(ls, prices, capacity)
-        most = prices + best[capacity - ls]
-        bar, used, failed = most.max() * (1 - step), 0, []
-
-        def use(config: dict[int, int], bar: float) -> bool:
-            if any(a > left[k] for k, a in config.items()) or sum(a * prices[k] for k, a in config.items()) < bar:  # noqa: B023
-                return False
-            copies = min(min(int(left[k]) // a, max(1, int(whole[k]) // (a * parts))) for k, a in config.items())  # noqa: B023
-            out.append(({int(there[k]): a for k, a in config.items()}, copies))  # noqa: B023
-            for k, a in config.items():
-                left[k] -= a * copies  # noqa: B023
-                prices[k] *= 1 - step  # noqa: B023
-            return True
-
-        for first in np.flatnonzero(most >= bar)[::-1].tolist():
-            if not left[first]:
-                continue
-            config = filled(first, ls, prices, left, best, capacity)
-            if use(config, bar):
-                used, failed = used + 1, []
-            else:
-                failed.append(config)
-                if used and len(failed) == STALE:  # the program's prices are out of date
-                    break
-        if not used:  # copies are bounded, so none may come near the program's own price: near the best of them
-            worth = [sum(a * prices[k] for k, a in c.items()) for c in failed]
-            for at in np.argsort(-np.array(worth), kind="stable").tolist():
-                use(failed[at], max(worth) * (1 - step))
-        counts[there] = left
-        rate[there] = prices * capacity / ls
+    index, copies = np.array([k for c in pool for k, _ in c]), np.array([n for c in pool for _, n in c], float)
+    size = np.array([len(c) for c in pool])
+    start = np.cumsum(size) - size
+    steps = min(STEPS[1], max(STEPS[0], PASSED // len(index)))
+    part = max(2.0, len(demand) / 2) / steps
+    used, served, half, mean = np.zeros(len(pool)), np.zeros(len(demand)), np.zeros(len(demand)), np.zeros(len(demand))
+    level = np.log(np.maximum(prices, 1e-12))
+    for t in range(steps):
+        if t == steps // 2:
+            used[:], mean[:], half = 0, 0, served.copy()
+        now = np.exp(level - RATE / part * (served - served.min()))
+        worth = np.add.reduceat(now[index] * copies, start)
+        best = worth >= worth.max() * (1 - part)
+        gain = np.bincount(index, copies * np.repeat(best, size), len(demand))
+        step = part * (demand[gain > 0] / gain[gain > 0]).min()
+        used[best] += step
+        served += step * gain / demand
+        mean += now / (demand @ now) * step * best.sum()
+    least = (served - half).min()
+    return used / least if least > 0 else np.full(len(pool), np.inf), mean / mean.sum()
+
+
+def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, start: dict[Config, float], rounds: int = ROUNDS) -> tuple[dict[Config, float], float]:
+    """Copies (fractions) of configurations that hold every length as often as it is there, near as few as any, and a number that none can go below. start: a solution to begin with."""
+    demand, prices = counts.astype(float), lengths / capacity
+    pool, known = list(start), set(start)
+    best, fewest, bound, idle = start, sum(start.values()), 0.0, 0
+    for _ in range(rounds):
+        worth, take = knapsack(lengths, prices, capacity)
+        own = prices + worth[capacity - lengths]
+        bound = max(bound, float(demand @ prices / own.max()))
+        if fewest <= bound * (1 + NEAR) or np.ceil(bound - 1e-6) >= fewest:
+            break
+        new = [c for k in np.argsort(-own, kind="stable")[: max(ADDED, len(lengths) // 8)].tolist() if (c := filled(k, lengths, take, capacity)) not in known]
+        idle = 0 if new else idle + 1
+        if idle > 1:  # the program is complete, and its prices have been refined once more
+            break
+        pool += dict.fromkeys(new)
+        known.update(new)
+        used, prices = weighed(pool, demand, prices)
+        if used.sum() < fewest:
+            best, fewest = dict(zip(pool, used.tolist(), strict=True)), float(used.sum())
+    return best, bound
+
+
+def rounded(solution: dict[Config, float], counts: np.ndarray) -> list[tuple[Config, int]]:
+    """Whole copies of the configurations, the most used first, none more often than lengths are left; the fraction that one loses is carried on to the next. counts are reduced by what they hold."""
+    out, carry = [], 0.0
+    for config, x in sorted(solution.items(), key=lambda c: (-c[1], c[0])):
+        carry += x
+        copies = min(int(carry + 1e-9), *(int(counts[k]) // n for k, n in config))
+        carry = min(1.0, carry - copies)
+        if copies:
+            out.append((config, copies))
+            for k, n in config:
+                counts[k] -= n * copies
     return out
 
 
@@ -201,30 +227,31 @@ def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tup
     return out
 
 
-def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int | None = None, steps: tuple[float, ...] = STEPS) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of one sequence, number of such sequences), which use up the histogram exactly.
-
-    The program runs with the first step, and with the next ones only while its sequences are more
-    than a thousandth and one above the bound; the fewest count. rounds, if given, end a run early,
-    and best-fit decreasing packs what it leaves. Any rounds and steps give a valid packing.
-    """
+def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths of one sequence, number of such sequences), which use up the histogram exactly and are never more than best-fit decreasing gives."""
     lengths = np.array(sorted(histogram), np.int64)
     counts = np.array([histogram[x] for x in lengths.tolist()], np.int64)
-    whole = [({len(lengths) - 1: 1}, int(counts[-1]))] if len(lengths) and lengths[-1] == capacity else []
-    if whole:
-        counts[-1] = 0
-    bound = max(-(-int(lengths @ counts) // capacity), int(counts[lengths > capacity // 2].sum()))
-    parts = min(128, max(8, capacity // max(1, len(lengths))))
-    best, fewest = [], None
-    for step in steps:
-        left = counts.copy()
-        run = by_program(lengths, left, capacity, step, parts, rounds)
-        run += best_fit(lengths, left, capacity)
-        if fewest is None or sum(c for _, c in run) < fewest:
-            best, fewest = run, sum(c for _, c in run)
-        if fewest <= bound * 1.001 + 1:
+    plain = [(tuple(sorted(c.items())), n) for c, n in best_fit(lengths, counts.copy(), capacity)]
+    run, left = [], counts.copy()
+    there = np.flatnonzero(left)
+    while there.size:
+        start: dict[Config, float] = {}
+        back = {int(k): i for i, k in enumerate(there)}
+        fit = plain if not run else [(tuple(sorted(c.items())), n) for c, n in best_fit(lengths, left.copy(), capacity)]
+        for c, n in fit:
+            own = tuple((back[k], a) for k, a in c)
+            start[own] = start.get(own, 0.0) + n
+        solution, _ = fractional(lengths[there], left[there], capacity, start, rounds)
+        some = left[there]
+        took = rounded(solution, some)
+        run += [(tuple((int(there[k]), a) for k, a in c), n) for c, n in took]
+        before, left[there] = int(left.sum()), some
+        there = np.flatnonzero(left)
+        if solution is start or 2 * int(left.sum()) > before:  # best-fit is as good as the program here, or rounding finds little
             break
-    return [(tuple(int(lengths[k]) for k in sorted(config, reverse=True) for _ in range(config[k])), int(copies)) for config, copies in whole + best]
+    run += [(tuple(sorted(c.items())), n) for c, n in best_fit(lengths, left, capacity)]
+    best = min(run, plain, key=lambda r: sum(n for _, n in r)) if run else plain
+    return [(tuple(int(lengths[k]) for k, a in reversed(config) for _ in range(a)), int(n)) for config, n in best]
 
 
 def places(configs: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:

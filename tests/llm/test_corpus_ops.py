@@ -173,7 +173,7 @@ def test_word_tokens(docs):
 @pytest.mark.parametrize("histogram", [{}, {4096: 3}, {1: 1}, {5: 10**9, 4091: 10**9}, {2049: 7, 2047: 3, 1: 5}, {x: x % 7 for x in range(1, 500)}, {1365: 100, 1366: 50, 2731: 20, 17: 1000}])
 def test_configurations(histogram):
     histogram = {k: v for k, v in histogram.items() if v}
-    out, left = packing.configurations(histogram, 4096, rounds=30), dict(histogram)
+    out, left = packing.configurations(histogram, 4096), dict(histogram)
     for lengths, copies in out:
         assert sum(lengths) <= 4096 and copies > 0
         for x in lengths:
@@ -186,21 +186,72 @@ def test_configurations(histogram):
     assert sum(c for _, c in out) <= max(bound, alone) * 1.02 + 2
 
 
+def program(histogram):
+    """lengths, counts, best-fit's solution, the fractional one, and the bound."""
+    lengths, counts = (np.array(x, np.int64) for x in (sorted(histogram), [histogram[k] for k in sorted(histogram)]))
+    start = {}
+    for c, n in packing.best_fit(lengths, counts.copy(), 4096):
+        c = tuple(sorted(c.items()))
+        start[c] = start.get(c, 0.0) + n
+    return lengths, counts, start, *packing.fractional(lengths, counts, 4096, start)
+
+
 def test_the_program_serves_every_length():
     rng = np.random.default_rng(5)
     drawn = np.clip(rng.lognormal(6.2, 1.0, 10_000).astype(int), 1, 4095)
     every = dict.fromkeys(range(1, 4096), 3)
     for histogram in (dict(zip(*(x.tolist() for x in np.unique(drawn, return_counts=True)), strict=True)), every, {k: 10**6 for k in range(8, 4096, 40)}):
-        lengths, counts = (np.array(x, np.int64) for x in (sorted(histogram), [histogram[k] for k in sorted(histogram)]))
-        total, left = int(lengths @ counts), counts.copy()
-        used = packing.by_program(lengths, left, 4096, 0.0005, 8, None)
-        got = np.zeros(len(lengths), np.int64)
-        for config, copies in used:
-            for k, a in config.items():
-                got[k] += a * copies
-        # The program itself packs every token, no piece is left to best-fit decreasing, and it is near the bound.
-        assert not left.any() and (got == counts).all()
-        assert max(sum(c for _, c in used), sum(c for _, c in packing.configurations(histogram))) <= -(-total // 4096) * 1.002 + 1
+        lengths, counts, _, solution, bound = program(histogram)
+        got = np.zeros(len(lengths))
+        for config, x in solution.items():
+            assert sum(lengths[k] * a for k, a in config) <= 4096
+            for k, a in config:
+                got[k] += a * x
+        assert (got >= counts * (1 - 1e-9)).all() and bound <= sum(solution.values()) * (1 + 1e-9)
+        assert sum(c for _, c in packing.configurations(histogram)) <= -(-int(lengths @ counts) // 4096) * 1.002 + 1
+
+
+def hard():
+    rng = np.random.default_rng(1)
+    few = [dict(zip(rng.choice(np.arange(300, 2500), n, replace=False).tolist(), rng.integers(100, 3000, n).tolist(), strict=True)) for n in rng.integers(3, 12, 8)]
+    return [{1366: 3000, 1365: 500, 1400: 2000, 700: 2500, 1300: 999}, *few, {x: int(rng.integers(1, 50)) for x in range(1200, 1500)}]
+
+
+@pytest.mark.parametrize("histogram", hard())
+def test_the_program_against_best_fit(histogram):
+    """Near the bound that the prices prove, and never above best-fit decreasing."""
+    _, _, start, solution, bound = program(histogram)
+    got = sum(n for _, n in packing.configurations(histogram))
+    assert bound <= sum(solution.values()) * (1 + 1e-9) and bound <= got <= sum(start.values())
+    if len(histogram) < 20:
+        assert got <= bound * 1.02 and got <= sum(solution.values()) + len(histogram)
+    if 1366 in histogram and len(histogram) == 5:
+        assert got <= bound * 1.01
+
+
+def test_knapsack_against_all_fillings():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        lengths = np.sort(rng.choice(np.arange(2, 30), 5, replace=False))
+        prices, capacity = rng.random(5), 40
+        best, take = packing.knapsack(lengths, prices, capacity)
+        want = [0.0] * (capacity + 1)
+        for c in range(1, capacity + 1):
+            want[c] = max([want[c - 1], *(want[c - n] + p for n, p in zip(lengths.tolist(), prices.tolist(), strict=True) if n <= c)])
+        assert np.allclose(best, want)
+        for first in range(5):
+            config = packing.filled(first, lengths, take, capacity)
+            assert first in dict(config) and sum(lengths[k] * a for k, a in config) <= capacity
+            assert np.isclose(sum(prices[k] * a for k, a in config), prices[first] + best[capacity - lengths[first]])
+
+
+def test_driver_time():
+    import time
+
+    rng = np.random.default_rng(3)
+    start = time.process_time()
+    packing.configurations({x: int(rng.integers(500, 5000)) for x in range(1, 4097)})
+    assert time.process_time() - start < 30  # some seconds on an idle core
 
 
 def test_packing_cases(spark):
