@@ -72,13 +72,16 @@ class Words(dict):
             near = sum(bool((np.abs(at - i) <= NEAR).any()) for i, m in marks if m[0] or m[1])
         raw = text.encode()
         chars = max(1, len(raw))
-        mixed = hidden = 0
+        mixed = hidden = end = 0
+        word_hit = False
         for m in SIGNS.finditer(low):
-            a, b = low.rfind(" ", 0, m.start()) + 1, low.find(" ", m.end())
-            w = low[a : b if b >= 0 else len(low)].strip(EDGES)
+            if m.start() >= end:  # the signs of one word have one look at it
+                a, end = low.rfind(" ", 0, m.start()) + 1, low.find(" ", m.end())
+                end = end if end >= 0 else len(low)
+                found = self[low[a:end].strip(EDGES).translate(LEET).replace("*", "")]
+                word_hit = bool(found and (found[0] or found[1]))
             mixed += 1
-            if len(w) < 40 and (found := self[w.translate(LEET).replace("*", "")]) and (found[0] or found[1]):
-                hidden += 1
+            hidden += word_hit
         capitals = len(raw) - len(raw.translate(None, UPPER))
         loud = len(LOUD.findall(text)) if capitals > 3 else 0
         plain = sum(map(text.count, ".,;:?"))

@@ -406,7 +406,7 @@ def plain_score(text, scorer, weights):
         w = w.strip(toxicity.EDGES)
         mixed += 1
         w2 = w.translate(str.maketrans("013457@$!|", "oieastasil")).replace("*", "").strip(toxicity.EDGES)
-        hidden += len(w) < 40 and any(mark(w2)[:2])
+        hidden += any(mark(w2)[:2])
     capitals = sum("A" <= c <= "Z" for c in text)
     loud = len(re.findall(r"\b[A-Z]{4,}\b", text)) if capitals > 3 else 0
     total = sum(marks[i][1] for i in own)
@@ -460,6 +460,9 @@ def test_obfuscated_insults():
     words = toxicity.Words({})
     names = dict(zip(toxicity.NAMES, words.features("You are an 1d10t and a M0R0N!"), strict=True))
     assert names["mixed_insults"] > 0 and names["address"] > 0
+    # Words of any length are looked at, each once for all its signs.
+    long = toxicity.Words({"x" * 60: 3.0})
+    assert dict(zip(toxicity.NAMES, long.features("a " + "*x" * 60), strict=True))["mixed_insults"] == 30
     near = dict(zip(toxicity.NAMES, words.features("you idiot"), strict=True))
     assert near["address_near"] > 0 and near["insult_count"] == 1
 
