@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinderline.functions.geometry import all_edges, bounds, boxes_overlap, footprint_miles, miles_between, polygon_contains, polygons_distance, polygons_intersect, projected, projected_rings, ring_distance, rings_bounds, segment_distance
+from cinderline.functions.geometry import all_edges, bounds, boxes_overlap, edges_meet, footprint_miles, miles_between, polygon_contains, projected, projected_rings, ring_distance, rings_bounds, segment_distance
 from cinderline.functions.labels import proximity_tier
 from cinderline.functions.rules import METERS_PER_MILE
+from cinderline.operators.cover import covered_points, polygon_cover
 from cinderline.sources.tables import materialise
 
 
@@ -23,13 +24,14 @@ def cells(min_x: Column, min_y: Column, max_x: Column, max_y: Column, size: floa
 MOST_CELLS, COARSER, GRIDS = 256, 16, 6
 
 
-def box_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, size: float, unboxed: bool = False) -> DataFrame:
+def box_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, size: float, unboxed: bool = False, most_unboxed: int = 1000, on: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of ids whose boxes (min_x, min_y, max_x, max_y) overlap.
 
     Boxes meet in the cell where their intersection begins, so each pair comes once and needs no
     distinct. A box of many cells goes to a coarser grid, and each pair meets on the coarser of the
     two boxes' grids. Rows without a box overlap everything by definition; they are paired only with
-    `unboxed`, for inputs that hold few of them.
+    `unboxed`, if either side has `most_unboxed` of them at most (ValueError otherwise). on: columns of
+    both sides that must be equal, too.
     """
     box = ("min_x", "min_y", "max_x", "max_y")
 
@@ -38,28 +40,81 @@ def box_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, siz
         own = F.lit(GRIDS - 1)
         for k in reversed(range(GRIDS - 1)):
             own = F.when(wide(k) <= MOST_CELLS, k).otherwise(own)
-        spread = df.select(row_id, *box).where(" and ".join(f"{x} is not null" for x in box)).withColumn("_own", own)
-        on = F.filter(F.array(*map(F.lit, range(GRIDS))), lambda k: k >= F.col("_own"))
-        by = spread.withColumn("_grid", F.explode(on)).withColumn("_size", size * F.pow(F.lit(float(COARSER)), F.col("_grid")))
-        return by.select(row_id, "_grid", "_size", F.col("_own").alias(f"{p}_own"), *(F.col(x).alias(f"{p}_{x}") for x in box), F.explode(cells(*map(F.col, box), F.col("_size"))).alias("c")).select("*", "c.i", "c.j").drop("c")
+        spread = df.select(row_id, *on, *box).where(" and ".join(f"{x} is not null" for x in box)).withColumn("_own", own)
+        grids = F.filter(F.array(*map(F.lit, range(GRIDS))), lambda k: k >= F.col("_own"))
+        by = spread.withColumn("_grid", F.explode(grids)).withColumn("_size", size * F.pow(F.lit(float(COARSER)), F.col("_grid")))
+        return by.select(row_id, *on, "_grid", "_size", F.col("_own").alias(f"{p}_own"), *(F.col(x).alias(f"{p}_{x}") for x in box), F.explode(cells(*map(F.col, box), F.col("_size"))).alias("c")).select("*", "c.i", "c.j").drop("c")
 
     a, b = dealt(left, left_id, "a"), dealt(right, right_id, "b").drop("_size")
     own = (F.col("i") == F.floor(F.greatest("a_min_x", "b_min_x") / F.col("_size"))) & (F.col("j") == F.floor(F.greatest("a_min_y", "b_min_y") / F.col("_size")))
     overlap = boxes_overlap(tuple(F.col(f"a_{x}") for x in box), tuple(F.col(f"b_{x}") for x in box))
-    pairs = a.join(b, ["_grid", "i", "j"]).where((F.col("_grid") == F.greatest("a_own", "b_own")) & own & overlap).select(left_id, right_id)
+    pairs = a.join(b, [*on, "_grid", "i", "j"]).where((F.col("_grid") == F.greatest("a_own", "b_own")) & own & overlap).select(left_id, right_id)
     if unboxed:
         missing = " or ".join(f"{x} is null" for x in box)
+        if max(df.where(missing).count() for df in (left, right)) > most_unboxed:
+            raise ValueError(f"more than {most_unboxed} rows without a box, each of which would be paired with everything")
         pairs = pairs.unionByName(left.where(missing).select(left_id).crossJoin(right.select(right_id)))
         pairs = pairs.unionByName(left.where(f"not ({missing})").select(left_id).crossJoin(right.where(missing).select(right_id)))
     return pairs
 
 
+def edge_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, size: float) -> DataFrame:
+    """(a, b): structs of an id, ax, ay, bx, by for each two edges of rings on both sides whose boxes overlap; an equality join on the cells of the edges, not of the polygons."""
+
+    def dealt(df: DataFrame, row_id: str, name: str) -> DataFrame:
+        e = df.select(row_id, F.explode(all_edges(F.col("rings"))).alias("e")).select(row_id, *(F.col(f"e.{k}.{c}").alias(f"{k}{c}") for k in "ab" for c in "xy"))
+        box = {"min_x": F.least("ax", "bx"), "min_y": F.least("ay", "by"), "max_x": F.greatest("ax", "bx"), "max_y": F.greatest("ay", "by")}
+        return e.select(F.struct(F.col(row_id).alias("id"), "ax", "ay", "bx", "by").alias(name), *(c.alias(k) for k, c in box.items()))
+
+    return box_join(dealt(left, left_id, "a"), dealt(right, right_id, "b"), "a", "b", size)
+
+
+def ends(e: Column) -> Column:
+    """ax, ay, bx, by as (a, b)."""
+    return F.struct(*(F.struct(e[f"{k}x"].alias("x"), e[f"{k}y"].alias("y")).alias(k) for k in "ab"))
+
+
 def polygon_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, size: float) -> DataFrame:
-    """Pairs of ids whose polygons (rings) have a point in common."""
+    """Pairs of ids whose polygons (rings) have a point in common: edges that meet, found edge by edge, or else one holds a corner of the other's rings."""
+    rings = lambda df, row_id, name: df.where("size(rings) > 0").select(F.col(row_id).alias(name), "rings")
+    a, b = rings(left, left_id, "_l"), rings(right, right_id, "_r")
     boxed = lambda df, row_id: df.select(row_id, rings_bounds(F.col("rings")).alias("b")).select(row_id, "b.*")
-    near = box_join(boxed(left, left_id), boxed(right, right_id), left_id, right_id, size)
-    full = near.join(left.select(left_id, F.col("rings").alias("_a")), left_id).join(right.select(right_id, F.col("rings").alias("_b")), right_id)
-    return full.where(polygons_intersect(F.col("_a"), F.col("_b"))).select(left_id, right_id)
+    near = materialise(box_join(boxed(a, "_l"), boxed(b, "_r"), "_l", "_r", size))
+    some = lambda df, row_id: df.join(near.select(row_id).distinct(), row_id, "left_semi")
+    met = edge_pairs(some(a, "_l"), some(b, "_r"), "_l", "_r", size).where(edges_meet(ends(F.col("a")), ends(F.col("b")))).select(F.col("a.id").alias("_l"), F.col("b.id").alias("_r")).distinct()
+    met = materialise(met)
+    apart = near.join(met, ["_l", "_r"], "left_anti").join(a.withColumnRenamed("rings", "_a"), "_l").join(b.withColumnRenamed("rings", "_b"), "_r")
+    corner_in = lambda p, q: F.exists(p, lambda r: polygon_contains(F.col(q), F.get(r, F.lit(0))["x"], F.get(r, F.lit(0))["y"]))
+    within = apart.where(corner_in("_a", "_b") | corner_in("_b", "_a")).select("_l", "_r")
+    return met.unionByName(within).select(F.col("_l").alias(left_id), F.col("_r").alias(right_id))
+
+
+#: Neighbouring edges of an outline that are told apart only when their box may hold the nearest ones.
+GROUP = 16
+
+
+def edge_groups(rings: Column) -> Column:
+    """Array of (edges, box) over the edges of all rings, some at a time."""
+    e = all_edges(rings)
+    part = lambda k: F.slice(e, k * GROUP + 1, F.lit(GROUP))
+    corners = lambda g: F.concat(F.transform(g, lambda x: x["a"]), F.transform(g, lambda x: x["b"]))
+    return F.transform(F.sequence(F.lit(0), F.ceil(F.size(e) / GROUP).cast("int") - 1), lambda k: F.struct(part(k).alias("edges"), bounds(corners(part(k))).alias("box")))
+
+
+def outline_distances(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """keys, distance: the least between two outlines (arrays of rings, in a plane) that do not meet, for each row of pairs.
+
+    Boxes of neighbouring edges come first: a pair of boxes is looked into if it is no farther apart
+    than two corners of these outlines are at most; only then are edges compared with edges.
+    """
+    held = materialise(pairs.select(*keys, edge_groups(F.col(a)).alias("_p"), edge_groups(F.col(b)).alias("_q")))
+    both = held.select(*keys, F.explode("_p").alias("p"), "_q").select(*keys, "p", F.explode("_q").alias("q"))
+    gap = lambda k: F.greatest(F.col(f"p.box.min_{k}") - F.col(f"q.box.max_{k}"), F.col(f"q.box.min_{k}") - F.col(f"p.box.max_{k}"), F.lit(0.0))
+    start = lambda g: F.col(g)["edges"][0]["a"]
+    most = both.groupBy(*keys).agg(F.min(F.hypot(start("p")["x"] - start("q")["x"], start("p")["y"] - start("q")["y"])).alias("_most"))
+    near = both.join(most, keys).where(F.hypot(gap("x"), gap("y")) <= F.col("_most") * (1 + 1e-9))
+    ends_to = lambda p, q: F.array_min(F.transform(F.col(p)["edges"], lambda e: F.array_min(F.transform(F.col(q)["edges"], lambda f: F.least(segment_distance(e["a"]["x"], e["a"]["y"], f), segment_distance(e["b"]["x"], e["b"]["y"], f))))))
+    return near.groupBy(*keys).agg(F.min(F.least(ends_to("p", "q"), ends_to("q", "p"))).alias("distance"))
 
 
 def places_in_boundaries(places: DataFrame, boundaries: DataFrame, place_id: str, boundary_id: str, size: float) -> DataFrame:
@@ -69,6 +124,13 @@ def places_in_boundaries(places: DataFrame, boundaries: DataFrame, place_id: str
     return inside.unionByName(meets.join(inside, [place_id, boundary_id], "left_anti").withColumn("how", F.lit("intersects")))
 
 
+def places_in_rules(places: DataFrame, rules: DataFrame, areas: DataFrame, place_id: str, rule_id: str, area_id: str, size: float) -> DataFrame:
+    """(place, rule, how) as places_in_boundaries, over the rules' own rings or, without any, those of their area. rules: rule_id, area_id (may be null), rings; areas: area_id (once), rings."""
+    own = F.when(F.size("rings") > 0, F.col("rings"))
+    drawn = rules.select(rule_id, area_id, own.alias("_own")).join(areas.select(area_id, F.col("rings").alias("_area")), area_id, "left")
+    return places_in_boundaries(places, drawn.select(rule_id, F.coalesce("_own", "_area").alias("rings")).where("size(rings) > 0"), place_id, rule_id, size)
+
+
 def boundary_proximity(boundaries: DataFrame, incidents: DataFrame, boundary_id: str, incident_id: str, within: float = 30.0) -> DataFrame:
     """(boundary, incident, miles, tier): inside where an incident's perimeter meets the boundary, else the tier of the distance between them.
 
@@ -88,22 +150,31 @@ def boundary_proximity(boundaries: DataFrame, incidents: DataFrame, boundary_id:
     q = incidents.select(incident_id, "lon", "lat", "acres", F.when(mapped, F.col("rings")).alias("_q"), radius.alias("_r"), own.alias("o"))
     grown, east = F.col("_r") / 69.0, F.col("_r") / 69.0 / F.greatest(F.cos(F.radians(F.least(F.abs("o.max_y") + 1, F.lit(89.0)))), F.lit(0.01))
     right = q.select(incident_id, (F.col("o.min_x") - east).alias("min_x"), (F.col("o.min_y") - grown).alias("min_y"), (F.col("o.max_x") + east).alias("max_x"), (F.col("o.max_y") + grown).alias("max_y"))
-    near = box_join(left, right, boundary_id, incident_id, max(0.25, reach)).join(b.withColumns(mid).drop("box"), boundary_id).join(q.drop("o"), incident_id)
-    flat = projected_rings(F.col("_b"), F.col("lon0"), F.col("lat0"))
+    pairs = materialise(box_join(left, right, boundary_id, incident_id, max(0.25, reach)).join(q.select(incident_id, F.col("_q").isNotNull().alias("_mapped")), incident_id))
+    flat = b.withColumns(mid).select(boundary_id, "lon0", "lat0", projected_rings(F.col("_b"), F.col("lon0"), F.col("lat0")).alias("_flat")).withColumn("_edges", all_edges(F.col("_flat")))
+    # Without a perimeter: the circle of the area, from its middle to each edge.
+    circles = pairs.where("not _mapped").join(flat, boundary_id).join(q.drop("o", "_q"), incident_id)
     east_of, north_of = projected(F.col("lon"), F.col("lat"), F.col("lon0"), F.col("lat0"))
-    point = F.when(polygon_contains(flat, east_of, north_of), 0.0).otherwise(F.array_min(F.transform(all_edges(flat), lambda e: segment_distance(east_of, north_of, e))))
-    meters = F.when(F.col("_q").isNotNull(), polygons_distance(flat, projected_rings(F.col("_q"), F.col("lon0"), F.col("lat0")))).otherwise(F.greatest(F.lit(0.0), point - F.col("_r") * METERS_PER_MILE))
-    found = near.withColumn("miles", meters / METERS_PER_MILE).where(F.col("miles") <= within)
+    point = F.when(polygon_contains(F.col("_flat"), east_of, north_of), 0.0).otherwise(F.array_min(F.transform("_edges", lambda e: segment_distance(east_of, north_of, e))))
+    to_circles = circles.select(boundary_id, incident_id, "acres", (F.greatest(F.lit(0.0), point - F.col("_r") * METERS_PER_MILE) / METERS_PER_MILE).alias("miles"))
+    # Perimeters that meet the boundary are inside; the others are as far as the outlines are.
+    shapes = q.where("_q is not null").select(incident_id, "acres", F.col("_q").alias("rings"))
+    meets = materialise(polygon_pairs(boundaries, shapes, boundary_id, incident_id, max(0.25, reach)))
+    far = pairs.where("_mapped").join(meets, [boundary_id, incident_id], "left_anti").join(flat.drop("_edges"), boundary_id).join(shapes, incident_id)
+    apart = outline_distances(far.withColumn("_q", projected_rings(F.col("rings"), F.col("lon0"), F.col("lat0"))), [boundary_id, incident_id], "_flat", "_q").withColumn("miles", F.col("distance") / METERS_PER_MILE)
+    to_shapes = apart.drop("distance").unionByName(meets.withColumn("miles", F.lit(0.0))).join(shapes.select(incident_id, "acres"), incident_id)
+    found = to_circles.unionByName(to_shapes.select(*to_circles.columns)).where(F.col("miles") <= within)
     return found.select(boundary_id, incident_id, "miles", proximity_tier(F.col("miles"), F.col("acres")).alias("tier")).where("tier is not null")
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str, size: float) -> DataFrame:
-    """Pairs (point, polygon) with the point inside. points: x, y; polygons: rings. Points go to one cell, polygons to those of their box."""
-    p = points.select(point_id, "x", "y", F.floor(F.col("x") / size).alias("i"), F.floor(F.col("y") / size).alias("j"))
-    boxed = polygons.withColumn("b", bounds(F.get("rings", F.lit(0))))
-    g = boxed.select(polygon_id, "rings", "b", F.explode(cells(*(F.col(f"b.{k}") for k in ("min_x", "min_y", "max_x", "max_y")), size)).alias("c")).select(polygon_id, "rings", "b", "c.i", "c.j")
-    inside = F.col("x").between(F.col("b.min_x"), F.col("b.max_x")) & F.col("y").between(F.col("b.min_y"), F.col("b.max_y"))
-    return p.join(g, ["i", "j"]).where(inside & polygon_contains(F.col("rings"), F.col("x"), F.col("y"))).select(point_id, polygon_id)
+    """Pairs (point, polygon) with the point inside, boundaries left out.
+
+    points: x, y; polygons: rings, those of holes and of several polygons together. Each polygon is
+    covered by cells of the sizes that its outline asks for (cover.py); a point is tested against the
+    edges in its own cell. Points without coordinates and polygons without rings are in no pair.
+    """
+    return covered_points(points, polygon_cover(polygons, polygon_id, size), point_id, polygon_id, size)
 
 
 def proximity(points: DataFrame, incidents: DataFrame, point_id: str, incident_id: str, within: float = 30.0) -> DataFrame:
