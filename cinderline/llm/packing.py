@@ -16,21 +16,19 @@ their rank among the pieces of their length, which Spark counts in salted groups
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
-from array import array
 from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinderline.llm.common import documents, id_and_text, map_batches, materialise, tokenizer_path
-from cinderline.llm.merge_automaton import MergeAutomaton
 
 CAPACITY = 4096
 #: Rows of one length that share a rank counter, on average.
@@ -42,11 +40,16 @@ STEPS, PASSED, RATE = (1500, 10_000), 30_000_000, 0.05
 
 
 class WordTokens(dict):
-    """A piece of text without ASCII white space, its ASCII letters lower -> its ids as little-endian 32-bit integers."""
+    """A piece of text without ASCII white space, its ASCII letters lower -> its ids as little-endian 32-bit integers.
 
-    LIMIT = 400_000
+    The library encodes the words that are not there, all those of a text at once; at LIMIT words all are
+    forgotten, so that memory is bounded, and frequent ones are soon back.
+    """
+
+    LIMIT = 150_000
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         from tokenizers import Tokenizer
 
         spec = json.load(open(path, encoding="utf-8"))
@@ -55,42 +58,21 @@ class WordTokens(dict):
         kinds = [x.get("type") for x in spec["normalizer"]["normalizers"]] + [x.get("type") for x in spec["pre_tokenizer"]["pretokenizers"]]
         if kinds != ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"] or spec["model"]["end_of_word_suffix"] != "</w>":
             raise ValueError("only lower-casing tokenizers that drop white space and mark word ends")
-        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        # A symbol is a byte, plus 256 at a word's end.
-        from cinderline.llm.token_counts import byte_symbols
-
-        back = byte_symbols()
-
-        def plain(s: str) -> str:
-            end = s.endswith("</w>")
-            out = "".join(back[c] for c in (s[:-4] if end else s))
-            return out[:-1] + chr(ord(out[-1]) + 256) if end else out
-
-        added = {t["id"] for t in spec["added_tokens"]}
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        self.merger = MergeAutomaton({i: plain(s) for s, i in spec["model"]["vocab"].items() if i not in added}, {(plain(a), plain(b)): r for r, (a, b) in enumerate(pairs)})
-
-    def __missing__(self, word: bytes) -> bytes:
-        if word.isalpha():  # ASCII letters: one run
-            out = self.run(word)
-        elif word[-1] in b".," and word[-2:-1].isalnum():  # a run of symbols begins after a letter or digit
-            out = self[word[:-1]] + self[word[-1:]]
-        elif max(text := word.decode()) > "\xff":  # characters may compose with those before
-            out = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        else:
-            out = b"".join([self.run(run.encode()) for run in self.pattern.findall(text.lower())])
-        if len(self) < self.LIMIT:
-            self[word] = out
-        return out
-
-    def run(self, run: bytes) -> bytes:
-        return array("I", self.merger.encode(run[:-1].decode("latin-1") + chr(run[-1] + 256))).tobytes()
 
     def ids(self, text: str) -> bytes:
         """Ids of a whole text. Nothing crosses white space in this kind of tokenizer, so the words' ids are strung together."""
         if self.special.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, text.encode().lower().split()))
+        words = text.encode().lower().split()
+        found = list(map(self.get, words))
+        if None in found:
+            if len(self) > self.LIMIT:
+                self.clear()
+            new = list({w for w in words if w not in self})
+            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
+                self[w] = np.array(e.ids, "<u4").tobytes()
+            found = map(self.__getitem__, words)
+        return b"".join(found)
 
 
 @lru_cache(2)
