@@ -177,8 +177,8 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, point_id: str, po
     return covered_points(points, polygon_cover(polygons, polygon_id, size), point_id, polygon_id, size)
 
 
-def proximity(points: DataFrame, incidents: DataFrame, point_id: str, incident_id: str, within: float = 30.0) -> DataFrame:
-    """(point, incident, miles, tier) of all pairs within so many miles of an incident's perimeter that have a tier.
+def proximity(points: DataFrame, incidents: DataFrame, point_id: str, incident_id: str, within: float = 30.0, tiered: bool = True) -> DataFrame:
+    """(point, incident, miles, tier) of all pairs within so many miles of an incident's perimeter that have a tier, or of all within these miles.
 
     points: lon, lat; incidents: lon, lat, acres and, if there is one, ring: the mapped perimeter in
     degrees. Without a ring the circle of the incident's area stands for it. Distances are on the
@@ -205,7 +205,8 @@ def proximity(points: DataFrame, incidents: DataFrame, point_id: str, incident_i
         flat = F.transform("ring", lambda v: F.struct(*(m.alias(k) for m, k in zip(projected(v["x"], v["y"], F.col("x"), F.col("y")), "xy", strict=True))))
         miles = F.when(known, ring_distance(flat, F.lit(0.0), F.lit(0.0)) / METERS_PER_MILE).otherwise(miles)
     near = joined.withColumn("miles", miles).where(F.col("miles") <= within)
-    return near.select(point_id, incident_id, "miles", proximity_tier(F.col("miles"), F.col("acres")).alias("tier")).where("tier is not null")
+    out = near.select(point_id, incident_id, "miles", proximity_tier(F.col("miles"), F.col("acres")).alias("tier"))
+    return out.where("tier is not null") if tiered else out
 
 
 def tier_rollup(pairs: DataFrame, point_id: str) -> DataFrame:

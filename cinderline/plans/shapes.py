@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinderline.functions import geometry
-from cinderline.operators import lines, overlay, spatial
+from cinderline.operators import lines, overlay, spatial, views, wildfires
 from cinderline.plans.catalogue import Tables, lat, lon, query
+from cinderline.plans.views import LIST_SQL, MAP_SQL, RULE_SQL, active_rules, features, listed
 
 PLANE = "pi() / 180 * 6378137.0"
 
@@ -88,6 +91,93 @@ def perimeter_tiers(t: Tables) -> DataFrame:
     return spatial.proximity(f.where("label <> 2").select(F.col("vec_id").alias("point_id"), "lon", "lat"), f.where("label = 2").withColumnRenamed("vec_id", "incident_id"), "point_id", "incident_id").withColumn("miles", F.round("miles", 4))
 
 
+# Wildfire answers
+
+NOW = datetime(2024, 1, 31, tzinfo=timezone.utc)
+DETAIL_SQL = """i AS (SELECT vec_id AS incident_id, 'Fire ' || vec_id AS name, CAST(vec_id % 101 AS DOUBLE) AS contained, CASE WHEN vec_id % 7 = 0 THEN 'https://x.org/' || vec_id ELSE '' END AS url,
+    CASE vec_id % 4 WHEN 0 THEN vec_id % 90 WHEN 1 THEN 7 END AS people, CASE WHEN vec_id % 5 > 0 THEN 'smoke ' || vec_id % 5 END AS said FROM embeddings)"""
+ROLLUP_SQL = """a AS (SELECT place_id, CASE max(CASE tier WHEN 'inside' THEN 3 WHEN 'near' THEN 2 ELSE 1 END) WHEN 3 THEN 'inside' WHEN 2 THEN 'near' ELSE 'regional' END AS status, NOT bool_or(url <> '' OR acres >= 100) AS minor FROM x JOIN i USING (incident_id) GROUP BY 1),
+    n AS (SELECT place_id, string_agg(name || '|' || CAST(CAST(round(miles, 1) AS DECIMAL(8, 1)) AS VARCHAR) || '|' || CAST(acres AS INTEGER) || '|' || coalesce(CAST(people AS VARCHAR), '-') || '|' || coalesce(said, '-') || '|' || incident_id, ',' ORDER BY miles, incident_id) AS incidents
+        FROM (SELECT * FROM x JOIN i USING (incident_id) QUALIFY row_number() OVER (PARTITION BY place_id ORDER BY miles, incident_id) <= 5) GROUP BY 1),
+    s AS (SELECT strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS as_of FROM events WHERE event_type = 'purchase' AND epoch(ts) >= epoch(TIMESTAMP '2024-01-31') - 48 * 3600)"""
+
+
+def incident_details(t: Tables) -> DataFrame:
+    i = F.col("vec_id")
+    said = F.when(i % 5 > 0, F.concat(F.lit(" smoke "), (i % 5).cast("string"), F.lit(" "))).otherwise("  ")
+    people = F.when(i % 4 == 0, (i % 90).cast("string")).when(i % 4 == 1, "7.9").when(i % 4 == 2, "some")
+    return fires(t).select(
+        i.alias("incident_id"), "lon", "lat", F.when(F.col("ring").isNotNull(), F.array("ring")).alias("rings"), F.concat(F.lit("Fire "), i.cast("string")).alias("name"), "acres", (i % 101).cast("double").alias("percent_contained"), F.lit(NOW).alias("discovered_at"), F.lit("active").alias("behavior"),
+        F.when(i % 7 == 0, F.concat(F.lit("https://x.org/"), i.cast("string"))).otherwise("").alias("information_url"), people.alias("personnel"), said.alias("short_description"),
+    )
+
+
+def synced(t: Tables) -> datetime | None:
+    return wildfires.last_sync(t.events.select(F.col("ts").alias("finished_at"), (F.col("event_type") == "purchase").alias("success")), NOW, 48)
+
+
+def listed_incidents(c: Column) -> Column:
+    dash = lambda x: F.coalesce(x.cast("string"), F.lit("-"))
+    return F.array_join(F.transform(c, lambda i: F.concat_ws("|", i["name"], i["distance_miles"].cast("decimal(8,1)").cast("string"), i["acres"].cast("int").cast("string"), dash(i["personnel"]), dash(i["short_description"]), i["incident_id"])), ",")
+
+
+def point_tiers(t: Tables, tiered: bool = True) -> DataFrame:
+    f = fires(t)
+    return spatial.proximity(f.where("label <> 2").select(F.col("vec_id").alias("place_id"), "lon", "lat"), f.where("label = 2").withColumnRenamed("vec_id", "incident_id"), "place_id", "incident_id", tiered=tiered)
+
+
+POINT_TIERS_SQL = f"""{FIRES_SQL}, k AS (SELECT a.vec_id AS place_id, q.vec_id AS incident_id, q.acres, q.mapped, q.s * {PLANE} * cos(radians(a.y)) AS w, q.s * {PLANE} AS h,
+        abs(q.x - a.x) * {PLANE} * cos(radians(a.y)) AS u, abs(q.y - a.y) * {PLANE} AS v FROM f a JOIN f q ON a.label <> 2 AND q.label = 2),
+    d AS (SELECT *, CASE WHEN mapped THEN sqrt(greatest(u - w, 0) ** 2 + greatest(v - h, 0) ** 2) ELSE greatest(0, sqrt(u ** 2 + v ** 2) - {RADIUS_SQL}) END / 1609.344 AS miles FROM k),
+    x AS (SELECT place_id, incident_id, acres, mapped, miles, {TIER_SQL} AS tier FROM d WHERE {TIER_SQL} IS NOT NULL)"""
+
+
+@query(f"""WITH {POINT_TIERS_SQL}, {DETAIL_SQL}, {ROLLUP_SQL} SELECT f.vec_id AS place_id, coalesce(status, 'none') AS status, coalesce(minor, false) AS minor, as_of, coalesce(incidents, '') AS incidents FROM f LEFT JOIN a ON a.place_id = f.vec_id LEFT JOIN n ON n.place_id = f.vec_id, s WHERE label <> 2""")
+def wildfire_context(t: Tables) -> DataFrame:
+    places = t.embeddings.where("label <> 2").select(F.col("vec_id").alias("place_id"))
+    c = wildfires.contexts(places, point_tiers(t), incident_details(t).where("incident_id is not null"), synced(t), "place_id", "incident_id")
+    return c.withColumn("incidents", listed_incidents(F.col("incidents")))
+
+
+@query(f"""WITH {POINT_TIERS_SQL}, {DETAIL_SQL}, {ROLLUP_SQL.split('s AS (SELECT strftime')[0]} s AS (SELECT strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS as_of FROM events WHERE event_type = 'purchase' AND epoch(ts) >= epoch(TIMESTAMP '2024-01-31') - 48 * 3600)
+    SELECT place_id, incident_id, CASE WHEN mapped THEN 'wildfire' ELSE 'wildfire_incident' END AS kind, CASE WHEN mapped THEN 'Polygon' ELSE 'Point' END AS shape, name, contained, as_of FROM d JOIN i USING (incident_id), s WHERE miles <= 30""")
+def wildfire_features(t: Tables) -> DataFrame:
+    f = wildfires.map_features(point_tiers(t, False), incident_details(t), synced(t), "place_id", "incident_id")
+    return f.select("place_id", "incident_id", "kind", F.get_json_object("geometry", "$.type").alias("shape"), "name", F.col("percent_contained").alias("contained"), "as_of")
+
+
+UNIT_TIERS_SQL = f"""{FIRES_SQL}, k AS (SELECT a.vec_id AS place_id, q.vec_id AS incident_id, q.acres, q.mapped, a.s * 2 * {PLANE} * cos(radians(a.y)) AS w, a.s * 2 * {PLANE} AS h, q.s * {PLANE} * cos(radians(a.y)) AS w2, q.s * {PLANE} AS h2,
+        abs(q.x - a.x) * {PLANE} * cos(radians(a.y)) AS u, abs(q.y - a.y) * {PLANE} AS v FROM f a JOIN f q ON a.label = 1 AND q.label = 2),
+    d AS (SELECT *, CASE WHEN mapped THEN sqrt(greatest(u - w - w2, 0) ** 2 + greatest(v - h - h2, 0) ** 2) ELSE greatest(0, sqrt(greatest(u - w, 0) ** 2 + greatest(v - h, 0) ** 2) - {RADIUS_SQL}) END / 1609.344 AS miles FROM k),
+    x AS (SELECT place_id, incident_id, acres, mapped, miles, {TIER_SQL} AS tier FROM d WHERE {TIER_SQL} IS NOT NULL)"""
+
+
+def unit_tiers(t: Tables) -> DataFrame:
+    """Units with a boundary (those whose id is that of a spot of label 1) beside the incidents."""
+    f = fires(t)
+    boundaries = f.where("label = 1").select(F.col("vec_id").alias("unit_id"), F.array(square(F.col("lon"), F.col("lat"), 2 * (0.01 + F.col("vec_id") % 4 / 40.0))).alias("rings"))
+    incidents = f.where("label = 2").select(F.col("vec_id").alias("incident_id"), "lon", "lat", "acres", F.when(F.col("ring").isNotNull(), F.array("ring")).alias("rings"))
+    return spatial.boundary_proximity(boundaries, incidents, "unit_id", "incident_id")
+
+
+@query(f"""WITH {LIST_SQL}, {RULE_SQL}, wf AS (WITH {UNIT_TIERS_SQL}, {DETAIL_SQL}, {ROLLUP_SQL} SELECT a.place_id, a.status, a.minor, n.incidents, s.as_of FROM s LEFT JOIN a ON true LEFT JOIN n USING (place_id))
+    SELECT l.unit_id, l.status, coalesce((SELECT string_agg(CAST(rule_id AS VARCHAR) || ' ' || title, ',' ORDER BY ro.i) FROM ro WHERE ro.unit_id = l.unit_id), '') AS rules, coalesce(wf.status, 'none') AS wildfires, coalesce(wf.minor, false) AS minor,
+    (SELECT min(as_of) FROM wf) AS as_of, coalesce(wf.incidents, '') AS incidents FROM l LEFT JOIN wf ON wf.place_id = l.unit_id""")
+def unit_pages(t: Tables) -> DataFrame:
+    units = listed(t)
+    c = wildfires.contexts(units.select("unit_id"), unit_tiers(t), incident_details(t), synced(t), "unit_id", "incident_id")
+    page = wildfires.unit_pages(views.unit_details(units, active_rules(t)), c, "unit_id")
+    rules = F.array_join(F.transform("rules", lambda r: F.concat(r["rule_id"].cast("string"), F.lit(" "), r["title"])), ",")
+    return page.select("unit_id", "status", rules.alias("rules"), F.col("wildfires.status").alias("wildfires"), "wildfires.minor", "wildfires.as_of", listed_incidents(F.col("wildfires.incidents")).alias("incidents"))
+
+
+@query(f"""WITH {MAP_SQL}, wf AS (WITH {UNIT_TIERS_SQL} SELECT place_id, incident_id, mapped FROM x)
+    SELECT unit_id, kind, feature_slug FROM m UNION ALL SELECT place_id, CASE WHEN mapped THEN 'wildfire' ELSE 'wildfire_incident' END, CAST(incident_id AS VARCHAR) FROM wf WHERE place_id IN (SELECT unit_id FROM m)""")
+def unit_features(t: Tables) -> DataFrame:
+    found = wildfires.map_features(unit_tiers(t), incident_details(t), synced(t), "unit_id", "incident_id")
+    return wildfires.unit_features(features(t), found, "unit_id").select("unit_id", "kind", "feature_slug")
+
+
 # Overlays
 
 @query("""WITH RECURSIVE c AS (SELECT l_linenumber AS k, l_partkey % 24 AS r, l_suppkey % 30 AS c FROM lineitem GROUP BY ALL HAVING avg(l_quantity) > 26),
