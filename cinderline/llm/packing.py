@@ -19,6 +19,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections import Counter
 from functools import lru_cache
 
@@ -42,11 +43,11 @@ STEPS, PASSED, RATE = (1500, 10_000), 30_000_000, 0.05
 class WordTokens(dict):
     """A piece of text without ASCII white space, its ASCII letters lower -> its ids as little-endian 32-bit integers.
 
-    The library encodes the words that are not there, all those of a text at once; at LIMIT words all are
-    forgotten, so that memory is bounded, and frequent ones are soon back.
+    The library encodes the words that are not there, all those of a text at once; LIMIT words are kept,
+    among which the frequent ones are soon.
     """
 
-    LIMIT = 150_000
+    LIMIT = 300_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
@@ -66,12 +67,11 @@ class WordTokens(dict):
         words = text.encode().lower().split()
         found = list(map(self.get, words))
         if None in found:
-            if len(self) > self.LIMIT:
-                self.clear()
-            new = list({w for w in words if w not in self})
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, "<u4").tobytes()
-            found = map(self.__getitem__, words)
+            new = list({w for w, f in zip(words, found, strict=True) if f is None})
+            own = dict(zip(new, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)], strict=True))
+            if len(self) < self.LIMIT:
+                self.update(own)
+            found = [own[w] if f is None else f for w, f in zip(words, found, strict=True)]
         return b"".join(found)
 
 
