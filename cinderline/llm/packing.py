@@ -43,8 +43,9 @@ STEPS, PASSED, RATE = (1500, 10_000), 30_000_000, 0.05
 class WordTokens(dict):
     """A piece of text without ASCII white space, its ASCII letters lower -> its ids as little-endian 32-bit integers.
 
-    The library encodes the words that are not there, all those of a text at once; LIMIT words are kept,
-    among which the frequent ones are soon.
+    Words of Latin letters, also before one sign, go to the library's model by themselves, for nothing
+    else changes or splits them; all others of a text go through the whole library at once. LIMIT words
+    are kept, among which the frequent ones are soon.
     """
 
     LIMIT = 300_000
@@ -59,6 +60,26 @@ class WordTokens(dict):
         kinds = [x.get("type") for x in spec["normalizer"]["normalizers"]] + [x.get("type") for x in spec["pre_tokenizer"]["pretokenizers"]]
         if kinds != ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"] or spec["model"]["end_of_word_suffix"] != "</w>":
             raise ValueError("only lower-casing tokenizers that drop white space and mark word ends")
+        from cinderline.llm.token_counts import byte_symbols
+
+        by_byte = {ord(b): c for c, b in byte_symbols().items()}
+        self.symbols = [by_byte[k] for k in range(256)]
+        self.model = self.tokenizer.model
+        self.signs = {c: self.library([c])[0] for c in ".,;:!?"}
+
+    def library(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def plain(self, word: str) -> bytes | None:
+        """The ids of a word of Latin letters, or of one and a sign; None for any other."""
+        if word.isalpha():
+            if word.isascii():
+                return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+            if max(word) <= "\xff":
+                return array("I", [t.id for t in self.model.tokenize("".join([self.symbols[b] for b in word.lower().encode()]))]).tobytes()
+            return None
+        end = self.signs.get(word[-1])
+        return self.plain(word[:-1]) + end if end and word[:-1].isalpha() and max(word) <= "\xff" else None
 
     def ids(self, text: str) -> bytes:
         """Ids of a whole text. Nothing crosses white space in this kind of tokenizer, so the words' ids are strung together."""
@@ -67,8 +88,9 @@ class WordTokens(dict):
         words = text.encode().lower().split()
         found = list(map(self.get, words))
         if None in found:
-            new = list({w for w, f in zip(words, found, strict=True) if f is None})
-            own = dict(zip(new, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)], strict=True))
+            own = {w: self.plain(w.decode()) for w in {w for w, f in zip(words, found, strict=True) if f is None}}
+            if odd := [w for w, f in own.items() if f is None]:
+                own.update(zip(odd, self.library([w.decode() for w in odd]), strict=True))
             if len(self) < self.LIMIT:
                 self.update(own)
             found = [own[w] if f is None else f for w, f in zip(words, found, strict=True)]
