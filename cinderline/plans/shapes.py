@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinderline.functions import geometry
-from cinderline.operators import lines, overlay, spatial, views, wildfires
+from cinderline.operators import lines, overlay, simplify, spatial, views, wildfires
 from cinderline.plans.catalogue import Tables, lat, lon, query
 from cinderline.plans.views import LIST_SQL, MAP_SQL, RULE_SQL, active_rules, features, listed
 
@@ -260,6 +260,18 @@ def envelope_parts(t: Tables) -> DataFrame:
     return rows.unionByName(missing.select("area_id", F.lit("").alias("name"), F.lit(-1).alias("part"), F.lit(0.0).alias("area"), F.array_join("missing", ",").alias("missing")))
 
 
+@query("""WITH u AS (SELECT s_suppkey AS unit_id, CASE WHEN s_suppkey % 4 * 0.4 > 0.5 THEN s_suppkey % 4 * 0.4 ELSE 0 END AS l, CASE WHEN (s_suppkey + 1) % 4 * 0.4 > 0.5 THEN (s_suppkey + 1) % 4 * 0.4 ELSE 0 END AS r FROM supplier)
+    SELECT unit_id, round(CAST(100 + (r - l) * 5 AS DOUBLE), 6) AS area, CAST(4 + CASE WHEN l > 0 THEN 1 ELSE 0 END + CASE WHEN r > 0 THEN 1 ELSE 0 END AS INTEGER) AS corners FROM u""")
+def simplified_borders(t: Tables) -> DataFrame:
+    """Neighbouring units whose common borders have a bend, some of them within the tolerance."""
+    k = F.col("s_suppkey")
+    bend = lambda i: i % 4 * 0.4
+    at = lambda x, y: corner(x.cast("double"), F.lit(float(y)))
+    ring = F.array(at(k * 10, 0), at(k * 10 + 10, 0), at(k * 10 + 10 + bend(k + 1), 5), at(k * 10 + 10, 10), at(k * 10, 10), at(k * 10 + bend(k), 5))
+    simple = simplify.simplified(t.supplier.select(k.alias("unit_id"), F.array(ring).alias("rings")), "unit_id", 0.5, 5.0)
+    return simple.select("unit_id", F.round("area", 6).alias("area"), F.size("ring").alias("corners"))
+
+
 # Lines
 
 @query(f"""WITH {SPOTS_SQL}, l AS (SELECT label, x AS ax, y AS ay, lead(x) OVER w AS bx, lead(y) OVER w AS cy FROM p WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
