@@ -154,7 +154,7 @@ def page_text(content: bytes, by_font: dict) -> str:
         elif t in (b"Td", b"TD") and lines[-1][-1:] not in ("", " "):
             lines[-1] += " "
         args = []
-    return "\n".join(x for x in (line.strip(" \t\r") for line in lines) if x)
+    return "\n".join(x for x in (part.strip(" \t\r") for line in lines for part in line.split("\n")) if x)
 
 
 def page_content(head: bytes, held: dict) -> bytes:
@@ -185,7 +185,8 @@ def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
     """path, page_count, text, extraction_status, extraction_error of the PDF files at a path, a file at a time.
 
     Pages are separated by an empty line, and blanks in a row are one. A file without text, or that
-    cannot be read, has the status needs_review and an error; one bad file stops nothing.
+    cannot be read, has the status needs_review and an error; one bad file stops nothing. Files of no
+    bytes are no rows of Spark's reader, and so none here.
     """
 
     def read(data: bytes) -> tuple:

@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from cinderline.plans import answers, catalogue, files, records, rules, runs, shapes, views  # noqa: F401 - they register their queries
+from cinderline.plans import answers, catalogue, files, pages, records, rules, runs, shapes, views  # noqa: F401 - they register their queries
 from tests.conftest import SMALL
 
 
