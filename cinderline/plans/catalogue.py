@@ -286,9 +286,11 @@ def missing_months(t: Tables) -> DataFrame:
     return joins.missing_combinations(t.customer, there, "c_custkey", "month", list(range(1, 13)))
 
 
-@query("SELECT count(*) AS lost FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 250000)")
 def must_match(t: Tables) -> DataFrame:
-    return joins.unmatched(t.customer, t.orders.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]).agg(F.count("*").alias("lost"))
+    """The customers that a check for large closed orders would stop at."""
+    large = t.orders.where("o_orderstatus = 'F' and o_totalprice > 250000").select(F.col("o_custkey").alias("c_custkey"))
+    return joins.unmatched(t.customer, large, ["c_custkey"]).select("c_custkey", "c_name")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) OR c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') OR c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
@@ -412,10 +414,16 @@ def point_in_polygon(t: Tables) -> DataFrame:
     return spatial.points_in_polygons(t.embeddings.select("vec_id", lon().alias("x"), lat().alias("y")), polygons, "vec_id", "pid", 0.1)
 
 
-@query(f"""WITH {EDGES_SQL} SELECT pid, round(sum(ax * cy - cx * ay) / 2, 8) AS area, round(sum((ax + cx) * (ax * cy - cx * ay)) / (3 * sum(ax * cy - cx * ay)), 8) AS x, round(sum((ay + cy) * (ax * cy - cx * ay)) / (3 * sum(ax * cy - cx * ay)), 8) AS y FROM e GROUP BY 1""")
+@query("""WITH g AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, 0.01 + (vec_id % 7) / 90.0 AS s FROM embeddings), c AS (SELECT vec_id, x, y, s, [x, x + 2 * s, x + s, x + 2 * s, x - s] AS px, [y, y - s, y + s, y + 3 * s, y + 2 * s] AS py FROM g),
+    e AS (SELECT vec_id, x, y, px[i] - x AS ax, py[i] - y AS ay, px[i % 5 + 1] - x AS cx, py[i % 5 + 1] - y AS cy FROM c, (SELECT unnest([1, 2, 3, 4, 5]) AS i))
+    SELECT vec_id, round(sum(ax * cy - cx * ay) / 2, 8) AS area, round(any_value(x) + sum((ax + cx) * (ax * cy - cx * ay)) / (3 * sum(ax * cy - cx * ay)), 6) AS x, round(any_value(y) + sum((ay + cy) * (ax * cy - cx * ay)) / (3 * sum(ax * cy - cx * ay)), 6) AS y FROM e GROUP BY 1""")
 def polygon_centroid_area(t: Tables) -> DataFrame:
+    """Of a concave ring at each spot."""
+    s = 0.01 + F.col("vec_id") % 7 / 90.0
+    corner = lambda i, j: F.struct((lon() + i * s).alias("x"), (lat() + j * s).alias("y"))
+    rings = t.embeddings.select("vec_id", F.array(corner(0, 0), corner(2, -1), corner(1, 1), corner(2, 3), corner(-1, 2)).alias("ring"))
     c = geometry.ring_centroid(F.col("ring"))
-    return shapes(t.spark).select("pid", F.round(geometry.ring_area(F.col("ring")), 8).alias("area"), F.round(c["x"], 8).alias("x"), F.round(c["y"], 8).alias("y"))
+    return rings.select("vec_id", F.round(geometry.ring_area(F.col("ring")), 8).alias("area"), F.round(c["x"], 6).alias("x"), F.round(c["y"], 6).alias("y"))
 
 
 NEAR_SQL = """p AS (SELECT vec_id, embedding[1]::DOUBLE * 10 - 120 AS lon, embedding[2]::DOUBLE * 10 + 44 AS lat, (vec_id % 10) * 120.0 AS acres, label FROM embeddings),
@@ -513,9 +521,9 @@ def cube_orders(t: Tables) -> DataFrame:
     return t.orders.cube("o_orderstatus", "o_orderpriority").agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def except_keys(t: Tables) -> DataFrame:
-    return t.customer.select("c_custkey").subtract(t.orders.select("o_custkey"))
+    return t.customer.select("c_custkey").subtract(t.orders.where("o_orderstatus = 'P'").select("o_custkey"))
 
 
 @query("SELECT s_nationkey AS nation FROM supplier INTERSECT SELECT c_nationkey FROM customer")
