@@ -174,7 +174,7 @@ def looked_up_orders(t: Tables) -> DataFrame:
 
 # Pages
 
-TEXT_SQL = r"trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace({0}, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&'), '[ \t\r\n\f\v]+', ' ', 'g'))"
+TEXT_SQL = r"trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace({0}, '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', ''''), '&amp;', '&'), '[ \t\r\n\f\v]+', ' ', 'g'))"
 
 
 @query(f"""WITH p AS (SELECT page_id, url, html, regexp_replace(regexp_replace(html, '(?s)<(script|style)>.*?</(script|style)>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
