@@ -261,7 +261,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def print_of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
 
-    without = docs.where(F.col(id_col).isNull()).withColumn("_print", print_of(F.coalesce(F.col(text_col), F.lit(""))))
-    named = table.where("doc_id is not null").select(F.col("print").alias("_print")).distinct()
-    without = without.join(named, "_print", "left_anti").groupBy("_print").agg(least).select("row.*")
+    # Whole rows are one column here, so that no name can clash.
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    without = docs.where(F.col(id_col).isNull()).select(F.struct(*docs.columns).alias("row"), text.alias("text"), print_of(text).alias("print"))
+    named = table.where("doc_id is not null").select("print").distinct()
+    without = without.join(named, "print", "left_anti").groupBy("print").agg(F.min_by("row", "text").alias("row")).select("row.*")
     return reduce(DataFrame.unionByName, [x.select(*docs.columns) for x in (single, repeated, without)])
