@@ -244,7 +244,7 @@ def long_counts(texts: DataFrame, where: str, block: int = BLOCK, look: int = LO
                 for no, (before, part, special) in enumerate(machine.blocks(text, block, look)):
                     yield pa.RecordBatch.from_pylist([{"key": key, "no": no, "before": before, "part": part, "special": special}], CUT)
 
-    blocks = texts.mapInArrow(cut, "key string, no int, before string, part string, special int").dropDuplicates(["key", "no"])
+    blocks = materialise(texts.mapInArrow(cut, "key string, no int, before string, part string, special int").dropDuplicates(["key", "no"]))
 
     def mapped(b: pa.RecordBatch) -> pa.RecordBatch:
         machine, rows = counter(where), []
