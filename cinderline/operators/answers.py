@@ -120,6 +120,15 @@ def stage_code(*fields: Column) -> tuple[Column, Column, Column]:
     return status, lookup(code, {k: v[1] for k, v in STAGE_CODES.items()}, "unknown"), F.when(status == "unknown", 0.35).otherwise(0.95)
 
 
+#: What an official page shows, in a pattern each; the summary and quotes that stand for it; reasons for review that are settled by it.
+PUR_SHOWN = (r"(?i)PUR:\s*Seasonal Restrictions", r"(?i)Fire Danger:\s*(?:LOW|MODERATE)", r"(?i)IFPL:\s*I")
+PUR_MODERATE = r"(?i)Fire Danger:\s*MODERATE"
+PUR_SUMMARY = ("Current public-use restrictions are in Seasonal Restrictions/Phase A with ", " fire danger and IFPL I.")
+PUR_QUOTES = ("Fire Danger: ", "IFPL: I", "PUR: Seasonal Restrictions")
+PUR_SETTLED = r"(?i)Seasonal Restrictions|Phase A|campfire policy|effective dates|template|informational page"
+PAGE_SETTLED = r"(?i)LLM parsing is disabled or unavailable|campfire policy|effective dates|permanent|backcountry"
+
+
 def current_pur(claims: DataFrame) -> DataFrame:
     """Claims of an official forest page whose text shows seasonal public-use restrictions with low or moderate danger and level I: advisory, with fires allowed.
 
@@ -127,12 +136,12 @@ def current_pur(claims: DataFrame) -> DataFrame:
     affected_area, summary, evidence_quotes, confidence, needs_review_reasons.
     """
     text = F.coalesce("text", F.lit(""))
-    shown = (F.col("authority") == "official_usfs") & text.rlike(r"(?i)PUR:\s*Seasonal Restrictions") & text.rlike(r"(?i)Fire Danger:\s*(?:LOW|MODERATE)") & text.rlike(r"(?i)IFPL:\s*I")
-    danger = F.when(text.rlike(r"(?i)Fire Danger:\s*MODERATE"), "MODERATE").otherwise("LOW")
-    summary = F.concat(F.lit("Current public-use restrictions are in Seasonal Restrictions/Phase A with "), danger, F.lit(" fire danger and IFPL I."))
-    quotes = F.array(F.concat(F.lit("Fire Danger: "), danger), F.lit("IFPL: I"), F.lit("PUR: Seasonal Restrictions"))
+    shown = reduce(lambda c, p: c & text.rlike(p), PUR_SHOWN, F.col("authority") == "official_usfs")
+    danger = F.when(text.rlike(PUR_MODERATE), "MODERATE").otherwise("LOW")
+    summary = F.concat(F.lit(PUR_SUMMARY[0]), danger, F.lit(PUR_SUMMARY[1]))
+    quotes = F.array(F.concat(F.lit(PUR_QUOTES[0]), danger), *map(F.lit, PUR_QUOTES[1:]))
     values = {"status": F.lit("advisory"), "policy": F.lit("allowed"), "fire_danger_rating": danger, "ifpl_level": F.lit("I"), "summary": summary, "evidence_quotes": quotes}
-    return overridden(claims, shown, values, 0.9, r"(?i)Seasonal Restrictions|Phase A|campfire policy|effective dates|template|informational page")
+    return overridden(claims, shown, values, 0.9, PUR_SETTLED)
 
 
 def page_overrides(claims: DataFrame, pages: DataFrame) -> DataFrame:
@@ -145,7 +154,7 @@ def page_overrides(claims: DataFrame, pages: DataFrame) -> DataFrame:
     joined = claims.join(pages, "source_slug", "left")
     shown = (F.col("authority") == "official_nps") & (F.col("source_type") == "nps_fire_page") & F.regexp_like(F.coalesce("text", F.lit("")), F.col("pattern"))
     values = {"status": F.col("page_status"), "policy": F.col("page_policy"), "affected_area": F.col("page_area"), "summary": F.col("page_summary"), "evidence_quotes": F.array("page_quote")}
-    return overridden(joined, shown, values, 0.95, r"(?i)LLM parsing is disabled or unavailable|campfire policy|effective dates|permanent|backcountry").select(*claims.columns)
+    return overridden(joined, shown, values, 0.95, PAGE_SETTLED).select(*claims.columns)
 
 
 def overridden(claims: DataFrame, shown: Column, values: dict[str, Column], least: float, settled: str) -> DataFrame:

@@ -51,33 +51,43 @@ def search_places(names: DataFrame, query: str, kinds: list[str], limit: int = 8
     return out.orderBy(F.desc("score"), "name", "place_id").limit(limit)
 
 
-#: Passages of one or two words that may be broadcast.
-FEW_SHORT = 10_000
-
-
 def passages_in_texts(texts: DataFrame, passages: DataFrame, text_id: str, passage_id: str) -> DataFrame:
     """Pairs of ids with the passage in the text, both with runs of white space as single blanks. Inputs: an id and text.
 
     A passage may begin and end inside words, so each of its inner words must be a word of the text.
     Candidates are the texts with the inner word that the fewest texts have, and only these are
-    searched. Passages without an inner word are searched in every text.
+    searched. Passages without an inner word are found by their rarest run of three characters.
     """
     flat = lambda df, row_id, name: df.select(row_id, evidence_text(F.col("text")).alias(name)).withColumn("_w", F.split(name, " "))
     items = flat(passages, passage_id, "needle").where("needle <> ''")
     hay = flat(texts, text_id, "hay")
     inner = items.where("size(_w) > 2").select(passage_id, "needle", F.explode(F.array_distinct(F.expr("slice(_w, 2, size(_w) - 2)"))).alias("word"))
-    words = hay.select(text_id, F.explode(F.array_distinct("_w")).alias("word")).join(inner.select("word").distinct(), "word", "left_semi")
-    seen = words.groupBy("word").count()
-    rarest = inner.join(seen, "word").groupBy(passage_id).agg(F.count("*").alias("_found"), F.min(F.struct("count", "word")).alias("_r"))
-    # A passage with an inner word that no text has is in none.
-    keys = inner.groupBy(passage_id).agg(F.count("*").alias("_all"), F.first("needle").alias("needle")).join(rarest, passage_id).where("_found = _all").select(passage_id, "needle", "_r.word")
-    hits = words.join(keys, "word").select(text_id, passage_id, "needle").join(hay.select(text_id, "hay"), text_id).where(F.col("hay").contains(F.col("needle"))).select(text_id, passage_id)
+    hits = holding_rarest(hay.select(text_id, F.explode(F.array_distinct("_w")).alias("word")), inner, text_id, passage_id)
     short = items.where("size(_w) <= 2").select(passage_id, "needle")
-    number = short.count()
-    if not number:
-        return hits
-    more = hay.join(F.broadcast(short) if number <= FEW_SHORT else short, F.col("hay").contains(F.col("needle"))).select(text_id, passage_id)
-    return hits.unionByName(more)
+    if not short.isEmpty():
+        n = F.least(F.length("needle"), F.lit(GRAM))
+        grams = short.select(passage_id, "needle", F.explode(runs_of(F.col("needle"), n)).alias("word"))
+        held = hay.select(text_id, F.explode(F.array_distinct(F.concat(*(runs_of(F.col("hay"), F.lit(k)) for k in range(1, GRAM + 1))))).alias("word"))
+        hits = hits.unionByName(holding_rarest(held, grams, text_id, passage_id))
+    return hits.join(hay.select(text_id, "hay"), text_id).where(F.col("hay").contains(F.col("needle"))).select(text_id, passage_id)
+
+
+#: Characters of the runs by which passages without an inner word are found.
+GRAM = 3
+
+
+def runs_of(text: Column, n: Column) -> Column:
+    """All different runs of n characters; none of a shorter text."""
+    return F.array_distinct(F.transform(F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(text, i, n)))
+
+
+def holding_rarest(held: DataFrame, wanted: DataFrame, text_id: str, passage_id: str) -> DataFrame:
+    """text_id, passage_id, needle: the texts that have a passage's rarest word. held: text_id, word, a row for each different word; wanted: passage_id, needle, word. A passage with a word that no text has is in none."""
+    words = held.join(wanted.select("word").distinct(), "word", "left_semi")
+    seen = words.groupBy("word").count()
+    rarest = wanted.join(seen, "word").groupBy(passage_id).agg(F.count("*").alias("_found"), F.min(F.struct("count", "word")).alias("_r"))
+    keys = wanted.groupBy(passage_id).agg(F.count("*").alias("_all"), F.first("needle").alias("needle")).join(rarest, passage_id).where("_found = _all").select(passage_id, "needle", "_r.word")
+    return words.join(keys, "word").select(text_id, passage_id, "needle")
 
 
 #: What a land unit earns in searches, by its type (80 for all others), and the queries that stand for types.

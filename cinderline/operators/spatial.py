@@ -219,27 +219,64 @@ def nearest_feature(targets: DataFrame, features: DataFrame, target_id: str, fea
     """For each target the other feature of its group with the least squared distance (x, y), then the least id.
 
     Targets look at the nine cells about them. A find no farther than a cell's side is final; the
-    other targets look again with cells four times as large, until none is left or a cell is as large
-    as all features together. With a size that suits the density few are left after the first round;
-    every round is written, and reads only what the rounds before left.
+    other targets look again with cells four times as large. What then is left is far from all
+    features, and descends from the largest cells to smaller ones, into those alone that may hold
+    something nearer than a feature already seen (`descended`). Rounds are written, and read only what
+    the rounds before left.
     """
-    f = features.select(group, feature_id, F.col("x").alias("fx"), F.col("y").alias("fy"))
-    ends = f.agg(F.max("fx") - F.min("fx"), F.max("fy") - F.min("fy")).first()
-    whole = max(ends[0] or 0.0, ends[1] or 0.0)
-    left, done, side = targets.select(target_id, group, "x", "y"), [], size
-    reach = targets.agg(F.max(F.abs("x")), F.max(F.abs("y"))).first()
-    whole = 2 * (whole + max(reach[0] or 0.0, reach[1] or 0.0))
-    while True:
+    f = features.select(group, feature_id, F.col("x").alias("fx"), F.col("y").alias("fy")).where("fx is not null and fy is not null")
+    left, done, side = targets.select(target_id, group, "x", "y").where("x is not null and y is not null"), [], size
+    for _ in range(2):
         around = F.explode(F.array(*(F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("d")
         a = left.select("*", around).select(target_id, group, "x", "y", (F.floor(F.col("x") / side) + F.col("d.di")).alias("i"), (F.floor(F.col("y") / side) + F.col("d.dj")).alias("j"))
         pairs = a.join(f.withColumns({"i": F.floor(F.col("fx") / side), "j": F.floor(F.col("fy") / side)}), [group, "i", "j"])
-        d = F.pow(F.col("x") - F.col("fx"), 2) + F.pow(F.col("y") - F.col("fy"), 2)
-        best = pairs.where(F.col(target_id) != F.col(feature_id)).withColumn("d2", d).groupBy(target_id).agg(F.min(F.struct("d2", feature_id)).alias("b")).select(target_id, f"b.{feature_id}", "b.d2")
+        best = nearest_of(pairs, target_id, feature_id)
         done.append(materialise(best.where(F.col("d2") <= side * side)))
         left = materialise(left.join(done[-1].select(target_id), target_id, "left_anti"))
-        if side > whole or left.isEmpty():
+        if left.isEmpty():
             return reduce(DataFrame.unionByName, done)
         side *= 4
+    return reduce(DataFrame.unionByName, [*done, descended(left, f, target_id, feature_id, group, side)])
+
+
+def nearest_of(pairs: DataFrame, target_id: str, feature_id: str) -> DataFrame:
+    """target_id, feature_id, d2: of pairs (x, y, fx, fy) each target's nearest other feature, of equally near ones the least id."""
+    d = F.pow(F.col("x") - F.col("fx"), 2) + F.pow(F.col("y") - F.col("fy"), 2)
+    return pairs.where(F.col(target_id) != F.col(feature_id)).withColumn("d2", d).groupBy(target_id).agg(F.min(F.struct("d2", feature_id)).alias("b")).select(target_id, f"b.{feature_id}", "b.d2")
+
+
+def descended(targets: DataFrame, f: DataFrame, target_id: str, feature_id: str, group: str, side: float) -> DataFrame:
+    """nearest_of for targets that are far from all features: from cells as large as everything down to those of `side`.
+
+    A cell knows the box of its features and two of them. A target goes on with the cells whose box is
+    no farther than the nearest of the features so known, so a large group is never gone through.
+    """
+    ends = f.agg(F.max("fx") - F.min("fx"), F.max("fy") - F.min("fy")).first()
+    whole, k = max(ends[0] or 0.0, ends[1] or 0.0), 0
+    while side * 4**k < whole:
+        k += 1
+
+    def cells_of(step: float) -> DataFrame:
+        spot = F.struct(feature_id, "fx", "fy")
+        return f.groupBy(group, F.floor(F.col("fx") / step).alias("i"), F.floor(F.col("fy") / step).alias("j")).agg(
+            F.min("fx").alias("x1"), F.max("fx").alias("x2"), F.min("fy").alias("y1"), F.max("fy").alias("y2"), F.array(F.min_by(spot, feature_id), F.max_by(spot, feature_id)).alias("known")
+        )
+
+    def pruned(cand: DataFrame) -> DataFrame:
+        out = lambda c: F.greatest(F.col(f"{c}1") - F.col(c), F.col(c) - F.col(f"{c}2"), F.lit(0.0))
+        away = F.filter("known", lambda s: s[feature_id] != F.col(target_id))
+        seen = F.array_min(F.transform(away, lambda s: F.pow(F.col("x") - s["fx"], 2) + F.pow(F.col("y") - s["fy"], 2)))
+        measured = materialise(cand.withColumns({"_low": F.pow(out("x"), 2) + F.pow(out("y"), 2), "_seen": seen}).select(target_id, group, "x", "y", "i", "j", "_low", "_seen"))
+        most = measured.groupBy(target_id).agg(F.min("_seen").alias("_most"))
+        near = measured.join(most, target_id).where(F.col("_most").isNull() | (F.col("_low") <= F.col("_most") * (1 + 1e-12)))
+        return near.select(target_id, group, "x", "y", "i", "j")
+
+    now = pruned(targets.join(cells_of(side * 4**k), group))
+    for level in reversed(range(k)):
+        finer = cells_of(side * 4**level).withColumns({"pi": F.floor(F.col("i") / 4), "pj": F.floor(F.col("j") / 4)})
+        up = now.select(target_id, group, "x", "y", F.col("i").alias("pi"), F.col("j").alias("pj"))
+        now = pruned(up.join(finer, [group, "pi", "pj"]))
+    return nearest_of(now.join(f.withColumns({"i": F.floor(F.col("fx") / side), "j": F.floor(F.col("fy") / side)}), [group, "i", "j"]), target_id, feature_id)
 
 
 def combined_polygons(features: DataFrame, key: str, polygons: str, order: str) -> DataFrame:

@@ -12,6 +12,7 @@ from cinderline.functions.rules import LINK_RANK, MAP_STATUSES, PUBLISHED_REVIEW
 from cinderline.functions.words import approximate, checked_label
 from cinderline.operators.answers import status_group
 from cinderline.operators.localized import rule_order, selected_parts
+from cinderline.sources.tables import materialise
 
 
 def status_list(units: DataFrame, statuses: DataFrame, sources: DataFrame, climate: DataFrame) -> DataFrame:
@@ -72,6 +73,7 @@ def unit_map(boundaries: DataFrame, listed: DataFrame, active_rules: DataFrame,
     these one feature of all parts. Columns FEATURE and `parts`, null for the unit's own features.
     """
     text = lambda v=None: F.lit(v).cast("string")
+    listed = materialise(listed)  # three kinds of features read it
     rules = active_rules.withColumnRenamed("slug", "rule_slug").join(listed.select("unit_id"), "unit_id").where(F.col(parts).isNotNull())
     chosen = F.filter(F.transform(F.coalesce(subfeatures, F.array().cast(rules.schema[subfeatures].dataType)), lambda s: F.struct(s["part_name"].alias("part_name"), selected_parts(F.col(parts), s["indexes"]).alias("own"))), lambda s: s["own"].isNotNull())
     whole = F.array(F.struct(text().alias("part_name"), F.col(parts).alias("own")))

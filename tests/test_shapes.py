@@ -245,3 +245,32 @@ def test_near_lines_and_shapes(spark):
     lake = [square(0, 0, 3), square(1, 1, 1)]
     want = {(i, 1) for i, x, y in points[:-1] if inside(lake, x, y) or min(away(x, y, a, b) for a, b in edges_of(lake)) <= 0.2}
     assert set(map(tuple, lines.near_shapes(p, shapes(spark, [(1, lake)]), "pid", "gid", 0.2).collect())) == want
+
+
+def test_nearest_feature_of_outliers(spark):
+    """Targets far from a group of many features descend to the few that may be nearest; ties take the least id, a feature is not its own."""
+    r = random.Random(8)
+    features = [(i, "a", r.gauss(0, 1), r.gauss(0, 1)) for i in range(600)] + [(1000 + i, "b", 50.0, 50.0 + i % 2) for i in range(4)]
+    targets = [(5000 + i, "a", r.uniform(-900, 900), r.uniform(-900, 900)) for i in range(25)] + [(1000, "b", 50.0, 50.0), (6000, "b", -400.0, 50.5), (7000, "none", 0.0, 0.0), (8000, "a", None, 0.0)] + [(i, g, x, y) for i, g, x, y in features[:5]]
+    f = spark.createDataFrame(features, "f long, g string, x double, y double")
+    t = spark.createDataFrame(targets, "t long, g string, x double, y double")
+    got = {row.t: row.f for row in spatial.nearest_feature(t, f, "t", "f", "g", 0.05).collect()}
+    want = {}
+    for i, g, x, y in targets:
+        near = [((x - fx) ** 2 + (y - fy) ** 2, k) for k, h, fx, fy in features if h == g and k != i and x is not None]
+        if near:
+            want[i] = min(near)[1]
+    assert got == want
+
+
+def test_short_passages(spark):
+    """Passages of one or two words, of any length and script, are found in all texts that hold them, inside of words too."""
+    from cinderline.operators import search
+
+    texts = {1: "alpha beta gamma", 2: "Beta  gam", 3: "é😀x", 4: "", 5: None, 6: "xé"}
+    passages = {1: "pha beta", 2: "a", 3: "é", 4: "beta  gam", 5: "😀", 6: "zz top", 7: "gamma", 8: "", 9: None, 10: "mma"}
+    df = lambda d, k: spark.createDataFrame(list(d.items()), f"{k} long, text string")
+    plain = lambda s: " ".join((s or "").split())
+    want = {(t, p) for t, x in texts.items() for p, y in passages.items() if plain(y) and plain(y) in plain(x)}
+    got = search.passages_in_texts(df(texts, "t"), df(passages, "p"), "t", "p").collect()
+    assert set(map(tuple, got)) == want and len(got) == len(want)
