@@ -30,7 +30,7 @@ from cinderline.llm.common import documents, materialise
 #: Words of a phrase at most, its occurrences at least, percent of them in a longer phrase that make it redundant, phrases a language.
 LONGEST, OFTEN, HELD_PERCENT, FIRST = 4, 30, 80, 2000
 #: Positions of a shard, pairs of blocks compared at once, blocks of words extended at once, distinct words that a task counts before it passes them on.
-SHARD, PAIRS, ENTRIES, HELD = 2_000_000, 1_000_000, 200_000, 400_000
+SHARD, PAIRS, ENTRIES, HELD = 1_000_000, 1_000_000, 200_000, 400_000
 #: Slots of a sieve, as a power of 2 (2**27 bits are 16 MB), and the parts, again as a power, in which they are added up.
 SIEVE, PARTS = 27, 8
 #: Parts of what is joined to, or ranked in, one key.
