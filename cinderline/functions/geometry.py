@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -159,6 +160,29 @@ def geojson_points(text: Column) -> Column:
     return F.flatten(F.transform(geojson_shapes(text), points))
 
 
+def reprojected(text: Column, move: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """The GeoJSON text of a geometry of any type, a Feature's geometry or a GeometryCollection (one level), every position moved, the kinds and the nesting kept; null for anything else."""
+
+    def position(c: Column) -> Column:
+        return F.array(*move(c[0], c[1]))
+
+    def part(p: Column) -> Column:
+        get = lambda kind: F.try_variant_get(p["coordinates"], "$", kind)
+        line = lambda c: F.transform(c, position)
+        lines = lambda c: F.transform(c, line)
+        # JSON of a bare array is that of a struct's only member.
+        json = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("c"))), r'^\{"c":(.*)\}$', 1)
+        deep = (
+            F.when(p["type"] == "Point", json(position(get("array<double>")))).when(p["type"].isin("MultiPoint", "LineString"), json(line(get("array<array<double>>"))))
+            .when(p["type"].isin("MultiLineString", "Polygon"), json(lines(get("array<array<array<double>>>")))).otherwise(json(F.transform(get("array<array<array<array<double>>>>"), lines)))
+        )
+        return F.concat(F.lit('{"type":"'), p["type"], F.lit('","coordinates":'), deep, F.lit("}"))
+
+    parts = F.transform(geojson_shapes(text), part)
+    many = F.concat(F.lit('{"type":"GeometryCollection","geometries":['), F.array_join(parts, ","), F.lit("]}"))
+    return F.when(F.size(parts) == 1, parts[0]).when(F.size(parts) > 1, many)
+
+
 def geojson_polygons(text: Column) -> Column:
     """array<array<array<struct<x,y>>>> of the Polygons and MultiPolygons of a geometry, a Feature or a GeometryCollection; null without one. Rings of fewer than four points are dropped."""
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cinderline.functions import geometry
 from cinderline.operators import lines, overlay, simplify, spatial, views, wildfires
 from cinderline.plans.catalogue import Tables, lat, lon, query
+from cinderline.plans.records import shape_text
 from cinderline.plans.views import LIST_SQL, MAP_SQL, RULE_SQL, active_rules, features, listed
 
 PLANE = "pi() / 180 * 6378137.0"
@@ -272,6 +273,17 @@ def simplified_borders(t: Tables) -> DataFrame:
     return simple.select("unit_id", F.round("area", 6).alias("area"), F.size("ring").alias("corners"))
 
 
+@query(f"""WITH s AS (SELECT c_custkey AS id, c_custkey % 9 AS f, CAST(c_custkey AS DOUBLE) AS k FROM customer WHERE c_custkey % 9 < 8),
+    n AS (SELECT id, [1, 2, 2, 2, 4, 8, 4, 5][f + 1] AS n, [k, k, k, k, 2 * k - 2, 4 * k - 4, 2 * k - 2, 3 * k - 2][f + 1] AS x, [k + 1, k + 1, k + 1, k + 1, 2 * k + 1, 4 * k + 2, 2 * k + 1, 3 * k + 2][f + 1] AS y FROM s)
+    SELECT id, CAST(n AS INTEGER) AS points, round((x + n * 120) * {PLANE} * cos(radians(44)) / 1e6, 6) AS east, round((y - n * 44) * {PLANE} / 1e6, 6) AS north FROM n""")
+def moved_shapes(t: Tables) -> DataFrame:
+    """Shapes of all types in metres from an origin."""
+    moved = geometry.reprojected(shape_text(F.col("c_custkey")), lambda x, y: geometry.projected(x, y, F.lit(-120.0), F.lit(44.0)))
+    p = t.customer.select(F.col("c_custkey").alias("id"), geometry.geojson_points(moved).alias("p")).where("p is not null")
+    total = lambda c: F.round(F.aggregate("p", F.lit(0.0), lambda a, v: a + v[c]) / 1e6, 6)
+    return p.select("id", F.size("p").alias("points"), total("x").alias("east"), total("y").alias("north"))
+
+
 # Lines
 
 @query(f"""WITH {SPOTS_SQL}, l AS (SELECT label, x AS ax, y AS ay, lead(x) OVER w AS bx, lead(y) OVER w AS cy FROM p WINDOW w AS (PARTITION BY label ORDER BY vec_id)),

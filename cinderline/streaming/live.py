@@ -20,14 +20,19 @@ def distinct_documents(stream: DataFrame, hash_col: str, time: str, late: str =
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([hash_col])
 
 
-def status_changes(stream: DataFrame, key: str, time: str, tie: str, value: str) -> DataFrame:
+def status_changes(stream: DataFrame, key: str, time: str, tie: str, value: str, forget: float | None = None, late: str = "1 hour") -> DataFrame:
     """A row (key, time, before, after) whenever a key's value differs from its last one; the first has a null before.
 
-    The state is the last value and its order, so a row older than what was seen is ignored.
+    The state is the last value and its order, so a row older than what was seen is ignored. With
+    `forget` a key's state goes that many seconds after its last row, once the watermark is there; what
+    comes later is a first value again. Without it states stay.
     """
-    out = f"{key} long, at timestamp, before string, after string"
+    out = f"{key} {stream.schema[key].dataType.simpleString()}, at timestamp, before string, after string"
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last, seen_at, seen_tie = state.get if state.exists else (None, pd.Timestamp.min, -(2**62))
         first, rows = not state.exists, []
         pdf = pd.concat(list(batches)).sort_values([time, tie])
@@ -38,10 +43,17 @@ def status_changes(stream: DataFrame, key: str, time: str, tie: str, value: str)
                 rows.append((k[0], at, None if first else last, v))
             last, seen_at, seen_tie, first = v, at, int(t), False
         state.update((last, seen_at, seen_tie))
+        if forget is not None:
+            due = int(pdf["event_ms"].max() + forget * 1000)
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         if rows:
             yield pd.DataFrame(rows, columns=[key, "at", "before", "after"])
 
-    return stream.select(key, time, tie, value).groupBy(key).applyInPandasWithState(step, out, "last string, seen_at timestamp, seen_tie long", "append", GroupStateTimeout.NoTimeout)
+    read = stream.select(key, F.col(time).cast("timestamp").alias(time), tie, value)
+    timeout = GroupStateTimeout.NoTimeout
+    if forget is not None:
+        read, timeout = read.withWatermark(time, late).withColumn("event_ms", F.unix_millis(time)), GroupStateTimeout.EventTimeTimeout
+    return read.groupBy(key).applyInPandasWithState(step, out, "last string, seen_at timestamp, seen_tie long", "append", timeout)
 
 
 def snapshot_sink(read_state: Callable[[], DataFrame], write_state: Callable[[DataFrame], None], key: str, keep_known: list[list[str]], now: Column, order: str | None = None) -> Callable[[DataFrame, int], None]:

@@ -193,6 +193,20 @@ def test_freshness_over_batches(spark, tmp_path):
         assert rows == [(k, hour(h), s) for k, h, s in want]
 
 
+def test_status_changes_are_forgotten(spark, tmp_path):
+    """Text keys; a key's state goes by a timer, so that its next value is a first one again."""
+    from cinderline.streaming import live
+
+    hour = lambda h: datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(hours=h)
+    for k, rows in enumerate([[("a", 0, "x"), ("b", 1, "x")], [("a", 2, "y"), ("b", 30, "x")], [("b", 60, "x")], [("a", 61, "y")]]):
+        spark.createDataFrame([(x, hour(h), 0, v) for x, h, v in rows], "k string, t timestamp, n long, v string").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = lambda: spark.readStream.schema("k string, t timestamp, n long, v string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    got = lambda **o: sorted((r.k, r.at.replace(tzinfo=timezone.utc), r.before, r.after) for r in live.drained(live.status_changes(stream(), "k", "t", "n", "v", **o)).collect())
+    kept = [("a", hour(0), None, "x"), ("a", hour(2), "x", "y"), ("b", hour(1), None, "x")]
+    assert got() == kept
+    assert got(forget=40 * 3600, late="0 seconds") == sorted([*kept, ("a", hour(61), None, "y")])
+
+
 # Simpler outlines
 
 def test_simplified_neighbours(spark):
