@@ -178,9 +178,12 @@ def reprojected(text: Column, move: Callable[[Column, Column], tuple[Column, Col
         )
         return F.concat(F.lit('{"type":"'), p["type"], F.lit('","coordinates":'), deep, F.lit("}"))
 
-    parts = F.transform(geojson_shapes(text), part)
-    many = F.concat(F.lit('{"type":"GeometryCollection","geometries":['), F.array_join(parts, ","), F.lit("]}"))
-    return F.when(F.size(parts) == 1, parts[0]).when(F.size(parts) > 1, many)
+    def whole(parts: Column) -> Column:
+        many = F.concat(F.lit('{"type":"GeometryCollection","geometries":['), F.array_join(parts, ","), F.lit("]}"))
+        return F.when(F.size(parts) == 1, parts[0]).when(F.size(parts) > 1, many)
+
+    # Bound once, as all that is built upon it would repeat it.
+    return F.transform(F.array(F.transform(geojson_shapes(text), part)), whole)[0]
 
 
 def geojson_polygons(text: Column) -> Column:
