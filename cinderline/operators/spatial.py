@@ -108,13 +108,13 @@ def outline_distances(pairs: DataFrame, keys: list[str], a: str, b: str) -> Data
     than two corners of these outlines are at most; only then are edges compared with edges.
     """
     held = materialise(pairs.select(*keys, edge_groups(F.col(a)).alias("_p"), edge_groups(F.col(b)).alias("_q")))
-    both = held.select(*keys, F.explode("_p").alias("p"), "_q").select(*keys, "p", F.explode("_q").alias("q"))
-    gap = lambda k: F.greatest(F.col(f"p.box.min_{k}") - F.col(f"q.box.max_{k}"), F.col(f"q.box.min_{k}") - F.col(f"p.box.max_{k}"), F.lit(0.0))
+    both = held.select(*keys, F.explode("_p").alias("_g"), "_q").select(*keys, "_g", F.explode("_q").alias("_h"))
+    gap = lambda k: F.greatest(F.col(f"_g.box.min_{k}") - F.col(f"_h.box.max_{k}"), F.col(f"_h.box.min_{k}") - F.col(f"_g.box.max_{k}"), F.lit(0.0))
     start = lambda g: F.col(g)["edges"][0]["a"]
-    most = both.groupBy(*keys).agg(F.min(F.hypot(start("p")["x"] - start("q")["x"], start("p")["y"] - start("q")["y"])).alias("_most"))
+    most = both.groupBy(*keys).agg(F.min(F.hypot(start("_g")["x"] - start("_h")["x"], start("_g")["y"] - start("_h")["y"])).alias("_most"))
     near = both.join(most, keys).where(F.hypot(gap("x"), gap("y")) <= F.col("_most") * (1 + 1e-9))
     ends_to = lambda p, q: F.array_min(F.transform(F.col(p)["edges"], lambda e: F.array_min(F.transform(F.col(q)["edges"], lambda f: F.least(segment_distance(e["a"]["x"], e["a"]["y"], f), segment_distance(e["b"]["x"], e["b"]["y"], f))))))
-    return near.groupBy(*keys).agg(F.min(F.least(ends_to("p", "q"), ends_to("q", "p"))).alias("distance"))
+    return near.groupBy(*keys).agg(F.min(F.least(ends_to("_g", "_h"), ends_to("_h", "_g"))).alias("distance"))
 
 
 def places_in_boundaries(places: DataFrame, boundaries: DataFrame, place_id: str, boundary_id: str, size: float) -> DataFrame:
