@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cinderline.functions.geometry import all_edges, edges, on_edge, ring_contains
 from cinderline.operators.cover import covered_points, edge_cover, polygon_cover
-from cinderline.operators.spatial import box_join, ends
+from cinderline.operators.spatial import box_join, ends, flat_edge
 from cinderline.sources.tables import materialise
 
 ENDS = ("ax", "ay", "bx", "by")
@@ -102,20 +102,22 @@ def cut_edges(loose: DataFrame, key: str, size: float, digits: int) -> DataFrame
     box = {"min_x": F.least("ax", "bx"), "min_y": F.least("ay", "by"), "max_x": F.greatest("ax", "bx"), "max_y": F.greatest("ay", "by")}
     dealt = lambda name: one.select(F.struct(F.col(key).alias("key"), *ENDS).alias(name), F.col(key).alias("_of"), *(c.alias(k) for k, c in box.items()))
     pairs = box_join(dealt("e"), dealt("f"), "e", "f", size, on=("_of",)).where(F.col("e") < F.col("f"))
-    e, f = ends(F.col("e")), ends(F.col("f"))
+    e, f = flat_edge("e"), flat_edge("f")
     rx, ry = (e["b"][c] - e["a"][c] for c in "xy")
     sx, sy = (f["b"][c] - f["a"][c] for c in "xy")
     qx, qy = (f["a"][c] - e["a"][c] for c in "xy")
-    across = rx * sy - ry * sx
-    t, u = (qx * sy - qy * sx) / F.nullif(across, F.lit(0.0)), (qx * ry - qy * rx) / F.nullif(across, F.lit(0.0))
-    point = F.struct(F.round(e["a"]["x"] + t * rx, digits).alias("x"), F.round(e["a"]["y"] + t * ry, digits).alias("y"))
-    meet = F.when(t.between(0, 1) & u.between(0, 1), point)
-    on = lambda edge, p: F.when(on_edge(edge, p["x"], p["y"]), p)
-    found = lambda edge, other: F.array_compact(F.array(meet, on(edge, other["a"]), on(edge, other["b"])))
-    met = pairs.select(F.explode(F.array(F.struct(F.col("e").alias("e"), found(e, f).alias("p")), F.struct(F.col("f").alias("e"), found(f, e).alias("p")))).alias("m")).select("m.e", F.explode("m.p").alias("p"))
-    ends_ = one.select(F.struct(F.col(key).alias("key"), *ENDS).alias("e")).select("e", F.explode(F.array(ends(F.col("e"))["a"], ends(F.col("e"))["b"])).alias("p"))
+    across = F.nullif(rx * sy - ry * sx, F.lit(0.0))
+    placed = pairs.withColumns({"_t": (qx * sy - qy * sx) / across, "_u": (qx * ry - qy * rx) / across})
+    point = F.struct(F.round(e["a"]["x"] + F.col("_t") * rx, digits).alias("x"), F.round(e["a"]["y"] + F.col("_t") * ry, digits).alias("y"))
+    meet = F.when(F.col("_t").between(0, 1) & F.col("_u").between(0, 1), point)
+    on = lambda edge, p: F.when(on_edge(edge, p["x"], p["y"]), F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    found = lambda first, p: F.struct(F.lit(first).alias("first"), p.alias("p"))
+    spots = F.array(found(True, meet), found(False, meet), found(True, on(e, f["a"])), found(True, on(e, f["b"])), found(False, on(f, e["a"])), found(False, on(f, e["b"])))
+    met = placed.select("e", "f", F.explode(spots).alias("m")).where("m.p is not null").select(F.when(F.col("m.first"), F.col("e")).otherwise(F.col("f")).alias("e"), "m.p")
+    both_ends = F.array(*(F.struct(F.col(f"{k}x").alias("x"), F.col(f"{k}y").alias("y")) for k in "ab"))
+    ends_ = one.select(F.struct(F.col(key).alias("key"), *ENDS).alias("e"), F.explode(both_ends).alias("p"))
     # In the order of the points themselves, which is that along the edge.
-    by = met.unionByName(ends_).groupBy("e").agg(F.array_sort(F.collect_set("p")).alias("p"))
+    by = met.unionByName(ends_).groupBy("e").agg(F.sort_array(F.collect_set("p")).alias("p"))
     n = F.size("p")
     piece = F.explode(F.arrays_zip(F.slice("p", F.lit(1), n - 1).alias("a"), F.slice("p", F.lit(2), n - 1).alias("b"))).alias("s")
     return by.where(n > 1).select(F.col("e.key").alias(key), piece).select(key, F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by")).distinct()

@@ -20,6 +20,12 @@ def cells(min_x: Column, min_y: Column, max_x: Column, max_y: Column, size: floa
     return F.flatten(F.transform(span(min_x, max_x), lambda i: F.transform(span(min_y, max_y), lambda j: F.struct(i.alias("i"), j.alias("j")))))
 
 
+def by_cell(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """An equality join whose result may be far larger than its inputs: small inputs, too, are dealt to all shuffle partitions, not broadcast or put together in a few."""
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return left.repartition(n, *keys).hint("merge").join(right.repartition(n, *keys), keys)
+
+
 #: Cells that a box is copied to on its own grid at most, and how much larger the next grid's cells are.
 MOST_CELLS, COARSER, GRIDS = 256, 16, 6
 
@@ -28,27 +34,36 @@ def box_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, siz
     """Pairs of ids whose boxes (min_x, min_y, max_x, max_y) overlap.
 
     Boxes meet in the cell where their intersection begins, so each pair comes once and needs no
-    distinct. A box of many cells goes to a coarser grid, and each pair meets on the coarser of the
-    two boxes' grids. Rows without a box overlap everything by definition; they are paired only with
-    `unboxed`, if either side has `most_unboxed` of them at most (ValueError otherwise). on: columns of
-    both sides that must be equal, too.
+    distinct. A box of many cells goes to a coarser grid. On its own grid a box meets those of the same
+    or of finer grids, which are copied to the grids that the other side has; boxes of fine grids alone
+    never meet on a coarse one. Rows without a box overlap everything by definition; they are paired
+    only with `unboxed`, if either side has `most_unboxed` of them at most (ValueError otherwise). on:
+    columns of both sides that must be equal, too.
     """
     box = ("min_x", "min_y", "max_x", "max_y")
 
-    def dealt(df: DataFrame, row_id: str, p: str) -> DataFrame:
+    def gridded(df: DataFrame, row_id: str, p: str) -> DataFrame:
         wide = lambda k: (F.floor((F.col("max_x") - F.col("min_x")) / (size * COARSER**k)) + 2) * (F.floor((F.col("max_y") - F.col("min_y")) / (size * COARSER**k)) + 2)
         own = F.lit(GRIDS - 1)
         for k in reversed(range(GRIDS - 1)):
             own = F.when(wide(k) <= MOST_CELLS, k).otherwise(own)
-        spread = df.select(row_id, *on, *box).where(" and ".join(f"{x} is not null" for x in box)).withColumn("_own", own)
-        grids = F.filter(F.array(*map(F.lit, range(GRIDS))), lambda k: k >= F.col("_own"))
-        by = spread.withColumn("_grid", F.explode(grids)).withColumn("_size", size * F.pow(F.lit(float(COARSER)), F.col("_grid")))
-        return by.select(row_id, *on, "_grid", "_size", F.col("_own").alias(f"{p}_own"), *(F.col(x).alias(f"{p}_{x}") for x in box), F.explode(cells(*map(F.col, box), F.col("_size"))).alias("c")).select("*", "c.i", "c.j").drop("c")
+        boxed = df.where(" and ".join(f"{x} is not null" for x in box))
+        return boxed.select(row_id, *on, own.alias("_own"), *(F.col(x).alias(f"{p}_{x}") for x in box))
+
+    def dealt(df: DataFrame, p: str, grids: Column) -> DataFrame:
+        by = df.withColumn("_grid", F.explode(grids)).withColumn("_size", size * F.pow(F.lit(float(COARSER)), F.col("_grid")))
+        return by.withColumn("c", F.explode(cells(*(F.col(f"{p}_{x}") for x in box), F.col("_size")))).select("*", "c.i", "c.j").drop("c", "_own")
 
-    a, b = dealt(left, left_id, "a"), dealt(right, right_id, "b").drop("_size")
+    a, b = gridded(left, left_id, "a"), gridded(right, right_id, "b")
+    grids_a, grids_b = (sorted(r._own for r in df.select("_own").distinct().collect()) for df in (a, b))  # GRIDS at most
     own = (F.col("i") == F.floor(F.greatest("a_min_x", "b_min_x") / F.col("_size"))) & (F.col("j") == F.floor(F.greatest("a_min_y", "b_min_y") / F.col("_size")))
     overlap = boxes_overlap(tuple(F.col(f"a_{x}") for x in box), tuple(F.col(f"b_{x}") for x in box))
-    pairs = a.join(b, [*on, "_grid", "i", "j"]).where((F.col("_grid") == F.greatest("a_own", "b_own")) & own & overlap).select(left_id, right_id)
+    alone = F.array("_own")
+    coarser = lambda grids, least: F.filter(F.array(*map(F.lit, grids)).cast("array<int>"), lambda k: k >= least)
+    met = lambda x, y: by_cell(x, y.drop("_size"), [*on, "_grid", "i", "j"]).where(own & overlap).select(left_id, right_id)
+    pairs = met(dealt(a, "a", alone), dealt(b, "b", coarser(grids_a, F.col("_own"))))
+    if grids_a and grids_b and grids_b[-1] > grids_a[0]:
+        pairs = pairs.unionByName(met(dealt(a, "a", coarser(grids_b, F.col("_own") + 1)), dealt(b, "b", alone)))
     if unboxed:
         missing = " or ".join(f"{x} is null" for x in box)
         if max(df.where(missing).count() for df in (left, right)) > most_unboxed:
@@ -74,6 +89,11 @@ def ends(e: Column) -> Column:
     return F.struct(*(F.struct(e[f"{k}x"].alias("x"), e[f"{k}y"].alias("y")).alias(k) for k in "ab"))
 
 
+def flat_edge(name: str) -> dict[str, dict[str, Column]]:
+    """An edge's ax, ay, bx, by in the struct of this name as a and b with x and y each: for expressions without structs or lambdas, which Spark compiles."""
+    return {k: {c: F.col(f"{name}.{k}{c}") for c in "xy"} for k in "ab"}
+
+
 def polygon_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, size: float) -> DataFrame:
     """Pairs of ids whose polygons (rings) have a point in common: edges that meet, found edge by edge, or else one holds a corner of the other's rings."""
     rings = lambda df, row_id, name: df.where("size(rings) > 0").select(F.col(row_id).alias(name), "rings")
@@ -81,7 +101,7 @@ def polygon_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     boxed = lambda df, row_id: df.select(row_id, rings_bounds(F.col("rings")).alias("b")).select(row_id, "b.*")
     near = materialise(box_join(boxed(a, "_l"), boxed(b, "_r"), "_l", "_r", size))
     some = lambda df, row_id: df.join(near.select(row_id).distinct(), row_id, "left_semi")
-    met = edge_pairs(some(a, "_l"), some(b, "_r"), "_l", "_r", size).where(edges_meet(ends(F.col("a")), ends(F.col("b")))).select(F.col("a.id").alias("_l"), F.col("b.id").alias("_r")).distinct()
+    met = edge_pairs(some(a, "_l"), some(b, "_r"), "_l", "_r", size).where(edges_meet(flat_edge("a"), flat_edge("b"))).select(F.col("a.id").alias("_l"), F.col("b.id").alias("_r")).distinct()
     met = materialise(met)
     apart = near.join(met, ["_l", "_r"], "left_anti").join(a.withColumnRenamed("rings", "_a"), "_l").join(b.withColumnRenamed("rings", "_b"), "_r")
     corner_in = lambda p, q: F.exists(p, lambda r: polygon_contains(F.col(q), F.get(r, F.lit(0))["x"], F.get(r, F.lit(0))["y"]))

@@ -274,3 +274,19 @@ def test_short_passages(spark):
     want = {(t, p) for t, x in texts.items() for p, y in passages.items() if plain(y) and plain(y) in plain(x)}
     got = search.passages_in_texts(df(texts, "t"), df(passages, "p"), "t", "p").collect()
     assert set(map(tuple, got)) == want and len(got) == len(want)
+
+
+def test_fine_boxes_meet_on_fine_grids_alone(spark, monkeypatch):
+    """Boxes of one size are dealt to one grid; a large one draws the small ones to its own grid only, and each pair comes once."""
+    seen, deal = [], spatial.by_cell
+    monkeypatch.setattr(spatial, "by_cell", lambda left, right, keys: seen.append((left, right)) or deal(left, right, keys))
+    box = lambda i, x, s: (i, float(x), 0.0, float(x + s), float(s))
+    cols = "id long, min_x double, min_y double, max_x double, max_y double"
+    small = spark.createDataFrame([box(i, i / 10, 0.05) for i in range(40)], cols)
+    pairs = {tuple(r) for r in spatial.box_join(small.withColumnRenamed("id", "a"), small.withColumnRenamed("id", "b"), "a", "b", 0.1).collect()}
+    assert pairs == {(i, i) for i in range(40)}
+    assert [{r[0] for r in df.select("_grid").distinct().collect()} for df in seen[0]] == [{0}, {0}] and len(seen) == 1
+    large = spark.createDataFrame([box(-1, -500, 1000)], cols)
+    for left, right in ((small, large), (large, small)):
+        got = spatial.box_join(left.withColumnRenamed("id", "a"), right.withColumnRenamed("id", "b"), "a", "b", 0.1).collect()
+        assert len(got) == 40 and {tuple(sorted(r)) for r in got} == {(-1, i) for i in range(40)}
