@@ -290,3 +290,21 @@ def test_fine_boxes_meet_on_fine_grids_alone(spark, monkeypatch):
     for left, right in ((small, large), (large, small)):
         got = spatial.box_join(left.withColumnRenamed("id", "a"), right.withColumnRenamed("id", "b"), "a", "b", 0.1).collect()
         assert len(got) == 40 and {tuple(sorted(r)) for r in got} == {(-1, i) for i in range(40)}
+
+
+def test_distances_of_many_rows_at_once(spark):
+    """The distances that tasks work out in arrays are those of the expressions for one row, for outlines of different sizes."""
+    r = random.Random(7)
+    rows = [(k, [star(r, 0, 0, 1, r.randint(3, 9))], [star(r, 3 + r.random(), r.uniform(-3, 3), 1, r.randint(3, 9))], r.uniform(-2, 2), r.uniform(-2, 2)) for k in range(60)]
+    df = spark.createDataFrame([(k, *([[{"x": x, "y": y} for x, y in c] for c in p] for p in (a, b)), x, y) for k, a, b, x, y in rows], f"k long, a {RINGS[6:]}, b {RINGS[6:]}, x double, y double")
+    a, b = geometry.all_edges(F.col("a")), geometry.all_edges(F.col("b"))
+    got = df.select(geometry.outlines_apart(a, b), geometry.polygons_distance(F.col("a"), F.col("b")), geometry.outline_distance(a, F.col("x"), F.col("y")), geometry.ring_distance(F.col("a")[0], F.col("x"), F.col("y"))).collect()
+    assert all(g[0] == pytest.approx(g[1], abs=1e-9) and g[2] == pytest.approx(g[3], abs=1e-9) for g in got) and any(g[2] == 0 for g in got) and any(g[2] > 0 for g in got)
+
+
+def test_tiers_are_summed_up_before_they_move(spark):
+    """The strongest tier is found by numbers, without sorting all pairs."""
+    pairs = spark.createDataFrame([(1, "near", 3.0), (1, "inside", 0.0), (1, "regional", 20.0), (2, "regional", 12.0)], "p long, tier string, miles double")
+    by = spatial.tier_rollup(pairs, "p")
+    assert sorted(map(tuple, by.collect())) == [(1, "inside", 3, 0.0), (2, "regional", 1, 12.0)]
+    assert "SortAggregate" not in by._jdf.queryExecution().executedPlan().toString()
