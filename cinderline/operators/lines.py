@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cinderline.functions.geometry import all_edges, segment_distance, segments
 from cinderline.operators.cover import covered_points, polygon_cover
-from cinderline.operators.spatial import box_join
+from cinderline.operators.spatial import by_cell
 from cinderline.sources.tables import materialise
 
 
@@ -84,12 +84,23 @@ def near_lines(points: DataFrame, lines: DataFrame, point_id: str, line_id: str,
 
 def near_edges(points: DataFrame, edges: DataFrame, point_id: str, shape_id: str, within: float) -> DataFrame:
     """Pairs (point, shape), once each, with the point at most so far from one of the shape's edges e."""
-    lo = lambda c: F.least(F.col(f"e.a.{c}"), F.col(f"e.b.{c}")) - within
-    hi = lambda c: F.greatest(F.col(f"e.a.{c}"), F.col(f"e.b.{c}")) + within
-    boxes = edges.select(F.struct(F.col(shape_id).alias("id"), "e").alias("_e"), lo("x").alias("min_x"), lo("y").alias("min_y"), hi("x").alias("max_x"), hi("y").alias("max_y"))
-    spots = points.where("x is not null and y is not null").select(F.struct(F.col(point_id).alias("id"), "x", "y").alias("_p"), *(F.col(c).alias(f"{m}_{c}") for m in ("min", "max") for c in "xy"))
-    near = box_join(spots, boxes, "_p", "_e", 2 * within)
-    return near.where(segment_distance(F.col("_p.x"), F.col("_p.y"), F.col("_e.e")) <= within).select(F.col("_p.id").alias(point_id), F.col("_e.id").alias(shape_id)).distinct()
+    # An edge is dealt to the cells that its corridor passes, column by column, not to those of its box.
+    size = 2 * within
+    e = edges.select(F.col(shape_id).alias("_shape"), *(F.col(f"e.{k}.{c}").alias(f"{k}{c}") for k in "ab" for c in "xy")).where("ax is not null and ay is not null and bx is not null and by is not null").distinct()
+    column = lambda v: F.floor(v / size)
+    across = e.withColumn("i", F.explode(F.sequence(column(F.least("ax", "bx") - within), column(F.greatest("ax", "bx") + within))))
+    steep = (F.col("by") - F.col("ay")) / F.nullif(F.col("bx") - F.col("ax"), F.lit(0.0))
+    at = lambda x: F.coalesce(F.col("ay") + (F.least(F.greatest(x, F.least("ax", "bx")), F.greatest("ax", "bx")) - F.col("ax")) * steep, F.col("ay"))
+    # The part of the edge that is no farther than `within` from the column; an upright one has its whole height.
+    y1, y2 = at(F.col("i") * size - within), at((F.col("i") + 1) * size + within)
+    upright = F.col("ax") == F.col("bx")
+    low, high = F.when(upright, F.least("ay", "by")).otherwise(F.least(y1, y2)), F.when(upright, F.greatest("ay", "by")).otherwise(F.greatest(y1, y2))
+    hair = 1e-9 * size
+    laid = across.withColumns({"_low": low - within - hair, "_high": high + within + hair}).withColumn("j", F.explode(F.sequence(column(F.col("_low")), column(F.col("_high"))))).drop("_low", "_high")
+    spots = points.where("x is not null and y is not null").select(F.col(point_id).alias("_point"), "x", "y", column(F.col("x")).alias("i"), column(F.col("y")).alias("j"))
+    flat = {k: {c: F.col(f"{k}{c}") for c in "xy"} for k in "ab"}
+    near = by_cell(spots, laid, ["i", "j"]).where(segment_distance(F.col("x"), F.col("y"), flat) <= within)
+    return near.select(F.col("_point").alias(point_id), F.col("_shape").alias(shape_id)).distinct()
 
 
 def near_shapes(points: DataFrame, shapes: DataFrame, point_id: str, shape_id: str, within: float) -> DataFrame:

@@ -308,3 +308,23 @@ def test_tiers_are_summed_up_before_they_move(spark):
     by = spatial.tier_rollup(pairs, "p")
     assert sorted(map(tuple, by.collect())) == [(1, "inside", 3, 0.0), (2, "regional", 1, 12.0)]
     assert "SortAggregate" not in by._jdf.queryExecution().executedPlan().toString()
+
+
+def test_corridors_are_dealt_along_lines(spark, monkeypatch):
+    """A slanting edge goes to the cells beside it, not to all of its box; near points are found all the same."""
+    seen, deal = [], lines.by_cell
+    monkeypatch.setattr(lines, "by_cell", lambda left, right, keys: seen.append(right) or deal(left, right, keys))
+    r = random.Random(3)
+    spots = [(k, r.uniform(-1, 11), r.uniform(-1, 11)) for k in range(400)]
+    ways = {1: [(0, 0), (10, 10)], 2: [(10, 0), (10, 10), (0, 9.99)], 3: [(5, 5)]}
+    p = spark.createDataFrame(spots, "p long, x double, y double")
+    line = spark.createDataFrame([(k, [{"x": float(x), "y": float(y)} for x, y in w]) for k, w in ways.items()], "l long, line array<struct<x:double,y:double>>")
+    got = {tuple(g) for g in lines.near_lines(p, line, "p", "l", 0.2).collect()}
+
+    def away(x, y, a, b):
+        length = (b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2
+        t = max(0, min(1, ((x - a[0]) * (b[0] - a[0]) + (y - a[1]) * (b[1] - a[1])) / length)) if length else 0
+        return math.hypot(x - a[0] - t * (b[0] - a[0]), y - a[1] - t * (b[1] - a[1]))
+
+    assert got == {(k, n) for k, x, y in spots for n, w in ways.items() if min(away(x, y, a, b) for a, b in zip(w, w[1:] or w, strict=False)) <= 0.2}
+    assert seen[0].where("_shape = 1").count() < 200  # of 26 * 26 cells of its box
