@@ -90,3 +90,10 @@ def test_alerts(spark):
     assert (got[2].title, got[2].body, got[2].links, got[3].canonical_url) == (None, "", [], "https://z.org") and got[4].body == "onetwo bold three"
     none = ALERTS.replace("Campfires prohibited", "closed").replace("Camp&nbsp;fire rules", "Gate").replace("Open fires", "Gate 2").replace("open fires", "cars")
     assert web_pages.NO_ALERTS in web_pages.document(1, none, None, re.compile("fire"))[-1]
+
+
+def test_references_without_a_semicolon_stay(spark):
+    """&amp and &#38 that nothing ends are text, as in the query's SQL; those that are ended are read."""
+    html = '<html><head><title>a&&amp</title></head><body><h1>x &lt y &lt; z &#38 &#38;</h1><a href="/fires?a=1&copy=2">fire</a></body></html>'
+    got = web_pages.page_documents(spark.createDataFrame([(1, html, "https://x.org/")], "page_id long, html string, url string")).first()
+    assert got.title == "a&&amp" and got.headings[0] == "x &lt y < z &#38 &" and got.links[0].href == "https://x.org/fires?a=1&copy=2"
