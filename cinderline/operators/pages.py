@@ -75,14 +75,14 @@ def layer_claims(sources: DataFrame, features: DataFrame, source_id: str, layer_
     return joined.select(source_id, F.col("f").isNotNull().alias("found"), pick(0, "unknown").alias("status"), pick(1, "unknown").alias("policy"), pick(2, "Unknown restrictions").alias("label"), F.col("f._area").alias("area"), F.when(code.isin(*CODES), 0.95).otherwise(0.35).alias("confidence"))
 
 
-def matching_names(names: DataFrame, places: DataFrame, query: str, kinds: list[str], most: int = 360) -> DataFrame:
-    """The names (place_id, name, normalized_name, weight) of active places (place_id once, active, search_rank, place_type) that hold the query or one of its phrases, or whose place is of a kind: the first `most` by rank, weight and name. None for an empty query."""
+def matching_names(names: DataFrame, places: DataFrame, query: str, kinds: list[str], most: int = 360, tie: str | None = None) -> DataFrame:
+    """The names (place_id, name, normalized_name, weight) of active places (place_id once, active, search_rank, place_type) that hold the query or one of its phrases, or whose place is of a kind: the first `most` by rank, weight, name, place and, where given, the column tie, which tells a place's equal names apart. None for an empty query."""
     if not query and not kinds:
         return names.limit(0)
     held = reduce(lambda a, p: a | F.col("normalized_name").contains(p), phrases(query), F.lit(False)) if query else F.lit(False)
     joined = names.join(places.where("active").select("place_id", "search_rank", "place_type"), "place_id")
     kept = joined.where(held | (F.col("place_type").isin(*kinds) if kinds else F.lit(False)))
-    return kept.orderBy(F.desc("search_rank"), F.desc("weight"), "name", "place_id").limit(most)
+    return kept.orderBy(F.desc("search_rank"), F.desc("weight"), "name", "place_id", *([tie] if tie else [])).limit(most)
 
 
 def change_log(changes: DataFrame, time: str, tie: str, most: int = 150) -> DataFrame:

@@ -63,9 +63,8 @@ ASKED = "large rod"
 @query(f"""SELECT p_partkey AS name_id, s_suppkey AS place_id, lower(p_name) AS name FROM part JOIN supplier ON s_suppkey = p_partkey % 10 WHERE s_acctbal > -500 AND ({" OR ".join(f"contains(lower(p_name), '{p}')" for p in phrases(ASKED))} OR s_nationkey % 4 = 1) ORDER BY s_nationkey DESC, p_size DESC, p_name, place_id, p_partkey LIMIT 360""")
 def matching_names(t: Tables) -> DataFrame:
     names = t.part.select(F.col("p_partkey").alias("name_id"), (F.col("p_partkey") % 10).alias("place_id"), F.col("p_name").alias("name"), F.lower("p_name").alias("normalized_name"), F.struct("p_size", F.lit(0)).alias("weight"))
-    names = names.withColumn("name", F.concat("name", F.lit("\x01"), F.format_string("%012d", "name_id")))  # equal names in the order of their ids
     places = t.supplier.select(F.col("s_suppkey").alias("place_id"), (F.col("s_acctbal") > -500).alias("active"), F.col("s_nationkey").alias("search_rank"), F.concat(F.lit("kind "), F.col("s_nationkey") % 4).alias("place_type"))
-    return pages.matching_names(names, places, ASKED, ["kind 1"]).select("name_id", "place_id", F.col("normalized_name").alias("name"))
+    return pages.matching_names(names, places, ASKED, ["kind 1"], tie="name_id").select("name_id", "place_id", F.col("normalized_name").alias("name"))
 
 
 LOG_SQL = f"""{COLLAPSED_SQL}, n AS (SELECT * FROM x ORDER BY ts DESC, event_id DESC LIMIT 150), w AS (SELECT *, CASE WHEN from_status = 'none' AND from_policy IN ('', 'unknown') THEN 'allowed' ELSE from_policy END AS f,

@@ -241,3 +241,16 @@ def test_clip_to_a_window(spark):
     ring, window = geometry.ring_of([(0, 0), (4, 0), (0, 4)]), geometry.ring_of([(1, -1), (3, 1), (1, 3)])
     one = spark.range(1).select(geometry.ring_area(overlay.clipped(ring, window)).alias("a"), F.size(overlay.clipped(ring, geometry.ring_of([(9, 9), (10, 9), (10, 10)]))).alias("n")).first()
     assert (one.a, one.n) == (3.5, 0)
+
+
+def test_equal_names_are_cut_by_place_and_then_by_their_own_id(spark):
+    names = spark.createDataFrame([(1, 2, "elk lake", "elk lake", 1), (4, 1, "elk lake", "elk lake", 1), (3, 1, "elk lake", "elk lake", 1)], "name_id long, place_id long, name string, normalized_name string, weight int")
+    places = spark.createDataFrame([(1, True, 5, "lake"), (2, True, 5, "lake")], "place_id long, active boolean, search_rank int, place_type string")
+    assert [r.name_id for r in pages.matching_names(names, places, "elk lake", [], 2, tie="name_id").collect()] == [3, 4]
+
+
+def test_halves_are_rounded_as_sql_casts_them(spark):
+    from cinderline.plans import catalogue
+
+    df = spark.createDataFrame([(900.5,), (901.5,), (-0.5,), (900.51,), (None,)], "v double")
+    assert [r[0] for r in df.select(catalogue.whole("v")).collect()] == [900, 902, 0, 901, None]
