@@ -13,10 +13,12 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderline.functions.geometry import all_edges, bounds, on_edge
+from cinderline.functions.geometry import all_edges, bounds, by_sizes, edge_columns, ragged
 from cinderline.sources.tables import materialise
 
 #: Edges that a cell may carry before it is cut, the deepest level under the given size, and the most levels above it.
@@ -113,8 +115,34 @@ def covered_points(points: DataFrame, cover: DataFrame, point_id: str, key: str,
     spread = points.select(point_id, *on, "x", "y", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")).alias("level"))
     side = side_of(F.col("level"), size)
     p = spread.withColumns({"i": F.floor((F.col("x") - ORIGIN[0]) / side), "j": F.floor((F.col("y") - ORIGIN[1]) / side)})
-    held = F.broadcast(cover) if cover.count() <= FEW else cover
     x, y = F.col("x"), F.col("y")
     x0, y0 = ORIGIN[0] + F.col("i") * side, ORIGIN[1] + F.col("j") * side
-    exact = (F.col("odd") != between(F.col("edges"), x0, y0, x, y)) & ~F.exists("edges", lambda e: on_edge(e, x, y))
-    return p.join(held, [*on, "level", "i", "j"]).where(F.when(F.size("edges") == 0, F.col("odd")).otherwise(exact)).select(point_id, key)
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*on, "level", "i", "j"]
+    # Points of few partitions are dealt to all tasks: a point may be in many shapes.
+    met = p.repartition(n).join(F.broadcast(cover), keys) if cover.count() <= FEW else p.repartition(n, *keys).hint("merge").join(cover.repartition(n, *keys), keys)
+    # Cells without edges are inside wholly; of the others the points are told in arrays.
+    whole = met.where((F.size("edges") == 0) & F.col("odd")).select(point_id, key)
+    parted = met.where(F.size("edges") > 0).where(inside_of_cell(F.col("edges"), F.col("odd"), x0, y0, x, y)).select(point_id, key)
+    return whole.unionByName(parted)
+
+
+def inside_of_cell(edges: Column, odd: Column, x0: Column, y0: Column, x: Column, y: Column) -> Column:
+    """Whether a point is inside, and on no edge, from whether a cell's corner is and the edges between them: `between` and on_edge, some thousand rows at a time."""
+
+    @F.arrow_udf("boolean")
+    def inside(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array, odd: pa.Array, x0: pa.Array, y0: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
+        drawn, (o, u0, v0, u, v) = [ragged(e) for e in (a, b, c, d)], (k.to_numpy(zero_copy_only=False) for k in (odd, x0, y0, x, y))
+        out = np.zeros(len(u), bool)
+        for (n,), rows in by_sizes(drawn[0][2]):
+            ax, ay, bx, by = (e[s[rows, None] + np.arange(n)] for e, s, _ in drawn)
+            p0, q0, p, q = (k[rows, None] for k in (u0, v0, u, v))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                up, along = ay + (p0 - ax) / (bx - ax) * (by - ay), ax + (q - ay) / (by - ay) * (bx - ax)
+                first = ((ax > p0) != (bx > p0)) & ((up > q0) != (up > q))
+                crossed = first != (((ay > q) != (by > q)) & ((along > p0) != (along > p)))
+            on = ((bx - ax) * (q - ay) == (by - ay) * (p - ax)) & (p >= np.minimum(ax, bx)) & (p <= np.maximum(ax, bx)) & (q >= np.minimum(ay, by)) & (q <= np.maximum(ay, by))
+            out[rows] = (o[rows].astype(bool) != (crossed.sum(1) % 2 == 1)) & ~on.any(1)
+        return pa.array(out)
+
+    return inside(*edge_columns(edges), odd, x0, y0, x, y)
