@@ -14,6 +14,9 @@ from cinderline.functions.rules import EARTH_RADIUS_METERS, METERS_PER_MILE
 from cinderline.operators.cover import covered_points, polygon_cover
 from cinderline.sources.tables import materialise
 
+#: Metres a degree of latitude.
+GROUND = math.pi / 180 * EARTH_RADIUS_METERS
+
 
 def cells(min_x: Column, min_y: Column, max_x: Column, max_y: Column, size: float | Column) -> Column:
     """Array of (i, j) of all grid cells that a box touches."""
@@ -205,19 +208,15 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, point_id: str, po
     return covered_points(points, polygon_cover(polygons, polygon_id, size), point_id, polygon_id, size)
 
 
-def proximity(points: DataFrame, incidents: DataFrame, point_id: str, incident_id: str, within: float = 30.0, tiered: bool = True) -> DataFrame:
-    """(point, incident, miles, tier) of all pairs within so many miles of an incident's perimeter that have a tier, or of all within these miles.
+def footprint_pairs(points: DataFrame, incidents: DataFrame, point_id: str, incident_id: str, within: float, size: float, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Points (lon, lat) beside incidents whose box, or circle, is within so many miles: point_id, incident_id, acres, the carried columns of incidents, x, y, box, miles (to the box; without a ring to the circle), and _edges of a ring.
 
-    points: lon, lat; incidents: lon, lat, acres and, if there is one, ring: the mapped perimeter in
-    degrees. Without a ring the circle of the incident's area stands for it. Distances are on the
-    plane that touches at the point, 0 inside. Cells are as large as the reach, so an incident is
-    only copied to the cells that its reach touches.
+    Cells are of a side `size`; an incident is only copied to the cells that its reach touches.
     """
     degrees = 1 / 69.0
     mapped = "ring" in incidents.columns
-    ground = math.pi / 180 * EARTH_RADIUS_METERS
     # All that depends on one side only is worked out before the sides meet: metres a degree, the footprint, the edges.
-    p = points.select(point_id, F.col("lon").alias("x"), F.col("lat").alias("y"), (ground * F.cos(F.radians("lat"))).alias("_east"))
+    p = points.select(point_id, F.col("lon").alias("x"), F.col("lat").alias("y"), (GROUND * F.cos(F.radians("lat"))).alias("_east"))
     point = F.struct(F.col("lon").alias("min_x"), F.col("lat").alias("min_y"), F.col("lon").alias("max_x"), F.col("lat").alias("max_y"))
     known = (F.col("ring").isNotNull() & (F.size("ring") > 0)) if mapped else F.lit(False)
     box = F.when(known, bounds(F.col("ring"))).otherwise(point) if mapped else point
@@ -226,24 +225,54 @@ def proximity(points: DataFrame, incidents: DataFrame, point_id: str, incident_i
     # A degree of longitude is shorter away from the equator.
     far = F.greatest(F.abs("box.min_y"), F.abs("box.max_y"))
     wide = F.col("reach") / F.greatest(F.cos(F.radians(F.least(far + F.col("reach"), F.lit(89.0)))), F.lit(0.01))
-    size = max(0.25, within * degrees)
-    kept = [incident_id, "acres", "box", "_radius", *(["_edges"] if mapped else [])]
+    kept = [incident_id, "acres", *carried, "box", "_radius", *(["_edges"] if mapped else [])]
     around = cells(F.col("box.min_x") - wide, F.col("box.min_y") - F.col("reach"), F.col("box.max_x") + wide, F.col("box.max_y") + F.col("reach"), size)
     own = {"box": box, "reach": reach, "_radius": radius} | ({"_edges": F.when(known, edges(F.col("ring")))} if mapped else {})
     q = incidents.withColumns(own).select(*kept, F.explode(around).alias("c")).select(*kept, "c.i", "c.j")
     joined = by_cell(p.withColumns({"i": F.floor(F.col("x") / size), "j": F.floor(F.col("y") / size)}), q, ["i", "j"])
     # To the box: the whole distance for a point, and at most the distance for a ring.
     gap = lambda k, c: F.greatest(F.col(f"box.min_{k}") - F.col(c), F.col(c) - F.col(f"box.max_{k}"), F.lit(0.0))
-    u, v = gap("x", "x") * F.col("_east"), gap("y", "y") * ground
-    near = joined.withColumn("miles", F.greatest(F.lit(0.0), F.sqrt(u * u + v * v) / METERS_PER_MILE - F.col("_radius"))).where(F.col("miles") <= within * (1 + 1e-9))
-    if mapped:
-        rings = near.where("_edges is not null")
-        exact = rings.withColumn("miles", outline_distance(F.col("_edges"), F.col("x"), F.col("y"), F.col("_east"), F.lit(ground)) / METERS_PER_MILE)
+    u, v = gap("x", "x") * F.col("_east"), gap("y", "y") * GROUND
+    return joined.withColumn("miles", F.greatest(F.lit(0.0), F.sqrt(u * u + v * v) / METERS_PER_MILE - F.col("_radius"))).where(F.col("miles") <= within * (1 + 1e-9))
+
+
+def ring_miles() -> Column:
+    """Of footprint_pairs with a ring: the distance to it, 0 inside."""
+    return outline_distance(F.col("_edges"), F.col("x"), F.col("y"), F.col("_east"), F.lit(GROUND)) / METERS_PER_MILE
+
+
+def proximity(points: DataFrame, incidents: DataFrame, point_id: str, incident_id: str, within: float = 30.0) -> DataFrame:
+    """(point, incident, miles, tier) of all pairs within so many miles of an incident's perimeter that have a tier.
+
+    points: lon, lat; incidents: lon, lat, acres and, if there is one, ring: the mapped perimeter in
+    degrees. Without a ring the circle of the incident's area stands for it. Distances are on the
+    plane that touches at the point, 0 inside. Cells are as large as the reach.
+    """
+    near = footprint_pairs(points, incidents, point_id, incident_id, within, max(0.25, within / 69.0))
+    if "ring" in incidents.columns:
         cols = [point_id, incident_id, "acres", "miles"]
-        near = near.where("_edges is null").select(*cols).unionByName(exact.select(*cols))
+        near = near.where("_edges is null").select(*cols).unionByName(near.where("_edges is not null").withColumn("miles", ring_miles()).select(*cols))
     near = near.where(F.col("miles") <= within)
-    out = near.select(point_id, incident_id, "miles", proximity_tier(F.col("miles"), F.col("acres")).alias("tier"))
-    return out.where("tier is not null") if tiered else out
+    return near.select(point_id, incident_id, "miles", proximity_tier(F.col("miles"), F.col("acres")).alias("tier")).where("tier is not null")
+
+
+def incidents_within(points: DataFrame, incidents: DataFrame, point_id: str, incident_id: str, within: float = 30.0, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(point, incident, the carried columns of incidents) of all pairs within so many miles of an incident's perimeter, as in proximity, without the distance.
+
+    What is asked of an incident goes along to the cells, so the pairs, which may be far more than both
+    tables, are not joined or shuffled again. Of rings only those are measured that the box leaves open:
+    as a ring touches all sides of its box, it is no farther than the far end of the nearer side.
+    """
+    near, cols = footprint_pairs(points, incidents, point_id, incident_id, within, max(0.125, within / 138.0), carried), [point_id, incident_id, *carried]
+    if "ring" not in incidents.columns:
+        return near.where(F.col("miles") <= within).select(*cols)
+    side = lambda pick, k, scale: F.pow(pick(F.abs(F.col(k) - F.col(f"box.min_{k}")), F.abs(F.col(k) - F.col(f"box.max_{k}"))) * scale, 2)
+    east, north = F.col("_east"), F.lit(GROUND)
+    most = F.least(side(F.least, "x", east) + side(F.greatest, "y", north), side(F.greatest, "x", east) + side(F.least, "y", north))
+    sure = most <= (within * METERS_PER_MILE * (1 - 1e-9)) ** 2
+    rings = near.where("_edges is not null")
+    out = near.where("_edges is null").where(F.col("miles") <= within).select(*cols).unionByName(rings.where(sure).select(*cols))
+    return out.unionByName(rings.where(~sure).withColumn("miles", ring_miles()).where(F.col("miles") <= within).select(*cols))
 
 
 def tier_rollup(pairs: DataFrame, point_id: str) -> DataFrame:

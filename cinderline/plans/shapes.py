@@ -123,9 +123,9 @@ def listed_incidents(c: Column) -> Column:
     return F.array_join(F.transform(c, lambda i: F.concat_ws("|", i["name"], i["distance_miles"].cast("decimal(8,1)").cast("string"), i["acres"].cast("int").cast("string"), dash(i["personnel"]), dash(i["short_description"]), i["incident_id"])), ",")
 
 
-def point_tiers(t: Tables, tiered: bool = True) -> DataFrame:
+def point_tiers(t: Tables) -> DataFrame:
     f = fires(t)
-    return spatial.proximity(f.where("label <> 2").select(F.col("vec_id").alias("place_id"), "lon", "lat"), f.where("label = 2").withColumnRenamed("vec_id", "incident_id"), "place_id", "incident_id", tiered=tiered)
+    return spatial.proximity(f.where("label <> 2").select(F.col("vec_id").alias("place_id"), "lon", "lat"), f.where("label = 2").withColumnRenamed("vec_id", "incident_id"), "place_id", "incident_id")
 
 
 POINT_TIERS_SQL = f"""{FIRES_SQL}, k AS (SELECT a.vec_id AS place_id, q.vec_id AS incident_id, q.acres, q.mapped, q.s * {PLANE} * cos(radians(a.y)) AS w, q.s * {PLANE} AS h,
@@ -144,8 +144,11 @@ def wildfire_context(t: Tables) -> DataFrame:
 @query(f"""WITH {POINT_TIERS_SQL}, {DETAIL_SQL}, {ROLLUP_SQL.split('s AS (SELECT strftime')[0]} s AS (SELECT strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS as_of FROM events WHERE event_type = 'purchase' AND epoch(ts) >= epoch(TIMESTAMP '2024-01-31') - 48 * 3600)
     SELECT place_id, incident_id, CASE WHEN mapped THEN 'wildfire' ELSE 'wildfire_incident' END AS kind, CASE WHEN mapped THEN 'Polygon' ELSE 'Point' END AS shape, name, contained, as_of FROM d JOIN i USING (incident_id), s WHERE miles <= 30""")
 def wildfire_features(t: Tables) -> DataFrame:
-    f = wildfires.map_features(point_tiers(t, False), incident_details(t), synced(t), "place_id", "incident_id")
-    return f.select("place_id", "incident_id", "kind", F.get_json_object("geometry", "$.type").alias("shape"), "name", F.col("percent_contained").alias("contained"), "as_of")
+    f = fires(t)
+    features = wildfires.incident_features(incident_details(t), synced(t), "incident_id")
+    shown = features.select("incident_id", "kind", F.get_json_object("geometry", "$.type").alias("shape"), "name", F.col("percent_contained").alias("contained"), "as_of")
+    incidents = f.where("label = 2").select(F.col("vec_id").alias("incident_id"), "lon", "lat", "acres", "ring").join(shown, "incident_id")
+    return spatial.incidents_within(f.where("label <> 2").select(F.col("vec_id").alias("place_id"), "lon", "lat"), incidents, "place_id", "incident_id", carried=("kind", "shape", "name", "contained", "as_of"))
 
 
 UNIT_TIERS_SQL = f"""{FIRES_SQL}, k AS (SELECT a.vec_id AS place_id, q.vec_id AS incident_id, q.acres, q.mapped, a.s * 2 * {PLANE} * cos(radians(a.y)) AS w, a.s * 2 * {PLANE} AS h, q.s * {PLANE} * cos(radians(a.y)) AS w2, q.s * {PLANE} AS h2,

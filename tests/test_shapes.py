@@ -340,3 +340,28 @@ def test_points_of_cells_are_told_in_arrays(spark):
     wanted = p.crossJoin(s).where(geometry.polygon_contains(F.col("rings"), F.col("x"), F.col("y"))).select("p", "gid")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
     assert "ArrowEvalPython" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_incidents_within(spark):
+    """Pairs within a distance of rings and circles, with what an incident has to say; each distance is told by all edges."""
+    r = random.Random(11)
+    points = [(i, r.gauss(-120, 0.7), r.gauss(44, 0.7)) for i in range(500)]
+    incidents = [(k, r.gauss(-120, 0.7), r.gauss(44, 0.7), 50_000.0 * (k % 3)) for k in range(30)]
+    ring = lambda k, x, y: star(random.Random(k), x, y, 0.3, 7) if k % 3 else None
+    rows = [(k, x, y, acres, f"fire {k}", (q := ring(k, x, y)) and [{"x": a, "y": b} for a, b in q]) for k, x, y, acres in incidents]
+    q = spark.createDataFrame(rows, "iid long, lon double, lat double, acres double, name string, ring array<struct<x:double,y:double>>")
+    p = spark.createDataFrame([*points, (900, None, None)], "pid long, lon double, lat double")
+    got = sorted(map(tuple, spatial.incidents_within(p, q, "pid", "iid", carried=("name",)).collect()))
+    ground, want = spatial.GROUND, []
+    for i, px, py in points:
+        for k, x, y, acres in incidents:
+            flat = lambda a, b, px=px, py=py: ((a - px) * ground * math.cos(math.radians(py)), (b - py) * ground)
+            if (around := ring(k, x, y)) is None:
+                away = math.hypot(*flat(x, y)) - max(math.sqrt(acres * 4046.86 / math.pi), 500.0)
+            else:
+                line = [flat(a, b) for a, b in around]
+                to = lambda a, b: math.hypot(a[0] + (t := max(0, min(1, -(a[0] * (b[0] - a[0]) + a[1] * (b[1] - a[1])) / math.dist(a, b) ** 2))) * (b[0] - a[0]), a[1] + t * (b[1] - a[1]))
+                away = 0 if inside([line], 0, 0) else min(to(a, b) for a, b in pairs_of(line))
+            if away <= 30 * 1609.344:
+                want.append((i, k, f"fire {k}"))
+    assert got == sorted(want) and 0 < len(want) < 15_000
