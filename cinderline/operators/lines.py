@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cinderline.functions.geometry import all_edges, segment_distance, segments
 from cinderline.operators.cover import covered_points, polygon_cover
@@ -11,14 +16,85 @@ from cinderline.operators.spatial import by_cell
 from cinderline.sources.tables import materialise
 
 
+ENDS = ("ax", "ay", "bx", "by")
+
+
+def strung_keys(keys: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The lines of whole keys: of each point the key's number, the line's first segment, its place, x and y. keys: numbers; e: ax, ay, bx, by a row."""
+    # Each segment once, from its lesser end on; halves k and k + n are its two directions.
+    swap = (e[:, 0] > e[:, 2]) | ((e[:, 0] == e[:, 2]) & (e[:, 1] > e[:, 3]))
+    e = np.where(swap[:, None], e[:, [2, 3, 0, 1]], e) + 0.0
+    long = (e[:, 0] != e[:, 2]) | (e[:, 1] != e[:, 3])
+    one = np.unique(np.column_stack([keys[long], e[long]]), axis=0)
+    n, half = len(one), np.concatenate([one, one[:, [0, 3, 4, 1, 2]]])
+    back = (np.arange(2 * n) + n) % max(1, 2 * n)
+    _, spot, many = np.unique(half[:, :3], axis=0, return_inverse=True, return_counts=True)
+    order = np.argsort(spot.ravel(), kind="stable")
+    start = np.cumsum(many) - many
+    two = start[many == 2]
+    to = np.arange(2 * n)
+    # What follows a half at a point that only two share: the other that begins there.
+    to[back[order[two]]], to[back[order[two + 1]]] = order[two + 1], order[two]
+    left = (to != np.arange(2 * n)).astype(np.int64)
+    reach = 1
+    while reach <= 2 * n:
+        left, to = left + left[to], to[to]
+        reach *= 2
+    # Ends follow themselves; in loops nothing does.
+    at_end = left == left + left[to]
+    first, before = back[to[back]], left[back]
+    less = lambda a, b: np.logical_or.reduce([(a[:, :k] == b[:, :k]).all(1) & (a[:, k] < b[:, k]) for k in range(4)])
+    kept = np.flatnonzero(at_end & less(half[first, 1:], half[back[to], 1:])) if n else np.arange(0)
+    head = kept[before[kept] == 0]
+    rows = np.concatenate([head, kept])
+    x, y = (np.concatenate([half[head, 1 + c], half[kept, 3 + c]]) for c in (0, 1))
+    return half[rows, 0].astype(np.int64), half[first[rows], 1:], np.concatenate([np.zeros(len(head), np.int64), before[kept] + 1]), x, y
+
+
 def stitched(loose: DataFrame, key: str) -> DataFrame:
     """key, line, place, x, y: the points, in order, of the lines that loose segments (key, ax, ay, bx, by) form.
 
     Segments run either way and come in any order; repeated ones count once, and those without length do
     not count. A line ends where one or more than two segments of its key meet, and begins at the lesser
-    of its ends; line is its first segment from there. Closed loops without such a point have no row. Every
-    segment finds its line's end, and how far it is, by pointers that double their reach.
+    of its ends; line is its first segment from there. Closed loops without such a point have no row.
+    Segments are dealt and sorted by key; keys that lie whole in a batch of rows are strung there, and
+    only what batches cut, such as a key of any size, is strung by rounds of joins (`strung_by_rounds`).
     """
+    # Keys that are equal without being the same bytes, or nested, and other coordinates are left to the rounds.
+    types = dict(loose.dtypes)
+    if any(types[c] != "double" for c in ENDS) or types[key].split("<")[0] in ("float", "double", "struct", "array", "map", "variant"):
+        return strung_by_rounds(loose, key)
+    n = int(loose.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = loose.select(key, *ENDS).repartition(n, key).sortWithinPartitions(key)
+    name = dealt.schema[key]
+
+    def string(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, e = b.column(0), np.column_stack([b.column(k + 1).to_numpy(zero_copy_only=False) for k in range(4)])
+            number = keys.dictionary_encode()
+            code = number.indices.to_numpy(zero_copy_only=False) if not keys.null_count else np.where(keys.is_null(), -1, number.indices.fill_null(-1))
+            # The first and the last key may go on in other batches; coordinates that are no numbers are left to the rounds.
+            cut = (code == code[0]) | (code == code[-1]) | (code == -1)
+            cut |= np.isin(code, code[~np.isfinite(e).all(1)])
+            which, line, place, x, y = strung_keys(code[~cut], e[~cut])
+            none = lambda m, kind: pa.nulls(m, kind)
+            rest, k, double = b.filter(pa.array(cut)), len(which), pa.float64()
+            m = rest.num_rows
+            held = number.dictionary.take(pa.array(which))
+            both = lambda a, c: pa.concat_arrays([a, c])
+            columns = [both(rest.column(0), held.cast(rest.column(0).type)), *(both(rest.column(1 + c), pa.array(line[:, c], double)) for c in range(4)), both(none(m, pa.int64()), pa.array(place, pa.int64())), both(none(m, double), pa.array(x, double)), both(none(m, double), pa.array(y, double))]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, *ENDS, "place", "x", "y"])
+
+    fields = T.StructType([name, *(T.StructField(c, T.DoubleType()) for c in ENDS), T.StructField("place", T.LongType()), T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
+    done = materialise(dealt.mapInArrow(string, fields))
+    point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    line = F.struct(point("ax", "ay").alias("u"), point("bx", "by").alias("v"))
+    rest = strung_by_rounds(done.where("place is null").select(key, *ENDS), key)
+    return done.where("place is not null").select(key, line.alias("line"), "place", "x", "y").unionByName(rest)
+
+
+def strung_by_rounds(loose: DataFrame, key: str) -> DataFrame:
+    """stitched for keys of any size: every segment finds its line's end, and how far it is, by pointers that double their reach."""
     point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     a, b = point("ax", "ay"), point("bx", "by")
     one = loose.where((F.col("ax") != F.col("bx")) | (F.col("ay") != F.col("by"))).select(key, F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()

@@ -223,6 +223,22 @@ def test_stitched(spark):
     assert not any(k[0] == 3 for k in lined) and sorted(len(v) for k, v in lined.items() if k[0] == 4) == [2, 2, 2]
 
 
+def test_stitched_in_batches(spark):
+    """Lines of many small keys, junctions and loops among them, and one key that batches cut: as by rounds of joins."""
+    r = random.Random(5)
+    rows = [(f"k{k}", *(float(r.randrange(4)) for _ in range(4))) for k in range(150) for _ in range(r.randrange(1, 9))] + [(None, 0.0, 0.0, 1.0, 1.0), ("k1", None, 0.0, 1.0, 1.0), ("k2", -0.0, 0.0, 3.0, 3.0)]
+    rows += [("long", float(i), 0.0, float(i + 1), 0.0) if i % 2 else ("long", float(i + 1), 0.0, float(i), 0.0) for i in range(40)]
+    loose = spark.createDataFrame(rows, "k string, ax double, ay double, bx double, by double")
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = sorted(map(repr, lines.strung_by_rounds(loose, "k").collect()))
+    for batch in ("7", was):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            assert sorted(map(repr, lines.stitched(loose, "k").collect())) == want and len(want) > 500
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
 def test_parts_of_lines(spark):
     line = geometry.ring_of([(0, 0), (4, 0), (4, 3), (4, 3), (0, 3)])
     one = spark.range(1)
