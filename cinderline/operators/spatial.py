@@ -283,27 +283,55 @@ def tier_rollup(pairs: DataFrame, point_id: str) -> DataFrame:
     return by.select(point_id, F.element_at(F.array(*map(F.lit, tiers)), F.col("_rank")).alias("tier"), "n", "nearest")
 
 
+#: Features in the nine cells about a target that it is compared with at most, and how often cells are quartered until no more are there.
+MOST_NEAR, QUARTERINGS = 256, 12
+
+
 def nearest_feature(targets: DataFrame, features: DataFrame, target_id: str, feature_id: str, group: str, size: float) -> DataFrame:
     """For each target the other feature of its group with the least squared distance (x, y), then the least id.
 
-    Targets look at the nine cells about them. A find no farther than a cell's side is final; the
-    other targets look again with cells four times as large. What then is left is far from all
-    features, and descends from the largest cells to smaller ones, into those alone that may hold
-    something nearer than a feature already seen (`descended`). Rounds are written, and read only what
-    the rounds before left.
+    Targets look at the nine cells about them if these hold `MOST_NEAR` features at most; a find no
+    farther than a cell's side is final. Where more are, cells of a quarter of the side follow until that few are there, so
+    a target's work does not grow with the table. Targets that found nothing so look again with cells
+    four times as large. What then is left, far from all features or beside a dense place, descends
+    from the largest cells to smaller ones, into those alone that may hold something nearer than a
+    feature already seen (`descended`). Features in one spot count as their two least ids. Rounds are
+    written, and read only what the rounds before left.
     """
-    f = features.select(group, feature_id, F.col("x").alias("fx"), F.col("y").alias("fy")).where("fx is not null and fy is not null")
-    left, done, side = targets.select(target_id, group, "x", "y").where("x is not null and y is not null"), [], size
-    for _ in range(2):
-        around = F.explode(F.array(*(F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("d")
-        a = left.select("*", around).select(target_id, group, "x", "y", (F.floor(F.col("x") / side) + F.col("d.di")).alias("i"), (F.floor(F.col("y") / side) + F.col("d.dj")).alias("j"))
-        pairs = a.join(f.withColumns({"i": F.floor(F.col("fx") / side), "j": F.floor(F.col("fy") / side)}), [group, "i", "j"])
-        best = nearest_of(pairs, target_id, feature_id)
-        done.append(materialise(best.where(F.col("d2") <= side * side)))
-        left = materialise(left.join(done[-1].select(target_id), target_id, "left_anti"))
-        if left.isEmpty():
-            return reduce(DataFrame.unionByName, done)
-        side *= 4
+    spot = features.select(group, feature_id, F.col("x").alias("fx"), F.col("y").alias("fy")).where("fx is not null and fy is not null")
+    # Of a spot's features no target takes another than the least, or the next if that is itself.
+    first = spot.groupBy(group, "fx", "fy").agg(F.min(feature_id).alias("_a"))
+    second = spot.join(first, [group, "fx", "fy"]).where(F.col(feature_id) > F.col("_a")).groupBy(group, "fx", "fy").agg(F.min(feature_id).alias("_b"))
+    f = first.join(second, [group, "fx", "fy"], "left")
+    f = materialise(f.select(group, F.explode(F.array_compact(F.array("_a", "_b"))).alias(feature_id), "fx", "fy"))
+    cell = lambda x, y, side: {"i": F.floor(F.col(x) / side), "j": F.floor(F.col(y) / side)}
+    nine = F.explode(F.array(*(F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("d")
+    moved = [(F.col("i") + F.col("d.di")).alias("i"), (F.col("j") + F.col("d.dj")).alias("j")]
+    done = []
+
+    def looked(left: DataFrame, side: float) -> tuple[DataFrame, DataFrame]:
+        """Targets that found nothing near enough, and those that have too many features about them."""
+        counts = f.groupBy(group, *(c.alias(k) for k, c in cell("fx", "fy", side).items())).agg(F.count("*").alias("_n"))
+        about = counts.select(group, "i", "j", "_n", nine).select(group, *moved, "_n").groupBy(group, "i", "j").agg(F.sum("_n").alias("_n"))
+        known = materialise(left.withColumns(cell("x", "y", side)).join(about, [group, "i", "j"], "left").withColumn("_many", F.coalesce("_n", F.lit(0)) > MOST_NEAR).drop("_n"))
+        few = known.where("not _many")
+        pairs = by_cell(few.select("*", nine).select(target_id, group, "x", "y", *moved), f.withColumns(cell("fx", "fy", side)), [group, "i", "j"])
+        done.append(materialise(nearest_of(pairs, target_id, feature_id).where(F.col("d2") <= side * side)))
+        return few.drop("i", "j", "_many").join(done[-1].select(target_id), target_id, "left_anti"), known.where("_many").drop("i", "j", "_many")
+
+    many, side, unfound = targets.select(target_id, group, "x", "y").where("x is not null and y is not null"), size, []
+    for _ in range(QUARTERINGS):
+        none, many = looked(many, side)
+        unfound.append(none)
+        if many.isEmpty():
+            break
+        side /= 4
+    left = materialise(reduce(DataFrame.unionByName, unfound))
+    if not left.isEmpty():
+        left = reduce(DataFrame.unionByName, looked(left, size * 4))
+    left = materialise(left.unionByName(many))
+    if left.isEmpty():
+        return reduce(DataFrame.unionByName, done)
     return reduce(DataFrame.unionByName, [*done, descended(left, f, target_id, feature_id, group, side)])
 
 

@@ -381,3 +381,14 @@ def test_incidents_within(spark):
             if away <= 30 * 1609.344:
                 want.append((i, k, f"fire {k}"))
     assert got == sorted(want) and 0 < len(want) < 15_000
+
+
+def test_nearest_feature_in_dense_places(spark, monkeypatch):
+    """Clusters within a cell, with many features in one spot and targets beside them: cells are quartered until few features are near, and the nearest ones are found."""
+    monkeypatch.setattr(spatial, "MOST_NEAR", 12)
+    r = random.Random(9)
+    rows = [(i, "a", r.gauss(0, 0.01), r.gauss(0, 0.01)) for i in range(150)] + [(200 + i, "a", 0.3, 0.3) for i in range(30)] + [(300 + i, "a", r.gauss(0.31, 1e-7), r.gauss(0.3, 1e-7)) for i in range(40)] + [(400 + i, "b", r.uniform(-1, 1), 0.0) for i in range(20)]
+    p = spark.createDataFrame(rows, "t long, g string, x double, y double")
+    got = {row.t: (row.f, row.d2) for row in spatial.nearest_feature(p, p.withColumnRenamed("t", "f"), "t", "f", "g", 0.05).collect()}
+    want = {i: min(((x - u) ** 2 + (y - v) ** 2, k) for k, h, u, v in rows if h == g and k != i) for i, g, x, y in rows}
+    assert {i: k for i, (k, _) in got.items()} == {i: k for i, (_, k) in want.items()} and all(got[i][1] == pytest.approx(d) for i, (d, _) in want.items())
