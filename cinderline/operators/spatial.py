@@ -377,7 +377,7 @@ def descended(targets: DataFrame, f: DataFrame, target_id: str, feature_id: str,
 
 def combined_polygons(features: DataFrame, key: str, polygons: str, order: str) -> DataFrame:
     """key, polygons: the polygons of all a key's features one after another, in their order; features without polygons add none. For keys whose parts fit one geometry."""
-    parts = features.where(F.col(polygons).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(polygons).alias("p")))).alias("_l"))
+    parts = features.where(F.col(polygons).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(polygons).alias("p")))).alias("_l"))
     return parts.select(key, F.flatten(F.transform("_l", lambda s: s["p"])).alias(polygons))
 
 

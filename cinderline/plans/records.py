@@ -10,6 +10,7 @@ from cinderline.operators import history, joins, merge, spatial, stats
 from cinderline.plans.catalogue import STATUS, STATUS_SQL, Tables, bands, of_type, query
 from cinderline.plans.views import pick, picked
 from cinderline.sources import documents, records, sinks
+from cinderline.sources.tables import dealt
 from cinderline.streaming import live
 
 BODIES = ('{"features":[{"a":1}],"exceededTransferLimit":false}', '{"error":{"code":500}}', '{"data":[]}', '{"features":[', '{"features":[],"exceededTransferLimit":true}', None, '{"features":"none"}')
@@ -214,9 +215,10 @@ def geometry_kinds(t: Tables) -> DataFrame:
 
 @query("""SELECT c_nationkey AS unit_id, CAST(sum(CASE c_custkey % 9 WHEN 5 THEN 2 ELSE 1 END) AS INTEGER) AS polygons, CAST(min(c_custkey) AS DOUBLE) AS first_x FROM customer WHERE c_custkey % 9 BETWEEN 4 AND 7 GROUP BY 1""")
 def combined_polygons(t: Tables) -> DataFrame:
-    f = t.customer.select("c_nationkey", "c_custkey", geometry.geojson_polygons(shape_text(F.col("c_custkey"))).alias("polygons"))
+    f = dealt(t.customer.select("c_nationkey", "c_custkey")).select("c_nationkey", "c_custkey", geometry.geojson_polygons(shape_text(F.col("c_custkey"))).alias("polygons"))
     merged = spatial.combined_polygons(f, "c_nationkey", "polygons", "c_custkey")
-    return merged.select(F.col("c_nationkey").alias("unit_id"), F.size("polygons").alias("polygons"), F.col("polygons")[0][0][0]["x"].alias("first_x"))
+    seen = geometry.bound(F.col("polygons"), lambda p: F.struct(F.size(p).alias("polygons"), p[0][0][0]["x"].alias("first_x")))
+    return merged.select(F.col("c_nationkey").alias("unit_id"), seen.alias("s")).select("unit_id", "s.polygons", "s.first_x")
 
 
 @query("""SELECT p_partkey, 12 AS corners, round(6 * p_size * p_size * sin(pi() / 6), 6) AS area, round(p_retailprice + p_size, 6) AS max_x FROM part""")

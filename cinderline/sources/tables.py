@@ -32,6 +32,11 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt to all shuffle partitions, for work that is far dearer than its input is large: a small file is few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def steps_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/steps-{spark.sparkContext.applicationId}"
 

@@ -74,3 +74,15 @@ def test_reseeding_again_changes_nothing(spark):
 def test_alerts_that_are_no_json_need_review(spark):
     df = spark.createDataFrame([("{",), (None,), ('{"data":[]}',)], "body string")
     assert [(r.alerts, r.matching, r.extracted_text, r.needs_review) for r in documents.parse_alerts(df, "body", "fire").collect()] == [(0, 0, "", True), (0, 0, "", True), (0, 0, "", False)]
+
+
+def test_bound_shapes_and_dealt_rows(spark):
+    """A text is parsed once, whatever is asked of it; rows of one partition are dealt to all."""
+    from cinderline.sources.tables import dealt
+
+    text = '{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[5,6]},{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]}]}'
+    df = spark.createDataFrame([(text,)], "t string")
+    for read in (geometry.geojson_polygons, geometry.geojson_points):
+        assert df.select(read(F.col("t")).alias("p"))._jdf.queryExecution().analyzed().toString().count("parse_json") == 1
+    assert [tuple(p) for p in df.select(geometry.geojson_points(F.col("t")).alias("p")).first().p] == [(5, 6), (0, 0), (1, 0), (1, 1), (0, 0)]
+    assert dealt(spark.range(0, 1000, 1, 1)).rdd.getNumPartitions() == 4
