@@ -12,7 +12,7 @@ from cinderline.operators import lines, overlay, simplify, spatial, views, wildf
 from cinderline.plans.catalogue import Tables, lat, lon, query
 from cinderline.plans.records import shape_text
 from cinderline.plans.views import LIST_SQL, MAP_SQL, RULE_SQL, active_rules, features, listed
-from cinderline.sources.tables import materialise
+from cinderline.sources.tables import dealt, materialise
 
 PLANE = "pi() / 180 * 6378137.0"
 
@@ -283,8 +283,8 @@ def simplified_borders(t: Tables) -> DataFrame:
 def moved_shapes(t: Tables) -> DataFrame:
     """Shapes of all types in metres from an origin."""
     moved = geometry.reprojected(shape_text(F.col("c_custkey")), lambda x, y: geometry.projected(x, y, F.lit(-120.0), F.lit(44.0)))
-    texts = materialise(t.customer.select(F.col("c_custkey").alias("id"), moved.alias("moved")))
-    p = texts.select("id", geometry.geojson_points(F.col("moved")).alias("p")).where("p is not null")
+    texts = materialise(dealt(t.customer.select("c_custkey")).select(F.col("c_custkey").alias("id"), moved.alias("moved")))
+    p = dealt(texts).select("id", geometry.geojson_points(F.col("moved")).alias("p")).where("p is not null")
     total = lambda c: F.round(F.aggregate("p", F.lit(0.0), lambda a, v: a + v[c]) / 1e6, 6)
     return p.select("id", F.size("p").alias("points"), total("x").alias("east"), total("y").alias("north"))
 
