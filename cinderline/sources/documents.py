@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,7 +64,12 @@ class PageText(HTMLParser):
                 self.link_text.append(data)
 
 
+#: Pages whose results are held at a time.
+PAGES = 256
+
 PAGE = "page_id long, title string, canonical string, headings array<string>, links array<struct<href:string,text:string>>, excerpts array<string>, body string"
+PAGE_NAMES = ["page_id", "title", "canonical", "headings", "links", "excerpts", "body"]
+PAGE_TYPES = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.struct([("href", pa.string()), ("text", pa.string())])), pa.list_(pa.string()), pa.string()]
 
 
 def extract_pages(pages: DataFrame, keywords: str, page_id: str = "page_id", html: str = "html", least: int = 15, most: int = 80, cut: int = 900) -> DataFrame:
@@ -73,20 +78,23 @@ def extract_pages(pages: DataFrame, keywords: str, page_id: str = "page_id", htm
 
     wanted = re.compile(keywords, re.I)
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for pid, source in zip(pdf["page_id"], pdf["html"], strict=True):
-                p = PageText()
-                p.feed(source or "")
-                p.close()
-                p.flush()
-                found = [b[:cut] for b in p.blocks if len(b) >= least and wanted.search(b)]
-                links = [{"href": h, "text": t} for h, t in p.links if wanted.search(t)]
-                rows.append((pid, p.title, p.canonical, p.headings, links, list(dict.fromkeys(found))[:most], " ".join(p.blocks)))
-            yield pd.DataFrame(rows, columns=["page_id", "title", "canonical", "headings", "links", "excerpts", "body"])
-
-    return pages.select(F.col(page_id).alias("page_id"), F.col(html).alias("html")).mapInPandas(parse, PAGE)
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A batch's texts stay in Arrow's memory; Python has those of some pages, and what is read from them, at a time.
+        for batch in batches:
+            for start in range(0, batch.num_rows, PAGES):
+                some = batch.slice(start, PAGES)
+                rows = []
+                for pid, source in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                    p = PageText()
+                    p.feed(source or "")
+                    p.close()
+                    p.flush()
+                    found = [b[:cut] for b in p.blocks if len(b) >= least and wanted.search(b)]
+                    links = [{"href": h, "text": t} for h, t in p.links if wanted.search(t)]
+                    rows.append((pid, p.title, p.canonical, p.headings, links, list(dict.fromkeys(found))[:most], " ".join(p.blocks)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), PAGE_TYPES, strict=True)], names=PAGE_NAMES)
+
+    return pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(html).alias("html")).mapInArrow(parse, PAGE)
 
 
 def page_title(html: Column) -> Column:

@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -86,3 +87,15 @@ def test_bound_shapes_and_dealt_rows(spark):
         assert df.select(read(F.col("t")).alias("p"))._jdf.queryExecution().analyzed().toString().count("parse_json") == 1
     assert [tuple(p) for p in df.select(geometry.geojson_points(F.col("t")).alias("p")).first().p] == [(5, 6), (0, 0), (1, 0), (1, 1), (0, 0)]
     assert dealt(spark.range(0, 1000, 1, 1)).rdd.getNumPartitions() == 4
+
+
+def test_pages_are_held_some_at_a_time(spark, monkeypatch):
+    """Pages of one batch come out in parts, and all of them do."""
+    seen = []
+    frame = spark.range(1).select(F.lit(1).alias("page_id"), F.lit("").alias("html"))
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, f, schema: seen.append(f))
+    documents.extract_pages(frame, "fire")
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(600)), "html": ["<title>a</title><p>open fire in the forest", None, "<h1>b</h1>"] * 200})
+    parts = list(seen[0](iter([batch])))
+    assert [p.num_rows for p in parts] == [256, 256, 88] and [i for p in parts for i in p.column(0).to_pylist()] == list(range(600))
+    assert parts[0].to_pylist()[0]["excerpts"] == ["open fire in the forest"] and parts[0].to_pylist()[1]["body"] == ""
