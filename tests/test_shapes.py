@@ -67,6 +67,29 @@ def test_points_in_polygons(spark, some, size):
     assert set(map(tuple, got)) == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("few", [0, cover.FEW])
+def test_crowded_cells_are_cut(spark, some, monkeypatch, few):
+    """Where many points lie, few of them meet edges, and hardly any a list of edges; the pairs are those of the plain test."""
+    monkeypatch.setattr(cover, "FEW", few)
+    monkeypatch.setattr(cover, "MOST_POINTS", 16)
+    polygons, points = some
+    r = random.Random(2)
+    points = points + [(3000 + i, r.uniform(-1, 6), r.uniform(-1, 6)) for i in range(3000)] + [(7000 + i, 1.0, y / 8) for i, y in enumerate(range(40))]
+    p = spark.createDataFrame(points, "pid long, x double, y double")
+    cells = cover.polygon_cover(shapes(spark, polygons.items()), "gid", 30.0)
+
+    def met(cells):
+        at = [(F.floor((F.col(k) - o) / cover.side_of(F.col("level"), 30.0)) == F.col(c)) for k, c, o in (("x", "i", cover.ORIGIN[0]), ("y", "j", cover.ORIGIN[1]))]
+        found = p.join(cells, at[0] & at[1])
+        return found.where("size(edges) > 0").count(), found.where(F.size("edges") > cover.PLAIN).count()
+
+    placed = p.crossJoin(cells.select("level").distinct()).withColumns({c: F.floor((F.col(k) - o) / cover.side_of(F.col("level"), 30.0)) for k, c, o in (("x", "i", cover.ORIGIN[0]), ("y", "j", cover.ORIGIN[1]))})
+    before, after = met(cells), met(cover.cut_where_crowded(cells, placed, "gid", 30.0))
+    assert after[0] * 3 < before[0] and after[1] * 4 < before[1]
+    got = spatial.points_in_polygons(p, shapes(spark, polygons.items()), "pid", "gid", 30.0).collect()
+    assert sorted(map(tuple, got)) == sorted((i, g) for g, rings in polygons.items() if rings for i, x, y in points if inside(rings, x, y))
+
+
 def test_cover_is_bounded_by_the_outline(spark):
     """A polygon a hundred times as large has as many cells; few cells have many edges, and inner ones have none."""
     ring = star(random.Random(2), 0, 0, 1, 200)
