@@ -8,9 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinderline.functions.geometry import all_edges, bounds, boxes_overlap, edges, edges_meet, footprint_miles, outline_distance, outlines_apart, polygon_contains, projected, projected_rings, rings_bounds
+from cinderline.functions.geometry import all_edges, bounds, boxes_overlap, edges, edges_meet, footprint_miles, outline_distance, outlines_apart, outlines_between, polygon_contains, projected, projected_rings, rings_bounds
 from cinderline.functions.labels import proximity_tier
-from cinderline.functions.rules import EARTH_RADIUS_METERS, METERS_PER_MILE
+from cinderline.functions.rules import EARTH_RADIUS_METERS, METERS_PER_MILE, NEAR_MILES, REGIONAL_ACRES, REGIONAL_MILES
 from cinderline.operators.cover import covered_points, polygon_cover
 from cinderline.sources.tables import materialise
 
@@ -34,7 +34,7 @@ def by_cell(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 MOST_CELLS, COARSER, GRIDS = 256, 16, 6
 
 
-def box_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, size: float, unboxed: bool = False, most_unboxed: int = 1000, on: tuple[str, ...] = ()) -> DataFrame:
+def box_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, size: float, unboxed: bool = False, most_unboxed: int = 1000, on: tuple[str, ...] = (), carried: tuple[tuple[str, ...], tuple[str, ...]] = ((), ())) -> DataFrame:
     """Pairs of ids whose boxes (min_x, min_y, max_x, max_y) overlap.
 
     Boxes meet in the cell where their intersection begins, so each pair comes once and needs no
@@ -42,29 +42,32 @@ def box_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, siz
     or of finer grids, which are copied to the grids that the other side has; boxes of fine grids alone
     never meet on a coarse one. Rows without a box overlap everything by definition; they are paired
     only with `unboxed`, if either side has `most_unboxed` of them at most (ValueError otherwise). on:
-    columns of both sides that must be equal, too.
+    columns of both sides that must be equal, too. carried: columns of the left and the right side that
+    go along to the pairs of boxes, so that these need not be joined again.
     """
     box = ("min_x", "min_y", "max_x", "max_y")
+    if unboxed and any(carried):
+        raise ValueError("rows without a box carry no columns")
 
-    def gridded(df: DataFrame, row_id: str, p: str) -> DataFrame:
+    def gridded(df: DataFrame, row_id: str, p: str, more: tuple[str, ...]) -> DataFrame:
         wide = lambda k: (F.floor((F.col("max_x") - F.col("min_x")) / (size * COARSER**k)) + 2) * (F.floor((F.col("max_y") - F.col("min_y")) / (size * COARSER**k)) + 2)
         own = F.lit(GRIDS - 1)
         for k in reversed(range(GRIDS - 1)):
             own = F.when(wide(k) <= MOST_CELLS, k).otherwise(own)
         boxed = df.where(" and ".join(f"{x} is not null" for x in box))
-        return boxed.select(row_id, *on, own.alias("_own"), *(F.col(x).alias(f"{p}_{x}") for x in box))
+        return boxed.select(row_id, *on, *more, own.alias("_own"), *(F.col(x).alias(f"{p}_{x}") for x in box))
 
     def dealt(df: DataFrame, p: str, grids: Column) -> DataFrame:
         by = df.withColumn("_grid", F.explode(grids)).withColumn("_size", size * F.pow(F.lit(float(COARSER)), F.col("_grid")))
         return by.withColumn("c", F.explode(cells(*(F.col(f"{p}_{x}") for x in box), F.col("_size")))).select("*", "c.i", "c.j").drop("c", "_own")
 
-    a, b = gridded(left, left_id, "a"), gridded(right, right_id, "b")
+    a, b = gridded(left, left_id, "a", carried[0]), gridded(right, right_id, "b", carried[1])
     grids_a, grids_b = (sorted(r._own for r in df.select("_own").distinct().collect()) for df in (a, b))  # GRIDS at most
     own = (F.col("i") == F.floor(F.greatest("a_min_x", "b_min_x") / F.col("_size"))) & (F.col("j") == F.floor(F.greatest("a_min_y", "b_min_y") / F.col("_size")))
     overlap = boxes_overlap(tuple(F.col(f"a_{x}") for x in box), tuple(F.col(f"b_{x}") for x in box))
     alone = F.array("_own")
     coarser = lambda grids, least: F.filter(F.array(*map(F.lit, grids)).cast("array<int>"), lambda k: k >= least)
-    met = lambda x, y: by_cell(x, y.drop("_size"), [*on, "_grid", "i", "j"]).where(own & overlap).select(left_id, right_id)
+    met = lambda x, y: by_cell(x, y.drop("_size"), [*on, "_grid", "i", "j"]).where(own & overlap).select(left_id, right_id, *carried[0], *carried[1])
     pairs = met(dealt(a, "a", alone), dealt(b, "b", coarser(grids_a, F.col("_own"))))
     if grids_a and grids_b and grids_b[-1] > grids_a[0]:
         pairs = pairs.unionByName(met(dealt(a, "a", coarser(grids_b, F.col("_own") + 1)), dealt(b, "b", alone)))
@@ -166,9 +169,78 @@ def boundary_proximity(boundaries: DataFrame, incidents: DataFrame, boundary_id:
 
     boundaries: rings in degrees, with holes or of several polygons; incidents: lon, lat, acres and
     rings (null: the circle of the area). Distances are on the plane that touches in the middle of
-    the boundary's box.
+    the boundary's box. Outlines of a few edges go along to the cells and are measured there; only pairs
+    with a longer one are joined with their outlines (long_proximity).
+    """
+    few, long = by_length(boundaries, incidents, boundary_id, incident_id, within)
+    near = outline_box_pairs(*few, boundary_id, incident_id, within).withColumn("miles", outline_miles())
+    found = reduce(DataFrame.unionByName, [near.where(F.col("miles") <= within).select(boundary_id, incident_id, "acres", "miles"), *long])
+    return found.select(boundary_id, incident_id, "miles", proximity_tier(F.col("miles"), F.col("acres")).alias("tier")).where("tier is not null")
+
+
+def boundary_incidents(boundaries: DataFrame, incidents: DataFrame, boundary_id: str, incident_id: str, within: float = 30.0, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(boundary, incident, the carried columns of incidents) of all pairs that have a tier, as in boundary_proximity, without the distance.
+
+    Only those outlines are measured that the boxes leave open: as an outline touches all sides of its
+    box, two are no farther apart than a side of the one and the facing side of the other can be.
+    """
+    few, long = by_length(boundaries, incidents, boundary_id, incident_id, within)
+    near, cols = outline_box_pairs(*few, boundary_id, incident_id, within, carried), [boundary_id, incident_id, *carried]
+    side = lambda k, q: F.least(F.abs(F.col(f"_{k}2") - F.col(f"_{q}1")), F.abs(F.col(f"_{q}2") - F.col(f"_{k}1")))
+    span = lambda k, q: F.greatest(f"_{k}2", f"_{q}2") - F.least(f"_{k}1", f"_{q}1")
+    squared = lambda x, y: F.pow(x * F.col("_east"), 2) + F.pow(y * GROUND, 2)
+    most = F.least(squared(side("x", "u"), span("y", "v")), squared(span("x", "u"), side("y", "v")))
+    sure = most <= F.pow((F.col("_limit") + F.col("_r")) * METERS_PER_MILE, 2) * (1 - 1e-9)
+    rest = near.where(~sure).withColumn("miles", outline_miles()).where(F.col("miles") <= F.col("_limit")).select(*cols)
+    far = [df.where(proximity_tier(F.col("miles"), F.col("acres")).isNotNull()).select(boundary_id, incident_id).join(incidents.select(incident_id, *carried), incident_id).select(*cols) for df in long]
+    return reduce(DataFrame.unionByName, [near.where(sure).select(*cols), rest, *far])
+
+
+def by_length(boundaries: DataFrame, incidents: DataFrame, boundary_id: str, incident_id: str, within: float) -> tuple[tuple[DataFrame, DataFrame], list[DataFrame]]:
+    """Boundaries and incidents of GROUP edges at most, and long_proximity of the other pairs, if there are any."""
+    few = F.coalesce(F.size(all_edges(F.col("rings"))), F.lit(0)) <= GROUP
+    short = boundaries.where(few), incidents.where(few)
+    some_long = [(boundaries.where(~few), incidents), (short[0], incidents.where(~few))]
+    return short, [long_proximity(b, q, boundary_id, incident_id, within) for (b, q), sided in zip(some_long, (0, 1), strict=True) if not (b, q)[sided].isEmpty()]
+
+
+def outline_box_pairs(boundaries: DataFrame, incidents: DataFrame, boundary_id: str, incident_id: str, within: float, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs whose boxes are near enough for a tier: boundary_id, incident_id, acres, the carried columns of incidents, and what outline_miles asks for.
+
+    _limit: miles up to which the incident has a tier; _x1 ... _y2, _u1 ... _v2: both boxes; _east:
+    metres a degree of longitude; _r: miles of an incident's radius.
     """
     reach = within / 69.0
+    numbers = lambda e: F.flatten(F.transform(e, lambda x: F.array(*(x[k][c] for k in "ab" for c in "xy"))))
+    b = materialise(boundaries.where("size(rings) > 0").select(boundary_id, numbers(all_edges(F.col("rings"))).alias("_p"), rings_bounds(F.col("rings")).alias("box")))
+    far = F.least(F.greatest(F.abs("_y1"), F.abs("_y2")) + reach, F.lit(89.0))
+    wide = reach / F.greatest(F.cos(F.radians(far)), F.lit(0.01))
+    left = b.select(boundary_id, "_p", *(F.col(f"box.{k}_{c}").alias(f"_{c}{n}") for n, k in ((1, "min"), (2, "max")) for c in "xy")).withColumns({"_lon0": (F.col("_x1") + F.col("_x2")) / 2, "_lat0": (F.col("_y1") + F.col("_y2")) / 2})
+    left = left.withColumns({"_east": GROUND * F.cos(F.radians("_lat0")), "min_x": F.col("_x1") - wide, "min_y": F.col("_y1") - reach, "max_x": F.col("_x2") + wide, "max_y": F.col("_y2") + reach})
+    mapped = F.coalesce(F.size("rings") > 0, F.lit(False))
+    point = F.array("lon", "lat", "lon", "lat")
+    own = F.when(mapped, rings_bounds(F.col("rings"))).otherwise(F.struct(F.col("lon").alias("min_x"), F.col("lat").alias("min_y"), F.col("lon").alias("max_x"), F.col("lat").alias("max_y")))
+    limit = F.when(F.coalesce("acres", F.lit(0.0)) >= REGIONAL_ACRES, min(within, REGIONAL_MILES)).otherwise(min(within, NEAR_MILES))
+    q = materialise(incidents.select(incident_id, "acres", *carried, F.when(mapped, numbers(all_edges(F.col("rings")))).otherwise(point).alias("_q"), F.when(mapped, 0.0).otherwise(footprint_miles(F.col("acres"))).alias("_r"), limit.alias("_limit"), own.alias("box")))
+    grown, east = F.col("_r") / 69.0, F.col("_r") / 69.0 / F.greatest(F.cos(F.radians(F.least(F.abs("_v2") + 1, F.lit(89.0)))), F.lit(0.01))
+    right = q.select(*q.drop("box").columns, *(F.col(f"box.{k}_{c}").alias(f"_{d}{n}") for n, k in ((1, "min"), (2, "max")) for c, d in (("x", "u"), ("y", "v"))))
+    right = right.withColumns({"min_x": F.col("_u1") - east, "min_y": F.col("_v1") - grown, "max_x": F.col("_u2") + east, "max_y": F.col("_v2") + grown})
+    along = ("_p", "_x1", "_y1", "_x2", "_y2", "_lon0", "_lat0", "_east"), ("acres", *carried, "_q", "_r", "_limit", "_u1", "_v1", "_u2", "_v2")
+    pairs = box_join(left, right, boundary_id, incident_id, max(0.25, reach), carried=along)
+    gap = lambda k, q: F.greatest(F.col(f"_{k}1") - F.col(f"_{q}2"), F.col(f"_{q}1") - F.col(f"_{k}2"), F.lit(0.0))
+    least = F.pow(gap("x", "u") * F.col("_east"), 2) + F.pow(gap("y", "v") * GROUND, 2)
+    return pairs.where(least <= F.pow((F.col("_limit") + F.col("_r")) * METERS_PER_MILE, 2) * (1 + 1e-9))
+
+
+def outline_miles() -> Column:
+    """Of outline_box_pairs: 0 where outlines meet or one holds the other, else the distance less the radius."""
+    metres = outlines_between(F.col("_p"), F.col("_q"), F.col("_lon0"), F.col("_lat0"), F.col("_east"), F.lit(GROUND))
+    return F.greatest(F.lit(0.0), metres - F.col("_r") * METERS_PER_MILE) / METERS_PER_MILE
+
+
+def long_proximity(boundaries: DataFrame, incidents: DataFrame, boundary_id: str, incident_id: str, within: float) -> DataFrame:
+    """(boundary, incident, acres, miles) as boundary_proximity tells it, for outlines of any length: edges meet edge by edge, and pairs are joined with their outlines."""
+    reach = within / 69.0
     b = boundaries.select(boundary_id, F.col("rings").alias("_b"), rings_bounds(F.col("rings")).alias("box"))
     mid = {"lon0": (F.col("box.min_x") + F.col("box.max_x")) / 2, "lat0": (F.col("box.min_y") + F.col("box.max_y")) / 2}
     far = F.least(F.greatest(F.abs("box.min_y"), F.abs("box.max_y")) + reach, F.lit(89.0))
@@ -194,8 +266,7 @@ def boundary_proximity(boundaries: DataFrame, incidents: DataFrame, boundary_id:
     far = pairs.where("_mapped").hint("merge").join(meets, [boundary_id, incident_id], "left_anti").hint("merge").join(flat.drop("_edges"), boundary_id).hint("merge").join(shapes, incident_id)
     apart = outline_distances(far.withColumn("_q", projected_rings(F.col("rings"), F.col("lon0"), F.col("lat0"))), [boundary_id, incident_id], "_flat", "_q").withColumn("miles", F.col("distance") / METERS_PER_MILE)
     to_shapes = apart.drop("distance").unionByName(meets.withColumn("miles", F.lit(0.0))).join(shapes.select(incident_id, "acres"), incident_id)
-    found = to_circles.unionByName(to_shapes.select(*to_circles.columns)).where(F.col("miles") <= within)
-    return found.select(boundary_id, incident_id, "miles", proximity_tier(F.col("miles"), F.col("acres")).alias("tier")).where("tier is not null")
+    return to_circles.unionByName(to_shapes.select(*to_circles.columns)).where(F.col("miles") <= within)
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str, size: float) -> DataFrame:

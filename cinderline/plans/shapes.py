@@ -157,12 +157,15 @@ UNIT_TIERS_SQL = f"""{FIRES_SQL}, k AS (SELECT a.vec_id AS place_id, q.vec_id AS
     x AS (SELECT place_id, incident_id, acres, mapped, miles, {TIER_SQL} AS tier FROM d WHERE {TIER_SQL} IS NOT NULL)"""
 
 
-def unit_tiers(t: Tables) -> DataFrame:
-    """Units with a boundary (those whose id is that of a spot of label 1) beside the incidents."""
+def bounded_units(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Units with a boundary (those whose id is that of a spot of label 1), and the incidents."""
     f = fires(t)
     boundaries = f.where("label = 1").select(F.col("vec_id").alias("unit_id"), F.array(square(F.col("lon"), F.col("lat"), 2 * (0.01 + F.col("vec_id") % 4 / 40.0))).alias("rings"))
-    incidents = f.where("label = 2").select(F.col("vec_id").alias("incident_id"), "lon", "lat", "acres", F.when(F.col("ring").isNotNull(), F.array("ring")).alias("rings"))
-    return spatial.boundary_proximity(boundaries, incidents, "unit_id", "incident_id")
+    return boundaries, f.where("label = 2").select(F.col("vec_id").alias("incident_id"), "lon", "lat", "acres", F.when(F.col("ring").isNotNull(), F.array("ring")).alias("rings"))
+
+
+def unit_tiers(t: Tables) -> DataFrame:
+    return spatial.boundary_proximity(*bounded_units(t), "unit_id", "incident_id")
 
 
 @query(f"""WITH {LIST_SQL}, {RULE_SQL}, wf AS (WITH {UNIT_TIERS_SQL}, {DETAIL_SQL}, {ROLLUP_SQL} SELECT a.place_id, a.status, a.minor, n.incidents, s.as_of FROM s LEFT JOIN a ON true LEFT JOIN n USING (place_id))
@@ -179,8 +182,11 @@ def unit_pages(t: Tables) -> DataFrame:
 @query(f"""WITH {MAP_SQL}, wf AS (WITH {UNIT_TIERS_SQL} SELECT place_id, incident_id, mapped FROM x)
     SELECT unit_id, kind, feature_slug FROM m UNION ALL SELECT place_id, CASE WHEN mapped THEN 'wildfire' ELSE 'wildfire_incident' END, CAST(incident_id AS VARCHAR) FROM wf WHERE place_id IN (SELECT unit_id FROM m)""")
 def unit_features(t: Tables) -> DataFrame:
-    found = wildfires.map_features(unit_tiers(t), incident_details(t), synced(t), "unit_id", "incident_id")
-    return wildfires.unit_features(features(t), found, "unit_id").select("unit_id", "kind", "feature_slug")
+    own = materialise(features(t).select("unit_id", "kind", "feature_slug"))
+    boundaries, incidents = bounded_units(t)
+    shown = wildfires.incident_features(incident_details(t), synced(t), "incident_id").select("incident_id", "kind")
+    found = spatial.boundary_incidents(wildfires.with_features(boundaries, own, "unit_id"), incidents.join(shown, "incident_id"), "unit_id", "incident_id", carried=("kind",))
+    return wildfires.unit_features(own, found, "unit_id", known=True)
 
 
 # Overlays

@@ -381,6 +381,25 @@ def test_points_of_cells_are_told_in_arrays(spark):
     assert "ArrowEvalPython" in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_outlines_go_along_to_the_cells(spark):
+    """Boundaries beside perimeters and circles: few edges are measured where the boxes meet, without a join of pairs, and all are as far apart as by joins of edges; which pairs have a tier is known without most distances."""
+    r = random.Random(12)
+    shape = lambda k, size, long=7: [star(r, r.gauss(-120, 0.4), r.gauss(44, 0.4), size, (5, 7, long)[k % 3])]
+    b = shapes(spark, [(k, shape(k, 0.2, 30) + ([square(-120.3, 43.9, 0.05)] if k % 4 == 0 else [])) for k in range(20)] + [(90, None), (91, [])], "bid")
+    rows = [(100 + k, r.gauss(-120, 0.6), r.gauss(44, 0.6), (0.0, 50.0, 5000.0, None)[k % 4], f"fire {k}", shape(k, 0.1) if k % 3 < 2 else None) for k in range(60)]
+    q = spark.createDataFrame([(*x, g and [[{"x": a, "y": c} for a, c in ring] for ring in g]) for *x, g in rows], f"iid long, lon double, lat double, acres double, name string, {RINGS}")
+    found = spatial.boundary_proximity(b, q, "bid", "iid")
+    want = spatial.long_proximity(b.where("size(rings) > 0"), q, "bid", "iid", 30.0)
+    tiers = lambda df: {(x.bid, x.iid): (x.tier, round(x.miles, 6)) for x in df.collect()}
+    told = tiers(want.withColumn("tier", spatial.proximity_tier(F.col("miles"), F.col("acres"))).where("tier is not null"))
+    assert tiers(found) == told and {t for t, _ in told.values()} == {"inside", "near", "regional"}
+    known = spatial.boundary_incidents(b, q, "bid", "iid", carried=("name",)).collect()
+    assert sorted(map(tuple, known)) == sorted((k, i, f"fire {i - 100}") for k, i in told)
+    short = lambda df: df.where("size(flatten(rings)) < 16")
+    plan = spatial.boundary_proximity(short(b), short(q), "bid", "iid")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") <= 2
+
+
 def test_incidents_within(spark):
     """Pairs within a distance of rings and circles, with what an incident has to say; each distance is told by all edges."""
     r = random.Random(11)
