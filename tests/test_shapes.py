@@ -400,6 +400,15 @@ def test_outlines_go_along_to_the_cells(spark):
     assert plan.count("Join") <= 2
 
 
+def test_rounded_miles(spark):
+    """As F.round has it: halves, their neighbours, and what lies between; the compiled plan has no decimal numbers but there."""
+    r = random.Random(13)
+    half = [k / 10_000 + 0.00005 for k in range(3000)]
+    rows = [*half, *(math.nextafter(v, 9) for v in half), *(math.nextafter(v, 0) for v in half), *(r.uniform(0, 3000) for _ in range(20_000)), 0.0, 30.0, None]
+    df = spark.createDataFrame([(v,) for v in rows], "v double").select("v", geometry.rounded_miles(F.col("v")).alias("a"), F.round("v", 4).alias("b"))
+    assert df.where("not (a <=> b)").count() == 0
+
+
 def test_incidents_within(spark):
     """Pairs within a distance of rings and circles, with what an incident has to say; each distance is told by all edges."""
     r = random.Random(11)
